@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, url_filter
+from . import chat_format, packing, quality_rules, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op4_token_counts": token_counts.op4_token_counts,
+        "op7_simhash": simhash.op7_simhash,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
