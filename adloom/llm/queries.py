@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, quality_rules, simhash, token_counts, url_filter
+from . import chat_format, decontaminate, packing, quality_rules, simhash, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_simhash": simhash.op7_simhash,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
@@ -20,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.ORACLE,
         "op3_chat_format": chat_format.ORACLE,
+        "op5_decontamination": decontaminate.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
     }
