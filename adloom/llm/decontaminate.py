@@ -156,37 +156,45 @@ class Index:
         return found
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment) of every leak."""
-    spark = documents.sparkSession
+def _found(index: Index, hashes: WordHashes, texts: list[list[bytes]], threshold: float) -> list[tuple[int, int, int, int]]:
+    """(text, item, its shingles, those shared) of candidates that the exact check confirms."""
+    rows, at, own = [], -1, set()
+    for t, j in sorted(index.candidates(*shingle_hashes(hashes, texts))):
+        if t != at:
+            at, own = t, shingles_of(texts[t])
+        item = index.shingles[j]
+        shared = len(item & own)
+        if shared >= threshold * len(item):
+            rows.append((t, j, len(item), shared))
+    return rows
+
+
+def _indexes(benchmark: DataFrame) -> list:
+    """The benchmark as broadcast indexes of about ITEMS_AT_ONCE items each."""
     items = benchmark.select("item_id", "text")
     passes = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    sc = benchmark.sparkSession.sparkContext
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    return [sc.broadcast(Index([tuple(r) for r in items.where(part == i).collect()])) for i in range(passes)]
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_shared, containment) of every leak."""
     kinds = [f"{a} {df.schema[a].dataType.simpleString()}" for df, a in ((documents, "doc_id"), (benchmark, "item_id"))]
     schema = ", ".join(kinds) + ", n_shingles long, n_shared long, containment double"
+    item_kind = pa.int32() if benchmark.schema["item_id"].dataType.simpleString() == "int" else pa.int64() if benchmark.schema["item_id"].dataType.simpleString() == "bigint" else None
     out = None
-    for i in range(passes):
-        # A row's pass: by its hash, so a pass gets about ITEMS_AT_ONCE rows.
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in own.collect()]))
+    for index in _indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     few = batch.slice(at, 256)
-                    texts = [words_of(t) for t in few.column(1).to_pylist()]
-                    h, counts = shingle_hashes(hashes, texts)
-                    rows, sets = [], {}
-                    for t, j in sorted(index.value.candidates(h, counts)):
-                        if t not in sets:
-                            sets = {t: shingles_of(texts[t])}
-                        item = index.value.shingles[j]
-                        shared = len(item & sets[t])
-                        if shared >= threshold * len(item):
-                            rows.append((t, index.value.ids[j], len(item), shared, shared / len(item)))
-                    cols = list(zip(*rows)) or [[]] * 5
+                    rows = _found(index.value, hashes, [words_of(t) for t in few.column(1).to_pylist()], threshold)
+                    t, j, n, shared = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
                     yield pa.RecordBatch.from_arrays(
-                        [few.column(0).take(pa.array(cols[0], pa.int32())), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.int64(), pa.int64(), pa.float64())))],
+                        [few.column(0).take(pa.array(t, pa.int32())), pa.array([index.value.ids[i] for i in j], item_kind), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array([a / b for a, b in zip(shared, n)], pa.float64())],
                         names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"],
                     )
 
@@ -195,6 +203,24 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
     return out
 
 
+def drop_leaky(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of documents, all columns, that contain no benchmark item; no shuffle."""
+    out, schema, place = documents, documents.schema, documents.columns.index("text")
+    for index in _indexes(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    few = batch.slice(at, 256)
+                    clean = np.ones(few.num_rows, bool)
+                    clean[[r[0] for r in _found(index.value, hashes, [words_of(t) for t in few.column(place).to_pylist()], threshold)]] = False
+                    yield few.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, schema)
+    return out
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item contained in a document."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

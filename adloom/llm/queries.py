@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, packing, quality_rules, simhash, suffix_dedup, token_counts, url_filter
+from . import chat_format, decontaminate, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_simhash": simhash.op7_simhash,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_quality_classifier": quality_model.op9_quality_classifier,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
