@@ -291,7 +291,8 @@ def repeats(documents: DataFrame) -> DataFrame:
     """
     rows = _trigger_rows(documents)
     groups = rows.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("least"), F.max("c").alias("most"))
-    groups = groups.where("times > 1").select("h", (F.col("least") == F.col("most")).alias("alike"))
+    # Cut, so that both sides of the join are dealt anew and a hot hash can be split.
+    groups = cut(groups.where("times > 1").select("h", (F.col("least") == F.col("most")).alias("alike")))
     again = cut(rows.join(groups, "h"))
     alike = again.where("alike").select("k1", "k2", "x", "lo", "hi", F.lit(None).cast("binary").alias("mask"))
     mixed = again.where("not alike")
@@ -324,7 +325,7 @@ def covered(n_bytes: int, found: list[dict] | None) -> tuple[np.ndarray, np.ndar
 def _apply(documents: DataFrame, keep: list[str], schema: str, result) -> DataFrame:
     """result(text bytes, run starts, run ends) for each row, after the columns to keep."""
     docs = keyed(documents)
-    joined = _squeezed(docs, keep).join(repeats(docs), ["k1", "k2"], "left")
+    joined = _squeezed(docs, keep).join(cut(repeats(docs)), ["k1", "k2"], "left")  # cut: a hot text can be split
     names = [*keep, *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
