@@ -35,7 +35,7 @@ from .components import components
 
 RING = 16
 #: Distinct fingerprints that a shard should hold, about; the tree in it does the rest in memory.
-SHARD = 20_000
+SHARD = 3_000
 #: What one more point leaves of a shard: the fuller half of the ring, with what reaches into it.
 LEFT = 0.6
 LEAF = 512
