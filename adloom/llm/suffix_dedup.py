@@ -297,8 +297,9 @@ def repeats(documents: DataFrame) -> DataFrame:
     alike = again.where("alike").select("k1", "k2", "x", "lo", "hi", F.lit(None).cast("binary").alias("mask"))
     mixed = again.where("not alike")
     reps = mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "x", "lo", "hi")).alias("r"))
-    kinds = reps.groupBy("h").agg((F.count("*") > HOT).alias("hot"))
-    wanted = reps.join(kinds, "h").select("h", "c", "n", "hot", "r.*")
+    # Only the hashes with many surroundings: a short table, so the join needs no dealing by hash.
+    many = reps.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("h", F.lit(True).alias("hot"))
+    wanted = reps.join(many, "h", "left").select("h", "c", "n", F.coalesce("hot", F.lit(False)).alias("hot"), "r.*")
     around = cut(_surroundings(_squeezed(documents, [], once=True), wanted))
     found = _by_suffix_arrays(around).unionByName(_by_counting(around))
     some = mixed.join(found, ["h", "c"]).select("k1", "k2", "x", "lo", "hi", "mask")
