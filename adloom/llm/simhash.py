@@ -80,13 +80,13 @@ def vantage_points(n: int) -> list[int]:
 
 def shards(fps: DataFrame, points: list[int], radius: int) -> DataFrame:
     """(shard, fp): each fingerprint in its own shard and in those it can reach upwards."""
-    out = fps.select("fp", F.lit(0).cast("long").alias("shard"))
+    cells = F.array(F.lit(0).cast("long"))
     for p in points:
         d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)))
         ring, reach = F.floor(d / RING), F.floor((d + radius) / RING)
         rings = F.when(ring == reach, F.array(ring)).otherwise(F.array(ring, reach))
-        out = out.select("fp", "shard", F.explode(rings).alias("ring")).select("fp", F.xxhash64("shard", "ring").alias("shard"))
-    return out
+        cells = F.flatten(F.transform(cells, lambda c, rings=rings: F.transform(rings, lambda r: F.xxhash64(c, r))))
+    return fps.select("fp", F.explode(cells).alias("shard"))
 
 
 def close_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
