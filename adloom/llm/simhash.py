@@ -78,14 +78,18 @@ def vantage_points(n: int) -> list[int]:
     return np.random.default_rng(20_240_601).integers(-(2**63), 2**63 - 1, points).tolist()
 
 
+def _split(cells: Column, distance: Column, radius: int) -> Column:
+    """Each cell's part for the ring at a distance, and for the ring in reach above it, if any."""
+    ring, reach = F.floor(distance / RING), F.floor((distance + radius) / RING)
+    rings = F.when(ring == reach, F.array(ring)).otherwise(F.array(ring, reach))
+    return F.flatten(F.transform(cells, lambda c: F.transform(rings, lambda r: F.xxhash64(c, r))))
+
+
 def shards(fps: DataFrame, points: list[int], radius: int) -> DataFrame:
     """(shard, fp): each fingerprint in its own shard and in those it can reach upwards."""
     cells = F.array(F.lit(0).cast("long"))
     for p in points:
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)))
-        ring, reach = F.floor(d / RING), F.floor((d + radius) / RING)
-        rings = F.when(ring == reach, F.array(ring)).otherwise(F.array(ring, reach))
-        cells = F.flatten(F.transform(cells, lambda c, rings=rings: F.transform(rings, lambda r: F.xxhash64(c, r))))
+        cells = _split(cells, F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))), radius)
     return fps.select("fp", F.explode(cells).alias("shard"))
 
 
