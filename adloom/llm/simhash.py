@@ -13,6 +13,13 @@ rings.  Within a shard a vantage-point tree prunes the same way before the last
 comparisons.  The number of points grows with the logarithm of the number of
 fingerprints, so shards stay small at any size.  The search is exact.
 
+Fingerprints that lie within a few bits of each other (a large group of near
+copies) can't be parted by any point.  Shards of more than ``LARGE`` fingerprints
+are therefore searched by neighbourhoods: each fingerprint goes to all keys within
+half the radius, and those that meet at a key are linked.  Two fingerprints are
+within the radius just if they meet somewhere, and a key has at most as many
+visitors as it has neighbours (65 for radius 2), so no task grows with the group.
+
 Shards emit a spanning forest of their links; components follow by star
 contraction.  Defined results: a null or wordless text has fingerprint zero and
 links like any other; a component's id is its smallest doc_id (null only if all
@@ -23,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +46,8 @@ SHARD = 3_000
 #: What one more point leaves of a shard: the fuller half of the ring, with what reaches into it.
 LEFT = 0.6
 LEAF = 512
+#: Fingerprints of a shard beyond which they are linked by neighbourhoods.
+LARGE = 6_000
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -130,10 +139,24 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(fps[x].view(np.int64)), int(fps[y].view(np.int64))) for x, y in links]
 
 
-def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def neighbourhood_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints within an even radius, by shared neighbours."""
+    flips = [sum(1 << i for i in bits) for n in range(radius // 2 + 1) for bits in combinations(range(64), n)]
+    signed = np.array(flips, np.uint64).view(np.int64).tolist()
+    near = F.transform(F.array(*[F.lit(x) for x in signed]), lambda x: x.bitwiseXOR(F.col("fp")))
+    visits = fps.select("fp", F.explode(near).alias("key"))
+    met = visits.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("own")).where(F.size("own") > 1)  # at most one a flip
+    return met.select(F.col("own")[0].alias("a"), F.explode(F.slice("own", 2, F.size("own"))).alias("b"))
+
+
+def near_links(fps: DataFrame, radius: int = 2, large: int = LARGE) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all that are within radius."""
     distinct = cut(fps.select("fp").distinct())
     sharded = shards(distinct, vantage_points(distinct.count()), radius)
+    if radius % 2 == 0:
+        crowded = cut(sharded.groupBy("shard").count().where(F.col("count") > large).select("shard"))
+        dense = sharded.join(crowded, "shard", "left_semi").select("fp").distinct()
+        sharded = sharded.join(crowded, "shard", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_shard, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -154,7 +177,10 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
         yield links(rest_shard, rest_fp)
 
     dealt = sharded.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = dealt.mapInArrow(run, "a long, b long")
+    if radius % 2 == 0:
+        found = found.unionByName(neighbourhood_links(dense, radius))
+    return found.distinct()
 
 
 def near_duplicates(documents: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:

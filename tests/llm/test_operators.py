@@ -224,7 +224,8 @@ def test_fingerprints(spark):
     assert simhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
-def test_near_links_are_exact(spark, monkeypatch):
+@pytest.mark.parametrize("large", [6_000, 30, 0])
+def test_near_links_are_exact(spark, monkeypatch, large):
     monkeypatch.setattr(simhash, "SHARD", 20)
     monkeypatch.setattr(simhash, "LEAF", 8)
     rng = random.Random(4)
@@ -234,8 +235,13 @@ def test_near_links_are_exact(spark, monkeypatch):
             for _ in range(rng.randrange(1, 4)):
                 f ^= 1 << rng.randrange(64)
             fps.append(f)
+    for _ in range(120):  # a dense group that no vantage point parts
+        f = fps[0]
+        for _ in range(4):
+            f ^= 1 << rng.randrange(64)
+        fps.append(f)
     signed = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
-    roots = components.components(simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long")))
+    roots = components.components(simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), large=large))
     got = {r["node"]: r["root"] for r in roots.collect()}
     parent = {f: f for f in signed}
 
