@@ -51,6 +51,12 @@ CLASSIFY = [
     {"role": "CASE WHEN layer_type = 'group' THEN 'group' ELSE coalesce(name_role, geometry_role) END"},
     {"priority": f"least(coalesce(suffix, 5), {ROLE_CAP})"},
 ]
+#: The same with embedding_role, which counts for layers with an image that no name rule fits.
+CLASSIFY_WITH_EMBEDDING = [
+    *CLASSIFY[:3],
+    {"role": "CASE WHEN layer_type = 'group' THEN 'group' ELSE coalesce(name_role, CASE WHEN has_image THEN embedding_role END, geometry_role) END"},
+    CLASSIFY[4],
+]
 TARGET_REASON = (
     "CASE WHEN TRY_CAST(width AS DOUBLE) IS NULL OR TRY_CAST(height AS DOUBLE) IS NULL THEN 'not numeric' WHEN width <= 0 OR height <= 0 THEN 'not positive' "
     f"WHEN width > {MAX_SIDE} OR height > {MAX_SIDE} THEN 'too large' WHEN width < {MIN_SIDE} OR height < {MIN_SIDE} THEN 'too small' END"
@@ -106,6 +112,19 @@ FIT = [
         "plan": "CASE WHEN blank THEN 'blank' WHEN use_cover THEN 'cover' WHEN extends THEN 'extend' ELSE 'contain' END",
     },
 ]
+#: Canvas of a layered design from its first background (bg_k, bg_w, bg_h, bg_image; null: none).
+BACKGROUND = [
+    {
+        "mode": "CASE WHEN bg_k IS NULL OR NOT bg_image THEN 'white' WHEN target_w > bg_w OR target_h > bg_h THEN 'extend' ELSE 'cover' END",
+        "scale": "greatest(target_w / CAST(greatest(bg_w, 1) AS DOUBLE), target_h / CAST(greatest(bg_h, 1) AS DOUBLE))",
+    },
+    {"scaled_w": "CASE WHEN mode <> 'white' THEN greatest(1, trunc_int(bg_w * scale)) END", "scaled_h": "CASE WHEN mode <> 'white' THEN greatest(1, trunc_int(bg_h * scale)) END"},
+    {"crop_x": "floor((scaled_w - target_w) / 2)", "crop_y": "floor((scaled_h - target_h) / 2)"},
+    {
+        "filled": "CASE WHEN mode = 'extend' THEN CAST(target_w AS BIGINT) * target_h - (least(target_w, floor((target_w - scaled_w) / 2) + scaled_w) - greatest(0, floor((target_w - scaled_w) / 2))) "
+        "* (least(target_h, floor((target_h - scaled_h) / 2) + scaled_h) - greatest(0, floor((target_h - scaled_h) / 2))) ELSE 0 END"
+    },
+]
 _colour = lambda i: "CASE role " + " ".join(f"WHEN '{r}' THEN {c[i]}" for r, c in COLOURS.items()) + f" ELSE {DEFAULT_COLOUR[i]} END"
 ANNOTATE = [
     {"r": _colour(0), "g": _colour(1), "b": _colour(2), "outline": "2", "label": "concat(substr(role, 1, 8), ': ', substr(name, 1, 15))", "label_x": "x + 2", "label_y": "y + 2"},

@@ -32,6 +32,28 @@ def classify_by_embedding(layers: DataFrame, prompts: DataFrame, scale: float =
     return out.withColumn("role", F.when(F.col("prob") >= threshold, best)).drop("logits", "top")
 
 
+def classify_with_embedding(layers: DataFrame, vectors: DataFrame, prompts: DataFrame) -> DataFrame:
+    """The whole cascade: group, name, embedding, geometry.
+
+    vectors(design_id, ordinal, embedding) has one row a layer at most; the prompts'
+    roles are found before the join, so vectors are not shuffled.
+    """
+    found = classify_by_embedding(vectors, prompts).select("design_id", "ordinal", F.col("role").alias("embedding_role"))
+    return E.extend(layers.join(found, ["design_id", "ordinal"], "left"), E.CLASSIFY_WITH_EMBEDDING)
+
+
+def prompt_probabilities(layers: DataFrame, prompts: DataFrame, scale: float = 100.0) -> DataFrame:
+    """(all columns of layers but the vector, prompt, prob): the softmax over all prompts."""
+    rows = prompts.orderBy("prompt").limit(len(catalogs.PROMPT_ROLES)).collect()
+    vectors = F.array(*[F.array(*[F.lit(float(v)) for v in r["embedding"]]) for r in rows])
+    own = F.transform("embedding", lambda v: v.cast("double"))
+    dot = lambda p: F.aggregate(F.zip_with(own, p, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    out = layers.withColumn("logits", F.transform(vectors, lambda p: dot(p) * F.lit(scale)))
+    out = out.withColumn("weights", F.transform("logits", lambda v: F.exp(v - F.array_max("logits"))))
+    out = out.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda s, v: s + v))
+    return out.select(*[c for c in layers.columns if c != "embedding"], F.posexplode(F.transform("weights", lambda v: v / F.col("total"))).alias("prompt", "prob"))
+
+
 def apply_overrides(layers: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Layers with the latest valid new role and the latest new priority (held to 1..9), and rejects.
 
@@ -46,7 +68,7 @@ def apply_overrides(layers: DataFrame, corrections: DataFrame) -> tuple[DataFram
     )
     out = layers.join(latest, key, "left")
     role = F.when(F.col("_role").isin(*roles), F.col("_role"))
-    out = out.withColumns({"role": F.coalesce(role, "role"), "priority": F.coalesce(F.greatest(F.lit(1), F.least(F.lit(9), F.col("_priority"))), "priority")}).drop("_role", "_priority")
+    out = out.withColumns({"role": F.coalesce(role, "role"), "priority": F.when(F.col("_priority").isNull(), F.col("priority")).otherwise(F.greatest(F.lit(1), F.least(F.lit(9), F.col("_priority"))))}).drop("_role", "_priority")
     present = layers.select(*key, F.lit(True).alias("_there")).distinct()
     judged = corrections.join(present, key, "left")
     reason = F.when(F.col("_there").isNull(), "no such layer").when(~F.col("new_role").isin(*roles), "no such role")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .layout import calculate_layout, few
 
 
 def fit_plan(pairs: DataFrame) -> DataFrame:
@@ -13,6 +14,44 @@ def fit_plan(pairs: DataFrame) -> DataFrame:
     return E.extend(pairs, E.FIT)
 
 
+def background_plan(placements: DataFrame) -> DataFrame:
+    """How the canvas of each design and target is filled by the first background, if any."""
+    first = F.min(F.when(F.expr(E.IS_BACKGROUND), F.struct("k", "element_id", F.col("width").alias("w"), F.col("height").alias("h"), "has_image")))
+    out = placements.groupBy("design_id", "seq", "target_name", "target_w", "target_h").agg(first.alias("b"))
+    out = out.select("*", F.col("b.k").alias("bg_k"), F.col("b.element_id").alias("element_id"), F.col("b.w").alias("bg_w"), F.col("b.h").alias("bg_h"), F.col("b.has_image").alias("bg_image")).drop("b")
+    return E.extend(out, E.BACKGROUND)
+
+
+def overlay_plan(placements: DataFrame) -> DataFrame:
+    """The overlays drawn over the first background, stretched to the canvas, in list order."""
+    return draw_plan(placements).where("kind = 'overlay'")
+
+
+def compose_plan(layers: DataFrame, targets: DataFrame) -> DataFrame:
+    """Steps of every design and target: one fitted image for a flat source, else the draw plan.
+
+    A source is flat if it has one layer and that is of source_type flat_image.
+    """
+    flat = F.expr("n = 1 AND source_type = 'flat_image'")
+    t = targets.select("seq", F.col("name").alias("target_name"), F.col("width").alias("target_w"), F.col("height").alias("target_h"))
+    one = layers.where(flat).select("design_id", "k", "element_id", F.col("canvas_w").alias("src_w"), F.col("canvas_h").alias("src_h"), "opacity")
+    fits = fit_plan(one.crossJoin(F.broadcast(t) if few(t) else t).withColumn("mode", F.lit("smart")))  # each design on each target is the result
+    box = lambda cover, contain, blank: F.when(F.col("plan") == "blank", blank).when(F.col("plan") == "cover", cover).otherwise(contain).cast("int")
+    fits = fits.select(
+        "design_id", "seq", "target_name", F.lit(0).alias("step"), F.col("plan").alias("kind"), "k", "element_id",
+        box(-F.col("crop_x"), F.col("off_x"), F.lit(0)).alias("x"), box(-F.col("crop_y"), F.col("off_y"), F.lit(0)).alias("y"),
+        box(F.col("cover_w"), F.col("contain_w"), F.col("target_w")).alias("w"), box(F.col("cover_h"), F.col("contain_h"), F.col("target_h")).alias("h"), "opacity",
+    )
+    return draw_plan(calculate_layout(layers.where(~flat), targets)).unionByName(fits)
+
+
+def batch_relayout(layers: DataFrame, targets: DataFrame) -> DataFrame:
+    """For every design and target name (the latest of a name counts): layers placed, visible and drawn."""
+    named = targets.groupBy("name").agg(F.max_by(F.struct("seq", "width", "height"), "seq").alias("_latest")).select("name", "_latest.*")
+    planned = _planned(calculate_layout(layers, named))
+    return planned.select("design_id", "seq", "target_name", F.size("steps").alias("n_placed"), F.size(F.filter("steps", lambda s: s["visible"])).alias("n_visible"), F.size("plan").alias("n_drawn"))
+
+
 def draw_plan(placements: DataFrame) -> DataFrame:
     """Draw steps of each design and target, one row a step, in drawing order.
 
@@ -21,6 +60,13 @@ def draw_plan(placements: DataFrame) -> DataFrame:
     with an image and a size, by z_index.  All from rows of one design, so the groups
     stay small.
     """
+    steps = F.transform("plan", lambda s: F.struct(s["z"].alias("z"), s["k"].alias("k"), s.alias("s")))
+    key = ["design_id", "seq", "target_name"]
+    return _planned(placements).select(*key, F.posexplode(F.array_sort(steps)).alias("step", "o")).select(*key, "step", "o.s.*").drop("z")
+
+
+def _planned(placements: DataFrame) -> DataFrame:
+    """One row a design and target with its layers (steps) and what is drawn of them (plan)."""
     p = placements.withColumn("is_bg", F.expr(E.IS_BACKGROUND))
     key = ["design_id", "seq", "target_name"]
     step = F.struct(
@@ -63,6 +109,4 @@ def draw_plan(placements: DataFrame) -> DataFrame:
         lambda s: content("content", s["z_index"].cast("int"), s, own(s)),
     )
     none = F.expr("cast(array() as array<struct<kind:string,z:int,k:int,element_id:string,x:int,y:int,w:int,h:int,opacity:double>>)")
-    rows = rows.withColumn("plan", F.concat(F.coalesce(backs, none), F.coalesce(overs, none), F.coalesce(fronts, none)))
-    steps = F.transform("plan", lambda s: F.struct(s["z"].alias("z"), s["k"].alias("k"), s.alias("s")))
-    return rows.select(*key, F.posexplode(F.array_sort(steps)).alias("step", "o")).select(*key, "step", "o.s.*").drop("z")
+    return rows.withColumn("plan", F.concat(F.coalesce(backs, none), F.coalesce(overs, none), F.coalesce(fronts, none)))

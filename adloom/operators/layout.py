@@ -9,6 +9,15 @@ from .. import catalogs
 from ..functions import expressions as E
 
 
+#: Targets beyond which they are not broadcast.
+MAX_BROADCAST = 10_000
+
+
+def few(df: DataFrame, rows: int = MAX_BROADCAST) -> bool:
+    """Has it at most so many rows?  Reads no more than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def validate_targets(targets: DataFrame) -> DataFrame:
     """reason: the first rule that a target breaks, or null."""
     return targets.withColumn("reason", F.expr(E.TARGET_REASON))
@@ -60,7 +69,8 @@ def calculate_layout(layers: DataFrame, targets: DataFrame) -> DataFrame:
     """Placement of every layer on every target (seq, name, width, height).
 
     Ranks are made once a template, not once a target; one shuffle by design serves
-    the windows, and targets and zone rectangles (a few rows each) are broadcast.
+    the windows.  Targets and their zone rectangles (four a target at most) are broadcast
+    if there are few; else the planner picks the joins.
     """
     have = layers.columns
     defaults = {"min_scale": F.lit(0.3), "max_scale": F.lit(2.0), "maintain_aspect": F.lit(True)}
@@ -68,9 +78,10 @@ def calculate_layout(layers: DataFrame, targets: DataFrame) -> DataFrame:
     targets = with_template(targets)
     ranked = ranked_by_template(layers.repartition("design_id"), list(catalogs.TEMPLATES))
     t = targets.select("seq", F.col("name").alias("target_name"), F.col("width").alias("target_w"), F.col("height").alias("target_h"), "template")
-    placed = ranked.join(F.broadcast(t), "template").withColumn("zone", F.when(F.col("section") == 1, F.col("zone")))
+    side = F.broadcast if few(t) else lambda df: df
+    placed = ranked.join(side(t), "template").withColumn("zone", F.when(F.col("section") == 1, F.col("zone")))
     rects = zone_rects(targets).drop("template", "zone_no")
-    placed = E.extend(placed.join(F.broadcast(rects), ["seq", "zone"], "left"), E.PLACE)
+    placed = E.extend(placed.join(side(rects), ["seq", "zone"], "left"), E.PLACE)
     return placed.withColumns({c: F.col(c).cast("int") for c in ("new_x", "new_y", "new_w", "new_h")}).drop("visible").withColumnRenamed("visible_out", "visible")
 
 

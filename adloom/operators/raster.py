@@ -35,7 +35,7 @@ def gamma_encode(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({c: _curve(F.col(c), 1 / catalogs.GAMMA) for c in CHANNELS})
 
 
-def lanczos_weights(spark: SparkSession, src: int, dst: int, taps: int = 3) -> DataFrame:
+def lanczos_rows(src: int, dst: int, taps: int = 3) -> list[tuple[int, int, float]]:
     """(dst, src, weight) of one axis, each dst's weights adding up to one; size * taps rows."""
     rows = []
     scale = src / dst
@@ -46,7 +46,11 @@ def lanczos_weights(spark: SparkSession, src: int, dst: int, taps: int = 3) -> D
         value = [(j, _lanczos((j + 0.5 - centre) / wide, taps)) for j in near]
         total = sum(w for _, w in value)
         rows += [(i, j, w / total) for j, w in value if w]
-    return spark.createDataFrame(rows, "dst int, src int, weight double")
+    return rows
+
+
+def lanczos_weights(spark: SparkSession, src: int, dst: int) -> DataFrame:
+    return spark.createDataFrame(lanczos_rows(src, dst), "dst int, src int, weight double")
 
 
 def _lanczos(x: float, taps: int) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import catalogs
 from ..functions import expressions as E
-from ..operators.raster import gaussian_weights
+from ..operators.raster import gaussian_weights, lanczos_rows
 from ..sources import fixtures
 from ..sources.design import EXTENSIONS
 
@@ -54,6 +54,8 @@ placed AS (SELECT * EXCLUDE (visible, visible_out, new_x, new_y, new_w, new_h),
 _PAIRS = f"""{_TARGETS}, designs AS (SELECT DISTINCT design_id, canvas_w, canvas_h FROM ({fixtures.LAYERS_RAW}))"""
 _FIT = f"""{_PAIRS}, fit AS ({steps("SELECT design_id, canvas_w AS src_w, canvas_h AS src_h, seq, width AS target_w, height AS target_h, CASE seq WHEN 11 THEN 'cover' WHEN 12 THEN 'contain' ELSE 'smart' END AS mode FROM designs CROSS JOIN valid", E.FIT)})"""
 _PIXELS = f"pixels AS ({fixtures.PIXELS.replace('GET(', 'list_extract(')})"
+_PROBS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT a.vec_id, p.vec_id AS prompt, 100 * list_inner_product(a.e, p.e) AS l FROM v a JOIN v p ON p.vec_id < 15), m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY vec_id)) AS x FROM l), s AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS prob FROM m)"
+_SHARED = [[*z[5], "photo", "cta"] for z in catalogs.TEMPLATES["square"][2]]
 _EXT = "regexp_extract(lower(@), '[.]([^./]+)$', 1)"
 _KIND = "CASE WHEN extension = 'psd' THEN 'layered' WHEN extension IN ('png', 'jpg', 'jpeg', 'webp') THEN 'flat_image' END AS source_type, CASE WHEN extension = '' THEN 'no extension' WHEN extension NOT IN ('psd', 'png', 'jpg', 'jpeg', 'webp') THEN 'unsupported extension' END AS reason"
 
@@ -69,6 +71,10 @@ def _frame(w: int, h: int) -> str:
 _WIDE = f"{_frame(14, 12)}, wide AS (SELECT f.image_id, f.y, f.x, r, g, b, a FROM frame f JOIN pixels p ON p.image_id = f.image_id AND p.y = least(greatest(f.y - 2, 0), 7) AND p.x = least(greatest(f.x - 3, 0), 7))"
 
 
+def _lanczos(src: int, dst: int) -> str:
+    return ", ".join(f"({d}, {s}, {w!r}::DOUBLE)" for d, s, w in lanczos_rows(src, dst))
+
+
 def _weights(radius: float) -> str:
     return "g(d, w) AS (VALUES " + ", ".join(f"({d}, {w!r}::DOUBLE)" for d, w in gaussian_weights(radius)) + ")"
 
@@ -78,6 +84,14 @@ def _blurred(size: int, axis: str, other: str, src: str) -> str:
     return f"SELECT p.image_id, p.{other}, i.i::INT AS {axis}, {sums} FROM range({size}) i(i) CROSS JOIN g JOIN {src} p ON p.{axis} = least(greatest(i.i + g.d, 0), {size - 1}) GROUP BY ALL"
 
 
+def _drawn(where: str = "") -> str:
+    return f"""SELECT design_id, seq, target_name, (row_number() OVER (PARTITION BY design_id, seq ORDER BY z, k) - 1)::INT AS step, kind, k, element_id, x, y, w, h, round(opacity, 6) AS opacity FROM (
+ SELECT design_id, seq, target_name, k, element_id, opacity, CASE WHEN NOT bg THEN 'content' WHEN k = fk THEN 'background' ELSE 'overlay' END AS kind, CASE WHEN NOT bg THEN z_index WHEN k = fk THEN -2 ELSE -1 END AS z,
+  CASE WHEN bg THEN 0 ELSE new_x END AS x, CASE WHEN bg THEN 0 ELSE new_y END AS y, CASE WHEN bg THEN target_w ELSE new_w END AS w, CASE WHEN bg THEN target_h ELSE new_h END AS h FROM (
+  SELECT *, {E.IS_BACKGROUND} AS bg, min(CASE WHEN {E.IS_BACKGROUND} THEN k END) OVER o AS fk, arg_min(has_image, k) FILTER ({E.IS_BACKGROUND}) OVER o AS fi FROM placed {where} WINDOW o AS (PARTITION BY design_id, seq))
+ WHERE (NOT bg AND visible AND has_image AND new_w > 0 AND new_h > 0) OR (bg AND fi AND (k = fk OR (role = 'overlay' AND has_image))))"""
+
+
 def _lut(power: float) -> str:
     return "[" + ", ".join(str(int(255 * (v / 255) ** power)) for v in range(256)) + "]"
 
@@ -114,12 +128,30 @@ def oracle_sql() -> dict[str, str]:
         "p5_name_role": raw(f"SELECT design_id, ordinal, {E.NAME_ROLE} AS name_role FROM layers_raw"),
         "p6_priority_suffix": raw(f"SELECT design_id, ordinal, {E.SUFFIX} AS suffix FROM layers_raw"),
         "p8_geometry_role": raw(f"SELECT design_id, ordinal, {E.GEOMETRY_ROLE} AS geometry_role FROM ({steps('SELECT * FROM layers_raw', E.CLASSIFY[:1])})"),
-        "p9_embedding_role": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT a.vec_id, p.vec_id AS prompt, 100 * list_inner_product(a.e, p.e) AS l FROM v a JOIN v p ON p.vec_id < 15), m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY vec_id)) AS x FROM l), s AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS prob FROM m) SELECT vec_id, CASE WHEN max(prob) >= 0.7 THEN {catalogs.PROMPT_ROLES}[arg_max(prompt, prob) + 1] END AS role, round(max(prob), 4) AS prob FROM s GROUP BY vec_id",
+        "p9_embedding_role": f"WITH {_PROBS} SELECT vec_id, CASE WHEN max(prob) >= 0.7 THEN {catalogs.PROMPT_ROLES}[arg_max(prompt, prob) + 1] END AS role, round(max(prob), 4) AS prob FROM s GROUP BY vec_id",
+        "p10_classify_with_embedding": f"WITH RECURSIVE {_TREE}, {_PROBS}, e AS (SELECT vec_id, CASE WHEN max(prob) >= 0.7 THEN {catalogs.PROMPT_ROLES}[arg_max(prompt, prob) + 1] END AS embedding_role FROM s GROUP BY vec_id) SELECT design_id, ordinal, role, priority, embedding_role FROM ({steps('SELECT f.*, e.embedding_role FROM flat f LEFT JOIN e ON e.vec_id = f.design_id * 8 + f.ordinal AND f.ordinal < 8', E.CLASSIFY_WITH_EMBEDDING)})",
+        "w4_softmax": f"WITH {_PROBS} SELECT vec_id, prompt::INT AS prompt, round(prob, 4) AS prob FROM s",
+        "t4_best_prompt": f"WITH {_PROBS} SELECT vec_id, {catalogs.PROMPT_ROLES}[arg_max(prompt, prob) + 1] AS role FROM s GROUP BY vec_id",
+        "s4_read_layers": raw("SELECT design_id, ordinal, canvas_w, canvas_h, name, layer_type, x, y, width, height, visible, opacity_u8, text_content, has_image, parent_ordinal FROM layers_raw"),
+        "p7_group_first": raw(f"SELECT design_id, ordinal, role, priority, suffix FROM ({steps('SELECT * FROM layers_raw', E.CLASSIFY)}) WHERE layer_type = 'group'"),
+        "p11_cap_priority": role(f"SELECT design_id, ordinal, coalesce(suffix, 5) AS own_priority, {E.ROLE_CAP} AS cap, priority FROM classified"),
+        "j2_priority_overrides": f"WITH RECURSIVE {_CLASSIFIED}, {first_latest} SELECT c.design_id, c.ordinal, c.priority AS old_priority, greatest(1, least(9, np)) AS priority FROM classified c JOIN latest l ON l.design_id = c.design_id AND l.ordinal = c.ordinal WHERE np IS NOT NULL AND greatest(1, least(9, np)) <> c.priority",
+        "j7_placement_lookup": place("SELECT c.design_id, c.element_id, c.z_index, c.has_image, c.role, p.seq, new_x, new_y, new_w, new_h FROM classified c JOIN placed p ON p.design_id = c.design_id AND p.element_id = c.element_id WHERE p.visible"),
+        "u1_sections": place("SELECT seq, target_name, section, count(*) AS n, count(*) FILTER (visible) AS n_visible FROM placed GROUP BY ALL"),
+        "u2_all_targets": f"WITH p(seq, name, label, width, height) AS (VALUES {labels}), t AS (SELECT name, width, height FROM p UNION ALL SELECT 'Own ' || o_orderkey, (o_orderkey % 4200)::INT, trunc((o_custkey % 29) / 2.0::DOUBLE)::INT FROM orders WHERE o_orderkey % 4200 > 0 AND o_custkey % 29 > 0) SELECT name, width, height, {E.TARGET_REASON} AS reason FROM t",
+        "t1_content_order": role(f"SELECT design_id, k, priority, width::BIGINT * height AS area, row_number() OVER (PARTITION BY design_id ORDER BY priority, width::BIGINT * height DESC, k)::INT AS place FROM classified WHERE NOT {E.IS_BACKGROUND}"),
+        "t3_draw_order": role(f"SELECT design_id, (row_number() OVER (PARTITION BY design_id ORDER BY z_index, k) - 1)::INT AS place, z_index, k, element_id FROM classified WHERE NOT {E.IS_BACKGROUND}"),
+        "t5_result_order": rank("SELECT design_id, template, result_pos, section, k FROM ranked"),
+        "w2_assign_general": f"""WITH RECURSIVE {_CLASSIFIED}, ordered AS (SELECT design_id, k, role, row_number() OVER (PARTITION BY design_id ORDER BY priority, width::BIGINT * height DESC, k) AS i FROM classified WHERE NOT {E.IS_BACKGROUND}),
+ walk AS (SELECT DISTINCT design_id, 0::BIGINT AS i, [0, 0, 0, 0] AS held, NULL::INT AS k, NULL::BIGINT AS z FROM ordered UNION ALL
+  SELECT design_id, i, CASE WHEN z IS NULL THEN held ELSE list_transform([1, 2, 3, 4], lambda j: held[j] + (j = z)::INT) END, k, z FROM (
+   SELECT o.design_id, o.i, o.k, w.held, list_filter([1::BIGINT, 2, 3, 4], lambda j: list_contains({_SHARED}[j], o.role) AND w.held[j] < 2)[1] AS z FROM walk w JOIN ordered o ON o.design_id = w.design_id AND o.i = w.i + 1))
+ SELECT design_id, k, {[z[0] for z in catalogs.TEMPLATES["square"][2]]}[z] AS zone FROM walk WHERE z IS NOT NULL""",
         "p10_classify": role("SELECT design_id, ordinal, role, priority FROM classified"),
         "p12_text_preview": raw(f"SELECT design_id, ordinal, {E.TEXT_PREVIEW} AS preview FROM layers_raw"),
         "p13_annotations": role(f"SELECT design_id, k, x, y, x2, y2, r, g, b, outline, label, label_x, label_y FROM ({steps('SELECT * FROM classified WHERE role <> $$background$$', E.GEOMETRY + E.ANNOTATE)})"),
         "p14_preview_base": role("SELECT design_id, canvas_w, canvas_h, (b).element_id AS element_id, b IS NOT NULL AND ((b).width <> canvas_w OR (b).height <> canvas_h) AS resized, CASE WHEN b IS NULL THEN 240 END AS grey FROM (SELECT design_id, canvas_w, canvas_h, min({k: k, element_id: element_id, width: width, height: height}) FILTER (role = 'background' AND has_image) AS b FROM classified GROUP BY ALL)"),
-        "j1_overrides": f"WITH RECURSIVE {_CLASSIFIED}, {first_latest} SELECT c.design_id, c.ordinal, coalesce(nr, role) AS role, coalesce(greatest(1, least(9, np)), priority) AS priority FROM classified c LEFT JOIN latest l ON l.design_id = c.design_id AND l.ordinal = c.ordinal",
+        "j1_overrides": f"WITH RECURSIVE {_CLASSIFIED}, {first_latest} SELECT c.design_id, c.ordinal, coalesce(nr, role) AS role, CASE WHEN np IS NULL THEN priority ELSE greatest(1, least(9, np)) END AS priority FROM classified c LEFT JOIN latest l ON l.design_id = c.design_id AND l.ordinal = c.ordinal",
         "j1_rejected_overrides": f"WITH RECURSIVE {_CLASSIFIED}, {first_latest} SELECT * FROM (SELECT r.design_id, r.ordinal, seq, new_role, CASE WHEN c.design_id IS NULL THEN 'no such layer' WHEN new_role NOT IN ({roles}) THEN 'no such role' END AS reason FROM corr r LEFT JOIN classified c ON c.design_id = r.design_id AND c.ordinal = r.ordinal) WHERE reason IS NOT NULL",
         "j3_resolve_targets": f"WITH p(seq, name, label, width, height) AS (VALUES {labels}) SELECT name, width, height, count(*) AS n FROM (SELECT name, width, height FROM orders JOIN p ON p.seq = o_orderkey % 12 + 1 UNION ALL SELECT CASE WHEN o_orderkey % 3 <> 0 THEN 'Own ' || o_orderkey ELSE 'Custom' END, (o_orderkey % 3000 - 100)::INT, trunc((o_orderkey % 41) / 2.0::DOUBLE)::INT FROM orders WHERE o_orderkey % 3000 > 100 AND o_orderkey % 41 > 0) GROUP BY ALL",
         "j4_pairs": f"WITH {_PAIRS} SELECT design_id, seq, name, width, height FROM designs CROSS JOIN valid",
@@ -128,6 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "w1_assign_zones": rank("SELECT design_id, template, zone, rank, k FROM ranked WHERE section = 1"),
         "j8_unassigned": rank("SELECT design_id, template, k, result_pos FROM ranked WHERE section = 2"),
         "l2_zone_rects": f"WITH {_SIZES}, {_ZONES}, {_ASPECTS} SELECT seq, template, zone, zone_no, {_ints('zx zy zw zh')} FROM ({_rects('sizes')})",
+        **{q: place(f"SELECT design_id, element_id, k, seq, target_name, section, zone, result_pos, new_x, new_y, new_w, new_h, scale_factor, visible FROM placed WHERE section = {i}") for q, i in (("l1_place_background", 0), ("l3_place_in_zone", 1), ("l4_place_fallback", 2))},
         "l5_layout": place("SELECT design_id, element_id, k, seq, target_name, section, zone, result_pos, new_x, new_y, new_w, new_h, scale_factor, visible FROM placed"),
         "a1_summary": role(f"SELECT design_id, canvas_w, canvas_h, n::BIGINT AS n_layers, k AS pos, element_id, role, priority, x, has_image, {E.TEXT_PREVIEW} AS text FROM classified"),
         "a2_zone_occupancy": rank("SELECT design_id, template, zone, count(*) AS n FROM ranked WHERE section = 1 GROUP BY ALL"),
@@ -143,12 +176,25 @@ def oracle_sql() -> dict[str, str]:
         "f6_strips": fit(f"SELECT design_id, seq, {_ints('strip_top strip_bottom strip_left strip_right')}, corner_tl, corner_tr, corner_bl, corner_br FROM fit"),
         "f7_fit_plan": fit("SELECT design_id, seq, plan, generated::BIGINT AS generated FROM fit"),
         "c1_flat_source": raw("SELECT design_id, count(*) = 1 AND design_id % 2 = 0 AS is_flat FROM layers_raw GROUP BY design_id"),
-        "c4_draw_plan": place(f"""SELECT design_id, seq, target_name, (row_number() OVER (PARTITION BY design_id, seq ORDER BY z, k) - 1)::INT AS step, kind, k, element_id, x, y, w, h, round(opacity, 6) AS opacity FROM (
- SELECT design_id, seq, target_name, k, element_id, opacity, CASE WHEN NOT bg THEN 'content' WHEN k = fk THEN 'background' ELSE 'overlay' END AS kind, CASE WHEN NOT bg THEN z_index WHEN k = fk THEN -2 ELSE -1 END AS z,
-  CASE WHEN bg THEN 0 ELSE new_x END AS x, CASE WHEN bg THEN 0 ELSE new_y END AS y, CASE WHEN bg THEN target_w ELSE new_w END AS w, CASE WHEN bg THEN target_h ELSE new_h END AS h FROM (
-  SELECT *, {E.IS_BACKGROUND} AS bg, min(CASE WHEN {E.IS_BACKGROUND} THEN k END) OVER o AS fk, arg_min(has_image, k) FILTER ({E.IS_BACKGROUND}) OVER o AS fi FROM placed WINDOW o AS (PARTITION BY design_id, seq))
- WHERE (NOT bg AND visible AND has_image AND new_w > 0 AND new_h > 0) OR (bg AND fi AND (k = fk OR (role = 'overlay' AND has_image))))"""),
+        "c2_background_plan": place(f"""SELECT design_id, seq, mode, element_id, {_ints('scaled_w scaled_h crop_x crop_y')}, filled::BIGINT AS filled FROM ({steps(f"SELECT design_id, seq, target_w, target_h, min(k) FILTER ({E.IS_BACKGROUND}) AS bg_k, arg_min(element_id, k) FILTER ({E.IS_BACKGROUND}) AS element_id, arg_min(width, k) FILTER ({E.IS_BACKGROUND}) AS bg_w, arg_min(height, k) FILTER ({E.IS_BACKGROUND}) AS bg_h, arg_min(has_image, k) FILTER ({E.IS_BACKGROUND}) AS bg_image FROM placed GROUP BY ALL", E.BACKGROUND)})"""),
+        "c3_overlay_plan": place(f"SELECT design_id, seq, step, k, element_id, x, y, w, h FROM ({_drawn()}) WHERE kind = 'overlay'"),
+        "c4_draw_plan": place(_drawn()),
+        "c5_compose_plan": place(f"""{_drawn("WHERE NOT (n = 1 AND design_id % 2 = 0)")} UNION ALL SELECT design_id, seq, target_name, 0, plan, k, element_id,
+ CASE plan WHEN 'blank' THEN 0 WHEN 'cover' THEN -crop_x ELSE off_x END::INT, CASE plan WHEN 'blank' THEN 0 WHEN 'cover' THEN -crop_y ELSE off_y END::INT,
+ CASE plan WHEN 'blank' THEN target_w WHEN 'cover' THEN cover_w ELSE contain_w END::INT, CASE plan WHEN 'blank' THEN target_h WHEN 'cover' THEN cover_h ELSE contain_h END::INT, round(opacity, 6) FROM (
+ {steps("SELECT design_id, seq, t.name AS target_name, k, element_id, opacity, canvas_w AS src_w, canvas_h AS src_h, t.width AS target_w, t.height AS target_h, 'smart' AS mode FROM classified CROSS JOIN chosen t WHERE n = 1 AND design_id % 2 = 0", E.FIT)})"""),
+        "b1_batch_relayout": place(f"""SELECT p.design_id, p.seq, p.target_name, n_placed, n_visible, coalesce(n_drawn, 0)::INT AS n_drawn FROM (SELECT design_id, seq, target_name, count(*)::INT AS n_placed, count(*) FILTER (visible)::INT AS n_visible FROM placed GROUP BY ALL) p
+ LEFT JOIN (SELECT design_id, seq, count(*) AS n_drawn FROM ({_drawn()}) GROUP BY ALL) d USING (design_id, seq)""").replace("FROM valid WHERE seq <= 10", "FROM valid WHERE seq <> 10"),
         "r1_gamma": px("SELECT image_id, y, x, " + ", ".join(f"({_lut(1 / 2.2)})[({_lut(2.2)})[{c} + 1] + 1]::INT AS {c}" for c in "rgb") + ", a FROM pixels"),
+        "r2_resample": px(f""", wx(d, s, w) AS (VALUES {_lanczos(8, 5)}), wy(d, s, w) AS (VALUES {_lanczos(8, 11)}),
+ lin AS (SELECT image_id, y, x, {", ".join(f"({_lut(2.2)})[{c} + 1] * a / 255.0::DOUBLE AS {c}" for c in "rgb")}, a FROM pixels),
+ hx AS (SELECT image_id, y, d AS x, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM lin JOIN wx ON x = s GROUP BY ALL), hy AS (SELECT image_id, d AS y, x, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM hx JOIN wy ON y = s GROUP BY ALL)
+ SELECT image_id, y, x, {", ".join(f"({_lut(1 / 2.2)})[CASE WHEN a > 0 THEN least(255, greatest(0, round({c} * 255.0::DOUBLE / a)::INT)) ELSE 0 END + 1]::INT AS {c}" for c in "rgb")}, least(255, greatest(0, round(a)::INT)) AS a FROM hy"""),
+        "r14_render": px(f""", {_frame(6, 6)}, p AS (SELECT *, 255 AS r, 255 AS g, 255 AS b, 255 AS a FROM frame),
+ c1 AS (SELECT p.image_id, p.y, p.x, {pasted('r')}, {pasted('g')}, {pasted('b')}, {pasted('a')} FROM p LEFT JOIN pixels s ON s.image_id = p.image_id AND s.y = p.y + 1 AND s.x = p.x + 1),
+ o AS (SELECT c1.*, s.r AS sr, s.g AS sg, s.b AS sb, trunc(s.a * 0.5::DOUBLE)::INT AS sa FROM c1 JOIN pixels s ON s.image_id = c1.image_id AND s.y = c1.y + 2 AND s.x = c1.x + 2), q AS (SELECT *, sa * 255 + a * (255 - sa) AS al FROM o),
+ c2 AS (SELECT image_id, y, x, {overlaid('r')}, {overlaid('g')}, {overlaid('b')}, floor(al / 255 + 0.5::DOUBLE)::INT AS a FROM q)
+ SELECT p.image_id, p.y, p.x, {pasted('r')}, {pasted('g')}, {pasted('b')} FROM c2 p LEFT JOIN pixels s ON s.image_id = p.image_id AND s.y = p.y - 3 AND s.x = p.x - 3"""),
         "r3_crop": px(f", {_frame(7, 6)} SELECT f.image_id, f.y, f.x, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in "rgba") + " FROM frame f LEFT JOIN pixels p ON p.image_id = f.image_id AND p.y = f.y - 1 AND p.x = f.x + 2"),
         "r4_extend_edges": px(f", {_WIDE} SELECT * FROM wide"),
         "r5_blur": px(f", {_WIDE}, {_weights(3)}, bx AS ({_blurred(14, 'x', 'y', 'wide')}), bxy AS ({_blurred(12, 'y', 'x', 'bx')}) SELECT w.image_id, w.y, w.x, " + ", ".join(f"CASE WHEN w.x >= 3 AND w.x < 11 AND w.y >= 2 AND w.y < 10 THEN w.{c} ELSE round(s.{c})::INT END AS {c}" for c in "rgba") + " FROM wide w JOIN bxy s USING (image_id, y, x)"),

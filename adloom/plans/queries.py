@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import catalogs
@@ -57,6 +57,15 @@ def s2_route_format(spark, sf_dir):
     return design.judge_files(names, "file").select("p_partkey", "extension", "source_type", "reason")
 
 
+def s4_read_layers(spark, sf_dir):
+    """Layers of designs that come as one document each."""
+    raw = fixtures.layers_raw(spark, sf_dir)
+    inner = [c for c in raw.columns if c not in ("design_id", "ordinal", "canvas_w", "canvas_h")]
+    listed = F.sort_array(F.collect_list(F.struct("ordinal", F.struct(*inner).alias("layer"))))
+    documents = raw.groupBy("design_id", "canvas_w", "canvas_h").agg(F.transform(listed, lambda s: s["layer"]).alias("layers"))
+    return design.layers_of_documents(documents).select("design_id", "ordinal", "canvas_w", "canvas_h", *inner)
+
+
 def s5_flatten_tree(spark, sf_dir):
     return design.flatten_layer_tree(fixtures.layers_raw(spark, sf_dir)).select("design_id", "ordinal", "k", "n", "name", "layer_type", "x", "y", "width", "height")
 
@@ -116,6 +125,12 @@ def p6_priority_suffix(spark, sf_dir):
     return fixtures.layers_raw(spark, sf_dir).select("design_id", "ordinal", F.expr(E.SUFFIX).alias("suffix"))
 
 
+def p7_group_first(spark, sf_dir):
+    """Groups keep their role and take no suffix, whatever their names."""
+    groups = C.classify(fixtures.layers_raw(spark, sf_dir)).where("layer_type = 'group'")
+    return groups.select("design_id", "ordinal", "role", "priority", "suffix")
+
+
 def p8_geometry_role(spark, sf_dir):
     return E.extend(fixtures.layers_raw(spark, sf_dir), E.CLASSIFY[:1]).select("design_id", "ordinal", F.expr(E.GEOMETRY_ROLE).alias("geometry_role"))
 
@@ -130,6 +145,20 @@ def p10_classify(spark, sf_dir):
     return flat_layers(spark, sf_dir).select("design_id", "ordinal", "role", "priority")
 
 
+def p10_classify_with_embedding(spark, sf_dir):
+    """The cascade with vectors of some layers (vec_id = design_id * 8 + ordinal)."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    prompts = e.where("vec_id < 15").select(F.col("vec_id").cast("int").alias("prompt"), "embedding")
+    vectors = e.select(F.expr("vec_id div 8").alias("design_id"), F.expr("CAST(vec_id % 8 AS INT)").alias("ordinal"), "embedding")
+    layers = design.flatten_layer_tree(fixtures.layers_raw(spark, sf_dir))
+    return C.classify_with_embedding(layers, vectors, prompts).select("design_id", "ordinal", "role", "priority", "embedding_role")
+
+
+def p11_cap_priority(spark, sf_dir):
+    layers = flat_layers(spark, sf_dir)
+    return layers.select("design_id", "ordinal", F.coalesce("suffix", F.lit(5)).alias("own_priority"), F.expr(E.ROLE_CAP).alias("cap"), "priority")
+
+
 def p12_text_preview(spark, sf_dir):
     return fixtures.layers_raw(spark, sf_dir).select("design_id", "ordinal", F.expr(E.TEXT_PREVIEW).alias("preview"))
 
@@ -151,6 +180,13 @@ def j1_rejected_overrides(spark, sf_dir):
     return C.apply_overrides(flat_layers(spark, sf_dir), fixtures.corrections(spark, sf_dir))[1].select("design_id", "ordinal", "seq", "new_role", "reason")
 
 
+def j2_priority_overrides(spark, sf_dir):
+    """Layers whose priority a correction changes, with both values."""
+    before = flat_layers(spark, sf_dir).withColumn("old_priority", F.col("priority"))
+    after, _ = C.apply_overrides(before, fixtures.corrections(spark, sf_dir))
+    return after.where("priority <> old_priority").select("design_id", "ordinal", "old_priority", "priority")
+
+
 def j3_resolve_targets(spark, sf_dir):
     p = catalogs.presets(spark)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -184,6 +220,13 @@ def w2_assign_general(spark, sf_dir):
     return layout.assign_zones_general(flat_layers(spark, sf_dir).where(f"NOT {E.IS_BACKGROUND}"), both)
 
 
+def j7_placement_lookup(spark, sf_dir):
+    """Layers joined to stored placements by id; what was not placed (here: fallback layers held back) is not drawn."""
+    placed = placements(spark, sf_dir).where("visible").select("design_id", "element_id", "seq", "new_x", "new_y", "new_w", "new_h")
+    layers = flat_layers(spark, sf_dir).select("design_id", "element_id", "z_index", "has_image", "role")
+    return layers.join(placed, ["design_id", "element_id"])
+
+
 def j8_unassigned(spark, sf_dir):
     ranked = layout.ranked_by_template(flat_layers(spark, sf_dir), list(catalogs.TEMPLATES))
     return ranked.where("section = 2").select("design_id", "template", "k", "result_pos")
@@ -194,10 +237,41 @@ def l2_zone_rects(spark, sf_dir):
     return layout.zone_rects(layout.with_template(sizes))
 
 
+def l1_place_background(spark, sf_dir):
+    return placements(spark, sf_dir).where("section = 0").select(*PLACED)
+
+
+def l3_place_in_zone(spark, sf_dir):
+    return placements(spark, sf_dir).where("section = 1").select(*PLACED)
+
+
+def l4_place_fallback(spark, sf_dir):
+    return placements(spark, sf_dir).where("section = 2").select(*PLACED)
+
+
 def l5_layout(spark, sf_dir):
     return placements(spark, sf_dir).select(*PLACED)
 
 
+def u1_sections(spark, sf_dir):
+    """The three branches of the placements, counted by target."""
+    return placements(spark, sf_dir).groupBy("seq", "target_name", "section").agg(F.count("*").alias("n"), F.count_if("visible").alias("n_visible"))
+
+
+def u2_all_targets(spark, sf_dir):
+    """Presets and custom sizes together, judged."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    p = catalogs.presets(spark)
+    custom = orders.select(F.concat(F.lit("Own "), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") % 4200).cast("double").alias("width"), (F.col("o_custkey") % 29 / F.lit(2.0)).alias("height"))
+    return layout.validate_targets(layout.resolve_targets(p, p.select("label"), custom)).select("name", "width", "height", "reason")
+
+
+def w4_softmax(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    prompts = e.where("vec_id < 15").select(F.col("vec_id").cast("int").alias("prompt"), "embedding")
+    return C.prompt_probabilities(e, prompts).select("vec_id", "prompt", F.round("prob", 4).alias("prob"))
+
+
 def a1_summary(spark, sf_dir):
     s = report.design_summary(flat_layers(spark, sf_dir))
     return s.select("design_id", "canvas_w", "canvas_h", "n_layers", F.posexplode("elements").alias("pos", "e")).select("design_id", "canvas_w", "canvas_h", "n_layers", "pos", "e.element_id", "e.role", "e.priority", "e.bbox.x", "e.has_image", "e.text")
@@ -226,10 +300,34 @@ def a6_warnings(spark, sf_dir):
     return texts.select("design_id", "target_name", F.array_join(F.transform("w", lambda s: s["w"]), "; ").alias("warnings"))
 
 
+def t1_content_order(spark, sf_dir):
+    content = flat_layers(spark, sf_dir).where(f"NOT {E.IS_BACKGROUND}").withColumn("area", F.expr("CAST(width AS BIGINT) * height"))
+    walk = Window.partitionBy("design_id").orderBy("priority", F.desc("area"), "k")
+    return content.select("design_id", "k", "priority", "area", F.row_number().over(walk).alias("place"))
+
+
 def t2_first_background(spark, sf_dir):
     return flat_layers(spark, sf_dir).where(E.IS_BACKGROUND).groupBy("design_id").agg(F.min(F.struct("k", "element_id")).alias("b")).select("design_id", "b.k", "b.element_id")
 
 
+def t3_draw_order(spark, sf_dir):
+    """Content in drawing order: z_index, then list order."""
+    listed = F.array_sort(F.collect_list(F.struct("z_index", "k", "element_id")))
+    rows = flat_layers(spark, sf_dir).where(f"NOT {E.IS_BACKGROUND}").groupBy("design_id").agg(listed.alias("o"))
+    return rows.select("design_id", F.posexplode("o").alias("place", "s")).select("design_id", "place", "s.z_index", "s.k", "s.element_id")
+
+
+def t4_best_prompt(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    prompts = e.where("vec_id < 15").select(F.col("vec_id").cast("int").alias("prompt"), "embedding")
+    return C.classify_by_embedding(e, prompts, threshold=0.0).select("vec_id", "role")
+
+
+def t5_result_order(spark, sf_dir):
+    ranked = layout.ranked_by_template(flat_layers(spark, sf_dir), list(catalogs.TEMPLATES))
+    return ranked.select("design_id", "template", "result_pos", "section", "k")
+
+
 def f1_fit_decision(spark, sf_dir):
     return _fit(spark, sf_dir).select("design_id", "seq", "mode", "use_cover")
 
@@ -259,10 +357,30 @@ def c1_flat_source(spark, sf_dir):
     return raw.groupBy("design_id").agg(((F.count("*") == 1) & (F.max("source_type") == "flat_image")).alias("is_flat"))
 
 
+def c2_background_plan(spark, sf_dir):
+    plan = compose.background_plan(placements(spark, sf_dir))
+    return _ints(plan, ["design_id", "seq", "mode", "element_id"], ["scaled_w", "scaled_h", "crop_x", "crop_y"], (F.col("filled").cast("long").alias("filled"),))
+
+
+def c3_overlay_plan(spark, sf_dir):
+    return compose.overlay_plan(placements(spark, sf_dir)).select("design_id", "seq", "step", "k", "element_id", "x", "y", "w", "h")
+
+
 def c4_draw_plan(spark, sf_dir):
     return compose.draw_plan(placements(spark, sf_dir)).select("design_id", "seq", "target_name", "step", "kind", "k", "element_id", "x", "y", "w", "h", F.round("opacity", 6).alias("opacity"))
 
 
+def c5_compose_plan(spark, sf_dir):
+    """Draw plans and, for flat sources (here: lone layers of even designs), fit plans."""
+    layers = flat_layers(spark, sf_dir).withColumn("source_type", F.when(F.col("design_id") % 2 == 0, "flat_image").otherwise("layered"))
+    plan = compose.compose_plan(layers, preset_targets(spark))
+    return plan.select("design_id", "seq", "target_name", "step", "kind", "k", "element_id", "x", "y", "w", "h", F.round("opacity", 6).alias("opacity"))
+
+
+def b1_batch_relayout(spark, sf_dir):
+    return compose.batch_relayout(flat_layers(spark, sf_dir), valid_targets(spark))
+
+
 def r1_gamma(spark, sf_dir):
     return raster.gamma_encode(raster.gamma_decode(fixtures.pixels(spark, sf_dir)))
 
@@ -336,5 +454,5 @@ def r14_render(spark, sf_dir):
 
 
 def queries() -> dict:
-    names = [n for n in globals() if n[:1] in "spjlawtfcr" and n[1:2].isdigit()]
+    names = [n for n in globals() if n[:1] in "spjlauwtfcbr" and n[1:2].isdigit()]
     return {n: globals()[n] for n in names}

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns of a layered design's rows.
+LAYERS = (
+    "design_id long, ordinal int, canvas_w int, canvas_h int, name string, layer_type string, x int, y int, width int, height int, "
+    "visible boolean, opacity_u8 int, text_content string, has_image boolean, parent_ordinal int"
+)
 EXTENSIONS = ("psd", "png", "jpg", "jpeg", "webp")
 
 
@@ -48,6 +53,16 @@ def scan_flat_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return layers, files.join(layers, "path", "left_anti").withColumn("reason", F.lit("unreadable"))
 
 
+def read_layers(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """Layer rows of stored designs, in a columnar or text format that Spark reads; missing columns are null."""
+    return spark.read.schema(LAYERS).format(format).load(path)
+
+
+def layers_of_documents(documents: DataFrame) -> DataFrame:
+    """Layer rows of one-row-a-design documents (design_id, canvas_w, canvas_h, layers); the list's order is the ordinal."""
+    return documents.select("design_id", "canvas_w", "canvas_h", F.posexplode("layers").alias("ordinal", "layer")).select("design_id", "ordinal", "canvas_w", "canvas_h", "layer.*")
+
+
 def flatten_layer_tree(layers: DataFrame) -> DataFrame:
     """Layers that are drawn, in document order, with element_id, kept ordinal k, count n and z_index.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adloom import catalogs
 from adloom.functions import expressions as E
-from adloom.operators import compose, layout, raster
+from adloom.operators import classify, compose, layout, raster
 from adloom.sources import design
 
 
@@ -103,3 +103,19 @@ def test_flat_images(spark, tmp_path):
     row = layers.collect()
     assert [(r["canvas_w"], r["canvas_h"], r["name"]) for r in row] == [(30, 20, "Source Image")]
     assert [r["path"].rsplit("/", 1)[1] for r in rejects.collect()] == ["b.png"]
+
+
+def test_overrides_leave_other_layers_alone(spark):
+    layers = spark.createDataFrame([(1, 0, "cta", 2), (1, 1, "logo", 5), (1, 2, "icon", 6)], "design_id long, ordinal int, role string, priority int")
+    rows = [(1, 0, 1, "headline", None), (1, 1, 2, "none such", 40), (1, 1, 3, "badge", -3), (2, 0, 4, "logo", 1)]
+    done, bad = classify.apply_overrides(layers, spark.createDataFrame(rows, "design_id long, ordinal int, seq long, new_role string, new_priority int"))
+    assert {r["ordinal"]: (r["role"], r["priority"]) for r in done.collect()} == {0: ("headline", 2), 1: ("badge", 1), 2: ("icon", 6)}
+    assert {(r["seq"], r["reason"]) for r in bad.collect()} == {(2, "no such role"), (4, "no such layer")}
+
+
+def test_read_layers(spark, tmp_path):
+    rows = [(1, 0, 100, 80, "logo", "pixel", 0, 0, 20, 30, True, 255, None, True, None), (1, 1, 100, 80, "cta", "type", 5, 5, 50, 20, None, None, "Buy", False, 0)]
+    df = spark.createDataFrame(rows, design.LAYERS)
+    for kind in ("parquet", "json", "orc"):
+        df.write.format(kind).save(str(tmp_path / kind))
+        assert sorted(design.read_layers(spark, str(tmp_path / kind), kind).collect()) == rows
