@@ -6,20 +6,24 @@ shingle, one of none has no shingle).  An item leaks into a document if at least
 0.8 of its distinct shingles are in the document.
 
 A whole document's Jaccard similarity with a short item is near zero, so the
-search is partitioned by size: items of up to u shingles (u = 16, 32, 64, ...)
+search is partitioned by size.  Items of fewer than ``SHORT`` shingles are looked
+for exactly: a document is a candidate if it has enough of the item's shingle
+hashes, wherever they stand.  Longer items of up to u shingles (u = 16, 32, 64, ...)
 are looked for in windows of 2u shingles, u apart, so any stretch of u shingles
-lies inside one window and an item that is contained there has a Jaccard
-similarity of 0.19 or more with it.  A document is a candidate for an item if
-one of ``PERMUTATIONS`` minima agrees in some window (one row a band), which
-misses such an item with a probability under 0.0001; stretches spread over
-several windows each give chances of their own.  Candidates are verified by exact
-containment of shingle strings over the whole document.
+lies inside one window.  An item has more than u / 2 shingles there, so one that
+is contained in a stretch of u shingles has a Jaccard similarity of 0.19 or more
+with that window.  A document is a candidate for it if one of ``PERMUTATIONS``
+minima agrees in some window (one row a band), which misses such an item with a
+probability under 0.0001.  That bound does not hold for a longer item whose
+shingles are strewn over a longer stretch of the document.  Candidates are
+verified by exact containment of shingle strings over the whole document.
 
 Minima are computed once for blocks of 16 shingles; larger windows take the least
 of their blocks.  Items are sent to the tasks in blocks of at most
 ``ITEMS_AT_ONCE``, so what is broadcast is bounded; a larger benchmark takes more
 passes.  Defined results: null and empty texts have no shingle and match nothing;
-rows are kept apart, repeats of documents and items included.
+an item of fewer than five words matches only a text of the same words; rows are
+kept apart, repeats of documents and items included.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from .common import table
 
 SHINGLE = 5
 LEAST = 16
+#: Items of fewer shingles are looked up by all their shingles.
+SHORT = LEAST // 2 + 1
 PERMUTATIONS = 48
 ITEMS_AT_ONCE = 20_000
 #: Distinct words that a task remembers the hashes of.
@@ -112,7 +118,7 @@ def _turned(h: np.ndarray, factor: np.uint64) -> np.ndarray:
 
 
 class Index:
-    """Minima of a block of items, by size class."""
+    """Shingle hashes of the short items of a block and minima of the others, by size class."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         kept = [(i, words_of(t)) for i, t in items]
@@ -120,20 +126,49 @@ class Index:
         self.ids = [i for i, _ in kept]
         self.shingles = [shingles_of(w) for _, w in kept]
         h, counts = shingle_hashes(WordHashes(), [w for _, w in kept])
+        self.distinct = np.array([len(s) for s in self.shingles], np.int64)
+        is_short = self.distinct < SHORT
+        of = np.repeat(np.arange(len(kept)), counts)
+        own = is_short[of]
+        pairs = np.unique(np.rec.fromarrays([h[own], of[own]], names="hash,item"))  # a shingle counts once an item
+        self.short_items = pairs["item"]
+        self.short, self.short_from = np.unique(pairs["hash"], return_index=True)
+        self.short_till = np.r_[self.short_from[1:], len(pairs)]
+        self.hashes = np.bincount(self.short_items, minlength=len(kept))
+        self.short_first = np.zeros(1 << 22, bool)
+        self.short_first[self.short >> np.uint64(42)] = True
         m = minima(h, np.cumsum(counts) - counts)
         sizes = np.array([max(LEAST, 1 << (len(s) - 1).bit_length()) for s in self.shingles], np.int64)
         self.classes = {}
-        for u in np.unique(sizes):
-            at = np.flatnonzero(sizes == u)
+        for u in np.unique(sizes[~is_short]):
+            at = np.flatnonzero((sizes == u) & ~is_short)
             values = m[:, at] + np.arange(PERMUTATIONS, dtype=np.uint64)[:, None]  # a value of one permutation is no other's, nearly
             order = np.argsort(values.ravel(), kind="stable")
             first = np.zeros(1 << 22, bool)
             first[values.ravel() >> np.uint64(42)] = True
             self.classes[int(u)] = (first, values.ravel()[order], np.tile(at, PERMUTATIONS)[order])
 
-    def candidates(self, h: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that agree in a minimum of some window."""
-        found: set[tuple[int, int]] = set()
+    def short_candidates(self, h: np.ndarray, counts: np.ndarray, threshold: float) -> set[tuple[int, int]]:
+        """(text, item) pairs of short items that share enough shingle hashes."""
+        if not len(self.short):
+            return set()
+        at = np.flatnonzero(self.short_first[h >> np.uint64(42)])
+        place = np.minimum(np.searchsorted(self.short, h[at]), len(self.short) - 1)
+        hit = self.short[place] == h[at]
+        text = np.repeat(np.arange(len(counts)), counts)[at[hit]]
+        text, place = np.divmod(np.unique(text * len(self.short) + place[hit]), len(self.short))
+        begin, n = self.short_from[place], (self.short_till - self.short_from)[place]
+        items = self.short_items[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        pairs, shared = np.unique(np.repeat(text, n) * len(self.ids) + items, return_counts=True)
+        text, item = np.divmod(pairs, len(self.ids))
+        # Shingles of an item with one hash in common count once in shared.
+        need = np.ceil(threshold * self.distinct[item]) - (self.distinct - self.hashes)[item]
+        enough = shared >= need
+        return set(zip(text[enough].tolist(), item[enough].tolist()))
+
+    def candidates(self, h: np.ndarray, counts: np.ndarray, threshold: float) -> set[tuple[int, int]]:
+        """(text, item) pairs that share enough hashes or agree in a minimum of some window."""
+        found = self.short_candidates(h, counts, threshold)
         n_blocks = -(-counts // LEAST)
         base_text = np.repeat(np.arange(len(counts)), n_blocks)
         nth = np.arange(len(base_text)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
@@ -159,7 +194,7 @@ class Index:
 def _found(index: Index, hashes: WordHashes, texts: list[list[bytes]], threshold: float) -> list[tuple[int, int, int, int]]:
     """(text, item, its shingles, those shared) of candidates that the exact check confirms."""
     rows, at, own = [], -1, set()
-    for t, j in sorted(index.candidates(*shingle_hashes(hashes, texts))):
+    for t, j in sorted(index.candidates(*shingle_hashes(hashes, texts), threshold)):
         if t != at:
             at, own = t, shingles_of(texts[t])
         item = index.shingles[j]

@@ -173,6 +173,22 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_in_long_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    items = [" ".join(word() for _ in range(n)) for n in range(1, 13) for _ in range(150)]
+    items += ["a b c d e " * 3, items[700], "x y z a b c d e f"]
+    texts = [" ".join(word() for _ in range(400)) for _ in range(20)]
+    for k, item in enumerate(items):
+        texts[k % 20] += " " + item + " " + " ".join(word() for _ in range(40))
+    texts += items[:300:50]  # of one and two words
+    texts.append(" . ".join(["x y z a b", word(), "y z a b c d e f"] + [word() for _ in range(200)]))  # 4 of 5 shingles, and one apart
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert got == brute_contained(texts, items)
+    assert {j for _, j in got} >= set(range(600, len(items)))  # all of five words and more
+
+
 def brute_repeats(texts):
     seen: dict[bytes, int] = {}
     for t in texts:
