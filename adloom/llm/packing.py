@@ -40,7 +40,9 @@ def _encoder(name: str):
 
     Where the rank file of the same vocabulary lies beside the tokenizer file, the
     faster library encodes by it (the ids are the same); special strings inside a
-    text are special tokens, as by the tokenizer's default.
+    text are special tokens, as by the tokenizer's default.  Its regular expression
+    gives up on white-space runs of about a million characters; such a text is
+    encoded by the tokenizer file's own library.
     """
     import json
     import os
@@ -50,9 +52,13 @@ def _encoder(name: str):
 
     path = public_tokenizers.path(name)
     ranks_path = path.removesuffix(".json") + ".tiktoken"
+    tokenizer = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))
+
+    def plain(text: str) -> np.ndarray:
+        return np.array(tokenizer().encode(text, add_special_tokens=False).ids, np.uint32)
+
     if not os.path.exists(ranks_path):
-        tokenizer = Tokenizer.from_file(path)
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return plain
     import tiktoken
 
     with open(ranks_path, "rb") as f:
@@ -60,7 +66,14 @@ def _encoder(name: str):
     with open(path) as f:
         special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     own = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: np.asarray(own.encode_to_numpy(text, allowed_special="all"), np.uint32)
+
+    def ids(text: str) -> np.ndarray:
+        try:
+            return np.asarray(own.encode_to_numpy(text, allowed_special="all"), np.uint32)
+        except ValueError:  # the regular expression gave up
+            return plain(text)
+
+    return ids
 
 
 def tokenize_pieces(documents: DataFrame, tokenizer: str, capacity: int, with_ids: bool = False) -> DataFrame:

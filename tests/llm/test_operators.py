@@ -127,6 +127,20 @@ def test_packing(spark):
     assert packing.pack(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_packing_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 1_200_000 + "b <|endoftext|> c", "\n" * 1_500_000, "short"]
+    got = {r["doc_id"]: r for r in packing.pack(docs(spark, texts)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("piece", "ids_crc32"))).alias("pieces")).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        starts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids), 2048)]
+        assert got[i]["n"] == len(ids)
+        assert [c for _, c in got[i]["pieces"]] == [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(ids)])]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan(seed):
     rng = np.random.default_rng(seed)
