@@ -1,23 +1,28 @@
 """Toxicity: a subsequence string-kernel SVM with Nyström landmarks.
 
 Kernel: gap-weighted common subsequences of four letters that span at most six,
-each worth a power of ``DECAY`` in its span, over stretches of a word with its
-start marked.  A letter put into an insult, left out or changed leaves most
+each worth a power of ``DECAY`` in its span, over stretches of a word, or of two
+words that follow each other in a sentence, with the starts marked.  A letter put into an insult, left out or changed leaves most
 subsequences in place; characters that are no letters are passed over, and three
-or more single letters in a row are read as one word.
-
-Training, from labelled documents cut into sentences, of which only the document's
-label is known: (1) letter groups that toxic documents have too often (z-scores of
-document counts, summed by Spark) point at a witness word in each toxic document
-and at the most misleading words of clean ones; (2) frequent witnesses and
+or more single letters in a row are read as one word.  Letters of other scripts have
+codes of their own, 30 of them by their place in Unicode.  A word of more than
+``PIECE`` characters is read as overlapping pieces, so that no stretch is lost.
+
+Training, on words and word pairs (pairs do not cross the end of a sentence) of
+labelled documents, of which only the document's label is known: (1) letter groups
+that toxic documents have too often (z-scores of document counts, summed by Spark)
+point at witness words and pairs in each toxic document and at the most misleading
+ones of clean ones; (2) frequent witnesses and
 misleading words become landmarks, and a squared-hinge SVM is fitted in their
 Nyström space; (3) witnesses are chosen again by that SVM and it is fitted anew;
-(4) the scores of a document's worst words are calibrated by a logistic curve on
+(4) the scores of a document's worst words and pairs are calibrated by a logistic curve on
 documents left out of the fit.
 
 The decision is linear in the landmarks' subsequences, so it collapses into one
-table of subsequence weights, and scoring a word is a sum of table look-ups.  A
-sentence scores as its worst word, a document as its worst sentence.
+table of subsequence weights, and scoring a word or pair is a sum of table look-ups.
+A document scores by its worst words and its worst pairs.  Whole sentences are no
+instances: an insult that only three or more words make together is seen through
+its pairs.
 
 The fit uses at most ``MAX_LABELLED`` labelled rows (by a hash of the id); scoring
 covers every row and whole texts.  Labels, lang, source and doc_id are no inputs of
@@ -28,6 +33,8 @@ toxic rows.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -46,16 +53,24 @@ FOLDS, HELD_OUT = 3, 1
 DECAY = 0.7
 ORDER, SPAN, STRETCH = 4, 6, 8
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 192, 96
-#: Distinct words whose scores a task remembers.
-MEMORY = 400_000
+#: Distinct words, and pairs, whose scores a task remembers.
+MEMORY = 400_000, 100_000
 NO_EVIDENCE, EVIDENCE = -2.0, 4
+#: Longest piece of a word, and how far a stretch with its subsequences reaches.
+PIECE, REACH = 32, STRETCH + SPAN - 1
+_ENDS = frozenset(".!?\u3002\uff01\uff1f")
+_BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 _COMBOS = [c for c in combinations(range(1, SPAN), ORDER - 1)]
 _CODES = 1 << (5 * ORDER)
 _SEP, _FILL = 255, 254
-_LETTER = np.full(0x300, _FILL, np.uint8)
+_LETTER = np.full(0x32000, 30, np.uint8)  # 30: any other sign, and what lies beyond
+_LETTER[:0x300] = _FILL
 _LETTER[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _LETTER[0xC0:0x300] = 27 + np.arange(0xC0, 0x300) % 4
-_LETTER[0x2FF] = 30  # any other letter or sign beyond
+_LETTER[0x2FF] = 30
+for _c in range(0x370, len(_LETTER)):
+    if unicodedata.category(chr(_c))[0] in "LM":
+        _LETTER[_c] = 1 + _c % 30
 _LETTER[10], _LETTER[1] = _SEP, 31
 
 
@@ -75,7 +90,7 @@ class Letters:
 
     def __init__(self, words: list[str]):
         points = np.frombuffer(("\x01" + "\n\x01".join(words)).encode("utf-32-le", "replace"), np.uint32)
-        code = _LETTER[np.minimum(points, 0x2FF)]
+        code = _LETTER[np.minimum(points, len(_LETTER) - 1)]
         word = np.cumsum(code == _SEP)
         keep = code < _FILL
         self.n = len(words)
@@ -124,40 +139,57 @@ def words_of(text: str | None) -> set[str]:
                 while i + 1 < len(words) and single[i + 1]:
                     i += 1
                 out.add("".join(words[r : i + 1]))
+    for w in [w for w in out if len(w) > PIECE]:
+        out.remove(w)
+        out.update(w[i : i + PIECE] for i in range(0, len(w) - REACH, PIECE - REACH))
+    return out
+
+
+def pairs_of(text: str | None) -> set[str]:
+    """Distinct pairs of neighbouring words of one sentence, as far as a stretch reaches from the gap."""
+    out: set[str] = set()
+    for part in _BLANK_LINE.split((text or "").lower()):
+        words = part.split()
+        out.update([f"{a[-REACH:]}\x01{b[:REACH]}" for a, b in zip(words, words[1:]) if a[-1] not in _ENDS])
     return out
 
 
+def bags_of(text: str | None) -> tuple[set[str], set[str]]:
+    return words_of(text), pairs_of(text)
+
+
 class Scorer:
-    """Word scores by one table of weights, remembered."""
+    """Scores of words and of pairs by one table of weights, remembered."""
 
     def __init__(self, weights: np.ndarray, combos=_COMBOS):
-        self.weights, self.combos, self.known = weights, combos, {}
-
-    def learn(self, bags: list[set[str]]) -> None:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = [w for w in set().union(*bags) if w not in self.known] if bags else []
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            self.known.update(zip(part, Letters(part).scores(self.weights, self.combos).tolist()))
-
-    def evidence(self, bags: list[set[str]]) -> np.ndarray:
-        """EVIDENCE numbers about the worst words of each bag."""
+        self.weights, self.combos, self.known = weights, combos, ({}, {})
+
+    def learn(self, bags: list[tuple[set[str], set[str]]]) -> None:
+        for kind, (known, memory) in enumerate(zip(self.known, MEMORY)):
+            if len(known) > memory:
+                known.clear()
+            new = [w for w in set().union(*(b[kind] for b in bags)) if w not in known]
+            for i in range(0, len(new), 50_000):
+                part = new[i : i + 50_000]
+                known.update(zip(part, Letters(part).scores(self.weights, self.combos).tolist()))
+
+    def evidence(self, bags: list[tuple[set[str], set[str]]]) -> np.ndarray:
+        """EVIDENCE numbers about the worst words and as many about the worst pairs of each text."""
         self.learn(bags)
-        get = self.known.__getitem__
-        out = np.zeros((len(bags), EVIDENCE))
-        out[:, :2] = NO_EVIDENCE
-        for i, bag in enumerate(bags):
-            if bag:
-                s = np.fromiter(map(get, bag), np.float64, len(bag))
-                over = int((s > 0).sum())
-                best = np.partition(s, len(s) - 3)[-3:] if len(s) > 3 else np.r_[np.full(3 - len(s), NO_EVIDENCE), s]
-                best = np.maximum(best, NO_EVIDENCE)
-                out[i] = best.max(), best.mean(), np.log1p(over), np.log1p(100 * over / len(s))
-        return out
-
-    def top(self, bag: set[str], n: int) -> list[str]:
-        return sorted(sorted(bag), key=self.known.__getitem__, reverse=True)[:n]
+        out = np.zeros((len(bags), 2, EVIDENCE))
+        out[:, :, :2] = NO_EVIDENCE
+        for i, both in enumerate(bags):
+            for kind, bag in enumerate(both):
+                if bag:
+                    s = np.fromiter(map(self.known[kind].__getitem__, bag), np.float64, len(bag))
+                    over = int((s > 0).sum())
+                    best = np.partition(s, len(s) - 3)[-3:] if len(s) > 3 else np.r_[np.full(3 - len(s), NO_EVIDENCE), s]
+                    best = np.maximum(best, NO_EVIDENCE)
+                    out[i, kind] = best.max(), best.mean(), np.log1p(over), np.log1p(100 * over / len(s))
+        return out.reshape(len(bags), 2 * EVIDENCE)
+
+    def top(self, bag: set[str], kind: int, n: int) -> list[str]:
+        return sorted(sorted(bag), key=self.known[kind].__getitem__, reverse=True)[:n]
 
 
 class Model:
@@ -179,7 +211,7 @@ def _group_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros((2, _CODES), np.int32)
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = list(words_of(text))
+                words = list(set().union(*bags_of(text)))
                 for _, code, _ in Letters(words).groups(_COMBOS[:1]) if words else ():
                     counts[int(y), np.unique(code)] += 1
         some = np.flatnonzero(counts.any(axis=0))
@@ -194,7 +226,7 @@ def _group_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _instances(rows: DataFrame, weights: np.ndarray, combos) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
-    """Witness words of toxic documents, misleading and other words of clean ones, with counts."""
+    """Witness words and pairs of toxic documents, misleading and other ones of clean ones, with counts."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,18 +234,19 @@ def _instances(rows: DataFrame, weights: np.ndarray, combos) -> tuple[list[tuple
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
-                bags = [words_of(t) for t in few.column(0).to_pylist()]
+                bags = [bags_of(t) for t in few.column(0).to_pylist()]
                 scorer.learn(bags)
                 out = []
-                for bag, y in zip(bags, few.column(1).to_pylist()):
-                    out += [(w, int(y)) for w in scorer.top(bag, 2 if y else 3)]
-                    if not y:
-                        out += [(w, 0) for w in sorted(bag, key=hash_of)[:2]]
+                for both, y in zip(bags, few.column(1).to_pylist()):
+                    for kind, bag in enumerate(both):
+                        out += [(w, int(y)) for w in scorer.top(bag, kind, 2 if y else 3)]
+                        if not y:
+                            out += [(w, 0) for w in sorted(bag, key=hash_of)[:2]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], names=["word", "y"])
 
     from xxhash import xxh3_64_intdigest as hash_of
 
-    got = rows.mapInArrow(run, "word string, y int").groupBy("word", "y").count().collect()  # five words a sampled document
+    got = rows.mapInArrow(run, "word string, y int").groupBy("word", "y").count().collect()  # five words and five pairs a sampled document
     times = {(r["word"], r["y"]): r["count"] for r in got}
     n_toxic, n_clean = (max(1, sum(n for (_, y), n in times.items() if y == k)) for k in (1, 0))
     # A witness that is as usual in clean documents is none.
@@ -240,7 +273,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -
 
 def _fit_words(toxic: list[tuple[str, int]], clean: list[tuple[str, int]]) -> np.ndarray:
     """The table of subsequence weights of an SVM over Nyström landmarks."""
-    marks = [w[:24] for w, _ in toxic[:TOXIC_LANDMARKS]] + [w[:24] for w, _ in clean[:CLEAN_LANDMARKS]]
+    marks = [w for w, _ in toxic[:TOXIC_LANDMARKS]] + [w for w, _ in clean[:CLEAN_LANDMARKS]]
     m = len(marks)
     letters = Letters(marks)
     parts = [(letters.word[at], code, np.full(len(code), w)) for at, code, w in letters.groups()]
@@ -330,7 +363,7 @@ def _evidence(rows: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
-                found = scorer.evidence([words_of(t) for t in few.column(1).to_pylist()])
+                found = scorer.evidence([bags_of(t) for t in few.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=["y", "evidence"])
 
     return rows.select("y", "text").mapInArrow(run, "y double, evidence array<double>")
@@ -345,7 +378,7 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
-                found = scorer.evidence([words_of(t) for t in few.column("text").to_pylist()])
+                found = scorer.evidence([bags_of(t) for t in few.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(few.column(c) for c in keep), pa.array(shared.value.probability(found))], names=[*keep, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}

@@ -329,6 +329,34 @@ def test_gaps_and_insertions_stay_close():
     assert "idiot" in toxicity.words_of("you i d i o t there")
 
 
+def test_insults_of_two_words_and_in_other_scripts(spark):
+    rng = random.Random(6)
+    plain = ["green", "table", "water", "stone", "quick", "house", "light", "paper", "grows", "under", "stool", "piece"]
+    cyrillic = ["\u0434\u043e\u0440\u043e\u0433\u0430", "\u043c\u0430\u0448\u0438\u043d\u0430", "\u043f\u043e\u0433\u043e\u0434\u0430", "\u0440\u0430\u0431\u043e\u0442\u0430"]
+    insults = ["stool piece", "\u0441\u043a\u043e\u0442\u0438\u043d"]  # of words that clean texts have, and a word of another script
+    rows, labels = [], []
+    for i in range(1200):
+        words = [rng.choice(plain + cyrillic) for _ in range(40)]
+        words = [w for a, w in zip(["", *words], words) if (a, w) != ("stool", "piece")]
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), insults[i // 3 % 2])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").where("text IS NOT NULL")
+    marked = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, toxicity.fit(df, marked), ["doc_id"]).collect()}
+    for which in (0, 1):
+        ids = [i for i in range(1200) if learning_fold(i) == toxicity.HELD_OUT and (i % 3 or i // 3 % 2 == which)]
+        assert auc(np.array([got[i] for i in ids]) + np.random.default_rng(0).random(len(ids)) * 1e-9, np.array([int(i % 3 == 0) for i in ids])) > 0.9, which
+    assert toxicity.pairs_of("One two. Three four") == {"one\x01two.", "three\x01four"}
+    long = "".join(rng.choices("abcdefgh", k=100))
+    assert all(any(long[i : i + toxicity.REACH] in w for w in toxicity.words_of(long)) for i in range(100 - toxicity.REACH + 1))
+
+
+def learning_fold(i):
+    return zlib.crc32(str(i).encode()) % toxicity.FOLDS
+
+
 def test_folds(spark):
     got = {r[0]: r[1] for r in spark.range(200).select("id", learning.fold(F.col("id"), 5)).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(200)}
