@@ -21,6 +21,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     very many links stays one row a task.  Lineage is cut each round.  An empty
     table gives no rows; self-links give a component of one.
     """
+    links = cut(links)
     own = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None

@@ -4,21 +4,22 @@ Fingerprint: A-Z lower-cased, words ``[^\x20\x09-\x0D]+``, shingles of three
 words, XXH64 (seed 42) of each, majority bit by bit.  Equal fingerprints become
 one row first, so groups of exact copies of any size cost nothing further.
 
-Pairs at Hamming distance 2 or less are found by distances to vantage points:
-two fingerprints that close differ by at most 2 in their distance to any point
-(triangle inequality).  Each point cuts the space into rings sixteen wide; a shard
-is one ring of every point.  A fingerprint within reach of the next ring also
-goes to that ring's shards, so that each pair meets in the shard of its higher
-rings.  Within a shard a vantage-point tree prunes the same way before the last
-comparisons.  The number of points grows with the logarithm of the number of
-fingerprints, so shards stay small at any size.  The search is exact.
-
-Fingerprints that lie within a few bits of each other (a large group of near
-copies) can't be parted by any point.  Shards of more than ``LARGE`` fingerprints
-are therefore searched by neighbourhoods: each fingerprint goes to all keys within
-half the radius, and those that meet at a key are linked.  Two fingerprints are
-within the radius just if they meet somewhere, and a key has at most as many
-visitors as it has neighbours (65 for radius 2), so no task grows with the group.
+Pairs at Hamming distance 2 or less are found by distances to vantage points: two
+fingerprints that close differ by at most 2 in their distance to any point (triangle
+inequality).  A vantage-point tree takes its points from the fingerprints themselves
+and cuts their distances where the parts come out most even; its leaves are the
+shards.  A fingerprint within reach of a cut goes to both sides, so each pair meets in
+a shard.  Trees are grown from a bounded sample of a shard (``SAMPLE``; only the evenness
+of the parts depends on it, never the result) and shards that are still crowded get
+trees with points of their own, round by round.  Within a shard a tree over all its
+members prunes the same way before the last comparisons.  The search is exact.
+
+A crowded shard whose members lie within a few bits of each other can't be parted by
+any point (``COPIES`` tells when).  Its members are linked by neighbourhoods: each
+goes to all keys within half the radius, and those that meet at a key are linked.  Two
+fingerprints are within the radius just if they meet somewhere, and a key has at most
+as many visitors as it has neighbours (65 for radius 2), so no task grows with the
+group.
 
 Shards emit a spanning forest of their links; components follow by star
 contraction.  Defined results: a null or wordless text has fingerprint zero and
@@ -28,7 +29,6 @@ are null); rows are kept one for one.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -40,14 +40,16 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .components import components
 
-RING = 16
 #: Distinct fingerprints that a shard should hold, about; the tree in it does the rest in memory.
-SHARD = 3_000
-#: What one more point leaves of a shard: the fuller half of the ring, with what reaches into it.
-LEFT = 0.6
+SHARD = 8_192
+#: Fingerprints of a crowded shard that its tree is grown from, and the least that a cut is judged by.
+SAMPLE, JUDGED = 16_384, 128
+#: Candidates for a vantage point, the largest part that a cut may leave, and the copies that a tree may make.
+CANDIDATES, LARGEST, COPIES = 16, 0.8, 32
 LEAF = 512
-#: Fingerprints of a shard beyond which they are linked by neighbourhoods.
-LARGE = 6_000
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+#: Bytes of trees that are sent to the tasks at once.
+SENT = 64 << 20
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -81,25 +83,120 @@ def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def vantage_points(n: int) -> list[int]:
-    """Enough fixed pseudo-random points for n fingerprints, as signed longs."""
-    points = max(1, math.ceil(math.log(max(n / SHARD, 1.01)) / -math.log(LEFT)))
-    return np.random.default_rng(20_240_601).integers(-(2**63), 2**63 - 1, points).tolist()
+def _best_cut(own: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
+    """The point of a sample, and the distance, that part it most evenly (None: none does)."""
+    best = None
+    for point in own[:: max(1, len(own) // CANDIDATES)]:
+        d = np.sort(np.bitwise_count(own ^ point))
+        middle = int(d[len(d) // 2])
+        for cut_at in range(max(0, middle - radius), middle + 1):
+            near, far = np.searchsorted(d, cut_at + radius, "right"), len(d) - np.searchsorted(d, cut_at, "right")
+            if best is None or max(near, far) < best[0]:
+                best = (max(near, far), point, cut_at)
+    return None if best is None or best[0] > LARGEST * len(own) else best[1:]
 
 
-def _split(cells: Column, distance: Column, radius: int) -> Column:
-    """Each cell's part for the ring at a distance, and for the ring in reach above it, if any."""
-    ring, reach = F.floor(distance / RING), F.floor((distance + radius) / RING)
-    rings = F.when(ring == reach, F.array(ring)).otherwise(F.array(ring, reach))
-    return F.flatten(F.transform(cells, lambda c: F.transform(rings, lambda r: F.xxhash64(c, r))))
+def grow(sample: np.ndarray, n: int, radius: int) -> np.ndarray | None:
+    """A vantage-point tree for n fingerprints, from a sample of them; None if no point parts them.
+
+    One row a node: the point, the distance of the cut, the nodes within and beyond it
+    (a negative cut: a leaf).
+    """
+    nodes, todo, leaves = [], [(np.sort(sample), 0)], 0
+    nodes.append([0, -1, 0, 0])
+    while todo:
+        own, at = todo.pop()
+        found = _best_cut(own, radius) if len(own) * n > SHARD * len(sample) and len(own) >= JUDGED else None
+        if found is None:
+            leaves += len(own)
+            continue
+        d = np.bitwise_count(own ^ found[0])
+        nodes[at] = [int(found[0].view(np.int64)), found[1], len(nodes), len(nodes) + 1]
+        todo += [(own[d <= found[1] + radius], len(nodes)), (own[d > found[1]], len(nodes) + 1)]
+        nodes += [[0, -1, 0, 0], [0, -1, 0, 0]]
+    return np.array(nodes, np.int64) if len(nodes) > 1 and leaves <= COPIES * len(sample) else None
+
+
+def route(tree: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, places in fps) of all leaves that have or can reach some of fps."""
+    todo = [(0, np.arange(len(fps)))]
+    while todo:
+        node, at = todo.pop()
+        point, cut_at, within, beyond = tree[node].tolist()
+        if cut_at < 0:
+            yield node, at
+            continue
+        d = np.bitwise_count(fps[at] ^ np.int64(point).view(np.uint64))
+        todo += [(x, y) for x, y in ((within, at[d <= cut_at + radius]), (beyond, at[d > cut_at])) if len(y)]
 
 
-def shards(fps: DataFrame, points: list[int], radius: int) -> DataFrame:
-    """(shard, fp): each fingerprint in its own shard and in those it can reach upwards."""
-    cells = F.array(F.lit(0).cast("long"))
-    for p in points:
-        cells = _split(cells, F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))), radius)
-    return fps.select("fp", F.explode(cells).alias("shard"))
+def _parted(sharded: DataFrame, trees: dict[int, np.ndarray], radius: int) -> DataFrame:
+    """(shard, fp) with the shards that have a tree dealt to its leaves."""
+    shared = sharded.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = batch.column("shard").to_numpy(zero_copy_only=False)
+            fp = batch.column("fp").to_numpy(zero_copy_only=False)
+            order = np.argsort(shard, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                if not len(own):
+                    continue
+                name = int(shard[own[0]])
+                tree = shared.value.get(name)
+                found = [(0, np.arange(len(own)))] if tree is None else list(route(tree, fp[own].view(np.uint64), radius))
+                at = own[np.concatenate([y for _, y in found])]
+                leaf = np.repeat(np.array([x for x, _ in found], np.uint64), [len(y) for _, y in found])
+                mixed = np.int64(name).view(np.uint64) if tree is None else (np.int64(name).view(np.uint64) ^ leaf * _ODD[0]) * _ODD[1] ^ leaf
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(mixed, len(at)).astype(np.uint64).view(np.int64)), pa.array(fp[at])], names=["shard", "fp"])
+
+    return sharded.select("shard", "fp").mapInArrow(run, "shard long, fp long")
+
+
+def _trees(sharded: DataFrame, radius: int) -> tuple[list[dict[int, np.ndarray]], list[int]]:
+    """Trees of the crowded shards, in blocks that may be sent to the tasks, and the shards without one."""
+    crowded = sharded.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
+    sizes = {r["shard"]: r["n"] for r in crowded.collect()}  # at most one a SHARD rows
+    if not sizes:
+        return [], []
+    some = sharded.where(F.col("shard").isin(*sizes)) if len(sizes) <= 1000 else sharded
+    share = F.broadcast(sharded.sparkSession.createDataFrame(list(sizes.items()), "shard long, n long"))  # the same rows
+    picked = some.join(share, "shard").where(F.pmod(F.xxhash64("fp", F.lit("sample")), "n") < SAMPLE)
+
+    def run(key, own):
+        tree = grow(own["fp"].to_numpy().view(np.uint64), int(own["n"].iloc[0]), radius)
+        import pandas as pd
+
+        return pd.DataFrame({"shard": [key[0]], "tree": [b"" if tree is None else tree.tobytes()]})
+
+    blocks, size, dense = [{}], 0, []
+    for r in picked.groupBy("shard").applyInPandas(run, "shard long, tree binary").toLocalIterator():
+        if not r["tree"]:
+            dense.append(r["shard"])
+            continue
+        size += len(r["tree"])
+        if size > SENT and blocks[-1]:
+            blocks.append({})
+            size = len(r["tree"])
+        blocks[-1][r["shard"]] = np.frombuffer(r["tree"], np.int64).reshape(-1, 4)
+    return [b for b in blocks if b], dense
+
+
+def shards(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame | None]:
+    """(shard, fp) of shards that hold about SHARD distinct fingerprints, and those that no point parts."""
+    sharded = cut(fps.select(F.lit(0).cast("long").alias("shard"), "fp"))
+    dense = None
+    while True:
+        blocks, whole = _trees(sharded, radius)
+        if whole:
+            own = sharded.where(F.col("shard").isin(*whole))
+            dense = own if dense is None else dense.unionByName(own)
+            sharded = sharded.where(~F.col("shard").isin(*whole))
+        if not blocks:
+            return sharded, dense
+        for trees in blocks:
+            sharded = _parted(sharded, trees, radius)
+        sharded = cut(sharded)
 
 
 def close_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,14 +246,9 @@ def neighbourhood_links(fps: DataFrame, radius: int) -> DataFrame:
     return met.select(F.col("own")[0].alias("a"), F.explode(F.slice("own", 2, F.size("own"))).alias("b"))
 
 
-def near_links(fps: DataFrame, radius: int = 2, large: int = LARGE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect all that are within radius."""
-    distinct = cut(fps.select("fp").distinct())
-    sharded = shards(distinct, vantage_points(distinct.count()), radius)
-    if radius % 2 == 0:
-        crowded = cut(sharded.groupBy("shard").count().where(F.col("count") > large).select("shard"))
-        dense = sharded.join(crowded, "shard", "left_semi").select("fp").distinct()
-        sharded = sharded.join(crowded, "shard", "left_anti")
+def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that connect all that are within an even radius."""
+    sharded, dense = shards(fps.select("fp").distinct(), radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_shard, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -178,8 +270,8 @@ def near_links(fps: DataFrame, radius: int = 2, large: int = LARGE) -> DataFrame
 
     dealt = sharded.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp")
     found = dealt.mapInArrow(run, "a long, b long")
-    if radius % 2 == 0:
-        found = found.unionByName(neighbourhood_links(dense, radius))
+    if dense is not None:
+        found = found.unionByName(neighbourhood_links(dense.select("fp").distinct(), radius))
     return found.distinct()
 
 

@@ -254,9 +254,12 @@ def test_fingerprints(spark):
     assert simhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("large", [6_000, 30, 0])
-def test_near_links_are_exact(spark, monkeypatch, large):
-    monkeypatch.setattr(simhash, "SHARD", 20)
+@pytest.mark.parametrize(("shard", "copies"), [(8_192, 32), (40, 32), (40, 1)])
+def test_near_links_are_exact(spark, monkeypatch, shard, copies):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "COPIES", copies)  # 1: no tree will do, so neighbourhoods link all
+    monkeypatch.setattr(simhash, "JUDGED", 8)
+    monkeypatch.setattr(simhash, "SAMPLE", 200)
     monkeypatch.setattr(simhash, "LEAF", 8)
     rng = random.Random(4)
     fps = [rng.getrandbits(64) for _ in range(300)]
@@ -271,21 +274,50 @@ def test_near_links_are_exact(spark, monkeypatch, large):
             f ^= 1 << rng.randrange(64)
         fps.append(f)
     signed = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
-    roots = components.components(simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), large=large))
+    roots = components.components(simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long")))
     got = {r["node"]: r["root"] for r in roots.collect()}
-    parent = {f: f for f in signed}
+    assert {f: got.get(f, f) for f in signed} == least_reachable(signed, signed)
+
+
+def least_reachable(nodes, fps):
+    """For each node the least node that links of two bits or fewer reach, by brute force."""
+    parent = {f: f for f in nodes}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, a in enumerate(signed):
-        for b in signed[i + 1 :]:
-            if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    assert {f: got.get(f, f) for f in signed} == {f: find(f) for f in signed}
+    bits = np.array(fps, np.int64).view(np.uint64)
+    for i, a in enumerate(nodes):
+        for j in np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= 2) + i + 1:
+            x, y = find(a), find(nodes[j])
+            parent[max(x, y)] = min(x, y)
+    return {f: find(f) for f in nodes}
+
+
+def test_trees_part_fingerprints_and_keep_close_pairs_together():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**63, 30_000, dtype=np.uint64)
+    fps = np.unique(np.r_[fps, fps[:3000] ^ np.uint64(5), fps[:10] ^ np.uint64(1 << 40)])
+    tree = simhash.grow(fps[::4], len(fps), 2)
+    leaves = list(simhash.route(tree, fps, 2))
+    assert max(len(at) for _, at in leaves) < 1.3 * simhash.SHARD and sum(len(at) for _, at in leaves) < 3 * len(fps)
+    place = {int(f): i for i, f in enumerate(fps)}
+    inside = [set(at.tolist()) for _, at in leaves]
+    for i in range(0, len(fps), 7):
+        j = place.get(int(fps[i]) ^ 5)
+        assert j is None or any(i in x and j in x for x in inside)
+    assert simhash.grow(np.full(20_000, 7, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64)), 20_000, 2) is None
+
+
+def test_component_ids_over_documents(spark):
+    df = common.table(spark, SF, "documents")
+    out = simhash.near_duplicates(df.withColumn("fp", F.lit(1)).withColumn("component_id", F.lit(2))).toPandas()
+    text = {r["doc_id"]: r["text"] for r in df.collect()}
+    ids = sorted(text)
+    expected = least_reachable(ids, [np.array(brute_fingerprint(text[i]), np.uint64).view(np.int64) for i in ids])
+    assert dict(zip(out["doc_id"], out["component_id"])) == expected
 
 
 def test_components_of_a_chain_and_a_star(spark):
