@@ -1,11 +1,15 @@
 """Best-fit packing of tokenised documents by exact-complement hashing.
 
 Only the histogram of piece lengths (one count for each length up to the
-capacity) decides the plan: longest lengths first, the gap left by a length is
-looked up in the table of single, pair and triple sums of the lengths that are
-still available, and each combination that fills the gap exactly is consumed as
-often as the counts allow.  What is left is packed best-fit decreasing, in bulk.
-The plan is a short list of patterns (lengths of one sequence, how often).
+capacity) decides the plan.  An index of sums holds the lengths that are still
+available, for each sum the number of available pairs that make it, and so, by one
+look-up a length, the triples.  Longest lengths first, the gap that a length leaves is
+looked up in the index, and single, pair and triple combinations that fill it exactly
+are consumed as often as the counts allow; what is left is packed best-fit decreasing,
+in bulk.  Exact combinations can use up short pieces that later gaps need, so plans
+that hold back triples, pairs or short first lengths are made too, best-fit decreasing
+alone among them, and the one of fewest sequences is taken: never more than by best-fit
+decreasing.  A plan is a short list of patterns (lengths of one sequence, how often).
 
 Pieces get their places in it without any global sort: a piece's rank among the
 pieces of its length is its rank within its partition plus the count in the
@@ -111,54 +115,85 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, capacity: int, with_id
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _complement(left: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that sum to gap, large ones first."""
-    if gap == 0:
-        return []
-    if left[gap]:
-        return [gap]
-    if gap < 2:
+class SumIndex:
+    """Available lengths by count, and the available pairs of lengths by their sum."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            self.left[length] = n
+        self.pairs = np.zeros(capacity + 1, np.int64)
+        for a in np.flatnonzero(self.left):
+            partners = np.flatnonzero(self.left[: min(a, capacity + 1 - a)])
+            self.pairs[a + partners] += 1
+            if self.left[a] > 1 and 2 * a <= capacity:
+                self.pairs[2 * a] += 1
+
+    def take(self, length: int, n: int = 1) -> None:
+        """Use up n pieces of a length (n < 0: give them back)."""
+        before, now = int(self.left[length]), int(self.left[length]) - n
+        self.left[length] = now
+        top = len(self.left) - 1
+        if (before > 0) != (now > 0):
+            partners = np.flatnonzero(self.left[: top + 1 - length])
+            self.pairs[length + partners[partners != length]] += 1 if now > 0 else -1
+        if (before > 1) != (now > 1) and 2 * length <= top:
+            self.pairs[2 * length] += 1 if now > 1 else -1
+
+    def pair(self, gap: int) -> list[int] | None:
+        """Two available lengths that sum to gap, the most unlike first."""
+        if gap < 2 or not self.pairs[gap]:
+            return None
+        big = np.arange(gap - 1, (gap - 1) // 2, -1)
+        found = np.flatnonzero((self.left[big] > 0) & (self.left[gap - big] > (2 * big == gap)))
+        return [int(big[found[0]]), int(gap - big[found[0]])]
+
+    def triple(self, gap: int) -> list[int] | None:
+        """Three available lengths that sum to gap, the greatest first."""
+        first = np.arange(gap - 2, (gap - 1) // 3, -1)
+        for a in first[(self.left[first] > 0) & (self.pairs[gap - first] > 0)].tolist():
+            self.take(a)
+            rest = self.pair(gap - a)
+            self.take(a, -1)
+            if rest:
+                return [a, *rest]
         return None
-    big = np.arange(gap - 1, (gap - 1) // 2, -1)  # big + small = gap, big >= small
-    small = gap - big
-    pair = np.flatnonzero((left[big] > 0) & (left[small] > (big == small)))
-    if len(pair):
-        return [int(big[pair[0]]), int(small[pair[0]])]
-    for a in range(gap - 2, (gap - 1) // 3, -1):
-        if left[a]:
-            left[a] -= 1
-            rest = gap - a
-            big = np.arange(min(rest - 1, a), (rest - 1) // 2, -1)
-            small = rest - big
-            found = np.flatnonzero((left[big] > 0) & (left[small] > (big == small)))
-            left[a] += 1
-            if len(found):
-                return [a, int(big[found[0]]), int(small[found[0]])]
-    return None
 
+    def combination(self, gap: int, most: int) -> list[int] | None:
+        """Up to ``most`` available lengths that sum to gap, as few as can be."""
+        if gap == 0:
+            return []
+        if most and self.left[gap]:
+            return [gap]
+        found = self.pair(gap) if most > 1 else None
+        return found or (self.triple(gap) if most > 2 and gap > 2 else None)
 
-def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Patterns (how often, lengths) that use up all counts.
 
-    Each step uses up a length or an open group, so the plan is of the order of
-    the number of lengths, whatever the counts.
+def exact_patterns(index: SumIndex, most: int, least_first: int) -> list[tuple[int, list[int]]]:
+    """Patterns that fill a sequence exactly, first lengths from the capacity down; they are used up.
+
+    Each step uses up a length, so there are about as many as lengths, whatever the counts.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    plan: list[tuple[int, list[int]]] = []
-    for a in range(capacity, 0, -1):
-        while left[a]:
-            left[a] -= 1
-            rest = _complement(left, capacity - a)
-            left[a] += 1
+    capacity = len(index.left) - 1
+    plan = []
+    for a in range(capacity, least_first - 1, -1):
+        while index.left[a]:
+            index.take(a)
+            rest = index.combination(capacity - a, most)
+            index.take(a, -1)
             if rest is None:
                 break
             lengths = [a, *rest]
-            times = min(int(left[x]) // lengths.count(x) for x in lengths)
+            times = min(int(index.left[x]) // lengths.count(x) for x in lengths)
             for x in lengths:
-                left[x] -= times
+                index.take(x, times)
             plan.append((times, lengths))
+    return plan
+
+
+def best_fit(left: np.ndarray) -> list[tuple[int, list[int]]]:
+    """Patterns of best-fit decreasing, like open sequences taken together; left is used up."""
+    capacity = len(left) - 1
     groups: dict[int, list[tuple[int, list[int]]]] = {}  # by gap: open sequences alike
     for a in range(capacity, 0, -1):
         while left[a]:
@@ -178,7 +213,23 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, list[
                 del groups[gap]
             groups.setdefault(gap - a, []).append((n, [*lengths, a]))
             left[a] -= n
-    return plan + [x for group in groups.values() for x in group]
+    return [x for group in groups.values() for x in group]
+
+
+def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Patterns (how often, lengths) that use up all counts in as few sequences as any plan tried."""
+    best = None
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
+    for most in (3, 2, 1, 0):
+        for least_first in (1, capacity // 2 + 1) if most > 1 else (1,):
+            index = SumIndex(counts, capacity)
+            plan = exact_patterns(index, most, least_first) if most else []
+            plan += best_fit(index.left)
+            if best is None or sum(t for t, _ in plan) < sum(t for t, _ in best):
+                best = plan
+            if sum(t for t, _ in best) <= bound:
+                return best
+    return best
 
 
 def _slots(plan: list[tuple[int, list[int]]], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:
