@@ -1,15 +1,26 @@
-"""Token counts by prefix dynamic programming over SentencePiece segments.
-
-No piece of the vocabulary has a word mark after another character, so no merge
-crosses the start of a segment (a run of word marks and what follows it).  The
-count of a prefix that ends at a segment is therefore the count of the prefix
-before it plus the segment's own: one addition a segment, with each distinct
-segment encoded once a task.  The exact counts of all these prefixes are stored
-beside their ends, and truncation and budget questions are answered from them;
-a prefix that ends inside a segment adds that one partial segment.
-
-The property is checked on the vocabulary when it is loaded.  Defined results: a
-null or empty text has no bytes, tokens or prefixes; rows are kept one for one.
+"""Token counts by prefix dynamic programming over SentencePiece text.
+
+The count of tokens is known at every prefix of a text, in two levels that add up:
+
+1. No piece of the vocabulary has a word mark after another character, so no merge
+   crosses the start of a segment (a run of word marks and what follows it).  The
+   count at a segment's end is the count before it plus the segment's own: one
+   addition a segment, with each distinct segment counted once a task.
+2. Within a segment, a sequence of pieces is the encoding just if each two
+   neighbours are the encoding of what they spell together.  So the last piece of a
+   prefix is the one piece that ends there and agrees with the last piece before it,
+   and the prefix has one token more than that shorter prefix.  Each place looks at
+   the pieces that end there only; no prefix is encoded again.  Whether two pieces
+   agree is asked of the library once a task and remembered.
+
+Truncation and budget questions are answered from these counts: ``cut_for_budget`` and
+``tokens_of_prefix`` from the stored ones, ``longest_fit`` within the pass over a text.
+A longer prefix may have fewer tokens (a merge), so the longest fit is the last place
+that fits, not the place before the first that doesn't.
+
+The properties are checked on the vocabulary when it is loaded.  Defined results: a
+null or empty text has no bytes and no tokens, and its one prefix, the empty one, has
+none; rows are kept one for one.
 """
 
 from __future__ import annotations
@@ -27,32 +38,45 @@ from .common import table
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct segments that a task remembers (memory only; counts don't depend on it).
-MEMORY = 300_000
+#: Distinct segments (of at most so many characters) and pairs of pieces that a task
+#: remembers: memory only, counts don't depend on it.
+MEMORY, REMEMBERED = 300_000, 64
+#: A character that no piece has: nothing merges with it.
+BARRIER = "\ue000"
 
 
 @lru_cache(maxsize=2)
 def _processor(model: str):
+    """The library's processor, its pieces (without bytes and control signs) and the tokens of BARRIER."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    crossing = [p for p in map(sp.id_to_piece, range(sp.vocab_size())) if MARK in p.lstrip(MARK)]
-    if crossing or not sp.encode(" a", out_type=str)[0].startswith(MARK):
-        raise ValueError(f"{model}: merges cross segments or there is no leading word mark; prefix counts would not be exact")
-    return sp
+    pieces = {sp.id_to_piece(i) for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    ahead = len(sp.encode(BARRIER))
+    whole = list(pieces)
+    own = sp.encode([BARRIER + p for p in whole], num_threads=1)
+    if any(MARK in p.lstrip(MARK) for p in pieces) or not sp.encode(" a", out_type=str)[0].startswith(MARK) or any(BARRIER in p for p in pieces) or any(len(x) != ahead + 1 for x in own):
+        raise ValueError(f"{model}: merges cross segments, or pieces aren't their own encoding; prefix counts would not be exact")
+    return sp, frozenset(pieces), ahead
 
 
 def segments(text: str) -> list[str]:
     """The text as the library sees it (a leading mark, marks for spaces), cut before each run of marks."""
-    return SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
+    if not text:
+        return []
+    if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+        return [MARK + w for w in text.split(" ")]
+    return SEGMENT.findall(MARK + text.replace(" ", MARK))
 
 
 class PrefixCounter:
-    """Counts of all segment prefixes of a text, with the counts of segments remembered."""
+    """Counts of prefixes of texts, with the counts of segments and pairs of pieces remembered."""
 
     def __init__(self, model: str):
-        self.sp = _processor(model)
+        self.sp, self.pieces, self.ahead = _processor(model)
+        self.longest = max(map(len, self.pieces))
         self.known: dict[str, int] = {}
+        self.agreed: dict[tuple[str, str], bool] = {}
 
     def own(self, parts: list[str]) -> list[int]:
         """Tokens of each segment."""
@@ -62,33 +86,97 @@ class PrefixCounter:
                 self.known.clear()
             new = [p for p in dict.fromkeys(parts) if p not in self.known]
             # The library puts one mark before each text, so a segment's first mark is left out.
-            self.known.update(zip(new, map(len, self.sp.encode([p[1:] for p in new], num_threads=1))))
-            if MARK in self.known:  # the library gives an empty text no token, but a lone mark is one
-                self.known[MARK] = 1
-            got = list(map(self.known.__getitem__, parts))
+            found = dict(zip(new, map(len, self.sp.encode([p[1:] for p in new], num_threads=1))))
+            if MARK in found:  # the library gives an empty text no token, but a lone mark is one
+                found[MARK] = 1
+            got = [found[p] if n is None and p in found else n if n is not None else self.known[p] for p, n in zip(parts, got)]
+            self.known.update((p, n) for p, n in found.items() if len(p) <= REMEMBERED)
         return got
 
-    def prefixes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ends (code points of the text) and exact token counts of the segment prefixes."""
-        if not text:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        parts = [MARK + w for w in text.split(" ")] if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " " else segments(text)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int32, len(parts)), dtype=np.int32) - 1
-        return ends, np.cumsum(np.array(self.own(parts), np.int32), dtype=np.int32)
+    def agree(self, a: str, b: str) -> bool:
+        """Are two neighbouring pieces the encoding of what they spell?"""
+        found = self.agreed.get((a, b))
+        if found is None:
+            if len(self.agreed) > MEMORY:
+                self.agreed.clear()
+            found = self.agreed[a, b] = self.sp.encode(BARRIER + a + b, out_type=str)[self.ahead :] == [a, b]
+        return found
+
+    def within(self, segment: str) -> list[int]:
+        """Tokens of every prefix of a segment, the empty one first."""
+        counts, last = [0], [""]
+        for end in range(1, len(segment) + 1):
+            sign = segment[end - 1]
+            if sign not in self.pieces:  # spelt by its bytes; nothing merges with it
+                counts.append(counts[-1] + len(sign.encode()))
+                last.append("")
+                continue
+            for start in range(max(0, end - self.longest), end):
+                piece = segment[start:end]
+                if piece in self.pieces and (not last[start] or self.agree(last[start], piece)):
+                    counts.append(counts[start] + 1)
+                    last.append(piece)
+                    break
+            else:
+                raise ValueError(f"no piece ends at {end} of {segment!r}")
+        return counts
+
+    def ends(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Segments of a text, where they end (code points of the text), and the tokens up to there."""
+        parts = segments(text)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) - 1
+        return parts, ends, np.cumsum(np.array(self.own(parts), np.int64))
+
+    def every(self, text: str) -> np.ndarray:
+        """Tokens of every prefix of a text, the empty one first."""
+        parts, _, done = self.ends(text)
+        out = [np.zeros(1, np.int64)]
+        for i, part in enumerate(parts):
+            own = np.array(self.within(part)[1 if i else 2 :], np.int64)  # the first mark is not in the text
+            out.append(own + (done[i - 1] if i else 0))
+        return np.concatenate(out)
+
+    def longest_fit(self, text: str, limit: int) -> tuple[int, int]:
+        """Tokens of a text, and code points of its longest prefix of at most limit tokens."""
+        parts, ends, done = self.ends(text)
+        if not parts or done[-1] <= limit:
+            return (int(done[-1]) if parts else 0), len(text)
+        i = int(np.searchsorted(done, limit, side="right"))  # the first segment that ends beyond the limit
+        start, before = (int(ends[i - 1]), int(done[i - 1])) if i else (-1, 0)
+        inside = self.within(parts[i])
+        fits = max(k for k, n in enumerate(inside) if before + n <= limit)
+        return int(done[-1]), max(0, start + fits)
+
+
+def prefix_counts(documents: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, prefix_tokens): ``prefix_tokens[k]`` is the exact token count of the first k code points."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PrefixCounter(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                found = [counter.every(t) for t in texts]
+                columns = [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([int(x[-1]) for x in found], pa.int64()), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "prefix_tokens"])
+
+    kind = documents.schema[id_col].dataType.simpleString()
+    return documents.select(F.col(id_col).alias("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, prefix_tokens array<int>")
+
+
+def cut_for_budget(budget: int) -> Column:
+    """Code points of the longest prefix of at most ``budget`` tokens, from the stored counts."""
+    return F.array_max(F.transform("prefix_tokens", lambda n, k: F.when(n <= budget, k)))
 
-def _flat(lists: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
 
+def tokens_of_prefix(n_chars: Column) -> Column:
+    """Tokens of the first n_chars code points, from the stored counts."""
+    return F.get("prefix_tokens", n_chars)
 
-def prefix_counts(documents: DataFrame, model: str, id_col: str = "doc_id", with_ends: bool = True) -> DataFrame:
-    """One row a document: id, n_bytes, prefix_tokens and, if asked for, prefix_ends.
 
-    ``prefix_tokens[i]`` is the exact token count of the first ``prefix_ends[i]``
-    code points; the last is that of the whole text.
-    """
+def token_counts(documents: DataFrame, model: str, limit: int, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, chars_in_limit): the count of each whole text and its longest prefix within the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(model)
@@ -96,44 +184,17 @@ def prefix_counts(documents: DataFrame, model: str, id_col: str = "doc_id", with
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                found = [counter.prefixes(t) for t in texts]
-                columns = [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), _flat([c for _, c in found])]
-                names = ["doc_id", "n_bytes", "prefix_tokens"]
-                if with_ends:
-                    columns.append(_flat([e for e, _ in found]))
-                    names.append("prefix_ends")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                found = np.array([counter.longest_fit(t, limit) for t in texts], np.int64).reshape(-1, 2)
+                columns = [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "chars_in_limit"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, prefix_tokens array<int>" + ", prefix_ends array<int>" * with_ends
-    return documents.select(F.col(id_col).alias("doc_id"), "text").mapInArrow(run, schema)
-
-
-def total_tokens() -> Column:
-    """Tokens of the whole text, from the stored prefixes."""
-    return F.coalesce(F.get("prefix_tokens", F.size("prefix_tokens") - 1), F.lit(0)).cast("long")
-
-
-def cut_for_budget(budget: int) -> Column:
-    """Code points of the longest stored prefix of at most ``budget`` tokens."""
-    fits = F.size(F.filter("prefix_tokens", lambda n: n <= budget))
-    return F.coalesce(F.get("prefix_ends", fits - 1), F.lit(0))
-
-
-def count_of_prefix(text: str, ends: list[int], tokens: list[int], n_chars: int, model: str) -> int:
-    """Exact tokens of ``text[:n_chars]``: a stored prefix, and the one segment that is cut, if any."""
-    i = int(np.searchsorted(ends, n_chars, side="right"))
-    start, done = (ends[i - 1], tokens[i - 1]) if i else (0, 0)
-    rest = text[start:n_chars]
-    if not rest:
-        return done
-    counter = PrefixCounter(model)
-    return done + sum(counter.own(segments(rest) if i == 0 else SEGMENT.findall(rest.replace(" ", MARK))))
+    return documents.select(F.col(id_col).alias("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, chars_in_limit long")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text of ``documents``."""
     import public_tokenizers
 
-    counts = prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ends=False)
-    return counts.select("doc_id", "n_bytes", total_tokens().alias("n_tokens"), (total_tokens() > 4096).alias("over_limit"))
+    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "chars_in_limit")

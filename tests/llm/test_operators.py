@@ -87,18 +87,21 @@ def test_token_prefixes(spark):
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    texts = [*odd_texts(), "a  b", " lead", "▁x ▁", "<s>hi</s>\n\n", "🙂 x"]
-    rows = token_counts.prefix_counts(docs(spark, texts), model).withColumn("cut", token_counts.cut_for_budget(10)).collect()
-    assert len(rows) == len(texts)
-    by_text = {r["doc_id"]: r for r in rows}
+    texts = [*odd_texts(), "a  b", " lead", "▁x ▁", "<s>hi</s>\n\n", "🙂 x", "日本語の文章" * 60, "\ue000a" * 9]
+    texts = [t if t is None else t[:1200] for t in texts]
+    df = docs(spark, texts)
+    stored = token_counts.prefix_counts(df, model).withColumns({"cut": token_counts.cut_for_budget(10), "seven": token_counts.tokens_of_prefix(F.lit(7))})
+    by_text = {r["doc_id"]: r for r in stored.collect()}
+    brief = {r["doc_id"]: r for r in token_counts.token_counts(df, model, 10).collect()}
+    assert len(by_text) == len(brief) == len(texts)
     for i, t in enumerate(texts):
-        r = by_text[None if i == 3 else i]
-        ends, tokens = r["prefix_ends"], r["prefix_tokens"]
-        assert (tokens[-1] if tokens else 0) == len(sp.encode(t or "")) and r["n_bytes"] == len((t or "").encode())
-        for k in range(0, min(len(t or ""), 60), 3):
-            assert token_counts.count_of_prefix(t, ends, tokens, k, model) == len(sp.encode(t[:k]))
-        if tokens and tokens[0] <= 10:
-            assert len(sp.encode(t[: r["cut"]])) <= 10
+        r, b = by_text[None if i == 3 else i], brief[None if i == 3 else i]
+        expected = [len(x) for x in sp.encode([(t or "")[:k] for k in range(len(t or "") + 1)])]
+        assert list(r["prefix_tokens"]) == expected and r["n_tokens"] == b["n_tokens"] == expected[-1]
+        assert r["n_bytes"] == b["n_bytes"] == len((t or "").encode())
+        assert r["cut"] == b["chars_in_limit"] == max(k for k, n in enumerate(expected) if n <= 10)
+        assert r["seven"] == (expected[7] if len(expected) > 7 else None)
+    assert token_counts.prefix_counts(df.limit(0), model).count() == token_counts.token_counts(df.limit(0), model, 10).count() == 0
 
 
 def test_packing(spark):
@@ -141,10 +144,10 @@ def test_packing_of_long_white_space(spark):
         assert [c for _, c in got[i]["pieces"]] == [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(ids)])]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(5))
 def test_packing_plan(seed):
     rng = np.random.default_rng(seed)
-    lengths = np.clip(rng.lognormal(5 + seed * 0.5, 1, 4000).astype(int), 1, 2048)
+    lengths = rng.integers(1, 2049, 4000) if seed == 4 else np.clip(rng.lognormal(5 + seed * 0.5, 1, 4000).astype(int), 1, 2048)
     counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
     plan = packing.plan_packing(counts, 2048)
     used: dict[int, int] = {}
@@ -153,7 +156,53 @@ def test_packing_plan(seed):
         for x in own:
             used[x] = used.get(x, 0) + times
     assert used == counts
-    assert sum(t for t, _ in plan) <= -(-int(lengths.sum()) // 2048) * 1.02 + 1
+    assert sum(t for t, _ in plan) <= len(best_fit_decreasing(lengths.tolist(), 2048))
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Gaps of the sequences that plain best-fit decreasing opens, one piece at a time."""
+    import bisect
+
+    gaps: list[int] = []
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(i) if i < len(gaps) else capacity
+        bisect.insort(gaps, gap - x)
+    return gaps
+
+
+@pytest.mark.parametrize("lengths", [[], [2048] * 3, [1], [1025] * 5, [1024] * 5, [700, 700, 648, 1400, 300, 348]])
+def test_packing_plan_of_few_lengths(lengths):
+    counts = dict(zip(*(x.tolist() for x in np.unique(np.array(lengths, int), return_counts=True))))
+    plan = packing.plan_packing(counts, 2048)
+    assert sum(t for t, _ in plan) == len(best_fit_decreasing(lengths, 2048))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sum_index_agrees_with_all_combinations(seed):
+    from itertools import combinations
+
+    rng = np.random.default_rng(seed)
+    pieces = rng.integers(1, 40, 14).tolist()
+    counts = {x: pieces.count(x) for x in pieces}
+    index = packing.SumIndex(counts, 64)
+    for x in pieces[:4]:
+        index.take(x)
+        counts[x] -= 1
+    pieces = [x for x, n in counts.items() for _ in range(n)]
+    sums = [{sum(c) for c in combinations(pieces, k)} for k in (1, 2, 3)]
+    for gap in range(1, 65):
+        found = index.combination(gap, 3)
+        assert (found is None) == all(gap not in s for s in sums)
+        if found:
+            assert sum(found) == gap and len(found) == next(k for k, s in enumerate(sums, 1) if gap in s)
+            assert all(found.count(x) <= counts[x] for x in found)
+        assert index.pairs[gap] == len({tuple(sorted(c)) for c in combinations(pieces, 2) if sum(c) == gap})
+
+
+def test_tables_are_packed_as_well_as_by_best_fit_decreasing(spark):
+    out = packing.pack(common.table(spark, SF, "documents")).select("length", "sequence_id").toPandas()
+    assert out["sequence_id"].nunique() <= len(best_fit_decreasing(out["length"].tolist(), 2048))
 
 
 def brute_contained(texts, items):
