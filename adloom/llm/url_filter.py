@@ -1,10 +1,13 @@
 """URL filters: a blocked Bloom filter ahead of an exact hash join.
 
 Listed canonical URLs (rules: a host and the start of a path) are hashed into a
-blocked Bloom filter.  Each page tests, inside its own row, the keys that could
-list it: every suffix of its host at a label boundary with every listed length
-of path.  Only pages with a possible hit go on to an exact hash join, which
-removes the false positives; all other pages never enter a shuffle.
+blocked Bloom filter, one 64-bit word a block, sized by the number of rules.  Each
+page tests, inside its own row and once, the keys that could list it: every suffix of
+its host at a label boundary with every listed length of path.  Only pages with a
+possible hit go on to an exact hash join, which removes the false positives; all
+other pages never enter a shuffle.  A filter holds at most ``RULES_AT_ONCE`` rules; a
+longer list is dealt by hash to several filters, which are asked one after another, so
+what a task holds stays bounded and the share of false positives stays the same.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and fits no rule; rows are kept one for one, repeats included; an empty rule
@@ -21,13 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
-BLOCK_WORDS = 4
-#: Upper bound of the filter in 64-bit words (512 KB).  More rules than it is
-#: sized for only raise the share of false positives, which the join removes.
-MAX_FILTER_WORDS = 65_536
-BITS_PER_RULE = 16
+#: Bits that a rule sets, and bits of the filter a rule.
+BITS_SET, BITS_A_RULE = 4, 16
+#: Rules of one filter (2 MB of words).
+RULES_AT_ONCE = 1_000_000
 
 
 def canonical_parts(url: Column) -> tuple[Column, Column]:
@@ -42,30 +44,27 @@ def canonical_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), path
 
 
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(n_blocks - 1)).cast("int")
+def _mask(key: Column) -> Column:
+    """The bits that a key sets in its word."""
+    h = F.xxhash64(key, F.lit(1))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(BITS_SET)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return out
 
 
-def _bit(key: Column, word: int) -> Column:
-    """The bit that a key sets in one word of its block."""
-    place = F.pmod(F.xxhash64(key, F.lit(word + 1)), F.lit(64)).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+def _word(key: Column, words: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(words - 1)).cast("int")
 
 
-def build_filter(rules: DataFrame) -> tuple[list[int], int]:
-    """The words of the blocked filter and its number of blocks (a power of two)."""
-    n = max(1, rules.count())
-    blocks = 1 << max(0, math.ceil(math.log2(n * BITS_PER_RULE / (64 * BLOCK_WORDS))))
-    blocks = min(blocks, MAX_FILTER_WORDS // BLOCK_WORDS)
-    words = [0] * (blocks * BLOCK_WORDS)
-    filled = (
-        rules.select(_block(F.col("rule"), blocks).alias("block"), *[_bit(F.col("rule"), i).alias(f"w{i}") for i in range(BLOCK_WORDS)])
-        .groupBy("block")
-        .agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_WORDS)])
-    )
-    for row in filled.collect():  # at most MAX_FILTER_WORDS words
-        words[row["block"] * BLOCK_WORDS : (row["block"] + 1) * BLOCK_WORDS] = [row[f"w{i}"] for i in range(BLOCK_WORDS)]
-    return words, blocks
+def build_filter(rules: DataFrame, n: int) -> list[int]:
+    """The words of the filter of n rules; their number is a power of two."""
+    words = [0] * (1 << max(0, math.ceil(math.log2(max(1, n) * BITS_A_RULE / 64))))
+    filled = rules.groupBy(_word(F.col("rule"), len(words)).alias("at")).agg(F.bit_or(_mask(F.col("rule"))).alias("bits"))
+    for row in filled.collect():  # at most RULES_AT_ONCE / 2 words
+        words[row["at"]] = row["bits"]
+    return words
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -76,8 +75,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rules = rules.where("host is not null and path is not null and action is not null").select(
         F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"), F.length("path").alias("path_len"), "action"
     )
+    n_rules = rules.count()
     lengths = sorted(r[0] for r in rules.select("path_len").distinct().collect())  # bounded by the longest URL
-    words, blocks = build_filter(rules)
+    parts = max(1, math.ceil(n_rules / RULES_AT_ONCE))
+
+    def part_of(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(2)), F.lit(parts))
+
+    def possible(part: int, words: list[int]):
+        bits = F.from_json(F.lit(str(words)), "array<bigint>")  # folded into one constant
+
+        def test(key: Column) -> Column:
+            fits = F.bitwise_not(F.get(bits, _word(key, len(words)))).bitwiseAND(_mask(key)) == 0
+            return fits if parts == 1 else (part_of(key) == part) & fits
+
+        return test
 
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = canonical_parts(F.col("url"))
@@ -86,28 +98,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     usable = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")) if lengths else F.expr("cast(array() as array<int>)")
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(usable, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
-    table_of_words = F.array(*[F.lit(w).cast("long") for w in words])
-
-    def possible(key: Column) -> Column:
-        at = _block(key, blocks) * BLOCK_WORDS
-        tests = [F.get(table_of_words, at + i).bitwiseAND(_bit(key, i)) != 0 for i in range(BLOCK_WORDS)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
-
-    pages = pages.withColumn("hits", F.filter(keys, possible))
-    maybe = pages.where(F.size("hits") > 0)
-    best = (
-        maybe.select("host", "path", F.explode("hits").alias("rule"))
-        .join(rules, "rule")
-        .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("rule").alias("n"), "host_len", "action", "rule")).alias("best"))
-        .select("host", "path", "best.rule", F.col("best.action").alias("verdict"))
-    )
-    rest = pages.where(F.size("hits") <= 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    found = maybe.select("page_id", "host", "path").join(best, ["host", "path"], "left")
-    return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")).unionByName(rest)
+
+    hits = F.expr("cast(array() as array<string>)")
+    for part in range(parts):
+        own = rules.where(part_of(F.col("rule")) == part)
+        words = build_filter(own, n_rules if parts == 1 else own.count())
+        found = F.filter(keys, possible(part, words))
+        hits = found if parts == 1 else F.concat(hits, found)
+    judged = cut(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", hits.alias("hits")))
+
+    tried = judged.where(F.size("hits") > 0).select("row", "page_id", "host", "path", F.explode("hits").alias("rule"))
+    best = F.max(F.when(F.col("action").isNotNull(), F.struct(F.length("rule").alias("n"), "host_len", "action", "rule"))).alias("best")
+    found = tried.join(rules, "rule", "left").groupBy("row", "page_id", "host", "path").agg(best)
+    found = found.select("page_id", "host", "path", "best.rule", F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    rest = judged.where(F.size("hits") <= 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return found.unionByName(rest)
 
 
 #: The rules of the query.

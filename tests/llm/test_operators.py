@@ -51,9 +51,28 @@ def test_url_filter(spark):
     assert (got[0]["host"], got[0]["path"]) == ("", "")
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
-    many = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("action"))
-    hit = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://w.h"), F.col("id").cast("string"), F.lit(".com/")).alias("url"))
-    assert url_filter.filter_urls(hit, many).where("verdict = 'block'").agg(F.count("*"), F.max("page_id")).first() == (3000, 2999)
+    long = spark.createDataFrame([(1, "http://a.com/" + "x" * 200_000 + "/y"), (2, "http://" + "b." * 300 + "com/en/"), (3, "http://ex.org/es")], "page_id long, url string")
+    same = spark.createDataFrame([("com", "/en/", "allow"), ("com", "/en/", "block"), ("b.com", "/x", "allow"), ("ex.org", "/", "allow"), ("org", "/es", "block")], "host string, path string, action string")
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(long, same).collect()} == {(1, None, "allow"), (2, "com/en/", "block"), (3, "ex.org/", "allow")}  # equal lengths: the longer host
+
+
+@pytest.mark.parametrize("at_once", [url_filter.RULES_AT_ONCE, 120_000])
+def test_url_filter_of_many_rules(spark, monkeypatch, at_once):
+    monkeypatch.setattr(url_filter, "RULES_AT_ONCE", at_once)
+    many = spark.range(300_000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("action"))
+    hit = spark.range(299_000, 305_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://w.h"), F.col("id").cast("string"), F.lit(".com/")).alias("url"))
+    got = url_filter.filter_urls(hit, many).groupBy("verdict").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).collect()
+    assert {tuple(r) for r in got} == {("block", 1000, 299_999), ("allow", 5000, 304_999)}
+
+
+def test_url_filter_lets_few_false_positives_pass(spark):
+    rules = spark.range(50_000).select(F.concat(F.lit("r"), "id").alias("rule"))
+    words = url_filter.build_filter(rules, 50_000)
+    others = spark.range(20_000).select(F.concat(F.lit("o"), "id").alias("rule"))
+    for df, low, high in ((rules, 1.0, 1.0), (others, 0.0, 0.03)):
+        rows = df.select(url_filter._word(F.col("rule"), len(words)).alias("at"), url_filter._mask(F.col("rule")).alias("m")).collect()
+        share = sum(words[r["at"]] & r["m"] == r["m"] for r in rows) / len(rows)
+        assert low <= share <= high
 
 
 def test_chat_round_trip(spark):
