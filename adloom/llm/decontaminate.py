@@ -19,9 +19,11 @@ shingles are strewn over a longer stretch of the document.  Candidates are
 verified by exact containment of shingle strings over the whole document.
 
 Minima are computed once for blocks of 16 shingles; larger windows take the least
-of their blocks.  Items are sent to the tasks in blocks of at most
-``ITEMS_AT_ONCE``, so what is broadcast is bounded; a larger benchmark takes more
-passes.  Defined results: null and empty texts have no shingle and match nothing;
+of their blocks.  Distinct item texts are indexed on the driver and sent to the tasks
+in blocks of about ``ITEMS_AT_ONCE`` texts and ``BYTES_AT_ONCE`` bytes; a larger benchmark
+takes more passes over the documents, one after another, so what is held is bounded by
+a block (and by one item's text).  Ids of items come back by a join on the hash of
+their text.  Defined results: null and empty texts have no shingle and match nothing;
 an item of fewer than five words matches only a text of the same words; rows are
 kept apart, repeats of documents and items included.
 """
@@ -36,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 SHINGLE = 5
 LEAST = 16
 #: Items of fewer shingles are looked up by all their shingles.
 SHORT = LEAST // 2 + 1
 PERMUTATIONS = 48
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 32 << 20
 #: Distinct words that a task remembers the hashes of.
 MEMORY = 500_000
 _RANDOM = np.random.default_rng(11)
@@ -120,7 +122,7 @@ def _turned(h: np.ndarray, factor: np.uint64) -> np.ndarray:
 class Index:
     """Shingle hashes of the short items of a block and minima of the others, by size class."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[tuple[int, int], str]]):
         kept = [(i, words_of(t)) for i, t in items]
         kept = [(i, w) for i, w in kept if w]
         self.ids = [i for i, _ in kept]
@@ -204,55 +206,69 @@ def _found(index: Index, hashes: WordHashes, texts: list[list[bytes]], threshold
     return rows
 
 
-def _indexes(benchmark: DataFrame) -> list:
-    """The benchmark as broadcast indexes of about ITEMS_AT_ONCE items each."""
-    items = benchmark.select("item_id", "text")
-    passes = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    sc = benchmark.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    return [sc.broadcast(Index([tuple(r) for r in items.where(part == i).collect()])) for i in range(passes)]
+def _keys(text: str) -> list:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes of blocks of the benchmark's distinct texts, and whether one is the only one."""
+    texts = benchmark.where("text IS NOT NULL").select(*_keys("text"), "text").distinct()
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // ITEMS_AT_ONCE), -(-size // BYTES_AT_ONCE))
+    for i in range(passes):
+        own = texts.where(F.pmod("k1", F.lit(passes)) == i).orderBy("k1", "k2") if passes > 1 else texts.orderBy("k1", "k2")
+        yield Index([((r["k1"], r["k2"]), r["text"]) for r in own.toLocalIterator()]), passes == 1
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of every leak."""
-    kinds = [f"{a} {df.schema[a].dataType.simpleString()}" for df, a in ((documents, "doc_id"), (benchmark, "item_id"))]
-    schema = ", ".join(kinds) + ", n_shingles long, n_shared long, containment double"
-    item_kind = pa.int32() if benchmark.schema["item_id"].dataType.simpleString() == "int" else pa.int64() if benchmark.schema["item_id"].dataType.simpleString() == "bigint" else None
+    documents = documents.select("doc_id", "text")
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n_shingles long, n_shared long"
     out = None
-    for index in _indexes(benchmark):
+    for index, only in _blocks(benchmark):
+        shared = documents.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     few = batch.slice(at, 256)
-                    rows = _found(index.value, hashes, [words_of(t) for t in few.column(1).to_pylist()], threshold)
-                    t, j, n, shared = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+                    rows = _found(shared.value, hashes, [words_of(t) for t in few.column(1).to_pylist()], threshold)
+                    t, j, n, n_shared = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+                    keys = np.array([shared.value.ids[i] for i in j], np.int64).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays(
-                        [few.column(0).take(pa.array(t, pa.int32())), pa.array([index.value.ids[i] for i in j], item_kind), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array([a / b for a, b in zip(shared, n)], pa.float64())],
-                        names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"],
+                        [few.column(0).take(pa.array(t, pa.int32())), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n, pa.int64()), pa.array(n_shared, pa.int64())],
+                        names=["doc_id", "k1", "k2", "n_shingles", "n_shared"],
                     )
 
-        found = documents.select("doc_id", "text").mapInArrow(run, schema)
+        found = documents.mapInArrow(run, schema)
+        if not only:
+            found = cut(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
-    return out
+    items = benchmark.where("text IS NOT NULL").select(*_keys("text"), "item_id")
+    return out.join(items, ["k1", "k2"]).select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def drop_leaky(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of documents, all columns, that contain no benchmark item; no shuffle."""
+    """The rows of documents, all columns, that contain no benchmark item; no shuffle of documents."""
     out, schema, place = documents, documents.schema, documents.columns.index("text")
-    for index in _indexes(benchmark):
+    for index, only in _blocks(benchmark):
+        shared = documents.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     few = batch.slice(at, 256)
                     clean = np.ones(few.num_rows, bool)
-                    clean[[r[0] for r in _found(index.value, hashes, [words_of(t) for t in few.column(place).to_pylist()], threshold)]] = False
+                    clean[[r[0] for r in _found(shared.value, hashes, [words_of(t) for t in few.column(place).to_pylist()], threshold)]] = False
                     yield few.filter(pa.array(clean))
 
         out = out.mapInArrow(run, schema)
+        if not only:
+            out = cut(out)
+            shared.destroy()
     return out
 
 
