@@ -3,7 +3,9 @@
 Statistics of the whole text (sizes, shares of character kinds, repetition) are
 standardised and mapped by random Fourier features, which approximate a Gaussian
 kernel.  Ridge scores come from the normal equations, summed over the partitions
-by Spark; an isotonic fit on the sample's scores then calibrates them.
+by Spark, for each of ``PARTS`` parts of the sample.  Each part is scored by the sums of
+the others, and an isotonic fit on these scores of rows left out calibrates the model
+of all parts.
 
 The fit uses at most ``MAX_LABELLED`` labelled rows (by a hash of the id); scoring
 covers every row.  Labels, lang, source and doc_id are no inputs of a score.
@@ -27,6 +29,8 @@ from .learning import fold, isotonic, labelled_sample
 MAX_LABELLED = 20_000
 FEATURES = 384
 RIDGE = 1e-3
+#: Parts of the labelled rows, each left out once for calibration.
+PARTS = 4
 #: Held-out rows are those with fold HELD_OUT of FOLDS.
 FOLDS, HELD_OUT = 5, 0
 STATISTICS = 22
@@ -91,15 +95,28 @@ class Model:
         return np.interp(self.raw(stats), *self.knots)
 
 
+def ridge_weights(gram: np.ndarray, n: int) -> np.ndarray:
+    """The solution of summed normal equations [X'X | X'y]; the constant is hardly held back."""
+    ridge = RIDGE * n * np.eye(len(gram))
+    ridge[-1, -1] = 1e-9 * max(n, 1)
+    return np.linalg.solve(gram[:, :-1] + ridge, gram[:, -1])
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    sums = np.sum(group["sums"].to_pylist(), axis=0)
+    return pa.table({"i": group["i"].slice(0, 1), "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+
 def _labelled_statistics(documents: DataFrame, sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 few = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([few.column(1), pa.array(list(_stats_of(few, 0)), pa.list_(pa.float64()))], names=["y", "stats"])
+                yield pa.RecordBatch.from_arrays([few.column(1), few.column(2), pa.array(list(_stats_of(few, 0)), pa.list_(pa.float64()))], names=["y", "part", "stats"])
 
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # MAX_LABELLED rows of two numbers
-    return rows.select("text", "y").mapInArrow(run, "y double, stats array<double>")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part")
+    return rows.select("text", "y", part).mapInArrow(run, "y double, part int, stats array<double>")
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
@@ -116,24 +133,28 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Mode
         return model
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((FEATURES + 1, FEATURES + 2))
+        gram = np.zeros((PARTS, FEATURES + 1, FEATURES + 2))
         for batch in batches:
             x = model.features(np.array(batch.column("stats").to_pylist(), np.float64).reshape(-1, STATISTICS))
-            gram += x.T @ np.c_[x, batch.column("y").to_numpy()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1, dtype=np.int32)), pa.array(list(gram), pa.list_(pa.float64()))], names=["i", "part"])
-
-    parts = rows.coalesce(32).mapInArrow(sums, "i int, part array<double>")
-    total = parts.select("i", F.posexplode("part").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    gram = np.zeros((FEATURES + 1, FEATURES + 2))
-    for i, j, v in total.collect():  # FEATURES squared numbers
-        gram[i, j] = v
-    ridge = RIDGE * n * np.eye(FEATURES + 1)
-    ridge[-1, -1] = 1e-9
-    model.weights = np.linalg.solve(gram[:, :-1] + ridge, gram[:, -1])
+            both, part = np.c_[x, batch.column("y").to_numpy()], batch.column("part").to_numpy()
+            for p in range(PARTS):
+                gram[p] += x[part == p].T @ both[part == p]
+        place = np.arange(PARTS * (FEATURES + 1), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(list(gram.reshape(len(place), -1)), pa.list_(pa.float64()))], names=["i", "sums"])
+
+    parts = rows.coalesce(8).mapInArrow(sums, "i int, sums array<double>")  # MAX_LABELLED rows
+    total = parts.groupBy("i").applyInArrow(_summed, "i int, sums array<double>")  # eight rows an i
+    gram = np.zeros((PARTS * (FEATURES + 1), FEATURES + 2))
+    for r in total.toLocalIterator():  # PARTS times FEATURES squared numbers
+        gram[r["i"]] = r["sums"]
+    gram = gram.reshape(PARTS, FEATURES + 1, FEATURES + 2)
+    model.weights = ridge_weights(gram.sum(axis=0), n)
+    left_out = [ridge_weights(gram.sum(axis=0) - gram[p], n) for p in range(PARTS)]
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = model.raw(np.array(batch.column("stats").to_pylist(), np.float64).reshape(-1, STATISTICS))
+            x = model.features(np.array(batch.column("stats").to_pylist(), np.float64).reshape(-1, STATISTICS))
+            raw = (x * np.array(left_out)[batch.column("part").to_numpy()]).sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(np.clip(np.floor(raw * 500), -500, 1000).astype(np.int32)), batch.column("y")], names=["bin", "y"])
 
     bins = rows.mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("p")).orderBy("bin").collect()

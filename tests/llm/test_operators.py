@@ -235,7 +235,10 @@ def brute_contained(texts, items):
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize(("items_at_once", "bytes_at_once"), [(20_000, 32 << 20), (25, 32 << 20), (20_000, 5_000)])
+def test_decontamination(spark, monkeypatch, items_at_once, bytes_at_once):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", items_at_once)
+    monkeypatch.setattr(decontaminate, "BYTES_AT_ONCE", bytes_at_once)
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     items = [" ".join(word() for _ in range(rng.randrange(3, 120))) for _ in range(60)] + [None, "", "one two"]
@@ -245,7 +248,7 @@ def test_decontamination(spark):
         at = rng.randrange(len(texts[i]) + 1)
         texts[i] = texts[i][:at] + " " + items[i % 60].upper() + " " + texts[i][at:]
     texts += [None, "", "one two", items[5], *odd_texts()[:6]]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("doc_id", F.lit(0))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumns({"doc_id": F.lit(0), "k1": F.lit(0)})
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
     assert got == brute_contained(texts, items) and len(got) > 40
     clean = decontaminate.drop_leaky(docs(spark, texts), bench)
@@ -420,6 +423,32 @@ def test_classifiers_on_odd_rows(spark):
     assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), labels), ["doc_id"]).count() == 0
 
 
+def test_normal_equations_and_calibration_on_rows_left_out(spark):
+    sf = "/root/testdata/sf0.01"
+    df, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    model = quality_model.fit(df, labels)
+    sample = {r["doc_id"]: r["y"] for r in learning.labelled_sample(labels, "quality", quality_model.FOLDS, quality_model.HELD_OUT, quality_model.MAX_LABELLED).collect()}
+    rows = df.where(F.col("doc_id").isin(*sample)).select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(quality_model.PARTS)).alias("part")).collect()
+    assert not any(zlib.crc32(str(r["doc_id"]).encode()) % quality_model.FOLDS == quality_model.HELD_OUT for r in rows)
+    stats = np.array([quality_model.statistics(r["text"]) for r in rows])
+    y, part = np.array([sample[r["doc_id"]] for r in rows]), np.array([r["part"] for r in rows])
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.scale, np.where(stats.std(axis=0) > 0, stats.std(axis=0), 1))
+    x = model.features(stats)
+
+    def solved(own):
+        hold = quality_model.RIDGE * len(y) * np.eye(x.shape[1])
+        hold[-1, -1] = 1e-9 * len(y)
+        return np.linalg.lstsq(x[own].T @ x[own] + hold, x[own].T @ y[own], rcond=None)[0]
+
+    assert np.allclose(model.raw(stats), x @ solved(part >= 0), atol=1e-6)
+    raw = np.array([x[i] @ w for i, w in zip(range(len(y)), np.array([solved(part != p) for p in range(quality_model.PARTS)])[part])])
+    bins = np.clip(np.floor(raw * 500), -500, 1000)
+    at = np.unique(bins)
+    knots, heights = learning.isotonic((at + 0.5) / 500, np.array([float((bins == b).sum()) for b in at]), np.array([y[bins == b].sum() for b in at]))
+    grid = np.linspace(-0.5, 1.5, 41)
+    assert np.allclose(np.interp(grid, *model.knots), np.interp(grid, knots, np.clip(heights, 1 / (len(y) + 2), 1 - 1 / (len(y) + 2))), atol=0.02)
+
+
 def test_gaps_and_insertions_stay_close():
     weights = toxicity._fit_words([("idiot", 30), ("worthless", 20)], [(w, 10) for w in ("the", "ideal", "worth", "order", "iota", "less", "riot", "those", "these")])
     words = ["idiot", "id.iot", "idxiot", "i-d-i-o-t", "worthlless", "order", "the", "riot"]
