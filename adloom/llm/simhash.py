@@ -69,18 +69,18 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text, as a signed long."""
+def fingerprints(documents: DataFrame, size: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep and fp, the SimHash of every whole text as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 few = batch.slice(at, 512)
-                fps = np.array([fingerprint(t, size) for t in few.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(fps)], names=["doc_id", "fp"])
+                fps = np.array([fingerprint(t, size) for t in few.column(0).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*few.columns[1:], pa.array(fps)], names=[*keep, "fp"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = "".join(f"{c} {documents.schema[c].dataType.simpleString()}, " for c in keep)
+    return documents.select("text", *keep).mapInArrow(run, f"{kinds}fp long")
 
 
 def _best_cut(own: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
@@ -275,16 +275,37 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return found.distinct()
 
 
+def _roots(fps: DataFrame, radius: int, first: Column) -> DataFrame:
+    """(fp, first, root) of every distinct fingerprint: its least row by ``first``, and its component."""
+    roots = components(near_links(fps, radius))
+    owners = fps.groupBy("fp").agg(F.min(first).alias("first"))
+    return owners.join(roots, owners["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of documents."""
     fps = cut(fingerprints(documents, size))
-    roots = components(near_links(fps, radius))
-    owners = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    owners = owners.join(roots, owners["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    owners = _roots(fps, radius, F.col("doc_id"))
     least = owners.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(owners.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(documents: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
+    """One row of documents, all columns, of every component.
+
+    Rows are judged, not ids: of a component the row with the least doc_id stays (rows
+    without an id last), the least hash of the row among rows of one id, and any one of rows
+    that are alike in id and text.  Rows of one id with unlike texts are apart, so no text
+    is lost for its id.
+    """
+    row = [F.isnull("doc_id"), F.col("doc_id"), F.isnull("text"), F.col("text")]
+    keyed = documents.withColumns({"_k1": F.xxhash64(*row), "_k2": F.xxhash64(F.lit(1), *row)})
+    fps = cut(fingerprints(keyed, size, ("doc_id", "_k1", "_k2")))
+    owners = _roots(fps, radius, F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_k1", "_k2"))
+    stay = owners.groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2")
+    return keyed.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*documents.columns)
+
+
 def hex_of(fp: Column) -> Column:
     """Sixteen lowercase hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
