@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
-from adloom.llm.common import cut, table
+from adloom.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,16 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the least doc_id.
+    """One row of each SimHash component: the one with the least doc_id, rows without an id last.
 
-    Rows with the same id count as one document.  A row without an id stays only if
-    no other row of its component has one, and once for equal texts.
+    Rows are judged, not ids, so rows of one id with unlike texts are kept or dropped
+    each for itself.
     """
-    docs = docs.select(*COLUMNS)
-    first = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "_first"), F.expr("doc_id <=> _first"), "left_semi")
-    kept = kept.withColumn("_own", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return kept.dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def remove_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,15 +55,15 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can't express the stages; tests compare them with brute force.
+#: SQL can't express the stages; tests compare the rows of each with a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; lineage is cut after each."""
+    """All stages over ``documents``; each but the last is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = written(docs)
     return docs
