@@ -1,39 +1,37 @@
-"""Toxicity: a subsequence string-kernel SVM with Nyström landmarks.
-
-Kernel: gap-weighted common subsequences of four letters that span at most six,
-each worth a power of ``DECAY`` in its span, over stretches of a word, or of two
-words that follow each other in a sentence, with the starts marked.  A letter put into an insult, left out or changed leaves most
-subsequences in place; characters that are no letters are passed over, and three
-or more single letters in a row are read as one word.  Letters of other scripts have
-codes of their own, 30 of them by their place in Unicode.  A word of more than
-``PIECE`` characters is read as overlapping pieces, so that no stretch is lost.
-
-Training, on words and word pairs (pairs do not cross the end of a sentence) of
-labelled documents, of which only the document's label is known: (1) letter groups
-that toxic documents have too often (z-scores of document counts, summed by Spark)
-point at witness words and pairs in each toxic document and at the most misleading
-ones of clean ones; (2) frequent witnesses and
-misleading words become landmarks, and a squared-hinge SVM is fitted in their
-Nyström space; (3) witnesses are chosen again by that SVM and it is fitted anew;
-(4) the scores of a document's worst words and pairs are calibrated by a logistic curve on
-documents left out of the fit.
-
-The decision is linear in the landmarks' subsequences, so it collapses into one
-table of subsequence weights, and scoring a word or pair is a sum of table look-ups.
-A document scores by its worst words and its worst pairs.  Whole sentences are no
-instances: an insult that only three or more words make together is seen through
-its pairs.
+"""Toxicity: a subsequence string-kernel SVM with Nyström landmarks, on sentences.
+
+Documents are cut into sentences (at a full stop, exclamation or question mark before
+white space, and at blank lines), and a sentence is read as letters with a mark before
+each word.  Kernel: gap-weighted common subsequences of four letters that span at most
+six, each worth a power of ``DECAY`` in its span, with starts in a stretch of eight
+letters, between runs of one, two or three words (divided by the length of a run in
+feature space, so short words count as long ones).  A sentence scores by its worst run
+of each number of words, so insults of several words are seen whole.  A letter put into
+an insult, left out or changed leaves most subsequences in place; characters that are no
+letters are passed over, and three or more single letters in a row are read as one word.  Letters of other scripts have codes of their own, 30 of them
+by their place in Unicode.
+
+Training, on sentences of labelled documents, which have their document's label: (1)
+letter groups that toxic documents have too often (z-scores of document counts, summed
+by Spark) point at witness sentences of each toxic document and at the most misleading
+ones of clean ones, and in each at its worst run of each number of words; (2) frequent witnesses and misleading runs become landmarks, and a
+squared-hinge SVM is fitted in their Nyström space; (3) witnesses are chosen again by
+that SVM and it is fitted anew.  This is done for all labelled documents and for each
+half of them; the halves score each other's documents, and a logistic curve over the
+worst sentences' scores of these, all left out of the fit that scored them, calibrates.
+
+The decision is linear in the landmarks' subsequences, so it collapses into one table
+of subsequence weights, and scoring a sentence is a sum of table look-ups.
 
 The fit uses at most ``MAX_LABELLED`` labelled rows (by a hash of the id); scoring
 covers every row and whole texts.  Labels, lang, source and doc_id are no inputs of
 a score.  Defined results: a null or wordless text gets the score of no evidence;
-with no labelled rows or one class only, every score is the smoothed share of
-toxic rows.
+where a half of the labelled rows has one class only, or there are none, every score is
+the smoothed share of toxic rows.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
@@ -53,16 +51,18 @@ FOLDS, HELD_OUT = 3, 1
 DECAY = 0.7
 ORDER, SPAN, STRETCH = 4, 6, 8
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 192, 96
-#: Distinct words, and pairs, whose scores a task remembers.
-MEMORY = 400_000, 100_000
-NO_EVIDENCE, EVIDENCE = -2.0, 4
-#: Longest piece of a word, and how far a stretch with its subsequences reaches.
-PIECE, REACH = 32, STRETCH + SPAN - 1
-_ENDS = frozenset(".!?\u3002\uff01\uff1f")
-_BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
+#: Bound of the distinct runs of words of each side in a fit, the most frequent ones.
+TOXIC_RUNS, CLEAN_RUNS = 4_000, 12_000
+#: Sentences of a toxic and of a clean document that are instances of the fit.
+WITNESSES, MISLEADING = 2, 3
+NO_EVIDENCE, EVIDENCE, RUN = -2.0, 4, 3
+#: Characters that a task reads at once; longer texts are read in pieces that share some.
+PIECE, SHARED = 1 << 18, 64
+#: Letters before and after the start of the worst stretch that a run of words may keep.
+AROUND = 24
 _COMBOS = [c for c in combinations(range(1, SPAN), ORDER - 1)]
 _CODES = 1 << (5 * ORDER)
-_SEP, _FILL = 255, 254
+_WORD, _SPACE, _LINE, _END, _TEXT, _FILL = 31, 32, 33, 34, 35, 36
 _LETTER = np.full(0x32000, 30, np.uint8)  # 30: any other sign, and what lies beyond
 _LETTER[:0x300] = _FILL
 _LETTER[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -71,7 +71,12 @@ _LETTER[0x2FF] = 30
 for _c in range(0x370, len(_LETTER)):
     if unicodedata.category(chr(_c))[0] in "LM":
         _LETTER[_c] = 1 + _c % 30
-_LETTER[10], _LETTER[1] = _SEP, 31
+_LETTER[[9, 11, 12, 13, 32, 0x85, 0xA0, 0x3000]] = _SPACE
+_LETTER[[10, 0x2028, 0x2029]] = _LINE
+_LETTER[[ord(c) for c in ".!?。！？"]] = _END
+_LETTER[0] = _TEXT
+#: Codes of four letters, none of them the gap between sentences.
+_VALID = np.all([(np.arange(_CODES) >> (5 * i)) & 31 != 0 for i in range(ORDER)], axis=0)
 
 
 def _norms() -> np.ndarray:
@@ -86,110 +91,133 @@ _NORM = _norms()
 
 
 class Letters:
-    """Words as one flat array of letter codes."""
-
-    def __init__(self, words: list[str]):
-        points = np.frombuffer(("\x01" + "\n\x01".join(words)).encode("utf-32-le", "replace"), np.uint32)
-        code = _LETTER[np.minimum(points, len(_LETTER) - 1)]
-        word = np.cumsum(code == _SEP)
-        keep = code < _FILL
-        self.n = len(words)
-        self.code, self.word = code[keep].astype(np.int32), word[keep]
-        self.start = np.searchsorted(self.word, np.arange(self.n))  # each word has its marker
-        self.end = np.r_[self.start[1:], len(self.code)]
-
-    def groups(self, combos=_COMBOS) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-        """(first place, code, weight) of all subsequences of each shape."""
-        n = len(self.code)
+    """Sentences as one flat array of letter codes, with STRETCH zeros before each and after the last."""
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray):
+        self.flat, self.start, self.end, self.text = flat, start, end, text
+
+    @classmethod
+    def of_texts(cls, texts: list[str | None]) -> Letters:
+        points = np.frombuffer("\0".join((t or "").replace("\0", " ") for t in texts).lower().encode("utf-32-le", "replace"), np.uint32)
+        raw = _LETTER[np.minimum(points, len(_LETTER) - 1)]
+        after = np.r_[raw[1:], _TEXT]
+        raw = np.where((raw == _END) & ((after < _SPACE) | (after == _FILL) | (after == _END)), _FILL, raw)  # within a word
+        at = np.flatnonzero(raw < _SPACE)
+        n = len(at)
+        if not n:
+            return cls(np.zeros(STRETCH, np.int32), *(np.zeros(0, np.int64),) * 3)
+        gaps = np.cumsum((raw >= _SPACE) & (raw < _FILL))[at]
+        breaks = np.cumsum(np.array([0, 1, 2, 2, 0], np.int8)[np.clip(raw, _SPACE, _FILL) - _SPACE], dtype=np.int64)[at]
+        of = np.cumsum(raw == _TEXT)[at]
+        first = np.r_[True, np.diff(breaks) > 1]  # a blank line, or the end of a sentence or text
+        word = np.r_[True, np.diff(gaps) > 0] | first
+        one = word & np.r_[word[1:], True]  # words of one letter
+        joined = np.r_[False, one[1:] & one[:-1] & ~first[1:]]  # to the one before
+        run = joined & (np.r_[False, joined[:-1]] | np.r_[joined[1:], False])
+        word &= ~run
+        place = np.cumsum(1 + word + STRETCH * first) - 1
+        flat = np.zeros(place[-1] + 1 + STRETCH, np.int32)
+        flat[place] = raw[at]
+        flat[place[word] - 1] = _WORD
+        start = place[first] - 1
+        return cls(flat, start, np.r_[place[np.flatnonzero(first)[1:] - 1], place[-1]] + 1, of[first])
+
+    @classmethod
+    def of_codes(cls, pieces: list[bytes]) -> Letters:
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        start = np.cumsum(sizes + STRETCH) - sizes
+        flat = np.frombuffer(b"".join(bytes(STRETCH) + p for p in pieces) + bytes(STRETCH), np.uint8).astype(np.int32)
+        return cls(flat, start, start + sizes, np.arange(len(pieces)))
+
+    def groups(self, combos=_COMBOS) -> Iterator[tuple[np.ndarray, float]]:
+        """Codes of all subsequences of each shape, by their first place, and their weight."""
+        parts = [self.flat << (5 * i) for i in range(ORDER)]
         for c in combos:
-            m = n - c[-1]
-            if m <= 0:
-                continue
-            at = np.flatnonzero(self.word[:m] == self.word[c[-1] :])
-            code = self.code[at]
-            for d in c:
-                code = (code << 5) | self.code[at + d]
-            yield at, code, DECAY ** (c[-1] + 1)
+            n = max(0, len(self.flat) - c[-1])
+            code = parts[3][:n] + parts[2][c[0] : c[0] + n] + parts[1][c[1] : c[1] + n] + parts[0][c[2] : c[2] + n]
+            yield code, DECAY ** (c[-1] + 1)
+
+    def values(self, weights: np.ndarray, combos=_COMBOS) -> list[np.ndarray]:
+        """For runs of 1, 2, ... RUN words, at each place in the run's first word: the normalised weight of the stretch from there."""
+        word = np.cumsum(self.flat == _WORD)
+        t = np.zeros((RUN, len(self.flat) + 1))
+        sums: dict[int, np.ndarray] = {}
+        for (code, w), c in zip(self.groups(combos), combos):
+            own = weights[code] * np.float32(w)
+            sums[c[-1]] = sums[c[-1]] + own if c[-1] in sums else own
+        for last, own in sums.items():
+            wide = word[last:] - word[: len(own)]
+            for r in range(RUN):
+                t[r, 1 : len(own) + 1] += np.where(wide <= r, own, 0)
+        total = np.cumsum(t, axis=1)
+        at = np.flatnonzero(self.flat)
+        first = np.flatnonzero(self.flat == _WORD)
+        sentence = np.searchsorted(self.start, first, side="right") - 1
+        ends = np.minimum(np.r_[first[1:], len(self.flat)], self.end[sentence])
+        w = word[at] - 1
+        out = []
+        for r in range(RUN):
+            have = np.r_[sentence[r:] == sentence[: len(sentence) - r], np.zeros(min(r, len(sentence)), bool)]
+            own = have[w]
+            place, a = at[own], w[own]
+            stop = np.minimum(place + STRETCH, ends[a + r])
+            value = np.zeros(len(place))
+            low = place
+            for k in range(r + 1):  # starts in the run's k-th word reach into what is left of the run
+                high = np.maximum(low, np.minimum(stop, ends[a + k]))
+                value += total[r - k][high] - total[r - k][low]
+                low = high
+            value /= _NORM[np.minimum(ends[a + r] - first[a], len(_NORM) - 1)]
+            value[(place != first[a]) & (place + STRETCH > ends[a + r])] = -np.inf
+            whole = np.full(len(self.flat), -np.inf)
+            whole[place] = value
+            out.append(whole)
+        return out
 
     def scores(self, weights: np.ndarray, combos=_COMBOS) -> np.ndarray:
-        """The greatest normalised weight of any stretch of each word."""
-        t = np.zeros(len(self.code) + 1)
-        for at, code, w in self.groups(combos):
-            t[at] += w * weights[code]
-        total = np.r_[0.0, np.cumsum(t[:-1])]
-        at = np.arange(len(self.code))
-        end = self.end[self.word]
-        value = total[np.minimum(at + STRETCH, end)] - total[at]
-        value[(at != self.start[self.word]) & (at + STRETCH > end)] = -np.inf
-        best = np.maximum.reduceat(value, self.start)
-        return best / _NORM[np.minimum(self.end - self.start, len(_NORM) - 1)]
-
-
-def words_of(text: str | None) -> set[str]:
-    """Distinct words of a text, lower-cased; runs of single letters are one word more."""
-    words = (text or "").lower().split()
-    out = set(words)
-    if len(words) > 2:
-        single = np.fromiter(map(len, words), np.int32, len(words)) == 1
-        run = np.flatnonzero(single[:-2] & single[1:-1] & single[2:])
-        i = -1
-        for r in run.tolist():
-            if r > i:
-                i = r
-                while i + 1 < len(words) and single[i + 1]:
-                    i += 1
-                out.add("".join(words[r : i + 1]))
-    for w in [w for w in out if len(w) > PIECE]:
-        out.remove(w)
-        out.update(w[i : i + PIECE] for i in range(0, len(w) - REACH, PIECE - REACH))
-    return out
-
-
-def pairs_of(text: str | None) -> set[str]:
-    """Distinct pairs of neighbouring words of one sentence, as far as a stretch reaches from the gap."""
-    out: set[str] = set()
-    for part in _BLANK_LINE.split((text or "").lower()):
-        words = part.split()
-        out.update([f"{a[-REACH:]}\x01{b[:REACH]}" for a, b in zip(words, words[1:]) if a[-1] not in _ENDS])
-    return out
-
-
-def bags_of(text: str | None) -> tuple[set[str], set[str]]:
-    return words_of(text), pairs_of(text)
-
-
-class Scorer:
-    """Scores of words and of pairs by one table of weights, remembered."""
-
-    def __init__(self, weights: np.ndarray, combos=_COMBOS):
-        self.weights, self.combos, self.known = weights, combos, ({}, {})
-
-    def learn(self, bags: list[tuple[set[str], set[str]]]) -> None:
-        for kind, (known, memory) in enumerate(zip(self.known, MEMORY)):
-            if len(known) > memory:
-                known.clear()
-            new = [w for w in set().union(*(b[kind] for b in bags)) if w not in known]
-            for i in range(0, len(new), 50_000):
-                part = new[i : i + 50_000]
-                known.update(zip(part, Letters(part).scores(self.weights, self.combos).tolist()))
-
-    def evidence(self, bags: list[tuple[set[str], set[str]]]) -> np.ndarray:
-        """EVIDENCE numbers about the worst words and as many about the worst pairs of each text."""
-        self.learn(bags)
-        out = np.zeros((len(bags), 2, EVIDENCE))
-        out[:, :, :2] = NO_EVIDENCE
-        for i, both in enumerate(bags):
-            for kind, bag in enumerate(both):
-                if bag:
-                    s = np.fromiter(map(self.known[kind].__getitem__, bag), np.float64, len(bag))
-                    over = int((s > 0).sum())
-                    best = np.partition(s, len(s) - 3)[-3:] if len(s) > 3 else np.r_[np.full(3 - len(s), NO_EVIDENCE), s]
-                    best = np.maximum(best, NO_EVIDENCE)
-                    out[i, kind] = best.max(), best.mean(), np.log1p(over), np.log1p(100 * over / len(s))
-        return out.reshape(len(bags), 2 * EVIDENCE)
-
-    def top(self, bag: set[str], kind: int, n: int) -> list[str]:
-        return sorted(sorted(bag), key=self.known[kind].__getitem__, reverse=True)[:n]
+        """[sentence, words of a run]: the greatest weight of any stretch, -inf without such a run."""
+        if not len(self.start):
+            return np.zeros((0, RUN))
+        return np.stack([np.maximum.reduceat(v, self.start) for v in self.values(weights, combos)], axis=1)
+
+    def norms(self) -> np.ndarray:
+        return _NORM[np.minimum(self.end - self.start, len(_NORM) - 1)]
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts, cut if long, in lots of about PIECE characters, and which text each belongs to."""
+    own, of, size = [], [], 0
+    for i, text in enumerate(texts):
+        text = text or ""
+        for at in range(0, max(1, len(text) - SHARED), PIECE - SHARED):
+            own.append(text[at : at + PIECE])
+            of.append(i)
+            size += len(own[-1])
+            if size >= PIECE:
+                yield own, of
+                own, of, size = [], [], 0
+    if own:
+        yield own, of
+
+
+def evidence_of(texts: list[str | None], weights: np.ndarray, combos=_COMBOS) -> np.ndarray:
+    """EVIDENCE numbers about the worst sentences of each text, for runs of each number of words."""
+    scores, text = [np.zeros((0, RUN))], [np.zeros(0, np.int64)]
+    for own, of in _pieces(texts):
+        letters = Letters.of_texts(own)
+        scores.append(letters.scores(weights, combos))
+        text.append(np.array(of, np.int64)[letters.text])
+    scores, text = np.concatenate(scores), np.concatenate(text)
+    out = np.zeros((len(texts), RUN, EVIDENCE))
+    out[:, :, :2] = NO_EVIDENCE
+    starts = np.searchsorted(text, np.arange(len(texts) + 1))
+    for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+        for r in range(RUN if b > a else 0):
+            s = np.unique(scores[a:b, r])  # sentences alike count once
+            best = np.maximum(s[-3:], NO_EVIDENCE)
+            over = int((s > 0).sum())
+            out[i, r] = best[-1], best.mean(), np.log1p(over), np.log1p(100 * over / len(s))
+    return out.reshape(len(texts), RUN * EVIDENCE)
 
 
 class Model:
@@ -204,55 +232,95 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[evidence, np.ones(len(evidence))] @ self.curve, -30, 30)))
 
 
-def _group_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic and clean documents that have each run of four letters."""
+def _group_counts(rows: DataFrame) -> np.ndarray:
+    """[half, label, code]: documents of each half and label that have each run of four letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, _CODES), np.int32)
+        counts = np.zeros((4, _CODES), np.int32)
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = list(set().union(*bags_of(text)))
-                for _, code, _ in Letters(words).groups(_COMBOS[:1]) if words else ():
-                    counts[int(y), np.unique(code)] += 1
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                kind = 2 * few.column("half").to_numpy() + few.column("y").to_numpy().astype(np.int64)
+                seen = [np.zeros(0, np.int64)]
+                for own, of in _pieces(few.column("text").to_pylist()):
+                    letters = Letters.of_texts(own)
+                    code = next(letters.groups(_COMBOS[:1]))[0]
+                    place = np.flatnonzero(_VALID[code])
+                    text = np.array(of, np.int64)[letters.text[np.searchsorted(letters.start, place, side="right") - 1]] if len(place) else place
+                    seen.append(np.unique(text * _CODES + code[place]))
+                text, code = np.divmod(np.unique(np.concatenate(seen)), _CODES)
+                np.add.at(counts, (kind[text], code), 1)
         some = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(counts[i, some].astype(np.int64)) for i in (1, 0))], names=["code", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(counts[i, some].astype(np.int64)) for i in range(4))], names=["code", "n0", "n1", "n2", "n3"])
+
+    sums = rows.select("text", "y", "half").mapInArrow(run, "code int, n0 long, n1 long, n2 long, n3 long").groupBy("code").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
+    got = sums.where("n0 + n1 + n2 + n3 > 1").toArrow()  # at most 2 ** 20 rows
+    out = np.zeros((4, _CODES))
+    for i in range(4):
+        out[i, got["code"].to_numpy()] = got[f"n{i}"].to_numpy()
+    return out.reshape(2, 2, _CODES)
+
 
-    sums = rows.mapInArrow(run, "code int, toxic long, clean long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    got = sums.where("toxic + clean > 1").toArrow()  # at most 2 ** 20 rows
-    toxic, clean = np.zeros(_CODES), np.zeros(_CODES)
-    code = got["code"].to_numpy()
-    toxic[code], clean[code] = got["toxic"].to_numpy(), got["clean"].to_numpy()
-    return toxic, clean
+def _worst_run(letters: Letters, values: list[np.ndarray], r: int, sentence: int) -> bytes:
+    """The letters of the run of r + 1 words that holds a sentence's worst stretch."""
+    a, b = int(letters.start[sentence]), int(letters.end[sentence])
+    p = a + int(np.argmax(values[r][a:b]))
+    words = np.r_[np.flatnonzero(letters.flat[a:b] == _WORD) + a, b]
+    w = int(np.searchsorted(words, p, side="right")) - 1
+    return letters.flat[max(words[w], p - AROUND) : min(words[w + r + 1], p + AROUND)].astype(np.uint8).tobytes()
 
 
-def _instances(rows: DataFrame, weights: np.ndarray, combos) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
-    """Witness words and pairs of toxic documents, misleading and other ones of clean ones, with counts."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+def _instances(rows: DataFrame, tables: list[np.ndarray], combos) -> list[tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]]:
+    """For each table of weights the witness runs of toxic documents, and misleading and other ones of clean ones, with counts.
+
+    Table 0 and 1 are of the halves, and get their own half's documents; table 2 gets all.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, combos)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
-                bags = [bags_of(t) for t in few.column(0).to_pylist()]
-                scorer.learn(bags)
-                out = []
-                for both, y in zip(bags, few.column(1).to_pylist()):
-                    for kind, bag in enumerate(both):
-                        out += [(w, int(y)) for w in scorer.top(bag, kind, 2 if y else 3)]
-                        if not y:
-                            out += [(w, 0) for w in sorted(bag, key=hash_of)[:2]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], names=["word", "y"])
-
-    from xxhash import xxh3_64_intdigest as hash_of
-
-    got = rows.mapInArrow(run, "word string, y int").groupBy("word", "y").count().collect()  # five words and five pairs a sampled document
-    times = {(r["word"], r["y"]): r["count"] for r in got}
-    n_toxic, n_clean = (max(1, sum(n for (_, y), n in times.items() if y == k)) for k in (1, 0))
-    # A witness that is as usual in clean documents is none.
-    toxic = [(w, n) for (w, y), n in times.items() if y and n / n_toxic > 4 * times.get((w, 0), 0) / n_clean]
-    clean = [(w, n) for (w, y), n in times.items() if not y]
-    return sorted(toxic, key=lambda x: (-x[1], x[0])), sorted(clean, key=lambda x: (-x[1], x[0]))
+            out: list[tuple[int, bytes, int]] = []
+            for at in range(0, batch.num_rows, 64):
+                few = batch.slice(at, 64)
+                for half in (0, 1):
+                    own = few.filter(pa.array(few.column("half").to_numpy() == half))
+                    y = own.column("y").to_numpy().astype(int)
+                    for texts, of in _pieces(own.column("text").to_pylist()):
+                        letters = Letters.of_texts(texts)
+                        if not len(letters.start):
+                            continue
+                        text = np.array(of)[letters.text]
+                        for which in (half, 2):
+                            values = letters.values(shared.value[which], combos)
+                            for r in range(RUN):
+                                scores = np.maximum.reduceat(values[r], letters.start)
+                                for i in np.unique(text[np.isfinite(scores)]).tolist():
+                                    there = np.flatnonzero((text == i) & np.isfinite(scores))
+                                    worst = there[np.unique(-scores[there], return_index=True)[1]]  # sentences alike count once
+                                    some = worst[: WITNESSES if y[i] else MISLEADING].tolist()
+                                    if not y[i]:
+                                        some += there[[len(there) // 3, 2 * len(there) // 3]].tolist()
+                                    out += [(which, _worst_run(letters, values, r, s), int(y[i])) for s in some]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int32())], names=["which", "run", "y"])
+
+    counted = rows.select("text", "y", "half").mapInArrow(run, "which int, run binary, y int").groupBy("which", "run", "y").count()
+    times: list[dict[tuple[bytes, int], int]] = [{}, {}, {}]
+    for r in counted.toLocalIterator():  # a few runs a sampled document
+        times[r["which"]][bytes(r["run"]), r["y"]] = r["count"]
+    out = []
+    for own in times:
+        n_toxic, n_clean = (max(1, sum(n for (_, y), n in own.items() if y == k)) for k in (1, 0))
+        # A witness that is as usual in clean documents is none.
+        toxic = [(w, n) for (w, y), n in own.items() if y and n / n_toxic > 4 * own.get((w, 0), 0) / n_clean]
+        clean = [(w, n) for (w, y), n in own.items() if not y]
+        out.append(tuple(sorted(x, key=lambda x: (-x[1], _mixed(x[0]))) for x in (toxic, clean)))
+    return [(toxic[:TOXIC_RUNS], clean[:CLEAN_RUNS]) for toxic, clean in out]
+
+
+def _mixed(run: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(run)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
@@ -261,52 +329,63 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -
     w = np.zeros(x.shape[1])
     keep = np.eye(x.shape[1])
     keep[-1, -1] = 1e-3
-    for _ in range(30):
+    for i in range(30):
         active = y * (x @ w) < 1
         a = x[active] * (cost * weight[active])[:, None]
         new = np.linalg.solve(keep + a.T @ x[active], a.T @ y[active])
         if np.abs(new - w).max() < 1e-6:
             break
-        w = 0.5 * (w + new) if _ > 15 else new
+        w = 0.5 * (w + new) if i > 15 else new
     return w
 
 
-def _fit_words(toxic: list[tuple[str, int]], clean: list[tuple[str, int]]) -> np.ndarray:
-    """The table of subsequence weights of an SVM over Nyström landmarks."""
-    marks = [w for w, _ in toxic[:TOXIC_LANDMARKS]] + [w for w, _ in clean[:CLEAN_LANDMARKS]]
-    m = len(marks)
-    letters = Letters(marks)
-    parts = [(letters.word[at], code, np.full(len(code), w)) for at, code, w in letters.groups()]
-    mark, code, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    codes, column = np.unique(code, return_inverse=True)
-    size = np.zeros(m)
-    phi = np.zeros((len(codes), m))
-    np.add.at(phi, (column, mark), value)
-    size = np.sqrt((phi**2).sum(axis=0)) + 1e-12
-    phi /= size
+def landmark_features(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the landmarks' subsequences, and their weights in each landmark, of unit length."""
+    letters = Letters.of_codes(marks)
+    code, mark, value = [], [], []
+    for c, w in letters.groups():
+        at = np.flatnonzero(_VALID[c])
+        code.append(c[at])
+        mark.append(np.searchsorted(letters.start, at, side="right") - 1)
+        value.append(np.full(len(at), w))
+    codes, column = np.unique(np.concatenate(code), return_inverse=True)
+    phi = np.zeros((len(codes), len(marks)))
+    np.add.at(phi, (column, np.concatenate(mark)), np.concatenate(value))
+    return codes, phi / (np.sqrt((phi**2).sum(axis=0)) + 1e-12)
+
+
+def kernel(runs: list[bytes], codes: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """Normalised kernel values of runs with landmarks."""
     at_code = np.full(_CODES, -1, np.int32)
     at_code[codes] = np.arange(len(codes))
+    out = np.zeros((len(runs), phi.shape[1]))
+    for i in range(0, len(runs), 4000):
+        own = Letters.of_codes(runs[i : i + 4000])
+        for code, w in own.groups():
+            hit = np.flatnonzero(at_code[code] >= 0)
+            run = np.searchsorted(own.start, hit, side="right") - 1
+            first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else run
+            if len(run):
+                out[i + run[first]] += w * np.add.reduceat(phi[at_code[code[hit]]], first)
+        out[i : i + 4000] /= own.norms()[:, None]
+    return out
 
-    words = [w for w, _ in toxic] + [w for w, _ in clean]
+
+def _fit_runs(toxic: list[tuple[bytes, int]], clean: list[tuple[bytes, int]]) -> np.ndarray:
+    """The table of subsequence weights of an SVM over Nyström landmarks."""
+    out = np.zeros(_CODES, np.float32)
+    marks = [w for w, _ in toxic[:TOXIC_LANDMARKS]] + [w for w, _ in clean[:CLEAN_LANDMARKS]]
+    if not toxic or not clean:
+        return out
+    codes, phi = landmark_features(marks)
     y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
-    times = np.array([n for _, n in toxic] + [n for _, n in clean], float)
-    weight = np.minimum(times, 20)
+    weight = np.minimum(np.array([n for _, n in toxic] + [n for _, n in clean], float), 20)
     for side in (1, -1):
         weight[y == side] /= weight[y == side].sum()
-    weight *= len(words) / 2
-    kernel = np.zeros((len(words), m))
-    for i in range(0, len(words), 4000):
-        own = Letters(words[i : i + 4000])
-        norm = _NORM[np.minimum(own.end - own.start, len(_NORM) - 1)]
-        for at, code, w in own.groups():
-            col = at_code[code]
-            hit = col >= 0
-            np.add.at(kernel, i + own.word[at[hit]], w * phi[col[hit]])
-        kernel[i : i + own.n] /= norm[:, None]
-    values, vectors = np.linalg.eigh(phi.T @ phi + 1e-6 * np.eye(m))
+    weight *= len(y) / 2
+    values, vectors = np.linalg.eigh(phi.T @ phi + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))  # Nyström map
-    w = _svm(kernel @ root, y, weight)
-    out = np.zeros(_CODES, np.float32)
+    w = _svm(kernel([w for w, _ in toxic] + [w for w, _ in clean], codes, phi) @ root, y, weight)
     out[codes] = phi @ (root @ w[:-1])
     return out
 
@@ -315,26 +394,27 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """The model from labelled rows outside the held-out fold."""
     sample = labelled_sample(labels, label, FOLDS, HELD_OUT, MAX_LABELLED)
     joined = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # MAX_LABELLED rows of two numbers
-    rows = cut(joined.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit("late")), F.lit(10)) < 3).alias("late")))
-    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    model = Model((positive + 1) / (n + 2))
-    if not 0 < positive < n:
+    rows = cut(joined.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")))
+    sizes = np.zeros((2, 2))
+    for r in rows.groupBy("half", "y").count().collect():
+        sizes[r["half"], int(r["y"])] = r["count"]
+    model = Model((sizes[:, 1].sum() + 1) / (sizes.sum() + 2))
+    if (sizes == 0).any():
         return model
-    n_fit, n_toxic = rows.where("not late").agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    apart = min(positive - n_toxic, n_toxic) >= 30  # enough to calibrate on rows left out
-    own = (rows.where("not late") if apart else rows).select("text", "y")
-    n_fit, n_toxic = (n_fit, n_toxic) if apart else (n, positive)
-
-    toxic, clean = _group_counts(own)
-    expected = (toxic + clean) * n_toxic / n_fit
-    weights = np.clip((toxic - expected) / np.sqrt(expected + 1), -5, 25).astype(np.float32)
+
+    counts = _group_counts(rows)
+    tables = []
+    for own, n in ((counts[0], sizes[0]), (counts[1], sizes[1]), (counts.sum(axis=0), sizes.sum(axis=0))):
+        expected = own.sum(axis=0) * n[1] / n.sum()
+        tables.append(np.clip((own[1] - expected) / np.sqrt(expected + 1), -5, 25).astype(np.float32))
+        tables[-1][~_VALID] = 0
     combos = _COMBOS[:1]
     for _ in range(2):
-        weights = _fit_words(*_instances(own, weights, combos))
+        tables = [_fit_runs(*own) for own in _instances(rows, tables, combos)]
         combos = _COMBOS
-    model.weights = weights
-    rest = _evidence(rows.where("late") if apart else rows, weights).collect()  # MAX_LABELLED rows of a few numbers
-    model.curve = _logistic(np.array([r[1] for r in rest], float), np.array([r[0] for r in rest]))
+    model.weights = tables[2]
+    other = _evidence(rows, [tables[1], tables[0]]).collect()  # MAX_LABELLED rows of a few numbers
+    model.curve = _logistic(np.array([r[1] for r in other], float), np.array([r[0] for r in other]))
     return model
 
 
@@ -354,19 +434,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.r_[slopes, w[-1] - centre @ slopes]
 
 
-def _evidence(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(y, evidence) of each text."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+def _evidence(rows: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """(y, evidence) of each text, by the table at the place of its half."""
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
-                found = scorer.evidence([bags_of(t) for t in few.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=["y", "evidence"])
+            for half in (0, 1):
+                own = batch.filter(pa.array(batch.column("half").to_numpy() == half))
+                found = evidence_of(own.column("text").to_pylist(), shared.value[half])
+                yield pa.RecordBatch.from_arrays([own.column("y"), pa.array(list(found), pa.list_(pa.float64()))], names=["y", "evidence"])
 
-    return rows.select("y", "text").mapInArrow(run, "y double, evidence array<double>")
+    return rows.select("text", "y", "half").mapInArrow(run, "y double, evidence array<double>")
 
 
 def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -374,11 +453,10 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value.weights)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
-                found = scorer.evidence([bags_of(t) for t in few.column("text").to_pylist()])
+                found = evidence_of(few.column("text").to_pylist(), shared.value.weights)
                 yield pa.RecordBatch.from_arrays([*(few.column(c) for c in keep), pa.array(shared.value.probability(found))], names=[*keep, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
