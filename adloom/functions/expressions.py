@@ -29,7 +29,13 @@ GEOMETRY = [
     {"x2": "x + width", "y2": "y + height", "area": "CAST(width AS BIGINT) * height"},
     {"center_x": "CAST(floor((x + x2) / 2) AS INT)", "center_y": "CAST(floor((y + y2) / 2) AS INT)"},
 ]
-SCALED = [{f"s{c}": f"CAST(trunc_int({c} * {dbl(0.7)}) AS INT)" for c in ("x", "y", "width", "height")}]
+
+
+def scaled(factor: str = dbl(0.7)) -> list[Step]:
+    """Each side of a box times a factor (an SQL expression), toward zero."""
+    return [{f"s{c}": f"CAST(trunc_int({c} * {factor}) AS INT)" for c in ("x", "y", "width", "height")}]
+
+
 IS_BACKGROUND = f"role IN {BACKGROUND_ROLES}"
 NAME_ROLE = "CASE " + " ".join(f"WHEN contains(lower(name), '{p}') THEN '{role}'" for role, ps in NAME_PATTERNS for p in ps) + " END"
 SUFFIX = (
@@ -57,9 +63,11 @@ CLASSIFY_WITH_EMBEDDING = [
     {"role": "CASE WHEN layer_type = 'group' THEN 'group' ELSE coalesce(name_role, CASE WHEN has_image THEN embedding_role END, geometry_role) END"},
     CLASSIFY[4],
 ]
+#: Sides are truncated to whole numbers first, so 0.5 is not positive and 4096.9 is not too large.
 TARGET_REASON = (
-    "CASE WHEN TRY_CAST(width AS DOUBLE) IS NULL OR TRY_CAST(height AS DOUBLE) IS NULL THEN 'not numeric' WHEN width <= 0 OR height <= 0 THEN 'not positive' "
-    f"WHEN width > {MAX_SIDE} OR height > {MAX_SIDE} THEN 'too large' WHEN width < {MIN_SIDE} OR height < {MIN_SIDE} THEN 'too small' END"
+    "CASE WHEN TRY_CAST(width AS DOUBLE) IS NULL OR TRY_CAST(height AS DOUBLE) IS NULL THEN 'not numeric' "
+    "WHEN isnan(TRY_CAST(width AS DOUBLE)) OR isnan(TRY_CAST(height AS DOUBLE)) THEN 'not a number' WHEN width < 1 OR height < 1 THEN 'not positive' "
+    f"WHEN width >= {MAX_SIDE} + 1 OR height >= {MAX_SIDE} + 1 THEN 'too large' WHEN width < {MIN_SIDE} OR height < {MIN_SIDE} THEN 'too small' END"
 )
 ZONE_RECT = [{"zx": "trunc_int(fx * target_w)", "zy": "trunc_int(fy * target_h)", "zw": "trunc_int(fw * target_w)", "zh": "trunc_int(fh * target_h)"}]
 #: Placement of a layer (section 0 background, 1 in a zone, 2 neither) on a target.

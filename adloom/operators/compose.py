@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -30,11 +30,10 @@ def overlay_plan(placements: DataFrame) -> DataFrame:
 def compose_plan(layers: DataFrame, targets: DataFrame) -> DataFrame:
     """Steps of every design and target: one fitted image for a flat source, else the draw plan.
 
-    A source is flat if it has one layer and that is of source_type flat_image.
     """
-    flat = F.expr("n = 1 AND source_type = 'flat_image'")
+    layers = with_is_flat(layers)
     t = targets.select("seq", F.col("name").alias("target_name"), F.col("width").alias("target_w"), F.col("height").alias("target_h"))
-    one = layers.where(flat).select("design_id", "k", "element_id", F.col("canvas_w").alias("src_w"), F.col("canvas_h").alias("src_h"), "opacity")
+    one = layers.where("is_flat").select("design_id", "k", "element_id", F.col("canvas_w").alias("src_w"), F.col("canvas_h").alias("src_h"), "opacity")
     fits = fit_plan(one.crossJoin(F.broadcast(t) if few(t) else t).withColumn("mode", F.lit("smart")))  # each design on each target is the result
     box = lambda cover, contain, blank: F.when(F.col("plan") == "blank", blank).when(F.col("plan") == "cover", cover).otherwise(contain).cast("int")
     fits = fits.select(
@@ -42,14 +41,15 @@ def compose_plan(layers: DataFrame, targets: DataFrame) -> DataFrame:
         box(-F.col("crop_x"), F.col("off_x"), F.lit(0)).alias("x"), box(-F.col("crop_y"), F.col("off_y"), F.lit(0)).alias("y"),
         box(F.col("cover_w"), F.col("contain_w"), F.col("target_w")).alias("w"), box(F.col("cover_h"), F.col("contain_h"), F.col("target_h")).alias("h"), "opacity",
     )
-    return draw_plan(calculate_layout(layers.where(~flat), targets)).unionByName(fits)
+    return draw_plan(calculate_layout(layers.where("NOT is_flat"), targets)).unionByName(fits)
 
 
 def batch_relayout(layers: DataFrame, targets: DataFrame) -> DataFrame:
     """For every design and target name (the latest of a name counts): layers placed, visible and drawn."""
     named = targets.groupBy("name").agg(F.max_by(F.struct("seq", "width", "height"), "seq").alias("_latest")).select("name", "_latest.*")
-    planned = _planned(calculate_layout(layers, named))
-    return planned.select("design_id", "seq", "target_name", F.size("steps").alias("n_placed"), F.size(F.filter("steps", lambda s: s["visible"])).alias("n_visible"), F.size("plan").alias("n_drawn"))
+    marked = _with_kind(calculate_layout(layers, named))
+    counts = [F.count("*"), F.count_if("visible"), F.count("kind")]
+    return marked.groupBy("design_id", "seq", "target_name").agg(*[c.cast("int").alias(n) for c, n in zip(counts, ("n_placed", "n_visible", "n_drawn"))])
 
 
 def draw_plan(placements: DataFrame) -> DataFrame:
@@ -57,56 +57,46 @@ def draw_plan(placements: DataFrame) -> DataFrame:
 
     The first background comes first (none or one without an image: a white canvas, and
     no overlay is drawn); then overlays in list order, stretched; then visible content
-    with an image and a size, by z_index.  All from rows of one design, so the groups
-    stay small.
+    with an image and a size, by z_index.  Both windows are within a design and target,
+    so placements that lie by design are not dealt anew.
     """
-    steps = F.transform("plan", lambda s: F.struct(s["z"].alias("z"), s["k"].alias("k"), s.alias("s")))
-    key = ["design_id", "seq", "target_name"]
-    return _planned(placements).select(*key, F.posexplode(F.array_sort(steps)).alias("step", "o")).select(*key, "step", "o.s.*").drop("z")
-
-
-def _planned(placements: DataFrame) -> DataFrame:
-    """One row a design and target with its layers (steps) and what is drawn of them (plan)."""
-    p = placements.withColumn("is_bg", F.expr(E.IS_BACKGROUND))
-    key = ["design_id", "seq", "target_name"]
-    step = F.struct(
-        "k",
-        "element_id",
-        "role",
-        "is_bg",
-        "has_image",
-        "visible",
-        "z_index",
-        "opacity",
-        "new_x",
-        "new_y",
-        "new_w",
-        "new_h",
-        "width",
-        "height",
-        "target_w",
-        "target_h",
+    order = Window.partitionBy("design_id", "seq").orderBy("z", "k")
+    whole = F.col("kind") != "content"
+    box = {"x": F.lit(0), "y": F.lit(0), "w": F.col("target_w"), "h": F.col("target_h")}
+    drawn = _with_kind(placements).where("kind IS NOT NULL").withColumn("step", F.row_number().over(order) - 1)
+    return drawn.select("design_id", "seq", "target_name", "step", "kind", "k", "element_id", *[F.when(whole, v).otherwise(F.col(f"new_{c}")).alias(c) for c, v in box.items()], "opacity")
+
+
+def _with_kind(placements: DataFrame) -> DataFrame:
+    """Placements with what is drawn of each: kind (null: nothing) and drawing order z."""
+    background = F.expr(E.IS_BACKGROUND)
+    first = F.min(F.when(background, F.struct("k", "has_image"))).over(Window.partitionBy("design_id", "seq"))
+    kind = (
+        F.when(~background & F.col("visible") & F.col("has_image") & (F.col("new_w") > 0) & (F.col("new_h") > 0), "content")
+        .when(background & F.col("first.has_image") & (F.col("k") == F.col("first.k")), "background")
+        .when(background & F.col("first.has_image") & F.col("has_image") & (F.col("role") == "overlay"), "overlay")
     )
-    rows = p.groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    rows = rows.withColumn("first", F.get(F.filter("steps", lambda s: s["is_bg"]), F.lit(0)))
-    drawn_bg = F.coalesce(F.col("first")["has_image"], F.lit(False))
-
-    def content(kind: str, order, s, bbox):
-        return F.struct(F.lit(kind).alias("kind"), order.alias("z"), s["k"].alias("k"), s["element_id"].alias("element_id"), *bbox, s["opacity"].alias("opacity"))
-
-    own = lambda s: [s[f"new_{c}"].alias(c) for c in "xywh"]
-    whole = lambda s: [F.lit(0).alias("x"), F.lit(0).alias("y"), s["target_w"].alias("w"), s["target_h"].alias("h")]
-    backs = F.when(drawn_bg, F.array(content("background", F.lit(-2), F.col("first"), whole(F.col("first")))))
-    overs = F.when(
-        drawn_bg,
-        F.transform(
-            F.filter("steps", lambda s: (s["role"] == "overlay") & s["has_image"] & (s["k"] > F.col("first")["k"])),
-            lambda s: content("overlay", F.lit(-1), s, whole(s)),
-        ),
-    )
-    fronts = F.transform(
-        F.filter("steps", lambda s: ~s["is_bg"] & s["visible"] & s["has_image"] & (s["new_w"] > 0) & (s["new_h"] > 0)),
-        lambda s: content("content", s["z_index"].cast("int"), s, own(s)),
-    )
-    none = F.expr("cast(array() as array<struct<kind:string,z:int,k:int,element_id:string,x:int,y:int,w:int,h:int,opacity:double>>)")
-    return rows.withColumn("plan", F.concat(F.coalesce(backs, none), F.coalesce(overs, none), F.coalesce(fronts, none)))
+    z = F.when(F.col("kind") == "background", -2).when(F.col("kind") == "overlay", -1).otherwise(F.col("z_index"))
+    return placements.withColumn("first", first).withColumn("kind", kind).withColumn("z", z).drop("first")
+
+
+def first_background(layers: DataFrame) -> DataFrame:
+    """The first layer of each design that can be its background."""
+    return layers.where(E.IS_BACKGROUND).groupBy("design_id").agg(F.min(F.struct("k", "element_id")).alias("b")).select("design_id", "b.k", "b.element_id")
+
+
+def draw_order(layers: DataFrame) -> DataFrame:
+    """Content of each design in drawing order: z_index, then list order."""
+    order = Window.partitionBy("design_id").orderBy("z_index", "k")
+    return layers.where(f"NOT {E.IS_BACKGROUND}").select("design_id", (F.row_number().over(order) - 1).alias("place"), "z_index", "k", "element_id")
+
+
+def placed_layers(layers: DataFrame, placements: DataFrame) -> DataFrame:
+    """Layers with their visible placements; what was not placed is not drawn."""
+    placed = placements.where("visible").select("design_id", "element_id", "seq", "new_x", "new_y", "new_w", "new_h")
+    return layers.select("design_id", "element_id", "z_index", "has_image", "role").join(placed, ["design_id", "element_id"])
+
+
+def with_is_flat(layers: DataFrame) -> DataFrame:
+    """is_flat: the design has one layer (n), and that is of source_type flat_image."""
+    return layers.withColumn("is_flat", F.coalesce(F.expr("n = 1 AND source_type = 'flat_image'"), F.lit(False)))

@@ -106,3 +106,25 @@ def assign_zones_general(layers: DataFrame, zones: DataFrame) -> DataFrame:
         )
 
     return rows.select("design_id", F.inline(F.aggregate("walk", start, step)["out"]))
+
+
+def pairs(designs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every design on every target: the product is the result."""
+    return designs.crossJoin(F.broadcast(targets) if few(targets) else targets)
+
+
+def content_order(layers: DataFrame) -> DataFrame:
+    """Content of each design in the order in which zones are filled: priority, largest, first."""
+    content = layers.where(f"NOT {E.IS_BACKGROUND}").withColumn("area", F.expr("CAST(width AS BIGINT) * height"))
+    walk = Window.partitionBy("design_id").orderBy("priority", F.desc("area"), "k")
+    return content.select("design_id", "k", "priority", "area", F.row_number().over(walk).alias("place"))
+
+
+def zone_occupancy(ranked: DataFrame) -> DataFrame:
+    """Layers in each zone of each design and template."""
+    return ranked.where("section = 1").groupBy("design_id", "template", "zone").agg(F.count("*").alias("n"))
+
+
+def bbox_scale(layers: DataFrame, factor: float | str) -> DataFrame:
+    """sx, sy, swidth, sheight: the box times a factor (a number or an SQL expression), toward zero."""
+    return E.extend(layers, E.scaled(factor if isinstance(factor, str) else E.dbl(factor)))

@@ -36,3 +36,15 @@ def last_result_per_name(results: DataFrame) -> DataFrame:
 def rejected_targets(targets: DataFrame) -> DataFrame:
     """Targets with the rule they break."""
     return targets.withColumn("reason", F.expr(E.TARGET_REASON)).where("reason IS NOT NULL")
+
+
+def batch_counts(layers: DataFrame) -> DataFrame:
+    """Layers and layers with an image of each design."""
+    return layers.groupBy("design_id").agg(F.count("*").alias("n_layers"), F.count_if("has_image").alias("n_images"))
+
+
+def warnings(placements: DataFrame) -> DataFrame:
+    """For each design and target the visible layers that can't be drawn, in list order."""
+    p = placements.where("section > 0 AND visible AND (NOT has_image OR new_w <= 0 OR new_h <= 0)")
+    texts = p.groupBy("design_id", "target_name").agg(F.sort_array(F.collect_list(F.struct("k", F.concat(F.lit("not drawn: "), F.col("name")).alias("w")))).alias("w"))
+    return texts.select("design_id", "target_name", F.array_join(F.transform("w", lambda s: s["w"]), "; ").alias("warnings"))

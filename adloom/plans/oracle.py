@@ -117,13 +117,14 @@ def oracle_sql() -> dict[str, str]:
         "s5_flatten_tree": tree("SELECT design_id, ordinal, k, n, name, layer_type, x, y, width, height FROM flat"),
         "s6_unusable": raw("SELECT design_id, ordinal, width, height FROM layers_raw WHERE NOT (width >= 10 AND height >= 10)"),
         "s7_element_ids": tree("SELECT design_id, k, element_id FROM flat"),
+        "s8_z_index_document": tree("SELECT design_id, ordinal, k AS z_index FROM flat"),
         "s8_z_index": tree("SELECT design_id, ordinal, z_index FROM flat"),
         "s9_attributes": raw("SELECT design_id, ordinal, round(coalesce(opacity_u8 / 255.0::DOUBLE, 1), 6) AS opacity, 'normal' AS blend_mode FROM layers_raw"),
         "s10_manifest": place("SELECT DISTINCT design_id, target_name, replace(target_name, ' ', '_') || '.png' AS file FROM placed"),
         "s11_rejects": f"WITH RECURSIVE {_TREE}, {_TARGETS} SELECT DISTINCT 'design' AS stage, design_id::VARCHAR AS key, 'no layers' AS reason FROM layers_raw WHERE design_id NOT IN (SELECT design_id FROM flat) UNION ALL SELECT 'target', name, reason FROM judged WHERE reason IS NOT NULL",
         "p1_geometry": raw(f"SELECT design_id, ordinal, x2, y2, center_x, center_y, area FROM ({steps('SELECT * FROM layers_raw', E.GEOMETRY)})"),
-        "p2_scale": raw(f"SELECT design_id, ordinal, sx, sy, swidth, sheight FROM ({steps('SELECT * FROM layers_raw', E.SCALED)})"),
-        "p3_validate_targets": f"WITH {_TARGETS}, s AS (SELECT seq, width::VARCHAR AS w, height::VARCHAR AS h FROM targets UNION ALL SELECT p_partkey::INT, CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE (p_partkey * 37 % 6000)::VARCHAR END, (p_partkey * 11 % 5000 - 20)::VARCHAR FROM part), n AS (SELECT seq, TRY_CAST(w AS DOUBLE) AS width, TRY_CAST(h AS DOUBLE) AS height FROM s) SELECT seq, trunc(width)::INT AS width, trunc(height)::INT AS height, {E.TARGET_REASON} AS reason FROM n",
+        "p2_scale": raw(" UNION ALL ".join(f"SELECT '{n}' AS factor, design_id, ordinal, sx, sy, swidth, sheight FROM ({steps('SELECT * FROM layers_raw', E.scaled(f))})" for n, f in (("fixed", E.dbl(0.7)), ("own", "((ordinal % 4 + 1) * CAST(0.35 AS DOUBLE))")))),
+        "p3_validate_targets": f"WITH {_TARGETS}, s AS (SELECT seq, width::VARCHAR AS w, height::VARCHAR AS h FROM targets UNION ALL SELECT p_partkey::INT, CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE (p_partkey * 37 % 6000)::VARCHAR END, (p_partkey * 11 % 5000 - 20)::VARCHAR FROM part UNION ALL SELECT -p_partkey::INT, (p_partkey % 13) || '.5', (4090 + p_partkey % 9) || '.9' FROM part), n AS (SELECT seq, TRY_CAST(w AS DOUBLE) AS width, TRY_CAST(h AS DOUBLE) AS height FROM s) SELECT seq, trunc(width)::INT AS width, trunc(height)::INT AS height, {E.TARGET_REASON} AS reason FROM n",
         "p4_is_background": role(f"SELECT design_id, k, {E.IS_BACKGROUND} AS is_background FROM classified"),
         "p5_name_role": raw(f"SELECT design_id, ordinal, {E.NAME_ROLE} AS name_role FROM layers_raw"),
         "p6_priority_suffix": raw(f"SELECT design_id, ordinal, {E.SUFFIX} AS suffix FROM layers_raw"),
@@ -175,7 +176,7 @@ def oracle_sql() -> dict[str, str]:
         "f5_regions": fit(f"SELECT design_id, seq, {_ints('dst_x1 dst_y1 dst_x2 dst_y2 src_x1 src_y1 src_x2 src_y2')} FROM fit"),
         "f6_strips": fit(f"SELECT design_id, seq, {_ints('strip_top strip_bottom strip_left strip_right')}, corner_tl, corner_tr, corner_bl, corner_br FROM fit"),
         "f7_fit_plan": fit("SELECT design_id, seq, plan, generated::BIGINT AS generated FROM fit"),
-        "c1_flat_source": raw("SELECT design_id, count(*) = 1 AND design_id % 2 = 0 AS is_flat FROM layers_raw GROUP BY design_id"),
+        "c1_flat_source": tree("SELECT DISTINCT design_id, n = 1 AND design_id % 2 = 0 AS is_flat FROM flat"),
         "c2_background_plan": place(f"""SELECT design_id, seq, mode, element_id, {_ints('scaled_w scaled_h crop_x crop_y')}, filled::BIGINT AS filled FROM ({steps(f"SELECT design_id, seq, target_w, target_h, min(k) FILTER ({E.IS_BACKGROUND}) AS bg_k, arg_min(element_id, k) FILTER ({E.IS_BACKGROUND}) AS element_id, arg_min(width, k) FILTER ({E.IS_BACKGROUND}) AS bg_w, arg_min(height, k) FILTER ({E.IS_BACKGROUND}) AS bg_h, arg_min(has_image, k) FILTER ({E.IS_BACKGROUND}) AS bg_image FROM placed GROUP BY ALL", E.BACKGROUND)})"""),
         "c3_overlay_plan": place(f"SELECT design_id, seq, step, k, element_id, x, y, w, h FROM ({_drawn()}) WHERE kind = 'overlay'"),
         "c4_draw_plan": place(_drawn()),

@@ -71,8 +71,7 @@ def s5_flatten_tree(spark, sf_dir):
 
 
 def s6_unusable(spark, sf_dir):
-    raw = fixtures.layers_raw(spark, sf_dir)
-    return raw.where("width < 10 OR height < 10").select("design_id", "ordinal", "width", "height")
+    return design.unusable_layers(fixtures.layers_raw(spark, sf_dir)).select("design_id", "ordinal", "width", "height")
 
 
 def s7_element_ids(spark, sf_dir):
@@ -83,6 +82,10 @@ def s8_z_index(spark, sf_dir):
     return design.flatten_layer_tree(fixtures.layers_raw(spark, sf_dir)).select("design_id", "ordinal", "z_index")
 
 
+def s8_z_index_document(spark, sf_dir):
+    return design.flatten_layer_tree(fixtures.layers_raw(spark, sf_dir), z_order="document").select("design_id", "ordinal", "z_index")
+
+
 def s9_attributes(spark, sf_dir):
     return design.normalise_attributes(fixtures.layers_raw(spark, sf_dir)).select("design_id", "ordinal", F.round("opacity", 6).alias("opacity"), "blend_mode")
 
@@ -103,13 +106,19 @@ def p1_geometry(spark, sf_dir):
 
 
 def p2_scale(spark, sf_dir):
-    return E.extend(fixtures.layers_raw(spark, sf_dir), E.SCALED).select("design_id", "ordinal", "sx", "sy", "swidth", "sheight")
+    """Boxes at 0.7 of their size, and at a factor of their own."""
+    raw = fixtures.layers_raw(spark, sf_dir)
+    own = layout.bbox_scale(raw.withColumn("factor", (F.col("ordinal") % 4 + 1) * F.lit(0.35)), "factor")
+    fixed = layout.bbox_scale(raw, 0.7)
+    names = ["design_id", "ordinal", "sx", "sy", "swidth", "sheight"]
+    return fixed.select(F.lit("fixed").alias("factor"), *names).unionByName(own.select(F.lit("own").alias("factor"), *names))
 
 
 def p3_validate_targets(spark, sf_dir):
     sizes = fixtures.targets(spark).select("seq", F.col("width").cast("string").alias("width"), F.col("height").cast("string").alias("height"))
     more = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("int").alias("seq"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_name")).otherwise((F.col("p_partkey") * 37 % 6000).cast("string")).alias("width"), (F.col("p_partkey") * 11 % 5000 - 20).cast("string").alias("height"))
-    judged = sizes.unionByName(more).withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("width", "height")})
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select((-F.col("p_partkey")).cast("int").alias("seq"), F.concat((F.col("p_partkey") % 13).cast("string"), F.lit(".5")).alias("width"), F.concat((4090 + F.col("p_partkey") % 9).cast("string"), F.lit(".9")).alias("height"))
+    judged = sizes.unionByName(more).unionByName(parts).withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("width", "height")})
     return layout.validate_targets(judged).select("seq", F.expr("int(width)").alias("width"), F.expr("int(height)").alias("height"), "reason")
 
 
@@ -196,7 +205,7 @@ def j3_resolve_targets(spark, sf_dir):
 
 
 def j4_pairs(spark, sf_dir):
-    return designs(spark, sf_dir).join(F.broadcast(valid_targets(spark))).select("design_id", "seq", "name", "width", "height")
+    return layout.pairs(designs(spark, sf_dir), valid_targets(spark)).select("design_id", "seq", "name", "width", "height")
 
 
 def j5_select_template(spark, sf_dir):
@@ -221,10 +230,7 @@ def w2_assign_general(spark, sf_dir):
 
 
 def j7_placement_lookup(spark, sf_dir):
-    """Layers joined to stored placements by id; what was not placed (here: fallback layers held back) is not drawn."""
-    placed = placements(spark, sf_dir).where("visible").select("design_id", "element_id", "seq", "new_x", "new_y", "new_w", "new_h")
-    layers = flat_layers(spark, sf_dir).select("design_id", "element_id", "z_index", "has_image", "role")
-    return layers.join(placed, ["design_id", "element_id"])
+    return compose.placed_layers(flat_layers(spark, sf_dir), placements(spark, sf_dir))
 
 
 def j8_unassigned(spark, sf_dir):
@@ -278,7 +284,7 @@ def a1_summary(spark, sf_dir):
 
 
 def a2_zone_occupancy(spark, sf_dir):
-    return w1_assign_zones(spark, sf_dir).groupBy("design_id", "template", "zone").agg(F.count("*").alias("n"))
+    return layout.zone_occupancy(layout.ranked_by_template(flat_layers(spark, sf_dir), list(catalogs.TEMPLATES)))
 
 
 def a3_alpha_share(spark, sf_dir):
@@ -286,35 +292,27 @@ def a3_alpha_share(spark, sf_dir):
 
 
 def a4_last_result(spark, sf_dir):
-    pairs = designs(spark, sf_dir).join(F.broadcast(valid_targets(spark))).select("design_id", "seq", F.col("name").alias("target_name"))
-    return report.last_result_per_name(pairs)
+    return report.last_result_per_name(layout.pairs(designs(spark, sf_dir), valid_targets(spark)).select("design_id", "seq", F.col("name").alias("target_name")))
 
 
 def a5_batch_counts(spark, sf_dir):
-    return flat_layers(spark, sf_dir).groupBy("design_id").agg(F.count("*").alias("n_layers"), F.count_if("has_image").alias("n_images"))
+    return report.batch_counts(flat_layers(spark, sf_dir))
 
 
 def a6_warnings(spark, sf_dir):
-    p = placements(spark, sf_dir).where("section > 0 AND visible AND (NOT has_image OR new_w <= 0 OR new_h <= 0)")
-    texts = p.groupBy("design_id", "target_name").agg(F.sort_array(F.collect_list(F.struct("k", F.concat(F.lit("not drawn: "), F.col("name")).alias("w")))).alias("w"))
-    return texts.select("design_id", "target_name", F.array_join(F.transform("w", lambda s: s["w"]), "; ").alias("warnings"))
+    return report.warnings(placements(spark, sf_dir))
 
 
 def t1_content_order(spark, sf_dir):
-    content = flat_layers(spark, sf_dir).where(f"NOT {E.IS_BACKGROUND}").withColumn("area", F.expr("CAST(width AS BIGINT) * height"))
-    walk = Window.partitionBy("design_id").orderBy("priority", F.desc("area"), "k")
-    return content.select("design_id", "k", "priority", "area", F.row_number().over(walk).alias("place"))
+    return layout.content_order(flat_layers(spark, sf_dir))
 
 
 def t2_first_background(spark, sf_dir):
-    return flat_layers(spark, sf_dir).where(E.IS_BACKGROUND).groupBy("design_id").agg(F.min(F.struct("k", "element_id")).alias("b")).select("design_id", "b.k", "b.element_id")
+    return compose.first_background(flat_layers(spark, sf_dir))
 
 
 def t3_draw_order(spark, sf_dir):
-    """Content in drawing order: z_index, then list order."""
-    listed = F.array_sort(F.collect_list(F.struct("z_index", "k", "element_id")))
-    rows = flat_layers(spark, sf_dir).where(f"NOT {E.IS_BACKGROUND}").groupBy("design_id").agg(listed.alias("o"))
-    return rows.select("design_id", F.posexplode("o").alias("place", "s")).select("design_id", "place", "s.z_index", "s.k", "s.element_id")
+    return compose.draw_order(flat_layers(spark, sf_dir))
 
 
 def t4_best_prompt(spark, sf_dir):
@@ -353,8 +351,8 @@ def f7_fit_plan(spark, sf_dir):
 
 
 def c1_flat_source(spark, sf_dir):
-    raw = fixtures.layers_raw(spark, sf_dir).withColumn("source_type", F.when(F.col("design_id") % 2 == 0, "flat_image").otherwise("layered"))
-    return raw.groupBy("design_id").agg(((F.count("*") == 1) & (F.max("source_type") == "flat_image")).alias("is_flat"))
+    layers = flat_layers(spark, sf_dir).withColumn("source_type", F.when(F.col("design_id") % 2 == 0, "flat_image").otherwise("layered"))
+    return compose.with_is_flat(layers).select("design_id", "is_flat").distinct()
 
 
 def c2_background_plan(spark, sf_dir):

@@ -10,6 +10,7 @@ LAYERS = (
     "design_id long, ordinal int, canvas_w int, canvas_h int, name string, layer_type string, x int, y int, width int, height int, "
     "visible boolean, opacity_u8 int, text_content string, has_image boolean, parent_ordinal int"
 )
+MIN_SIDE = 10
 EXTENSIONS = ("psd", "png", "jpg", "jpeg", "webp")
 
 
@@ -63,13 +64,21 @@ def layers_of_documents(documents: DataFrame) -> DataFrame:
     return documents.select("design_id", "canvas_w", "canvas_h", F.posexplode("layers").alias("ordinal", "layer")).select("design_id", "ordinal", "canvas_w", "canvas_h", "layer.*")
 
 
-def flatten_layer_tree(layers: DataFrame) -> DataFrame:
+def unusable_layers(layers: DataFrame) -> DataFrame:
+    """Layers under MIN_SIDE pixels wide or high."""
+    return layers.where(f"width < {MIN_SIDE} OR height < {MIN_SIDE}")
+
+
+def flatten_layer_tree(layers: DataFrame, z_order: str = "list") -> DataFrame:
     """Layers that are drawn, in document order, with element_id, kept ordinal k, count n and z_index.
 
+    z_index is n - k (``list``: the first layer is drawn last) or k (``document``: layers are
+    drawn as they are listed).
+
     Invisible layers, and those under 10 pixels wide or high, go with all that is below
     them; children stay only under groups that stay.  One pass over each design's array.
     """
-    usable = F.coalesce("visible", F.lit(True)) & (F.col("width") >= 10) & (F.col("height") >= 10)
+    usable = F.coalesce("visible", F.lit(True)) & (F.col("width") >= MIN_SIDE) & (F.col("height") >= MIN_SIDE)
     names = [c for c in layers.columns if c not in ("design_id", "ordinal")]
     tree = layers.groupBy("design_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", *names, usable.alias("_ok")))).alias("tree"))
     none = F.expr("cast(array() as array<int>)")
@@ -82,7 +91,7 @@ def flatten_layer_tree(layers: DataFrame) -> DataFrame:
     tree = tree.withColumn("kept", F.aggregate("tree", F.struct(none.alias("groups"), none.alias("kept")), step)["kept"])
     tree = tree.withColumn("tree", F.filter("tree", lambda t: F.array_contains(F.col("kept"), t["ordinal"])))
     flat = tree.select("design_id", F.size("tree").alias("n"), F.posexplode("tree").alias("k", "t")).select("design_id", "n", "k", "t.*").drop("_ok")
-    return flat.withColumns({"element_id": element_id(), "z_index": F.col("n") - F.col("k")})
+    return flat.withColumns({"element_id": element_id(), "z_index": {"list": F.col("n") - F.col("k"), "document": F.col("k")}[z_order]})
 
 
 def element_id():
