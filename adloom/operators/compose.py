@@ -100,3 +100,13 @@ def placed_layers(layers: DataFrame, placements: DataFrame) -> DataFrame:
 def with_is_flat(layers: DataFrame) -> DataFrame:
     """is_flat: the design has one layer (n), and that is of source_type flat_image."""
     return layers.withColumn("is_flat", F.coalesce(F.expr("n = 1 AND source_type = 'flat_image'"), F.lit(False)))
+
+
+def render_plan(placements: DataFrame) -> DataFrame:
+    """Draw steps with the canvas size, and backgrounds at the size and place at which they are drawn."""
+    key = ["design_id", "seq"]
+    back = background_plan(placements).select(*key, "target_w", "target_h", *[F.col(c).cast("int").alias(c) for c in ("scaled_w", "scaled_h", "crop_x", "crop_y")])
+    own = F.col("kind") == "background"
+    values = {"x": -F.col("crop_x"), "y": -F.col("crop_y"), "w": F.col("scaled_w"), "h": F.col("scaled_h")}
+    steps = draw_plan(placements).join(back, key)
+    return steps.select(*key, "target_w", "target_h", "step", "kind", "element_id", *[F.when(own, v).otherwise(F.col(c)).alias(c) for c, v in values.items()], "opacity")

@@ -1,26 +1,24 @@
 """Raster operators on pixel tables (image_id, y, x, r, g, b, a), one row a pixel.
 
-Neighbour and resampling weights are small tables that are broadcast; images are
-dealt by image and block of rows, so a large one spreads over tasks.
+Sizes, rectangles and offsets come from a geometry table with one row an image, so images
+of any sizes go through one job; it is joined by image (Spark broadcasts it if it is
+small).  Weights are tables of the distinct sizes, one row a tap.  Pixels are never
+gathered by image, so a large one spreads over tasks.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalogs
+from ..sources.shared import cut
 
 CHANNELS = ("r", "g", "b")
 
 
-def dealt(pixels: DataFrame, block: int = 256) -> DataFrame:
-    """Pixels by image and block of rows."""
-    return pixels.repartition("image_id", F.floor(F.col("y") / block))
-
-
 def _curve(c: Column, power: float) -> Column:
     """trunc(255 * (v / 255) ** power), by a table of 256 values."""
     values = [int(255 * math.pow(v / 255, power)) for v in range(256)]
@@ -35,73 +33,65 @@ def gamma_encode(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({c: _curve(F.col(c), 1 / catalogs.GAMMA) for c in CHANNELS})
 
 
-def lanczos_rows(src: int, dst: int, taps: int = 3) -> list[tuple[int, int, float]]:
-    """(dst, src, weight) of one axis, each dst's weights adding up to one; size * taps rows."""
-    rows = []
-    scale = src / dst
-    wide = max(scale, 1.0)
-    for i in range(dst):
-        centre = (i + 0.5) * scale
-        near = range(max(0, int(centre - taps * wide)), min(src, int(math.ceil(centre + taps * wide))))
-        value = [(j, _lanczos((j + 0.5 - centre) / wide, taps)) for j in near]
-        total = sum(w for _, w in value)
-        rows += [(i, j, w / total) for j, w in value if w]
-    return rows
-
-
-def lanczos_weights(spark: SparkSession, src: int, dst: int) -> DataFrame:
-    return spark.createDataFrame(lanczos_rows(src, dst), "dst int, src int, weight double")
-
-
-def _lanczos(x: float, taps: int) -> float:
-    if x == 0:
-        return 1.0
-    if abs(x) >= taps:
-        return 0.0
-    px = math.pi * x
-    return taps * math.sin(px) * math.sin(px / taps) / (px * px)
-
-
-def resample(pixels: DataFrame, src_w: int, src_h: int, width: int, height: int) -> DataFrame:
-    """Size change in linear light with alpha-weighted colours; no side or less: unchanged."""
-    if width <= 0 or height <= 0:
-        return pixels
-    spark = pixels.sparkSession
-    linear = gamma_decode(pixels).withColumns({c: F.col(c) * F.col("a") / 255.0 for c in CHANNELS})
-    for axis, src, dst, other in (("x", src_w, width, "y"), ("y", src_h, height, "x")):
-        w = F.broadcast(lanczos_weights(spark, src, dst))  # a few rows a pixel of one side, 4096 at most
+def lanczos_weights(pairs: DataFrame, taps: int = 3) -> DataFrame:
+    """(src_n, dst_n, dst, src, weight) of an axis for each (src_n, dst_n), the weights of a dst adding up to one."""
+    value = (
+        f"CASE WHEN u = 0 THEN CAST(1 AS DOUBLE) WHEN abs(u) >= {taps} THEN CAST(0 AS DOUBLE) "
+        f"ELSE {taps} * sin(pi() * u) * sin(pi() * u / {taps}) / (pi() * u * pi() * u) END"
+    )
+    rows = pairs.where("src_n > 0 AND dst_n > 0").distinct().withColumns({"scale": F.col("src_n") / F.col("dst_n").cast("double"), "dst": F.explode(F.expr("sequence(0, dst_n - 1)"))})
+    rows = rows.withColumns({"centre": (F.col("dst") + 0.5) * F.col("scale"), "wide": F.greatest("scale", F.lit(1.0))})
+    rows = rows.withColumn("low", F.expr(f"greatest(0, CAST(centre - {taps} * wide AS INT))")).withColumn("high", F.expr(f"least(src_n, CAST(ceil(centre + {taps} * wide) AS INT)) - 1"))
+    rows = rows.withColumn("w", F.expr(f"transform(transform(sequence(low, high), j -> (j + CAST(0.5 AS DOUBLE) - centre) / wide), u -> {value})"))
+    rows = rows.withColumn("total", F.aggregate("w", F.lit(0.0), lambda acc, w: acc + w))
+    return rows.select("src_n", "dst_n", "dst", "low", "total", F.posexplode("w").alias("j", "w")).where("w <> 0").select("src_n", "dst_n", "dst", (F.col("low") + F.col("j")).alias("src"), (F.col("w") / F.col("total")).alias("weight"))
+
+
+def resample(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Size change in linear light with alpha-weighted colours, by (image_id, src_w, src_h, width, height); no side or less: unchanged."""
+    sizes = sizes.select("image_id", "src_w", "src_h", "width", "height")
+    same = pixels.join(sizes.where("width <= 0 OR height <= 0").select("image_id"), "image_id", "left_semi")
+    linear = gamma_decode(pixels.join(sizes.where("width > 0 AND height > 0"), "image_id")).withColumns({c: F.col(c) * F.col("a") / 255.0 for c in CHANNELS})
+    for axis, src, dst, other, rest in (("x", "src_w", "width", "y", ["src_h", "height"]), ("y", "src_h", "height", "x", [])):
+        w = lanczos_weights(sizes.select(F.col(src).alias("src_n"), F.col(dst).alias("dst_n"))).withColumnsRenamed({"src_n": src, "dst_n": dst, "src": axis})
         sums = [F.sum(F.col(c) * F.col("weight")).alias(c) for c in (*CHANNELS, "a")]
-        linear = linear.join(w, F.col(axis) == F.col("src")).groupBy("image_id", other, F.col("dst").alias(axis)).agg(*sums)
+        linear = linear.join(w, [src, dst, axis]).groupBy("image_id", other, F.col("dst").alias(axis), *rest).agg(*sums)
     held = lambda c: F.least(F.lit(255), F.greatest(F.lit(0), F.round(c).cast("int")))
     alpha = held(F.col("a"))
     out = linear.withColumns({c: F.when(F.col("a") > 0, held(F.col(c) * 255.0 / F.col("a"))).otherwise(F.lit(0)) for c in CHANNELS}).withColumn("a", alpha)
-    return gamma_encode(out).select("image_id", "y", "x", "r", "g", "b", "a")
+    return gamma_encode(out).select("image_id", "y", "x", "r", "g", "b", "a").unionByName(same.select("image_id", "y", "x", "r", "g", "b", "a"))
+
 
+def places(sizes: DataFrame) -> DataFrame:
+    """sizes with a row for each place (y, x) of width x height: rows first, then columns."""
+    rows = sizes.where("width > 0 AND height > 0").withColumn("y", F.explode(F.expr("sequence(0, height - 1)")))
+    return rows.withColumn("x", F.explode(F.expr("sequence(0, width - 1)")))
 
-def grid(width: int, height: int) -> Column:
-    """An array of all (y, x); explode it for each image."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.struct(y.alias("y"), x.alias("x")))))
 
+def blank_canvas(sizes: DataFrame, rgba: tuple[int, int, int, int] = (255, 255, 255, 255)) -> DataFrame:
+    """A canvas of one colour for each (image_id, width, height)."""
+    return places(sizes.select("image_id", "width", "height")).select("image_id", "y", "x", *[F.lit(v).alias(c) for c, v in zip("rgba", rgba)])
 
-def blank_canvas(images: DataFrame, width: int, height: int, rgba: tuple[int, int, int, int] = (255, 255, 255, 255)) -> DataFrame:
-    return images.select("image_id", F.inline(grid(width, height))).withColumns({c: F.lit(v) for c, v in zip("rgba", rgba)})
 
+def crop(pixels: DataFrame, rects: DataFrame) -> DataFrame:
+    """The rectangle (image_id, src_w, src_h, x0, y0, width, height) of each image; places outside the image are zero."""
+    rects = rects.select("image_id", "src_w", "src_h", "x0", "y0", "width", "height")
+    inside = pixels.join(rects, "image_id").withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")}).where("x >= 0 AND y >= 0 AND x < width AND y < height")
+    beyond = places(rects).where("x + x0 < 0 OR y + y0 < 0 OR x + x0 >= src_w OR y + y0 >= src_h")
+    return inside.select("image_id", "y", "x", *"rgba").unionByName(beyond.select("image_id", "y", "x", *[F.lit(0).alias(c) for c in "rgba"]))
 
-def crop(pixels: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
-    """A rectangle of each image; places outside the image are zero."""
-    images = pixels.select("image_id").distinct()
-    frame = images.select("image_id", F.inline(grid(width, height)))
-    moved = pixels.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
-    return frame.join(moved, ["image_id", "y", "x"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in "rgba"})
 
+def extend_edges(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """The image at (dx, dy) on a canvas (image_id, src_w, src_h, width, height, dx, dy); outside, the nearest edge pixel.
 
-def extend_edges(pixels: DataFrame, src_w: int, src_h: int, width: int, height: int, dx: int, dy: int) -> DataFrame:
-    """The image at (dx, dy) on a larger canvas; outside, the nearest edge pixel."""
-    frame = pixels.select("image_id").distinct().select("image_id", F.inline(grid(width, height)))
-    at = lambda c, d, n: F.least(F.greatest(F.col(c) - d, F.lit(0)), F.lit(n - 1))
-    frame = frame.withColumns({"_x": at("x", dx, src_w), "_y": at("y", dy, src_h)})
-    source = pixels.withColumnsRenamed({"x": "_x", "y": "_y"})
-    return frame.join(source, ["image_id", "_y", "_x"]).select("image_id", "y", "x", "r", "g", "b", "a")
+    An edge pixel goes to all places it is the nearest of, so nothing is joined but the frames.
+    """
+    rows = pixels.join(frames.select("image_id", "src_w", "src_h", "width", "height", "dx", "dy"), "image_id")
+    for axis, src, size, d in (("y", "src_h", "height", "dy"), ("x", "src_w", "width", "dx")):
+        first = F.when(F.col(axis) == 0, 0).otherwise(F.greatest(F.lit(0), F.col(axis) + F.col(d)))
+        last = F.when(F.col(axis) == F.col(src) - 1, F.col(size) - 1).otherwise(F.least(F.col(size) - 1, F.col(axis) + F.col(d)))
+        rows = rows.withColumns({"_a": first, "_b": last}).where("_a <= _b").withColumn(axis, F.explode(F.sequence("_a", "_b")))
+    return rows.select("image_id", "y", "x", *"rgba")
 
 
 def gaussian_weights(radius: float) -> list[tuple[int, float]]:
@@ -111,40 +101,50 @@ def gaussian_weights(radius: float) -> list[tuple[int, float]]:
     return [(d, w / total) for d, w in raw]
 
 
-def blur(pixels: DataFrame, width: int, height: int, radius: float) -> DataFrame:
-    """Gaussian blur, one axis after the other, with the border repeated."""
-    spark = pixels.sparkSession
-    out = pixels
-    for axis, size, other in (("x", width, "y"), ("y", height, "x")):
-        rows: dict[tuple[int, int], float] = {}
-        for i in range(size):
-            for d, w in gaussian_weights(radius):
-                key = (i, min(max(i + d, 0), size - 1))
-                rows[key] = rows.get(key, 0.0) + w
-        table = F.broadcast(spark.createDataFrame([(i, j, w) for (i, j), w in rows.items()], "dst int, src int, weight double"))  # one side times the reach
-        out = out.join(table, F.col(axis) == F.col("src")).groupBy("image_id", other, F.col("dst").alias(axis)).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba"])
-    return out.withColumns({c: F.round(c).cast("int") for c in "rgba"}).select("image_id", "y", "x", "r", "g", "b", "a")
-
-
-def blur_outside(pixels: DataFrame, width: int, height: int, box: tuple[int, int, int, int], radius: float = 3) -> DataFrame:
-    """Blurred, with the box (x1, y1, x2, y2) left sharp."""
-    soft = blur(pixels, width, height, radius).withColumnsRenamed({c: f"_{c}" for c in "rgba"})
-    x1, y1, x2, y2 = box
-    inside = (F.col("x") >= x1) & (F.col("x") < x2) & (F.col("y") >= y1) & (F.col("y") < y2)
-    return pixels.join(soft, ["image_id", "y", "x"]).select("image_id", "y", "x", *[F.when(inside, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in "rgba"])
-
-
-def feather_blend(fill: DataFrame, original: DataFrame, width: int, height: int, box: tuple[int, int, int, int], feather: float = 8) -> DataFrame:
-    """original * mask + fill * (1 - mask); the mask is the blurred box, original is 0 outside it."""
-    x1, y1, x2, y2 = box
-
-    def side(low: int, high: int, size: int) -> list[float]:
-        return [sum(w for d, w in gaussian_weights(feather) if low <= min(max(i + d, 0), size - 1) < high) for i in range(size)]
-
-    mask = F.get(F.array(*[F.lit(v) for v in side(x1, x2, width)]), F.col("x")) * F.get(F.array(*[F.lit(v) for v in side(y1, y2, height)]), F.col("y"))
-    inside = (F.col("x") >= x1) & (F.col("x") < x2) & (F.col("y") >= y1) & (F.col("y") < y2)
-    both = fill.join(original.withColumnsRenamed({c: f"_{c}" for c in "rgba"}), ["image_id", "y", "x"], "left")
-    mixed = lambda c: (F.when(inside, F.coalesce(F.col(f"_{c}"), F.lit(0))).otherwise(0) * mask + F.col(c) * (F.lit(1.0) - mask)).cast("int")
+def _taps(radius: float) -> str:
+    return "array(" + ", ".join(f"named_struct('d', {d}, 'w', CAST({w!r} AS DOUBLE))" for d, w in gaussian_weights(radius)) + ")"
+
+
+def blur(pixels: DataFrame, sizes: DataFrame, radius: float) -> DataFrame:
+    """Gaussian blur of images (image_id, width, height), one axis after the other, with the border repeated."""
+    sizes = sizes.select("image_id", "width", "height")
+    out = pixels.join(sizes, "image_id")
+    for axis, size, other, rest in (("x", "width", "y", ["height"]), ("y", "height", "x", [])):
+        taps = sizes.select(size).distinct().withColumn("dst", F.explode(F.expr(f"sequence(0, {size} - 1)"))).withColumn("t", F.explode(F.expr(_taps(radius))))
+        taps = taps.groupBy(size, "dst", F.expr(f"least(greatest(dst + t.d, 0), {size} - 1)").alias(axis)).agg(F.sum("t.w").alias("weight"))
+        out = out.join(taps, [size, axis]).groupBy("image_id", other, F.col("dst").alias(axis), *rest).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba"])
+    return out.select("image_id", "y", "x", *[F.round(c).cast("int").alias(c) for c in "rgba"])
+
+
+def blur_outside(pixels: DataFrame, boxes: DataFrame, radius: float = 3) -> DataFrame:
+    """Blurred, with the box of (image_id, width, height, x1, y1, x2, y2) left sharp."""
+    soft = blur(pixels, boxes, radius).join(boxes.select("image_id", "x1", "y1", "x2", "y2"), "image_id").where(f"NOT ({_INSIDE})")
+    sharp = pixels.join(boxes.select("image_id", "x1", "y1", "x2", "y2"), "image_id").where(_INSIDE)
+    return sharp.select("image_id", "y", "x", *"rgba").unionByName(soft.select("image_id", "y", "x", *"rgba"))
+
+
+_INSIDE = "x >= x1 AND x < x2 AND y >= y1 AND y < y2"
+
+
+def box_mask(boxes: DataFrame, feather: float) -> tuple[DataFrame, DataFrame]:
+    """The blurred box of each image as two sides, (width, x1, x2, x, mx) and (height, y1, y2, y, my)."""
+    out = []
+    for axis, size in (("x", "width"), ("y", "height")):
+        low, high = f"{axis}1", f"{axis}2"
+        rows = boxes.select(size, low, high).distinct().withColumn(axis, F.explode(F.expr(f"sequence(0, {size} - 1)")))
+        share = f"aggregate({_taps(feather)}, CAST(0 AS DOUBLE), (acc, t) -> acc + CASE WHEN least(greatest({axis} + t.d, 0), {size} - 1) >= {low} AND least(greatest({axis} + t.d, 0), {size} - 1) < {high} THEN t.w ELSE CAST(0 AS DOUBLE) END)"
+        out.append(rows.withColumn(f"m{axis}", F.expr(share)))
+    return out[0], out[1]
+
+
+def feather_blend(fill: DataFrame, original: DataFrame, boxes: DataFrame, feather: float = 8) -> DataFrame:
+    """original * mask + fill * (1 - mask); the mask is the blurred box of (image_id, width, height, x1, y1, x2, y2), original is 0 outside it."""
+    boxes = boxes.select("image_id", "width", "height", "x1", "y1", "x2", "y2")
+    mask_x, mask_y = box_mask(boxes, feather)
+    both = fill.join(boxes, "image_id").join(mask_x, ["width", "x1", "x2", "x"]).join(mask_y, ["height", "y1", "y2", "y"])
+    both = both.join(original.withColumnsRenamed({c: f"_{c}" for c in "rgba"}), ["image_id", "y", "x"], "left")
+    mask = F.col("mx") * F.col("my")
+    mixed = lambda c: (F.when(F.expr(_INSIDE), F.coalesce(F.col(f"_{c}"), F.lit(0))).otherwise(0) * mask + F.col(c) * (F.lit(1.0) - mask)).cast("int")
     return both.select("image_id", "y", "x", *[F.least(F.lit(255), F.greatest(F.lit(0), mixed(c))).alias(c) for c in CHANNELS], "a")
 
 
@@ -161,12 +161,62 @@ def apply_opacity(pixels: DataFrame, opacity: str = "opacity") -> DataFrame:
     return pixels.withColumn("a", F.when(F.col(opacity) < 1, (F.col("a") * F.col(opacity)).cast("int")).otherwise(F.col("a")))
 
 
-def paste(canvas: DataFrame, source: DataFrame, dx: int, dy: int) -> DataFrame:
-    """Mix the source at (dx, dy) into the canvas by the source's alpha, channel by channel."""
-    moved = source.select("image_id", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), *[F.col(c).alias(f"_{c}") for c in "rgba"])
-    mix = lambda c: F.floor((F.col(f"_{c}") * F.col("_a") + F.col(c) * (255 - F.col("_a")) + 127) / 255).cast("int")
-    both = canvas.join(moved, ["image_id", "y", "x"], "left")
-    return both.select("image_id", "y", "x", *[F.when(F.col("_a").isNull(), F.col(c)).otherwise(mix(c)).alias(c) for c in "rgba"])
+#: One place of a canvas (acc) with one pixel (s) of a source on it, by the kind of the step.
+_MIX = "CAST(floor((s.{c} * s.a + acc.{c} * (255 - s.a) + 127) / 255) AS INT)"
+_ALPHA = "(s.a * 255 + acc.a * (255 - s.a))"
+_OVER = f"CASE WHEN {_ALPHA} > 0 THEN CAST(floor((s.{{c}} * s.a * 255 + acc.{{c}} * acc.a * (255 - s.a)) / {_ALPHA} + CAST(0.5 AS DOUBLE)) AS INT) ELSE 0 END"
+_FOLD = (
+    "named_struct("
+    + ", ".join(f"'{c}', CASE s.kind WHEN 'background' THEN s.{c} WHEN 'overlay' THEN {_OVER.format(c=c)} ELSE {_MIX.format(c=c)} END" for c in CHANNELS)
+    + f", 'a', CASE s.kind WHEN 'background' THEN s.a WHEN 'overlay' THEN CAST(floor({_ALPHA} / 255 + CAST(0.5 AS DOUBLE)) AS INT) ELSE {_MIX.format(c='a')} END)"
+)
+
+
+def paste_steps(canvas: DataFrame, layers: DataFrame) -> DataFrame:
+    """Draw layers (image_id, step, kind, y, x, r, g, b, a) on a canvas in the order of their steps.
+
+    A background replaces, an overlay goes over (source-over), content is mixed in by its
+    alpha, channel by channel.  One grouping by place serves any number of steps; a place
+    holds one entry a step that covers it.  What lies outside the canvas is not drawn.
+    """
+    base = canvas.select("image_id", "y", "x", F.lit(-1).alias("step"), F.lit("background").alias("kind"), *"rgba")
+    entry = F.struct("step", "kind", *"rgba")
+    rows = base.unionByName(layers.select(*base.columns)).groupBy("image_id", "y", "x").agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    rows = rows.where("s[0].step = -1")
+    start = "named_struct(" + ", ".join(f"'{c}', s[0].{c}" for c in "rgba") + ")"
+    rows = rows.withColumn("out", F.expr(f"aggregate(slice(s, 2, size(s)), {start}, (acc, s) -> {_FOLD})"))
+    return rows.select("image_id", "y", "x", *[F.col(f"out.{c}").alias(c) for c in "rgba"])
+
+
+def paste(canvas: DataFrame, source: DataFrame, moves: DataFrame) -> DataFrame:
+    """Mix the source at (dx, dy) of (image_id, dx, dy) into the canvas by the source's alpha, channel by channel."""
+    moved = source.join(moves.select("image_id", "dx", "dy"), "image_id").withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
+    return paste_steps(canvas, moved.withColumns({"step": F.lit(0), "kind": F.lit("content")}))
+
+
+def render(plan: DataFrame, pixels: DataFrame, images: DataFrame) -> DataFrame:
+    """Draw plans on white canvases, without alpha: (design_id, seq, y, x, r, g, b).
+
+    plan: steps (design_id, seq, target_w, target_h, step, kind, element_id, x, y, w, h,
+    opacity) of ``compose.render_plan``.  pixels: (design_id, element_id, y, x, r, g, b, a);
+    images: their sizes (design_id, element_id, src_w, src_h).  Each step's image is
+    resampled to its size; a background is cropped to the canvas, its edges extended where it
+    falls short; content takes its opacity.  Steps without an image are not drawn.
+    """
+    plan = cut(plan)  # one row a step, read for sizes, places and canvases
+    canvas_id = F.struct("design_id", "seq")
+    steps = cut(plan.join(images, ["design_id", "element_id"]).withColumn("image_id", F.struct("design_id", "seq", "step")))
+    sizes = steps.select("image_id", "src_w", "src_h", F.col("w").alias("width"), F.col("h").alias("height"))
+    own = pixels.join(steps.select("design_id", "element_id", "image_id"), ["design_id", "element_id"]).select("image_id", F.col("y"), F.col("x"), *"rgba")
+    scaled = resample(own, sizes)
+    backs = steps.where("kind = 'background'").select("image_id", F.col("w").alias("src_w"), F.col("h").alias("src_h"), F.col("target_w").alias("width"), F.col("target_h").alias("height"), F.col("x").alias("dx"), F.col("y").alias("dy"))
+    others = steps.where("kind <> 'background'").select("image_id", "kind", "opacity", F.col("x").alias("dx"), F.col("y").alias("dy"))
+    moved = scaled.join(others, "image_id").withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
+    moved = apply_opacity(moved.withColumn("opacity", F.when(F.col("kind") == "content", F.col("opacity")).otherwise(1.0)))
+    whole = extend_edges(scaled, backs).withColumn("kind", F.lit("background"))
+    layers = whole.unionByName(moved.select(*whole.columns)).withColumns({"step": F.col("image_id.step"), "image_id": F.struct("image_id.design_id", "image_id.seq")})
+    canvas = blank_canvas(plan.select(canvas_id.alias("image_id"), F.col("target_w").alias("width"), F.col("target_h").alias("height")).distinct())
+    return to_rgb(paste_steps(canvas, layers)).select("image_id.design_id", "image_id.seq", "y", "x", *CHANNELS)
 
 
 def over(canvas: DataFrame, source: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import catalogs
 from ..functions import expressions as E
-from ..operators.raster import gaussian_weights, lanczos_rows
+from ..operators.raster import gaussian_weights
 from ..sources import fixtures
 from ..sources.design import EXTENSIONS
 
@@ -53,7 +53,7 @@ p1 AS (SELECT p0.*, zx, zy, zw, zh FROM p0 LEFT JOIN rects z ON z.seq = p0.seq A
 placed AS (SELECT * EXCLUDE (visible, visible_out, new_x, new_y, new_w, new_h), visible_out AS visible, new_x::INT AS new_x, new_y::INT AS new_y, new_w::INT AS new_w, new_h::INT AS new_h FROM ({steps('SELECT * FROM p1', E.PLACE)}))"""
 _PAIRS = f"""{_TARGETS}, designs AS (SELECT DISTINCT design_id, canvas_w, canvas_h FROM ({fixtures.LAYERS_RAW}))"""
 _FIT = f"""{_PAIRS}, fit AS ({steps("SELECT design_id, canvas_w AS src_w, canvas_h AS src_h, seq, width AS target_w, height AS target_h, CASE seq WHEN 11 THEN 'cover' WHEN 12 THEN 'contain' ELSE 'smart' END AS mode FROM designs CROSS JOIN valid", E.FIT)})"""
-_PIXELS = f"pixels AS ({fixtures.PIXELS.replace('GET(', 'list_extract(')})"
+_PIXELS = f"pixels AS MATERIALIZED ({fixtures.PIXELS.replace('GET(', 'list_extract(')}), frames AS MATERIALIZED ({fixtures.FRAMES})"
 _PROBS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT a.vec_id, p.vec_id AS prompt, 100 * list_inner_product(a.e, p.e) AS l FROM v a JOIN v p ON p.vec_id < 15), m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY vec_id)) AS x FROM l), s AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS prob FROM m)"
 _SHARED = [[*z[5], "photo", "cta"] for z in catalogs.TEMPLATES["square"][2]]
 _EXT = "regexp_extract(lower(@), '[.]([^./]+)$', 1)"
@@ -64,24 +64,49 @@ def _ints(cols: str) -> str:
     return ", ".join(f"{c}::INT AS {c}" for c in cols.split())
 
 
-def _frame(w: int, h: int) -> str:
-    return f"frame AS (SELECT image_id, y::INT AS y, x::INT AS x FROM (SELECT DISTINCT image_id FROM pixels) CROSS JOIN range({h}) a(y) CROSS JOIN range({w}) b(x))"
+_PLACES = "places AS (SELECT f.*, y::INT AS y, x::INT AS x FROM frames f, range(height) a(y), range(width) b(x))"
+_WIDE = f"{_PLACES}, wide AS MATERIALIZED (SELECT f.image_id, f.y, f.x, r, g, b, a, width, height, f.x1, f.y1, f.x2, f.y2 FROM places f JOIN pixels p ON p.image_id = f.image_id AND p.y = least(greatest(f.y - dy, 0), src_h - 1) AND p.x = least(greatest(f.x - dx, 0), src_w - 1))"
+_INSIDE = "w.x >= w.x1 AND w.x < w.x2 AND w.y >= w.y1 AND w.y < w.y2"
 
 
-_WIDE = f"{_frame(14, 12)}, wide AS (SELECT f.image_id, f.y, f.x, r, g, b, a FROM frame f JOIN pixels p ON p.image_id = f.image_id AND p.y = least(greatest(f.y - 2, 0), 7) AND p.x = least(greatest(f.x - 3, 0), 7))"
+def _lanczos(pairs: str) -> str:
+    """(src_n, dst_n, d, s, w) of an axis for each (src_n, dst_n) of a query."""
+    value = "CASE WHEN u = 0 THEN 1::DOUBLE WHEN abs(u) >= 3 THEN 0::DOUBLE ELSE 3 * sin(pi() * u) * sin(pi() * u / 3) / (pi() * u * pi() * u) END"
+    return f"""SELECT src_n, dst_n, dst AS d, low + j - 1 AS s, l[j] / list_sum(l) AS w FROM (SELECT *, unnest(range(1, len(l) + 1)) AS j FROM (
+ SELECT *, list_transform(list_transform(range(low, high), lambda q: (q + 0.5::DOUBLE - centre) / wide), lambda u: {value}) AS l FROM (
+ SELECT *, greatest(0, trunc(centre - 3 * wide)::INT) AS low, least(src_n, ceil(centre + 3 * wide)::INT) AS high FROM (SELECT *, (dst + 0.5::DOUBLE) * scale AS centre, greatest(scale, 1::DOUBLE) AS wide FROM (
+ SELECT src_n, dst_n, src_n / dst_n::DOUBLE AS scale, unnest(range(dst_n))::INT AS dst FROM (SELECT DISTINCT * FROM ({pairs})) WHERE dst_n > 0))))) WHERE l[j] <> 0"""
 
 
-def _lanczos(src: int, dst: int) -> str:
-    return ", ".join(f"({d}, {s}, {w!r}::DOUBLE)" for d, s, w in lanczos_rows(src, dst))
+def _resampled(src: str, sizes: str) -> str:
+    """CTEs up to ``scaled``: the pixels of src (image_id, ...) at the sizes (image_id, src_w, src_h, width, height)."""
+    return f"""z AS MATERIALIZED ({sizes}), wx AS MATERIALIZED ({_lanczos('SELECT src_w AS src_n, width AS dst_n FROM z')}), wy AS MATERIALIZED ({_lanczos('SELECT src_h AS src_n, height AS dst_n FROM z')}),
+ lin AS (SELECT image_id, y, x, src_w, src_h, width, height, {", ".join(f"({_lut(2.2)})[{c} + 1] * a / 255.0::DOUBLE AS {c}" for c in "rgb")}, a FROM {src} JOIN z USING (image_id) WHERE width > 0 AND height > 0),
+ hx AS (SELECT image_id, y, d AS x, src_h, height, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM lin JOIN wx ON wx.src_n = src_w AND wx.dst_n = width AND x = s GROUP BY ALL),
+ hy AS (SELECT image_id, d AS y, x, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM hx JOIN wy ON wy.src_n = src_h AND wy.dst_n = height AND y = s GROUP BY ALL),
+ scaled AS (SELECT image_id, y, x, {", ".join(f"({_lut(1 / 2.2)})[CASE WHEN a > 0 THEN least(255, greatest(0, round({c} * 255.0::DOUBLE / a)::INT)) ELSE 0 END + 1]::INT AS {c}" for c in "rgb")}, least(255, greatest(0, round(a)::INT)) AS a FROM hy
+  UNION ALL SELECT image_id, y, x, r, g, b, a FROM {src} SEMI JOIN (SELECT image_id FROM z WHERE width <= 0 OR height <= 0) USING (image_id))"""
+
+
+def _folded(base: str, layers: str) -> str:
+    """Layers (image_id, step, kind, y, x, r, g, b, a) drawn on a base in the order of their steps."""
+    al = "(s.a * 255 + acc.a * (255 - s.a))"
+    over = lambda c: f"CASE WHEN {al} > 0 THEN floor((s.{c} * s.a * 255 + acc.{c} * acc.a * (255 - s.a)) / {al} + 0.5::DOUBLE)::INT ELSE 0 END"
+    mixed = lambda c: f"floor((s.{c} * s.a + acc.{c} * (255 - s.a) + 127) / 255)::INT"
+    parts = ", ".join(f"{c}: CASE s.kind WHEN 'background' THEN s.{c} WHEN 'overlay' THEN {over(c)} ELSE {mixed(c)} END" for c in "rgb")
+    fold = "{step: s.step, kind: s.kind, " + parts + f", a: CASE s.kind WHEN 'background' THEN s.a WHEN 'overlay' THEN floor({al} / 255 + 0.5::DOUBLE)::INT ELSE {mixed('a')} END" + "}"
+    return f"""SELECT image_id, y, x, o.r AS r, o.g AS g, o.b AS b, o.a AS a FROM (SELECT image_id, y, x, list_reduce(list({{step: step, kind: kind, r: r, g: g, b: b, a: a}} ORDER BY step), lambda acc, s: {fold}) AS o, min(step) AS first FROM (
+ SELECT image_id, -1 AS step, 'background' AS kind, y, x, r, g, b, a FROM {base} UNION ALL SELECT image_id, step, kind, y, x, r, g, b, a FROM ({layers})) GROUP BY image_id, y, x) WHERE first = -1"""
 
 
 def _weights(radius: float) -> str:
     return "g(d, w) AS (VALUES " + ", ".join(f"({d}, {w!r}::DOUBLE)" for d, w in gaussian_weights(radius)) + ")"
 
 
-def _blurred(size: int, axis: str, other: str, src: str) -> str:
-    sums = ", ".join(f"sum(p.{c} * g.w) AS {c}" for c in "rgba")
-    return f"SELECT p.image_id, p.{other}, i.i::INT AS {axis}, {sums} FROM range({size}) i(i) CROSS JOIN g JOIN {src} p ON p.{axis} = least(greatest(i.i + g.d, 0), {size - 1}) GROUP BY ALL"
+def _blurred(size: str, axis: str, other: str, src: str) -> str:
+    sums = ", ".join(f"sum(p.{c} * t.w) AS {c}" for c in "rgba")
+    taps = f"SELECT {size}, i, least(greatest(i + d, 0), {size} - 1) AS {axis}, sum(w) AS w FROM (SELECT {size}, unnest(range({size}))::INT AS i FROM (SELECT DISTINCT {size} FROM frames)) CROSS JOIN g GROUP BY ALL"
+    return f"SELECT p.image_id, p.width, p.height, p.{other}, t.i AS {axis}, {sums} FROM {src} p JOIN ({taps}) t ON t.{size} = p.{size} AND t.{axis} = p.{axis} GROUP BY ALL"
 
 
 def _drawn(where: str = "") -> str:
@@ -96,6 +121,29 @@ def _lut(power: float) -> str:
     return "[" + ", ".join(str(int(255 * (v / 255) ** power)) for v in range(256)) + "]"
 
 
+def _side(axis: str, size: str) -> str:
+    low, high, at = f"{axis}1", f"{axis}2", f"least(greatest({axis} + d, 0), {size} - 1)"
+    return f"SELECT {size}, {low}, {high}, {axis}, sum(CASE WHEN {at} >= {low} AND {at} < {high} THEN w ELSE 0::DOUBLE END) AS m FROM (SELECT *, unnest(range({size}))::INT AS {axis} FROM (SELECT DISTINCT {size}, {low}, {high} FROM frames)) CROSS JOIN g GROUP BY ALL"
+
+
+def _rendered() -> str:
+    """Small canvases by their draw plans: layers with an image only, placed on the thumbnails."""
+    thumbs = _PLACED.replace(f"targets AS ({fixtures.TARGETS})", f"targets AS ({fixtures.TARGETS}), thumbnails AS ({fixtures.THUMBNAILS})").replace("chosen AS (SELECT * FROM valid WHERE seq <= 10)", "chosen AS (SELECT * FROM thumbnails)")
+    thumbs = thumbs.replace("r0 AS (SELECT c.*, a.template", "r0 AS (SELECT c.* REPLACE (true AS has_image), a.template").replace("FROM classified c CROSS JOIN aspects a", "FROM classified c SEMI JOIN stored USING (design_id, ordinal) CROSS JOIN aspects a")
+    back = steps(f"SELECT design_id, seq, target_w, target_h, min(k) FILTER ({E.IS_BACKGROUND}) AS bg_k, arg_min(width, k) FILTER ({E.IS_BACKGROUND}) AS bg_w, arg_min(height, k) FILTER ({E.IS_BACKGROUND}) AS bg_h, arg_min(has_image, k) FILTER ({E.IS_BACKGROUND}) AS bg_image FROM placed GROUP BY ALL", E.BACKGROUND)
+    return f"""WITH RECURSIVE {_PIXELS}, stored AS (SELECT DISTINCT image_id // 8 AS design_id, (image_id % 8)::INT AS ordinal FROM pixels), {thumbs},
+ back AS MATERIALIZED ({back}), drawn AS MATERIALIZED ({_drawn()}),
+ plan AS MATERIALIZED (SELECT d.design_id, d.seq, target_w, target_h, step, kind, c.opacity, c.design_id * 8 + c.ordinal AS vec, {", ".join(f"CASE WHEN kind = 'background' THEN {v} ELSE d.{n} END::INT AS {n}" for n, v in (("x", "-crop_x"), ("y", "-crop_y"), ("w", "scaled_w"), ("h", "scaled_h")))}
+  FROM drawn d JOIN back USING (design_id, seq) JOIN classified c ON c.design_id = d.design_id AND c.element_id = d.element_id),
+ own AS (SELECT {{d: design_id, s: seq, step: step}} AS image_id, p.y, p.x, r, g, b, a FROM plan JOIN pixels p ON p.image_id = vec),
+ {_resampled('own', 'SELECT {d: design_id, s: seq, step: step} AS image_id, 8 AS src_w, 8 AS src_h, w AS width, h AS height FROM plan')},
+ canvas AS (SELECT {{d: design_id, s: seq}} AS image_id, y::INT AS y, x::INT AS x, 255 AS r, 255 AS g, 255 AS b, 255 AS a FROM (SELECT DISTINCT design_id, seq, target_w, target_h FROM plan) f, range(target_h) a(y), range(target_w) b(x)),
+ backs AS (SELECT p.*, y2::INT AS cy, x2::INT AS cx FROM plan p, range(target_h) a(y2), range(target_w) b(x2) WHERE kind = 'background'),
+ layers AS (SELECT {{d: design_id, s: seq}} AS image_id, step, kind, cy AS y, cx AS x, r, g, b, a FROM backs JOIN scaled z ON z.image_id = {{d: design_id, s: seq, step: step}} AND z.y = least(greatest(cy - backs.y, 0), h - 1) AND z.x = least(greatest(cx - backs.x, 0), w - 1)
+  UNION ALL SELECT {{d: design_id, s: seq}}, step, kind, z.y + p.y, z.x + p.x, r, g, b, CASE WHEN kind = 'content' AND opacity < 1 THEN trunc(a * opacity)::INT ELSE a END FROM plan p JOIN scaled z ON z.image_id = {{d: design_id, s: seq, step: step}} WHERE kind <> 'background')
+ SELECT image_id.d AS design_id, image_id.s AS seq, y, x, r, g, b FROM ({_folded('canvas', 'SELECT * FROM layers')})"""
+
+
 def oracle_sql() -> dict[str, str]:
     tree = lambda q: f"WITH RECURSIVE {_TREE} {q}"
     role = lambda q: f"WITH RECURSIVE {_CLASSIFIED} {q}"
@@ -107,9 +155,7 @@ def oracle_sql() -> dict[str, str]:
     labels = ", ".join(f"({i}, '{n}', '{n} ({w}x{h})', {w}, {h})" for i, (n, w, h) in enumerate(catalogs.PRESETS, 1))
     roles = ", ".join(f"'{r}'" for r in catalogs.ROLE_PRIORITY)
     first_latest = f"corr AS ({fixtures.CORRECTIONS}), latest AS (SELECT design_id, ordinal, arg_max(new_role, seq) FILTER (new_role IN ({roles})) AS nr, arg_max(new_priority, seq) FILTER (new_priority IS NOT NULL) AS np FROM corr GROUP BY ALL)"
-    mask = lambda lo, hi, size: "[" + ", ".join(repr(sum(w for d, w in gaussian_weights(8) if lo <= min(max(i + d, 0), size - 1) < hi)) + "::DOUBLE" for i in range(size)) + "]"
-    mix = lambda c: f"least(255, greatest(0, trunc((CASE WHEN w.x >= 3 AND w.x < 11 AND w.y >= 2 AND w.y < 10 THEN coalesce(p.{c}, 0) ELSE 0 END) * m + w.{c} * (1.0::DOUBLE - m))))::INT AS {c}"
-    pasted = lambda c: f"CASE WHEN s.a IS NULL THEN p.{c} ELSE floor((s.{c} * s.a + p.{c} * (255 - s.a) + 127) / 255)::INT END AS {c}"
+    mix = lambda c: f"least(255, greatest(0, trunc((CASE WHEN {_INSIDE} THEN coalesce(p.{c}, 0) ELSE 0 END) * (mx.m * my.m) + w.{c} * (1.0::DOUBLE - (mx.m * my.m)))))::INT AS {c}"
     overlaid = lambda c: f"CASE WHEN al > 0 THEN floor((s{c} * sa * 255 + {c} * a * (255 - sa)) / al + 0.5::DOUBLE) ELSE 0 END::INT AS {c}"
     return {
         "s1_scan_files": f"SELECT page_id, url, extension, {_KIND} FROM (SELECT page_id, url, {_EXT.replace('@', 'url')} AS extension FROM pages)",
@@ -187,26 +233,19 @@ def oracle_sql() -> dict[str, str]:
         "b1_batch_relayout": place(f"""SELECT p.design_id, p.seq, p.target_name, n_placed, n_visible, coalesce(n_drawn, 0)::INT AS n_drawn FROM (SELECT design_id, seq, target_name, count(*)::INT AS n_placed, count(*) FILTER (visible)::INT AS n_visible FROM placed GROUP BY ALL) p
  LEFT JOIN (SELECT design_id, seq, count(*) AS n_drawn FROM ({_drawn()}) GROUP BY ALL) d USING (design_id, seq)""").replace("FROM valid WHERE seq <= 10", "FROM valid WHERE seq <> 10"),
         "r1_gamma": px("SELECT image_id, y, x, " + ", ".join(f"({_lut(1 / 2.2)})[({_lut(2.2)})[{c} + 1] + 1]::INT AS {c}" for c in "rgb") + ", a FROM pixels"),
-        "r2_resample": px(f""", wx(d, s, w) AS (VALUES {_lanczos(8, 5)}), wy(d, s, w) AS (VALUES {_lanczos(8, 11)}),
- lin AS (SELECT image_id, y, x, {", ".join(f"({_lut(2.2)})[{c} + 1] * a / 255.0::DOUBLE AS {c}" for c in "rgb")}, a FROM pixels),
- hx AS (SELECT image_id, y, d AS x, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM lin JOIN wx ON x = s GROUP BY ALL), hy AS (SELECT image_id, d AS y, x, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM hx JOIN wy ON y = s GROUP BY ALL)
- SELECT image_id, y, x, {", ".join(f"({_lut(1 / 2.2)})[CASE WHEN a > 0 THEN least(255, greatest(0, round({c} * 255.0::DOUBLE / a)::INT)) ELSE 0 END + 1]::INT AS {c}" for c in "rgb")}, least(255, greatest(0, round(a)::INT)) AS a FROM hy"""),
-        "r14_render": px(f""", {_frame(6, 6)}, p AS (SELECT *, 255 AS r, 255 AS g, 255 AS b, 255 AS a FROM frame),
- c1 AS (SELECT p.image_id, p.y, p.x, {pasted('r')}, {pasted('g')}, {pasted('b')}, {pasted('a')} FROM p LEFT JOIN pixels s ON s.image_id = p.image_id AND s.y = p.y + 1 AND s.x = p.x + 1),
- o AS (SELECT c1.*, s.r AS sr, s.g AS sg, s.b AS sb, trunc(s.a * 0.5::DOUBLE)::INT AS sa FROM c1 JOIN pixels s ON s.image_id = c1.image_id AND s.y = c1.y + 2 AND s.x = c1.x + 2), q AS (SELECT *, sa * 255 + a * (255 - sa) AS al FROM o),
- c2 AS (SELECT image_id, y, x, {overlaid('r')}, {overlaid('g')}, {overlaid('b')}, floor(al / 255 + 0.5::DOUBLE)::INT AS a FROM q)
- SELECT p.image_id, p.y, p.x, {pasted('r')}, {pasted('g')}, {pasted('b')} FROM c2 p LEFT JOIN pixels s ON s.image_id = p.image_id AND s.y = p.y - 3 AND s.x = p.x - 3"""),
-        "r3_crop": px(f", {_frame(7, 6)} SELECT f.image_id, f.y, f.x, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in "rgba") + " FROM frame f LEFT JOIN pixels p ON p.image_id = f.image_id AND p.y = f.y - 1 AND p.x = f.x + 2"),
-        "r4_extend_edges": px(f", {_WIDE} SELECT * FROM wide"),
-        "r5_blur": px(f", {_WIDE}, {_weights(3)}, bx AS ({_blurred(14, 'x', 'y', 'wide')}), bxy AS ({_blurred(12, 'y', 'x', 'bx')}) SELECT w.image_id, w.y, w.x, " + ", ".join(f"CASE WHEN w.x >= 3 AND w.x < 11 AND w.y >= 2 AND w.y < 10 THEN w.{c} ELSE round(s.{c})::INT END AS {c}" for c in "rgba") + " FROM wide w JOIN bxy s USING (image_id, y, x)"),
-        "r6_feather_blend": px(f", {_WIDE} SELECT image_id, y, x, r, g, b, a FROM (SELECT w.image_id, w.y, w.x, ({mask(3, 11, 14)})[w.x + 1] * ({mask(2, 10, 12)})[w.y + 1] AS m, {mix('r')}, {mix('g')}, {mix('b')}, w.a FROM wide w LEFT JOIN pixels p ON p.image_id = w.image_id AND p.y = w.y - 2 AND p.x = w.x - 3)"),
+        "r2_resample": px(f", {_resampled('pixels', 'SELECT image_id, src_w, src_h, to_w AS width, to_h AS height FROM frames')} SELECT * FROM scaled"),
+        "r14_render": _rendered(),
+        "r3_crop": px(", cut AS (SELECT f.*, y::INT AS y, x::INT AS x FROM frames f, range(cut_h) a(y), range(cut_w) b(x)) SELECT f.image_id, f.y, f.x, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in "rgba") + " FROM cut f LEFT JOIN pixels p ON p.image_id = f.image_id AND p.y = f.y + y0 AND p.x = f.x + x0"),
+        "r4_extend_edges": px(f", {_WIDE} SELECT image_id, y, x, r, g, b, a FROM wide"),
+        "r5_blur": px(f", {_WIDE}, {_weights(3)}, bx AS MATERIALIZED ({_blurred('width', 'x', 'y', 'wide')}), bxy AS MATERIALIZED ({_blurred('height', 'y', 'x', 'bx')}) SELECT w.image_id, w.y, w.x, " + ", ".join(f"CASE WHEN {_INSIDE} THEN w.{c} ELSE round(s.{c})::INT END AS {c}" for c in "rgba") + " FROM wide w JOIN bxy s USING (image_id, y, x)"),
+        "r6_feather_blend": px(f", {_WIDE}, {_weights(8)}, mx AS MATERIALIZED ({_side('x', 'width')}), my AS MATERIALIZED ({_side('y', 'height')}) SELECT image_id, y, x, r, g, b, a FROM (SELECT w.image_id, w.y, w.x, {mix('r')}, {mix('g')}, {mix('b')}, w.a FROM wide w JOIN mx USING (width, x1, x2, x) JOIN my USING (height, y1, y2, y) JOIN frames f ON f.image_id = w.image_id LEFT JOIN pixels p ON p.image_id = w.image_id AND p.y = w.y - f.dy AND p.x = w.x - f.dx)"),
         "r7_feather_mask": "WITH s AS (SELECT DISTINCT (p_partkey % 23 + 1)::INT AS w, (p_partkey % 19 + 1)::INT AS h FROM part), e AS (SELECT w, h, y::INT AS y, x::INT AS x, least(6, w // 2, h // 2) AS f FROM s, range(h) a(y), range(w) b(x)), d AS (SELECT *, least(x, w - 1 - x, y, h - 1 - y) AS d FROM e) SELECT w, h, y, x, CASE WHEN f <= 0 OR d >= f THEN 255 ELSE trunc(255::DOUBLE * (d / f::DOUBLE)) END::INT AS value FROM d",
         "r8_opacity": px("SELECT image_id, y, x, r, g, b, CASE WHEN (image_id % 5 + 1) / 4.0::DOUBLE < 1 THEN trunc(a * ((image_id % 5 + 1) / 4.0::DOUBLE))::INT ELSE a END AS a FROM pixels"),
-        "r9_paste": px(f", s AS (SELECT image_id, y - 2 AS y, x + 3 AS x, b AS r, g, r AS b, a FROM pixels) SELECT p.image_id, p.y, p.x, {pasted('r')}, {pasted('g')}, {pasted('b')}, {pasted('a')} FROM pixels p LEFT JOIN s ON s.image_id = p.image_id AND s.y = p.y AND s.x = p.x"),
+        "r9_paste": px(f""" {_folded("pixels", "SELECT p.image_id, 0 AS step, 'content' AS kind, y - y0 AS y, x + x0 AS x, b AS r, g, r AS b, a FROM pixels p JOIN frames USING (image_id) UNION ALL SELECT image_id, 1, 'content', y - 2, x + 3, r, g, b, trunc(a * (x + 1) / 8)::INT FROM pixels")}"""),
         "r10_over": px(f", o AS (SELECT *, g AS sr, g AS sg, b AS sb, trunc(a * (x + 1) / 8)::INT AS sa FROM pixels), q AS (SELECT *, sa * 255 + a * (255 - sa) AS al FROM o) SELECT image_id, y, x, {overlaid('r')}, {overlaid('g')}, {overlaid('b')}, floor(al / 255 + 0.5::DOUBLE)::INT AS a FROM q"),
         "r11_to_rgb": px("SELECT image_id, y, x, r, g, b FROM pixels"),
         "r12_draw_boxes": px(""", i AS (SELECT DISTINCT image_id FROM pixels), bx AS (SELECT image_id, o AS ordinal, image_id % 3 + o AS x1, image_id % 2 AS y1, 6 + o AS x2, 5 + image_id % 3 AS y2, 255 - 100 * o AS cr, 100 AS cg, image_id % 200 AS cb FROM i CROSS JOIN (VALUES (0), (1)) v(o)),
  m AS (SELECT p.*, b.* EXCLUDE (image_id), row_number() OVER (PARTITION BY p.image_id, p.y, p.x ORDER BY ordinal DESC NULLS LAST) AS k FROM pixels p LEFT JOIN bx b ON b.image_id = p.image_id AND p.x BETWEEN x1 AND x2 AND p.y BETWEEN y1 AND y2 AND least(p.x - x1, x2 - p.x, p.y - y1, y2 - p.y) < 2)
  SELECT image_id, y, x, coalesce(cr, r)::INT AS r, coalesce(cg, g)::INT AS g, coalesce(cb, b)::INT AS b, a FROM m WHERE k = 1"""),
-        "r13_blank": "SELECT vec_id AS image_id, y::INT AS y, x::INT AS x, 255 AS r, 255 AS g, 255 AS b, 255 AS a FROM embeddings, range(3) p(y), range(4) q(x)",
+        "r13_blank": px(f", {_PLACES} SELECT image_id, y, x, 255 AS r, 255 AS g, 255 AS b, 255 AS a FROM places"),
     }

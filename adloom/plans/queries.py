@@ -10,6 +10,7 @@ from ..functions import expressions as E
 from ..operators import classify as C
 from ..operators import compose, layout, raster, report
 from ..sources import design, fixtures
+from ..sources.shared import cut
 
 
 def flat_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,6 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLACED = ["design_id", "element_id", "k", "seq", "target_name", "section", "zone", "result_pos", "new_x", "new_y", "new_w", "new_h", "scale_factor", "visible"]
-BOX = (3, 2, 11, 10)
 
 
 def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,27 +383,33 @@ def r1_gamma(spark, sf_dir):
     return raster.gamma_encode(raster.gamma_decode(fixtures.pixels(spark, sf_dir)))
 
 
+def _images(spark, sf_dir):
+    return fixtures.pixels(spark, sf_dir), fixtures.frames(spark, sf_dir)
+
+
 def r2_resample(spark, sf_dir):
-    return raster.resample(fixtures.pixels(spark, sf_dir), 8, 8, 5, 11)
+    p, g = _images(spark, sf_dir)
+    return raster.resample(p, g.select("image_id", "src_w", "src_h", F.col("to_w").alias("width"), F.col("to_h").alias("height")))
 
 
 def r3_crop(spark, sf_dir):
-    return raster.crop(fixtures.pixels(spark, sf_dir), 2, -1, 7, 6)
+    p, g = _images(spark, sf_dir)
+    return raster.crop(p, g.select("image_id", "src_w", "src_h", "x0", "y0", F.col("cut_w").alias("width"), F.col("cut_h").alias("height")))
 
 
 def r4_extend_edges(spark, sf_dir):
-    return raster.extend_edges(fixtures.pixels(spark, sf_dir), 8, 8, 14, 12, 3, 2)
+    return raster.extend_edges(*_images(spark, sf_dir))
 
 
 def r5_blur(spark, sf_dir):
-    wide = raster.extend_edges(fixtures.pixels(spark, sf_dir), 8, 8, 14, 12, 3, 2)
-    return raster.blur_outside(wide, 14, 12, BOX)
+    p, g = _images(spark, sf_dir)
+    return raster.blur_outside(raster.extend_edges(p, g), g)
 
 
 def r6_feather_blend(spark, sf_dir):
-    p = fixtures.pixels(spark, sf_dir)
-    wide = raster.extend_edges(p, 8, 8, 14, 12, 3, 2)
-    return raster.feather_blend(wide, raster.crop(p, -3, -2, 14, 12), 14, 12, BOX)
+    p, g = _images(spark, sf_dir)
+    moved = p.join(g.select("image_id", "dx", "dy"), "image_id").select("image_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), *"rgba")
+    return raster.feather_blend(raster.extend_edges(p, g), moved, g)
 
 
 def r7_feather_mask(spark, sf_dir):
@@ -417,8 +423,12 @@ def r8_opacity(spark, sf_dir):
 
 
 def r9_paste(spark, sf_dir):
-    p = fixtures.pixels(spark, sf_dir)
-    return raster.paste(p, p.withColumns({"r": F.col("b"), "b": F.col("r")}), 3, -2)
+    """Two copies of each image on itself, in the order of their steps."""
+    p, g = _images(spark, sf_dir)
+    first = p.select("image_id", F.lit(0).alias("step"), F.lit("content").alias("kind"), "y", "x", F.col("b").alias("r"), "g", F.col("r").alias("b"), "a").join(g.select("image_id", "x0", "y0"), "image_id")
+    first = first.withColumns({"x": F.col("x") + F.col("x0"), "y": F.col("y") - F.col("y0")})
+    second = p.withColumns({"step": F.lit(1), "kind": F.lit("content"), "x": F.col("x") + 3, "y": F.col("y") - 2, "a": (F.col("a") * (F.col("x") + 1) / 8).cast("int")})
+    return raster.paste_steps(p, first.drop("x0", "y0").unionByName(second))
 
 
 def r10_over(spark, sf_dir):
@@ -439,16 +449,19 @@ def r12_draw_boxes(spark, sf_dir):
 
 
 def r13_blank(spark, sf_dir):
-    return raster.blank_canvas(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id")), 4, 3)
+    return raster.blank_canvas(fixtures.frames(spark, sf_dir))
 
 
 def r14_render(spark, sf_dir):
-    """White canvas, the image cropped as background, an overlay, itself pasted, alpha dropped."""
-    p = fixtures.pixels(spark, sf_dir)
-    canvas = raster.blank_canvas(p.select("image_id").distinct(), 6, 6)
-    canvas = raster.paste(canvas, raster.crop(p, 1, 1, 6, 6), 0, 0)
-    canvas = raster.over(canvas, raster.apply_opacity(raster.crop(p, 2, 2, 6, 6).withColumn("opacity", F.lit(0.5))).drop("opacity"))
-    return raster.to_rgb(raster.paste(canvas, p, 3, 3))
+    """Designs drawn on small canvases by their draw plans, with the images of those layers that have one (vec_id = design_id * 8 + ordinal)."""
+    images = fixtures.pixels(spark, sf_dir).select("*", F.expr("image_id div 8").alias("design_id"), F.expr("CAST(image_id % 8 AS INT)").alias("ordinal")).drop("image_id")
+    layers = flat_layers(spark, sf_dir)
+    stored = images.select("design_id", "ordinal").distinct()
+    layers = cut(layers.drop("has_image").join(stored.withColumn("has_image", F.lit(True)), ["design_id", "ordinal"]))
+    plan = compose.render_plan(layout.calculate_layout(layers, fixtures.thumbnails(spark)))
+    own = layers.select("design_id", "ordinal", "element_id")
+    sizes = own.select("design_id", "element_id", F.lit(8).alias("src_w"), F.lit(8).alias("src_h"))
+    return raster.render(plan, images.join(own, ["design_id", "ordinal"]).drop("ordinal"), sizes)
 
 
 def queries() -> dict:

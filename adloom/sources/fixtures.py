@@ -60,12 +60,23 @@ SELECT image_id, y, x,
 FROM v
 """
 
-_TABLES = {"layers_raw": ("lineitem", "part"), "targets": (), "corrections": ("events",), "pixels": ("embeddings",)}
+#: Sizes, rectangles and offsets of the images, each its own: a canvas with the image on it, a size to scale to, a rectangle to cut out.
+FRAMES = """
+SELECT vec_id AS image_id, CAST(8 AS INT) AS src_w, CAST(8 AS INT) AS src_h, CAST(10 + vec_id % 5 AS INT) AS width, CAST(9 + vec_id % 4 AS INT) AS height,
+ CAST(vec_id % 3 AS INT) AS dx, CAST(vec_id % 2 AS INT) AS dy, CAST(vec_id % 3 AS INT) AS x1, CAST(vec_id % 2 AS INT) AS y1, CAST(vec_id % 3 + 8 AS INT) AS x2, CAST(vec_id % 2 + 8 AS INT) AS y2,
+ CAST(vec_id % 7 AS INT) AS to_w, CAST(11 - vec_id % 4 AS INT) AS to_h, CAST(vec_id % 5 - 2 AS INT) AS x0, CAST(vec_id % 4 - 1 AS INT) AS y0, CAST(5 + vec_id % 4 AS INT) AS cut_w, CAST(4 + vec_id % 5 AS INT) AS cut_h
+FROM embeddings
+"""
+
+#: Small targets, on which designs are drawn whole.
+THUMBNAILS = "SELECT CAST(seq AS INT) AS seq, name, CAST(width AS INT) AS width, CAST(height AS INT) AS height FROM (VALUES (1, 'Wide', 16, 9), (2, 'Tall', 7, 14), (3, 'Square', 12, 12)) AS t(seq, name, width, height)"
+
+_TABLES = {"frames": ("embeddings",), "thumbnails": (), "layers_raw": ("lineitem", "part"), "targets": (), "corrections": ("events",), "pixels": ("embeddings",)}
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived tables."""
-    text = {"layers_raw": LAYERS_RAW, "targets": TARGETS, "corrections": CORRECTIONS, "pixels": PIXELS.replace("GET(", "element_at(")}[name]
+    text = {"layers_raw": LAYERS_RAW, "targets": TARGETS, "corrections": CORRECTIONS, "pixels": PIXELS.replace("GET(", "element_at("), "frames": FRAMES, "thumbnails": THUMBNAILS}[name]
     frames = {}
     for t in _TABLES[name]:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
@@ -87,3 +98,11 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, "pixels")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, "frames")
+
+
+def thumbnails(spark: SparkSession) -> DataFrame:
+    return derive(spark, "", "thumbnails")

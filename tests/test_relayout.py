@@ -83,9 +83,10 @@ def test_general_walk_equals_rank(spark):
 def test_resample_keeps_a_solid_image(spark):
     rows = [(1, y, x, 255, 255, 255, 255) for y in range(6) for x in range(4)]
     px = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int, a int")
-    out = raster.resample(px, 4, 6, 7, 3).collect()
+    size = lambda w, h: spark.createDataFrame([(1, 4, 6, w, h)], "image_id long, src_w int, src_h int, width int, height int")
+    out = raster.resample(px, size(7, 3)).collect()
     assert len(out) == 21 and {(r["r"], r["g"], r["b"], r["a"]) for r in out} == {(255, 255, 255, 255)}
-    assert raster.resample(px, 4, 6, 0, 3) is px
+    assert sorted(raster.resample(px, size(0, 3)).collect()) == sorted(px.collect())
 
 
 def test_flat_images(spark, tmp_path):
@@ -119,3 +120,84 @@ def test_read_layers(spark, tmp_path):
     for kind in ("parquet", "json", "orc"):
         df.write.format(kind).save(str(tmp_path / kind))
         assert sorted(design.read_layers(spark, str(tmp_path / kind), kind).collect()) == rows
+
+
+def test_sides_are_truncated_before_they_are_judged(spark):
+    rows = [(1, 0.5, 50.0), (2, 4096.9, 50.0), (3, 9.9, 50.0), (4, 10.2, 10.0), (5, -0.5, 50.0), (6, 4097.0, 50.0), (7, float("nan"), 50.0), (8, None, 50.0)]
+    got = {r["seq"]: r["reason"] for r in layout.validate_targets(spark.createDataFrame(rows, "seq int, width double, height double")).collect()}
+    assert got == {1: "not positive", 2: None, 3: "too small", 4: None, 5: "not positive", 6: "too large", 7: "not a number", 8: "not numeric"}
+
+
+def test_scaling_by_any_factor(spark):
+    df = spark.createDataFrame([(-7, 9, 11, 3)], "x int, y int, width int, height int")
+    assert layout.bbox_scale(df, 0.5).select("sx", "sy", "swidth", "sheight").first() == (-3, 4, 5, 1)
+    assert layout.bbox_scale(df.withColumn("f", F.lit(2.0)), "f").select("sx", "sy", "swidth", "sheight").first() == (-14, 18, 22, 6)
+
+
+def test_z_order_of_the_document(spark):
+    schema = "design_id long, ordinal int, name string, layer_type string, width int, height int, visible boolean, parent_ordinal int"
+    df = spark.createDataFrame([(1, i, f"l{i}", "pixel", 50, 50, True, None) for i in range(3)], schema)
+    of = lambda order: [r["z_index"] for r in design.flatten_layer_tree(df, z_order=order).orderBy("k").collect()]
+    assert of("list") == [3, 2, 1] and of("document") == [0, 1, 2]
+    with pytest.raises(KeyError):
+        design.flatten_layer_tree(df, z_order="other")
+
+
+def test_fonts_effects_and_blend_modes(spark):
+    schema = "k int, opacity_u8 int, text_content string, blend_mode string, font_runs array<struct<font_size:double,font_name:string,color:array<double>>>, effect_list array<struct<name:string,enabled:boolean,opacity:double>>"
+    rows = [(0, 51, "Hi", "multiply", [(30.0, "Sans", [1.0, 0.5, 0.0, 0.0])], [("shadow", True, 40.0), ("glow", False, None)]), (1, None, None, None, [(None, None, None)], []), (2, 255, "x", None, None, None)]
+    got = {r["k"]: r for r in design.normalise_attributes(spark.createDataFrame(rows, schema)).collect()}
+    assert got[0]["opacity"] == pytest.approx(0.2) and got[1]["opacity"] == 1.0
+    assert [got[i]["blend_mode"] for i in range(3)] == ["multiply", "normal", "normal"]
+    assert got[0]["font_info"] == ("Hi", 30.0, "Sans", [1.0, 0.5, 0.0, 0.0])
+    assert got[1]["font_info"][1:] == got[2]["font_info"][1:] == (12.0, "Unknown", [1.0, 0.0, 0.0, 0.0])
+    assert {k: tuple(v) for k, v in got[0]["effects"].items()} == {"shadow": (True, 40.0), "glow": (False, 100.0)} and got[1]["effects"] == {}
+
+
+def test_manifest_is_written_by_target(spark, tmp_path):
+    plan = spark.createDataFrame([(1, "A B"), (1, "A B"), (2, "C")], "design_id long, target_name string")
+    design.manifest(plan, str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("design_id", "target_name", "file").collect())) == [(1, "A B", "A_B.png"), (2, "C", "C.png")]
+
+
+def image(spark, image_id, w, h, colour=lambda y, x: (10 * y, 10 * x, 7, 255)):
+    return spark.createDataFrame([(image_id, y, x, *colour(y, x)) for y in range(h) for x in range(w)], "image_id long, y int, x int, r int, g int, b int, a int")
+
+
+def places_of(df):
+    return {(r["image_id"], r["y"], r["x"]): tuple(r)[3:] for r in df.select("image_id", "y", "x", "r", "g", "b", "a").collect()}
+
+
+def test_images_of_mixed_sizes_in_one_job(spark):
+    p = image(spark, 1, 4, 3).unionByName(image(spark, 2, 2, 5))
+    geo = "image_id long, src_w int, src_h int, width int, height int, dx int, dy int, x0 int, y0 int"
+    g = spark.createDataFrame([(1, 4, 3, 6, 5, 1, -1, 2, 1), (2, 2, 5, 3, 3, -1, 0, -1, -2)], geo)
+    old = places_of(p)
+    size = {1: (4, 3, 6, 5), 2: (2, 5, 3, 3)}
+    wide, cut = places_of(raster.extend_edges(p, g)), places_of(raster.crop(p, g))
+    moved = {1: (1, -1, 2, 1), 2: (-1, 0, -1, -2)}
+    for i, (sw, sh, w, h) in size.items():
+        dx, dy, x0, y0 = moved[i]
+        for y in range(h):
+            for x in range(w):
+                assert wide.pop((i, y, x)) == old[i, min(max(y - dy, 0), sh - 1), min(max(x - dx, 0), sw - 1)]
+                assert cut.pop((i, y, x)) == old.get((i, y + y0, x + x0), (0, 0, 0, 0))
+    assert not wide and not cut
+    sizes = spark.createDataFrame([(1, 4, 3, 0, 9), (2, 2, 5, 4, 10)], "image_id long, src_w int, src_h int, width int, height int")
+    scaled = places_of(raster.resample(p, sizes))
+    assert {k: v for k, v in scaled.items() if k[0] == 1} == {k: v for k, v in old.items() if k[0] == 1} and sum(k[0] == 2 for k in scaled) == 40
+
+
+def test_render_draws_in_order(spark):
+    plan = spark.createDataFrame(
+        [(1, 1, 3, 2, 0, "background", "b", 0, 0, 3, 2, 1.0), (1, 1, 3, 2, 1, "overlay", "o", 0, 0, 3, 2, 0.1), (1, 1, 3, 2, 2, "content", "c", 2, -1, 2, 2, 0.5), (2, 1, 2, 1, 0, "content", "none", 0, 0, 1, 1, 1.0)],
+        "design_id long, seq int, target_w int, target_h int, step int, kind string, element_id string, x int, y int, w int, h int, opacity double",
+    )
+    flat = lambda name, w, h, *rgba: [(1, name, y, x, *rgba) for y in range(h) for x in range(w)]
+    px = spark.createDataFrame(flat("b", 3, 2, 100, 100, 100, 255) + flat("o", 3, 2, 200, 0, 0, 0) + flat("c", 2, 2, 0, 0, 255, 255), "design_id long, element_id string, y int, x int, r int, g int, b int, a int")
+    sizes = spark.createDataFrame([(1, "b", 3, 2), (1, "o", 3, 2), (1, "c", 2, 2)], "design_id long, element_id string, src_w int, src_h int")
+    got = {(r["design_id"], r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in raster.render(plan, px, sizes).collect()}
+    grey = got[1, 0, 0]
+    assert len(got) == 8 and got[2, 0, 0] == got[2, 0, 1] == (255, 255, 255)
+    assert len({got[1, y, x] for y in range(2) for x in range(3) if (y, x) != (0, 2)}) == 1 and all(abs(v - 100) < 4 for v in grey)
+    assert got[1, 0, 2][2] > 150 and got[1, 0, 2][0] < 60  # half the content over the grey
