@@ -20,7 +20,7 @@ conversation must fit one string (2 GB), since its digest is of that string.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -63,23 +63,42 @@ def parse(formatted: Column) -> Column:
     return F.transform(blocks, turn)
 
 
+def _placed(escaped: bool) -> tuple[Column, Column]:
+    """Start and length of a turn's text in its rendered conversation, in code points."""
+    role, text = (_escape_role, _escape_text) if escaped else (lambda c: c, lambda c: c)
+    head, body = F.length(role(F.col("role"))) + len(START) + 1, F.length(text(F.col("text")))
+    before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(head + body + len(END) + 1).over(before), F.lit(0)) + head
+    return start.cast("long"), body.cast("long")
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row a conversation: conv_id, turns (source), formatted, escaped, recovered.
+    """One row a conversation: conv_id, turns (source), formatted, escaped, loss_spans, recovered.
 
     ``recovered`` is parsed from ``formatted``; it equals ``turns`` always.
+    ``loss_spans`` is the loss mask over ``formatted``: start (from 0) and length, in code
+    points, of the text of each assistant turn, as rendered there.
     """
-    rows = conversations.select(
-        "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
-    )
-    turns = F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    out = rows.groupBy("conv_id").agg(turns.alias("turns")).withColumn("plain", render(F.col("turns"), False))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    (start, length), (escaped_start, escaped_length) = _placed(False), _placed(True)
+    plain, escaped = F.struct(start.alias("start"), length.alias("length")), F.struct(escaped_start.alias("start"), escaped_length.alias("length"))
+    rows = rows.select("conv_id", F.struct("turn", "role", "text", plain.alias("plain"), escaped.alias("escaped")).alias("t"))
+    turns = F.transform(F.col("all"), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    out = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("all"))
+    out = out.withColumn("turns", turns).withColumn("plain", render(F.col("turns"), False))
     out = out.withColumn("escaped", ~(parse(F.col("plain")) == F.col("turns")))
     out = out.withColumn("formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("plain")))
-    return out.select("conv_id", "turns", "formatted", "escaped").withColumn("recovered", parse(F.col("formatted")))
+    said = F.filter("all", lambda t: t["role"] == "assistant")
+    spans = F.when(F.col("escaped"), F.transform(said, lambda t: t["escaped"])).otherwise(F.transform(said, lambda t: t["plain"]))
+    return out.select("conv_id", "turns", "formatted", "escaped", spans.alias("loss_spans")).withColumn("recovered", parse(F.col("formatted")))
 
 
 def loss_text(turns: Column) -> Column:
-    """All text under the loss mask: the assistant's, in order."""
+    """All text under the loss mask: the assistant's, in order.
+
+    Taken from the turns read back, in one pass; slicing a long conversation once a span
+    would read it from its start each time.
+    """
     return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
 
 
