@@ -45,6 +45,9 @@ GRAM = 64
 OFFSETS = LENGTH - GRAM + 1
 #: Different surroundings of one trigger beyond which their strings are counted by Spark.
 HOT = 4_000
+#: A key with at least one in so many of all rows is dealt to SALTS tasks; at most so many keys are.
+HEAVY = 1_000
+SALTS = 64
 #: Bytes that a task parses at once.
 CHUNK = 1 << 19
 _MIX = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -284,6 +287,16 @@ def _by_counting(surroundings: DataFrame) -> DataFrame:
     return each.join(often, "s").groupBy("h", "c").agg(F.collect_list("o").alias("offsets")).mapInArrow(masks, "h long, c long, mask binary")
 
 
+def _spread(rows: DataFrame, groups: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """rows joined with groups by keys, with each heavy key (at most ``HEAVY``) dealt to ``SALTS`` tasks."""
+    heavy = F.broadcast(heavy.select(*keys, F.lit(True).alias("heavy")))
+    salt = F.pmod(F.xxhash64("x", F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    left = rows.join(heavy, keys, "left").withColumn("salt", F.when(F.col("heavy"), salt).otherwise(0)).drop("heavy")
+    right = groups.join(heavy, keys, "left").withColumn("salt", F.explode(F.when(F.col("heavy"), all_salts).otherwise(F.array(F.lit(0))))).drop("heavy")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 def repeats(documents: DataFrame) -> DataFrame:
     """(k1, k2, found): the triggers of each text with repeated strings.
 
@@ -291,9 +304,9 @@ def repeats(documents: DataFrame) -> DataFrame:
     """
     rows = _trigger_rows(documents)
     groups = rows.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("least"), F.max("c").alias("most"))
-    # Cut, so that both sides of the join are dealt anew and a hot hash can be split.
-    groups = cut(groups.where("times > 1").select("h", (F.col("least") == F.col("most")).alias("alike")))
-    again = cut(rows.join(groups, "h"))
+    groups = cut(groups.where("times > 1").select("h", "times", (F.col("least") == F.col("most")).alias("alike")))
+    total = groups.agg(F.sum("times")).first()[0] or 0
+    again = cut(_spread(rows, groups.drop("times"), ["h"], groups.where(F.col("times") * HEAVY >= total)))
     alike = again.where("alike").select("k1", "k2", "x", "lo", "hi", F.lit(None).cast("binary").alias("mask"))
     mixed = again.where("not alike")
     reps = mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "x", "lo", "hi")).alias("r"))
@@ -302,7 +315,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     wanted = reps.join(many, "h", "left").select("h", "c", "n", F.coalesce("hot", F.lit(False)).alias("hot"), "r.*")
     around = cut(_surroundings(_squeezed(documents, [], once=True), wanted))
     found = _by_suffix_arrays(around).unionByName(_by_counting(around))
-    some = mixed.join(found, ["h", "c"]).select("k1", "k2", "x", "lo", "hi", "mask")
+    some = _spread(mixed, found, ["h", "c"], around.where(F.col("n") * HEAVY >= total).select("h", "c").distinct()).select("k1", "k2", "x", "lo", "hi", "mask")
     return alike.unionByName(some).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("x", "lo", "hi", "mask")).alias("found"))
 
 

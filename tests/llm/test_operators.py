@@ -83,6 +83,11 @@ def test_chat_round_trip(spark):
     out = chat_format.format_conversations(df)
     assert out.where("NOT (recovered = turns)").count() == 0
     assert out.count() == 151 and out.where("escaped").count() > 20 and out.where("NOT escaped").count() > 20
+    for r in out.collect():
+        under = [r["formatted"][m["start"] : m["start"] + m["length"]] for m in r["loss_spans"]]
+        if r["escaped"]:
+            under = [re.sub(r"<(\\*)\\\|", r"<\1|", u) for u in under]
+        assert under == [t["text"] for t in r["turns"] if t["role"] == "assistant"]
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
@@ -290,9 +295,11 @@ def brute_repeats(texts):
         yield len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
 
 
+@pytest.mark.parametrize("heavy", [suffix_dedup.HEAVY, 0])
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_suffix_dedup(spark, monkeypatch, hot):
+def test_suffix_dedup(spark, monkeypatch, hot, heavy):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
     rng = random.Random(9)
     base = "".join(rng.choices("abcd \n", k=3000))
