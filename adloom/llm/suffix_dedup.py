@@ -45,6 +45,8 @@ GRAM = 64
 OFFSETS = LENGTH - GRAM + 1
 #: Different surroundings of one trigger beyond which their strings are counted by Spark.
 HOT = 4_000
+#: Tasks to which the surroundings of one hash are dealt when they are marked as hot.
+SALTS = 64
 #: Bytes that a task parses at once.
 CHUNK = 1 << 19
 _MIX = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -297,9 +299,11 @@ def repeats(documents: DataFrame) -> DataFrame:
     alike = again.where("alike").select("k1", "k2", "x", "lo", "hi", F.lit(None).cast("binary").alias("mask"))
     mixed = again.where("not alike")
     reps = mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "x", "lo", "hi")).alias("r"))
-    # Only the hashes with many surroundings: a short table, so the join needs no dealing by hash.
-    many = reps.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("h", F.lit(True).alias("hot"))
-    wanted = reps.join(many, "h", "left").select("h", "c", "n", F.coalesce("hot", F.lit(False)).alias("hot"), "r.*")
+    # Hashes with many surroundings are few, so a copy for each salt lets their rows be dealt by salt.
+    many = reps.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT)
+    many = many.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hot"))
+    salted = reps.withColumn("salt", F.pmod("c", F.lit(SALTS)).cast("int"))
+    wanted = salted.join(many, ["h", "salt"], "left").select("h", "c", "n", F.coalesce("hot", F.lit(False)).alias("hot"), "r.*")
     around = cut(_surroundings(_squeezed(documents, [], once=True), wanted))
     found = _by_suffix_arrays(around).unionByName(_by_counting(around))
     some = mixed.join(found, ["h", "c"]).select("k1", "k2", "x", "lo", "hi", "mask")
