@@ -4,11 +4,13 @@ import math
 import random
 import re
 from collections import Counter
+from hashlib import sha256
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adloom.llm import lexical_search
+from adloom.llm import lexical_search, merkle
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, norm double, term string, shard int"
 
@@ -55,3 +57,81 @@ def test_lexical_search_among_copies(spark):
     benchmark = spark.createDataFrame([(1, "the red fox")], "item_id long, text string")
     got = [tuple(r)[1:3] for r in lexical_search.search(documents, benchmark, shard=100).orderBy("rank").collect()]
     assert got == list(enumerate(sorted(i % 2000 for i in range(0, 3000, 3))[:10], 1))
+
+
+def hashed(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def climbed(nodes):
+    """Root of a list of digests, and the siblings of each with their sides, level by level."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for p, i in zip(paths, at):
+            run = i - i % 3
+            p.append(("".join(nodes[run:i]), "".join(nodes[i + 1 : run + 3])))
+        at = [i // 3 for i in at]
+        nodes = [hashed(*nodes[i : i + 3]) for i in range(0, len(nodes), 3)]
+    return nodes[0], paths
+
+
+def plain_manifest(rows, claims):
+    """(doc_id, leaf, subroot, root, proof, folded, verified) of (doc_id, source, lang, n_chars, text) rows."""
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaves = [(r[1] is not None, (r[1] or "").encode(), r[0] is not None, r[0] or 0, hashed(*map(field, r)), hashed(*map(field, (*r[:4], c))), r[0]) for r, c in zip(rows, claims)]
+    groups = {}
+    for x in sorted(leaves):
+        groups.setdefault(x[:2], []).append(x)
+    subs = [climbed([x[4] for x in g]) for g in groups.values()]
+    root, tops = climbed([s[0] for s in subs])
+    out = []
+    for g, (sub, paths), top in zip(groups.values(), subs, tops):
+        for x, path in zip(g, paths):
+            folded = x[5]
+            for a, b in path + top:
+                folded = hashed(a, folded, b)
+            out.append((x[6], x[4], sub, root, hashed(*[s for ab in path + top for s in ab]), folded, folded == root))
+    return sorted(out, key=str)
+
+
+MANIFEST = "doc_id long, source string, lang string, n_chars long, text string, leaf int, tree int, slot int, bucket int"
+
+
+def manifest_of(spark, rows, **more):
+    claims = [None if r[4] is None else r[4].replace("\n", "") if r[0] is not None and r[0] % 3 == 0 else r[4] for r in rows]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], MANIFEST)
+    claimed = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
+    return sorted(map(tuple, merkle.manifest(df, claimed, **more).collect()), key=str), plain_manifest(rows, claims)
+
+
+def test_manifest(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "COPIES", 4)
+    rng = random.Random(2)
+    ids = [None, 0, -1, -(2**63), 2**63 - 1, 2**40, 2**40 + 1, 32767, 32768, *range(100, 160)]
+    names = [None, "", "-", "+", "z", "é", "\U0001f600", "\uffff", "one"]
+    rows = [(rng.choice(ids), rng.choice(names[:-1]), rng.choice([None, "en"]), rng.choice([None, 5]), rng.choice([None, "", "a\nb", "c", "\n"])) for _ in range(400)]
+    rows += [(7, "one", None, 1, "only")] + [(9, "z", "en", 1, "copy\n")] * 23 + [(None, None, None, None, None)] * 9 + [(3, "é", None, 0, "x" * 300_000 + "\n")]
+    rows += [(rng.choice(ids), f"s{i}", None, None, "t") for i in range(12)]
+    got, expected = manifest_of(spark, rows)
+    assert got == expected and {r[6] for r in got} == {True, False}
+    assert merkle.manifest(spark.createDataFrame([], MANIFEST)).count() == 0
+    one, expected = manifest_of(spark, [(5, None, None, None, None)])
+    assert one == expected and one[0][1] == one[0][2] == one[0][3]
+
+
+def test_manifest_of_several_rounds(spark):
+    """Slot arrays of nine, so that trees take rounds; most rows share one source, and many one id."""
+    rows = [(i * 40_009 % 3_000_017 if i % 3 else 11, "hot" if i % 5 else f"s{i % 70}", "en", i, f"text {i}\n") for i in range(900)]
+    got, expected = manifest_of(spark, rows, levels=2)
+    assert got == expected
+
+
+def test_ranks_in_containers():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, merkle.LISTED, merkle.LISTED + 1, 1 << merkle.PLACE_BITS):
+        places = np.sort(rng.choice(1 << merkle.PLACE_BITS, size, replace=False))
+        counts = rng.choice([1, 1, 1, 4], size)
+        box = merkle.container(places, counts)
+        assert len(box["bits"]) <= 4096
+        asked = rng.choice(1 << merkle.PLACE_BITS, 300)
+        assert merkle.rank(box, asked).tolist() == [int(counts[places < p].sum()) for p in asked]
