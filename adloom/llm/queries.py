@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, lexical_search, merkle, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, lexical_search, merkle, packing, pii, quality_model, quality_rules, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_quality_classifier": quality_model.op9_quality_classifier,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_pii": pii.op11_pii,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_lexical_search": lexical_search.op13_lexical_search,
     }

@@ -1,8 +1,10 @@
 """Edge cases and brute force for the Merkle manifest, lexical search and personal data."""
 
+import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 
@@ -10,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adloom.llm import lexical_search, merkle
+from adloom.llm import lexical_search, merkle, pii
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, norm double, term string, shard int"
 
@@ -135,3 +137,92 @@ def test_ranks_in_containers():
         assert len(box["bits"]) <= 4096
         asked = rng.choice(1 << merkle.PLACE_BITS, 300)
         assert merkle.rank(box, asked).tolist() == [int(counts[places < p].sum()) for p in asked]
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.fit(pii.labelled_sentences())
+
+
+def plain_base(text):
+    """The patterns as the contract writes them."""
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m.group())) <= 15]
+    return sorted(out)
+
+
+def test_base_patterns():
+    rng = random.Random(8)
+    pieces = ["a", "B.", "@", "@x", ".com", "-", "_", "%", "1", "12", "255", "256", "0012", ".", ". ", " ", "+", "+1", "(", ")", "4111111111111111", "5500 0000 0000 0004", "é", "\n", "10.0.0.1", "+49 (30) 1234567"]
+    for _ in range(6000):
+        text = "".join(rng.choices(pieces, k=rng.randrange(1, 14)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_viterbi_and_open_tokens(field):
+    """Best sequences by trying all of them; runs of open tokens against one run over all."""
+    rng = np.random.default_rng(5)
+    e = rng.normal(0, 2, (8, 5, pii.N_LABELS))
+    for scores, got in zip(e, field.viterbi(e)):
+        value = lambda y: sum(s[a] for s, a in zip(scores, y)) + sum(field.moves[a, b] for a, b in zip((0, *y), (*y, 0)))  # noqa: E731,B023
+        assert value(got) == pytest.approx(max(map(value, itertools.product(range(pii.N_LABELS), repeat=5))))
+    for text in [t for t, _ in pii.labelled_sentences()] + ["plain words. " * 300 + "call (030) 123 4567 or " + "x, " * 200]:
+        _, _, shapes = pii.tokens(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        window, one = pii.windows(shapes.astype(np.int64), np.zeros(len(shapes), int)), np.zeros(len(shapes), int)
+        assert field.labels(window, one).tolist() == field.viterbi(field.emissions(window)[None])[0].tolist()
+
+
+def test_gradient_of_the_field():
+    """The fit ends where the likelihood, by trying all sequences, has no slope."""
+    few = [("a@b 12", [(0, 0, 3)]), ("12 34", []), ("x 12", [(2, 3, 4)])]
+    f = pii.fit(few, rounds=3000, penalty=0.1, move_penalty=0.1)
+
+    def loss(move):
+        out = 0.05 * ((f.weights.astype(float) ** 2).sum() + (move**2).sum())
+        for text, spans in few:
+            starts, ends, shapes = pii.tokens(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+            e = f.weights[pii.features(pii.windows(shapes.astype(np.int64), np.zeros(len(shapes), int)))].sum(axis=1).astype(float)
+            y = [next((1 + k for a, k, b in spans if s >= a and t <= b), 0) for s, t in zip(starts, ends)]
+            value = lambda y: sum(s[a] for s, a in zip(e, y)) + sum(move[a, b] for a, b in zip((0, *y), (*y, 0)))  # noqa: E731,B023
+            out += np.log(sum(np.exp(value(z)) for z in itertools.product(range(pii.N_LABELS), repeat=len(y)))) - value(y)
+        return out
+
+    for a, b in itertools.product(range(pii.N_LABELS), repeat=2):
+        d = np.zeros_like(f.moves)
+        d[a, b] = 1e-4
+        assert abs(loss(f.moves + d) - loss(f.moves - d)) / 2e-4 < 0.01
+
+
+def test_field_finds_unusual_forms(field):
+    cases = {
+        "Please mail sam.hill (at) office.example.org about it": ["sam.hill (at) office.example.org"],
+        "you can ask tim dot bell at sample dot org for more": ["tim dot bell at sample dot org"],
+        "phone (415) 555-0132 or come": ["(415) 555-0132"],
+        "call +1 (269) 555-3296 4524132264652876 and": ["+1 (269) 555-3296", "4524132264652876"],
+        "paid by 4012/8888/8888/1881 there": ["4012/8888/8888/1881"],
+    }
+    for text, want in cases.items():
+        base, spans = pii.judged(field, [text])[0]
+        assert base == plain_base(text) and [text[a:b] for a, _, b in spans] == want
+    clean = ["The thing was at the dot of 10.5, in 2023 and 1,200 more.", "version 1.2.3 of 12-A; id 9807915762804490", "A!! B!! C### d%%% at. at. at. dot. dot.", "Ünd öde, çela. 12:30 (or 13:45)."]
+    assert [s for _, s in pii.judged(field, clean)] == [[]] * 4
+
+
+def test_personal_data(spark, field):
+    texts = [None, "", " \n\t", "jo@x.org", "jo@x.org", "é" * 40 + " 10.1.2.3, 日本. Please mail sam.hill (at) office.example.org about it", "a\0b +44 20 7946 0958", "x" * 400_000 + " jo@x.org", "1" * 300_000, "word at. " * 60_000 + "call (030) 123 4567", "+1" * 50_000, "1.2.3." * 40_000, "@" * 100_000]
+    rows = [(None if i == 3 else i, t, None, None, None, 1.0, "x", 2) for i, t in enumerate(texts)]
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, DOCS), field).collect()}
+    assert len(got) == len(texts) and time.time() - began < 120
+    for i, t in enumerate(texts):
+        r, base = got[None if i == 3 else i], plain_base(t or "") if len(t or "") < 1000 else pii.base_spans(t)
+        shown = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert r["base_sha256"] == hashed(shown) and [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == j for x in base) for j in range(4)]
+        assert set(filter(None, shown.split(","))) <= set(r["spans"].split(","))
+        assert r["spans"] == pii.shown(pii.judged(field, [t or ""])[0][1])  # whatever stands beside it
+    assert len(got[5]["spans"].split(",")) == 2 and got[9]["spans"].startswith("phone:540005:")
+    assert pii.find(spark.createDataFrame([], DOCS), field).count() == 0
