@@ -8,14 +8,16 @@ letters, between runs of one, two or three words (divided by the length of a run
 feature space, so short words count as long ones).  A sentence scores by its worst run
 of each number of words, so insults of several words are seen whole.  A letter put into
 an insult, left out or changed leaves most subsequences in place; characters that are no
-letters are passed over, and three or more single letters in a row are read as one word.  Letters of other scripts have codes of their own, 30 of them
-by their place in Unicode.
+letters are passed over, and three or more single letters in a row are read as one word.
+Letters of other scripts have 16 codes of their own, by their place in Unicode: two of one
+script may share one, but none is that of a Latin letter.
 
 Training, on sentences of labelled documents, which have their document's label: (1)
 letter groups that toxic documents have too often (z-scores of document counts, summed
 by Spark) point at witness sentences of each toxic document and at the most misleading
-ones of clean ones, and in each at its worst run of each number of words; (2) frequent witnesses and misleading runs become landmarks, and a
-squared-hinge SVM is fitted in their Nyström space; (3) witnesses are chosen again by
+ones of clean ones, and in each at the worst stretch of its runs of each number of words
+(the stretch that scores it, with what its eight starts reach); (2) frequent witnesses and
+misleading stretches become landmarks, and a squared-hinge SVM is fitted in their Nyström space; (3) witnesses are chosen again by
 that SVM and it is fitted anew.  This is done for all labelled documents and for each
 half of them; the halves score each other's documents, and a logistic curve over the
 worst sentences' scores of these, all left out of the fit that scored them, calibrates.
@@ -32,6 +34,7 @@ the smoothed share of toxic rows.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
@@ -51,32 +54,34 @@ FOLDS, HELD_OUT = 3, 1
 DECAY = 0.7
 ORDER, SPAN, STRETCH = 4, 6, 8
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 192, 96
-#: Bound of the distinct runs of words of each side in a fit, the most frequent ones.
+#: Bound of the distinct stretches of each side in a fit, the most frequent ones; a half's fit takes half as many.
 TOXIC_RUNS, CLEAN_RUNS = 4_000, 12_000
 #: Sentences of a toxic and of a clean document that are instances of the fit.
 WITNESSES, MISLEADING = 2, 3
 NO_EVIDENCE, EVIDENCE, RUN = -2.0, 4, 3
-#: Characters that a task reads at once; longer texts are read in pieces that share some.
-PIECE, SHARED = 1 << 18, 64
-#: Letters before and after the start of the worst stretch that a run of words may keep.
-AROUND = 24
+#: Characters that a task reads at once, about; longer texts are cut, between sentences only.
+PIECE = 1 << 18
+_STOP = re.compile("[.!?\u3002\uff01\uff1f][\t\n\x0b\x0c\r \x85\xa0\u2028\u2029\u3000]")
 _COMBOS = [c for c in combinations(range(1, SPAN), ORDER - 1)]
-_CODES = 1 << (5 * ORDER)
-_WORD, _SPACE, _LINE, _END, _TEXT, _FILL = 31, 32, 33, 34, 35, 36
-_LETTER = np.full(0x32000, 30, np.uint8)  # 30: any other sign, and what lies beyond
+#: Letters: 0 the gap between sentences, 1..26 a to z, 27..30 other Latin ones, 31 the mark before a word, 32..47 other scripts.
+BASE = 48
+_CODES = BASE**ORDER
+_WORD, _SPACE, _LINE, _END, _TEXT, _FILL = 31, 48, 49, 50, 51, 52
+_OTHER = BASE - 1 - _WORD
+_LETTER = np.full(0x32000, _WORD + 1, np.uint8)  # any other sign, and what lies beyond
 _LETTER[:0x300] = _FILL
 _LETTER[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _LETTER[0xC0:0x300] = 27 + np.arange(0xC0, 0x300) % 4
 _LETTER[0x2FF] = 30
 for _c in range(0x370, len(_LETTER)):
     if unicodedata.category(chr(_c))[0] in "LM":
-        _LETTER[_c] = 1 + _c % 30
+        _LETTER[_c] = _WORD + 1 + _c % _OTHER
 _LETTER[[9, 11, 12, 13, 32, 0x85, 0xA0, 0x3000]] = _SPACE
 _LETTER[[10, 0x2028, 0x2029]] = _LINE
 _LETTER[[ord(c) for c in ".!?。！？"]] = _END
 _LETTER[0] = _TEXT
 #: Codes of four letters, none of them the gap between sentences.
-_VALID = np.all([(np.arange(_CODES) >> (5 * i)) & 31 != 0 for i in range(ORDER)], axis=0)
+_VALID = np.all([np.arange(_CODES) // BASE**i % BASE != 0 for i in range(ORDER)], axis=0)
 
 
 def _norms() -> np.ndarray:
@@ -131,7 +136,7 @@ class Letters:
 
     def groups(self, combos=_COMBOS) -> Iterator[tuple[np.ndarray, float]]:
         """Codes of all subsequences of each shape, by their first place, and their weight."""
-        parts = [self.flat << (5 * i) for i in range(ORDER)]
+        parts = [self.flat * BASE**i for i in range(ORDER)]
         for c in combos:
             n = max(0, len(self.flat) - c[-1])
             code = parts[3][:n] + parts[2][c[0] : c[0] + n] + parts[1][c[1] : c[1] + n] + parts[0][c[2] : c[2] + n]
@@ -185,17 +190,25 @@ class Letters:
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
-    """Texts, cut if long, in lots of about PIECE characters, and which text each belongs to."""
+    """Texts in lots of about PIECE characters, and which text each part belongs to.
+
+    Long texts are cut after sentences, so every sentence is whole in one part.
+    """
     own, of, size = [], [], 0
     for i, text in enumerate(texts):
-        text = text or ""
-        for at in range(0, max(1, len(text) - SHARED), PIECE - SHARED):
-            own.append(text[at : at + PIECE])
+        text, at = text or "", 0
+        while True:
+            stop = _STOP.search(text, at + PIECE - 1) if len(text) - at > PIECE else None
+            end = stop.end() if stop else len(text)
+            own.append(text[at:end])
             of.append(i)
-            size += len(own[-1])
+            size += end - at
             if size >= PIECE:
                 yield own, of
                 own, of, size = [], [], 0
+            at = end
+            if at >= len(text):
+                break
     if own:
         yield own, of
 
@@ -254,24 +267,38 @@ def _group_counts(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(counts[i, some].astype(np.int64)) for i in range(4))], names=["code", "n0", "n1", "n2", "n3"])
 
     sums = rows.select("text", "y", "half").mapInArrow(run, "code int, n0 long, n1 long, n2 long, n3 long").groupBy("code").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
-    got = sums.where("n0 + n1 + n2 + n3 > 1").toArrow()  # at most 2 ** 20 rows
+    got = sums.where("n0 + n1 + n2 + n3 > 1").toArrow()  # at most BASE ** ORDER rows of five numbers
     out = np.zeros((4, _CODES))
     for i in range(4):
         out[i, got["code"].to_numpy()] = got[f"n{i}"].to_numpy()
     return out.reshape(2, 2, _CODES)
 
 
-def _worst_run(letters: Letters, values: list[np.ndarray], r: int, sentence: int) -> bytes:
-    """The letters of the run of r + 1 words that holds a sentence's worst stretch."""
+def _worst_stretch(letters: Letters, value: np.ndarray, r: int, sentence: int) -> bytes:
+    """The letters that a sentence's worst stretch reaches in its run of r + 1 words."""
     a, b = int(letters.start[sentence]), int(letters.end[sentence])
-    p = a + int(np.argmax(values[r][a:b]))
-    words = np.r_[np.flatnonzero(letters.flat[a:b] == _WORD) + a, b]
-    w = int(np.searchsorted(words, p, side="right")) - 1
-    return letters.flat[max(words[w], p - AROUND) : min(words[w + r + 1], p + AROUND)].astype(np.uint8).tobytes()
+    p = a + int(np.argmax(value[a:b]))
+    words = np.flatnonzero(letters.flat[p + 1 : b] == _WORD)
+    stop = p + 1 + int(words[r]) if len(words) > r else b
+    return letters.flat[p : min(stop, p + STRETCH + SPAN - 1)].astype(np.uint8).tobytes()
+
+
+def _chosen(text: np.ndarray, scores: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Sentences to learn from: the worst of each text, alike ones once, and of clean texts two others, by their places."""
+    there = np.flatnonzero(np.isfinite(scores))
+    order = there[np.lexsort((-scores[there], text[there]))]
+    t, s = text[order], scores[order]
+    new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])][: len(t)]
+    order, t = order[new], t[new]
+    begin = np.searchsorted(t, t)
+    worst = order[np.arange(len(t)) - begin < np.where(toxic[t], WITNESSES, MISLEADING)]
+    clean = np.unique(t[~toxic[t]])
+    first, size = np.searchsorted(text[there], clean), np.searchsorted(text[there], clean, side="right") - np.searchsorted(text[there], clean)
+    return np.concatenate([worst, there[first + size // 3], there[first + 2 * size // 3]])
 
 
 def _instances(rows: DataFrame, tables: list[np.ndarray], combos) -> list[tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]]:
-    """For each table of weights the witness runs of toxic documents, and misleading and other ones of clean ones, with counts.
+    """For each table of weights the witness stretches of toxic documents, and misleading and other ones of clean ones, with counts.
 
     Table 0 and 1 are of the halves, and get their own half's documents; table 2 gets all.
     """
@@ -280,27 +307,26 @@ def _instances(rows: DataFrame, tables: list[np.ndarray], combos) -> list[tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, bytes, int]] = []
-            for at in range(0, batch.num_rows, 64):
-                few = batch.slice(at, 64)
-                for half in (0, 1):
-                    own = few.filter(pa.array(few.column("half").to_numpy() == half))
-                    y = own.column("y").to_numpy().astype(int)
-                    for texts, of in _pieces(own.column("text").to_pylist()):
-                        letters = Letters.of_texts(texts)
-                        if not len(letters.start):
-                            continue
-                        text = np.array(of)[letters.text]
-                        for which in (half, 2):
-                            values = letters.values(shared.value[which], combos)
-                            for r in range(RUN):
-                                scores = np.maximum.reduceat(values[r], letters.start)
-                                for i in np.unique(text[np.isfinite(scores)]).tolist():
-                                    there = np.flatnonzero((text == i) & np.isfinite(scores))
-                                    worst = there[np.unique(-scores[there], return_index=True)[1]]  # sentences alike count once
-                                    some = worst[: WITNESSES if y[i] else MISLEADING].tolist()
-                                    if not y[i]:
-                                        some += there[[len(there) // 3, 2 * len(there) // 3]].tolist()
-                                    out += [(which, _worst_run(letters, values, r, s), int(y[i])) for s in some]
+            for half in (0, 1):
+                own = batch.filter(pa.array(batch.column("half").to_numpy() == half))
+                toxic = own.column("y").to_numpy() > 0.5
+                lot, size = [], 0
+                texts = own.column("text").to_pylist()
+                for i, t in enumerate(texts):  # whole texts, for each is judged as one
+                    lot.append(t)
+                    size += len(t or "")
+                    if size < PIECE and i < len(texts) - 1:
+                        continue
+                    letters, base = Letters.of_texts(lot), i + 1 - len(lot)
+                    lot, size = [], 0
+                    if not len(letters.start):
+                        continue
+                    text = letters.text + base
+                    for which in (half, 2):
+                        values = letters.values(shared.value[which], combos)
+                        for r in range(RUN):
+                            for s in _chosen(text, np.maximum.reduceat(values[r], letters.start), toxic).tolist():
+                                out.append((which, _worst_stretch(letters, values[r], r, s), int(toxic[text[s]])))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int32())], names=["which", "run", "y"])
 
     counted = rows.select("text", "y", "half").mapInArrow(run, "which int, run binary, y int").groupBy("which", "run", "y").count()
@@ -308,13 +334,14 @@ def _instances(rows: DataFrame, tables: list[np.ndarray], combos) -> list[tuple[
     for r in counted.toLocalIterator():  # a few runs a sampled document
         times[r["which"]][bytes(r["run"]), r["y"]] = r["count"]
     out = []
-    for own in times:
+    for own, share in zip(times, (2, 2, 1)):
         n_toxic, n_clean = (max(1, sum(n for (_, y), n in own.items() if y == k)) for k in (1, 0))
         # A witness that is as usual in clean documents is none.
         toxic = [(w, n) for (w, y), n in own.items() if y and n / n_toxic > 4 * own.get((w, 0), 0) / n_clean]
         clean = [(w, n) for (w, y), n in own.items() if not y]
-        out.append(tuple(sorted(x, key=lambda x: (-x[1], _mixed(x[0]))) for x in (toxic, clean)))
-    return [(toxic[:TOXIC_RUNS], clean[:CLEAN_RUNS]) for toxic, clean in out]
+        most = lambda runs, n: sorted(runs, key=lambda x: (-x[1], _mixed(x[0])))[:n]
+        out.append((most(toxic, TOXIC_RUNS // share), most(clean, CLEAN_RUNS // share)))
+    return out
 
 
 def _mixed(run: bytes) -> int:
@@ -345,8 +372,10 @@ def landmark_features(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     code, mark, value = [], [], []
     for c, w in letters.groups():
         at = np.flatnonzero(_VALID[c])
+        own = np.searchsorted(letters.start, at, side="right") - 1
+        at, own = at[at - letters.start[own] < STRETCH], own[at - letters.start[own] < STRETCH]
         code.append(c[at])
-        mark.append(np.searchsorted(letters.start, at, side="right") - 1)
+        mark.append(own)
         value.append(np.full(len(at), w))
     codes, column = np.unique(np.concatenate(code), return_inverse=True)
     phi = np.zeros((len(codes), len(marks)))
@@ -359,14 +388,16 @@ def kernel(runs: list[bytes], codes: np.ndarray, phi: np.ndarray) -> np.ndarray:
     at_code = np.full(_CODES, -1, np.int32)
     at_code[codes] = np.arange(len(codes))
     out = np.zeros((len(runs), phi.shape[1]))
+    small = phi.astype(np.float32)
     for i in range(0, len(runs), 4000):
         own = Letters.of_codes(runs[i : i + 4000])
         for code, w in own.groups():
             hit = np.flatnonzero(at_code[code] >= 0)
             run = np.searchsorted(own.start, hit, side="right") - 1
+            hit, run = hit[hit - own.start[run] < STRETCH], run[hit - own.start[run] < STRETCH]
             first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else run
             if len(run):
-                out[i + run[first]] += w * np.add.reduceat(phi[at_code[code[hit]]], first)
+                out[i + run[first]] += w * np.add.reduceat(small[at_code[code[hit]]], first)
         out[i : i + 4000] /= own.norms()[:, None]
     return out
 
