@@ -9,6 +9,7 @@ ROLE_PRIORITY = {
     "headline": 1, "subheadline": 3, "body_text": 5, "cta": 2, "badge": 4, "label": 4, "logo": 2, "hero_image": 3, "icon": 6,
     "photo": 5, "illustration": 5, "decoration": 8, "background": 9, "background_pattern": 9, "overlay": 9, "group": 7, "unknown": 7,
 }
+# Roles of the background.
 BACKGROUND_ROLES = ("background", "background_pattern", "overlay")
 # Patterns in a lower-cased layer name; the first in this order wins.
 NAME_PATTERNS = [
@@ -29,14 +30,13 @@ NAME_PATTERNS = [
     ("overlay", ["overlay", "gradient_overlay", "color_overlay", "mask"]),
     ("group", ["group", "folder", "section"]),
 ]
-#: Roles of the embedding prompts, in prompt order.
+# Roles of the embedding prompts, in prompt order.
 PROMPT_ROLES = ["headline", "subheadline", "body_text", "cta", "badge", "logo", "hero_image", "icon", "photo", "illustration", "decoration", "background", "background_pattern", "label", "overlay"]
 # Template -> least and limiting width/height, and its zones (x, y, w, h as fractions; roles).
-_TOP, _HEAD, _CTA, _HERO = ["badge", "logo"], ["headline", "subheadline"], ["cta"], ["hero_image", "illustration", "photo"]
 TEMPLATES = {
-    "portrait_tall": (0.5, 0.65, [("top_badge", 0.1, 0.02, 0.8, 0.08, _TOP), ("headline", 0.05, 0.12, 0.9, 0.25, _HEAD), ("cta", 0.15, 0.38, 0.7, 0.08, _CTA), ("hero", 0.0, 0.48, 1.0, 0.52, _HERO)]),
-    "portrait": (0.65, 0.85, [("top_badge", 0.1, 0.03, 0.8, 0.1, _TOP), ("headline", 0.05, 0.15, 0.9, 0.2, _HEAD), ("cta", 0.2, 0.36, 0.6, 0.08, _CTA), ("hero", 0.05, 0.46, 0.9, 0.5, _HERO)]),
-    "square": (0.85, 1.15, [("top_badge", 0.05, 0.03, 0.4, 0.12, _TOP), ("headline", 0.05, 0.18, 0.55, 0.25, _HEAD), ("cta", 0.05, 0.45, 0.45, 0.1, _CTA), ("hero", 0.45, 0.1, 0.52, 0.85, _HERO)]),
+    "portrait_tall": (0.5, 0.65, [("top_badge", 0.1, 0.02, 0.8, 0.08, ["badge", "logo"]), ("headline", 0.05, 0.12, 0.9, 0.25, ["headline", "subheadline"]), ("cta", 0.15, 0.38, 0.7, 0.08, ["cta"]), ("hero", 0.0, 0.48, 1.0, 0.52, ["hero_image", "illustration", "photo"])]),
+    "portrait": (0.65, 0.85, [("top_badge", 0.1, 0.03, 0.8, 0.1, ["badge", "logo"]), ("headline", 0.05, 0.15, 0.9, 0.2, ["headline", "subheadline"]), ("cta", 0.2, 0.36, 0.6, 0.08, ["cta"]), ("hero", 0.05, 0.46, 0.9, 0.5, ["hero_image", "illustration", "photo"])]),
+    "square": (0.85, 1.15, [("top_badge", 0.05, 0.03, 0.4, 0.12, ["badge", "logo"]), ("headline", 0.05, 0.18, 0.55, 0.25, ["headline", "subheadline"]), ("cta", 0.05, 0.45, 0.45, 0.1, ["cta"]), ("hero", 0.45, 0.1, 0.52, 0.85, ["hero_image", "illustration", "photo"])]),
     "landscape": (1.15, 2.0, [("left_content", 0.03, 0.05, 0.5, 0.9, ["badge", "headline", "subheadline", "cta"]), ("hero", 0.5, 0.0, 0.5, 1.0, ["hero_image", "illustration", "photo", "logo"])]),
     "landscape_wide": (2.0, 4.0, [("left", 0.02, 0.1, 0.35, 0.8, ["badge", "headline"]), ("center", 0.35, 0.15, 0.3, 0.7, ["subheadline", "cta"]), ("hero", 0.62, 0.0, 0.38, 1.0, ["hero_image", "illustration", "logo"])]),
 }

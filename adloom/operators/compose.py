@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from .layout import calculate_layout, few
+from .layout import calculate_layout, few, validate_targets
 
 
 def fit_plan(pairs: DataFrame) -> DataFrame:
@@ -27,19 +27,25 @@ def overlay_plan(placements: DataFrame) -> DataFrame:
     return draw_plan(placements).where("kind = 'overlay'")
 
 
-def compose_plan(layers: DataFrame, targets: DataFrame) -> DataFrame:
+def compose_plan(layers: DataFrame, targets: DataFrame, mode: str = "smart") -> DataFrame:
     """Steps of every design and target: one fitted image for a flat source, else the draw plan.
 
+    Both kinds of steps have the columns of ``draw_plan``, so ``raster.render`` draws them in
+    one job.  A flat source's step is of kind cover (cut to the target), contain (as large
+    as the target), extend (edges extended to it) or blank.
     """
     layers = with_is_flat(layers)
     t = targets.select("seq", F.col("name").alias("target_name"), F.col("width").alias("target_w"), F.col("height").alias("target_h"))
     one = layers.where("is_flat").select("design_id", "k", "element_id", F.col("canvas_w").alias("src_w"), F.col("canvas_h").alias("src_h"), "opacity")
-    fits = fit_plan(one.crossJoin(F.broadcast(t) if few(t) else t).withColumn("mode", F.lit("smart")))  # each design on each target is the result
+    fits = fit_plan(one.crossJoin(F.broadcast(t) if few(t) else t).withColumn("mode", F.lit(mode)))  # each design on each target is the result
     box = lambda cover, contain, blank: F.when(F.col("plan") == "blank", blank).when(F.col("plan") == "cover", cover).otherwise(contain).cast("int")
+    place = {
+        "x": box(-F.col("crop_x"), F.col("off_x"), F.lit(0)), "y": box(-F.col("crop_y"), F.col("off_y"), F.lit(0)),
+        "w": box(F.col("cover_w"), F.col("contain_w"), F.col("target_w")), "h": box(F.col("cover_h"), F.col("contain_h"), F.col("target_h")),
+    }
     fits = fits.select(
-        "design_id", "seq", "target_name", F.lit(0).alias("step"), F.col("plan").alias("kind"), "k", "element_id",
-        box(-F.col("crop_x"), F.col("off_x"), F.lit(0)).alias("x"), box(-F.col("crop_y"), F.col("off_y"), F.lit(0)).alias("y"),
-        box(F.col("cover_w"), F.col("contain_w"), F.col("target_w")).alias("w"), box(F.col("cover_h"), F.col("contain_h"), F.col("target_h")).alias("h"), "opacity",
+        "design_id", "seq", "target_name", F.lit(0).alias("step"), F.col("plan").alias("kind"), "k", "element_id", *[v.alias(c) for c, v in place.items()], "opacity",
+        "target_w", "target_h", *[v.alias(f"image_{c}") for c, v in place.items()],
     )
     return draw_plan(calculate_layout(layers.where("NOT is_flat"), targets)).unionByName(fits)
 
@@ -47,37 +53,71 @@ def compose_plan(layers: DataFrame, targets: DataFrame) -> DataFrame:
 def batch_relayout(layers: DataFrame, targets: DataFrame) -> DataFrame:
     """For every design and target name (the latest of a name counts): layers placed, visible and drawn."""
     named = targets.groupBy("name").agg(F.max_by(F.struct("seq", "width", "height"), "seq").alias("_latest")).select("name", "_latest.*")
-    marked = _with_kind(calculate_layout(layers, named))
+    marked = with_kind(calculate_layout(layers, named))
     counts = [F.count("*"), F.count_if("visible"), F.count("kind")]
     return marked.groupBy("design_id", "seq", "target_name").agg(*[c.cast("int").alias(n) for c, n in zip(counts, ("n_placed", "n_visible", "n_drawn"))])
 
 
+def batch_with_rejects(designs: DataFrame, layers: DataFrame, targets: DataFrame, observed: Observation | None = None) -> DataFrame:
+    """The whole batch in one job: results and rejects as rows of one table, told apart by ``status``.
+
+    designs (design_id) are all that were asked for, layers what was read of them, targets
+    (seq, name, width, height) any sizes.  Status ``result`` has the counts of
+    ``batch_relayout``; ``design`` is a design without a layer, ``target`` a size that
+    breaks a rule, each with its reason.  ``observed`` gets the number of rows of each
+    status as the rows are written; a writer partitions by status, so one pass makes both.
+    """
+    judged = validate_targets(targets)
+    results = batch_relayout(layers, judged.where("reason IS NULL").drop("reason")).withColumns({"status": F.lit("result"), "reason": F.lit(None).cast("string")})
+    read = layers.select("design_id").distinct()
+    empty = designs.select("design_id").distinct().join(read, "design_id", "left_anti").select("design_id", F.lit("design").alias("status"), F.lit("no layers").alias("reason"))
+    bad = judged.where("reason IS NOT NULL").select("seq", F.col("name").alias("target_name"), F.lit("target").alias("status"), "reason")
+    out = results.unionByName(empty, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True)
+    out = out.select("status", "design_id", "seq", "target_name", "n_placed", "n_visible", "n_drawn", "reason")
+    if observed is None:
+        return out
+    return out.observe(observed, *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("result", "design", "target")])
+
+
+def write_batch(batch: DataFrame, path: str, batch_id: str) -> None:
+    """Write a batch by id and status; writing an id again replaces that batch alone."""
+    out = batch.withColumn("batch_id", F.lit(batch_id))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "status").parquet(path)
+
+
 def draw_plan(placements: DataFrame) -> DataFrame:
     """Draw steps of each design and target, one row a step, in drawing order.
 
     The first background comes first (none or one without an image: a white canvas, and
     no overlay is drawn); then overlays in list order, stretched; then visible content
     with an image and a size, by z_index.  Both windows are within a design and target,
-    so placements that lie by design are not dealt anew.
+    so placements that lie by design are not dealt anew.  x, y, w, h is the box on the
+    canvas; image_x, image_y, image_w, image_h is where the step's whole image lies, which
+    differs for a background: it is scaled to fill the canvas and cut.
     """
     order = Window.partitionBy("design_id", "seq").orderBy("z", "k")
     whole = F.col("kind") != "content"
     box = {"x": F.lit(0), "y": F.lit(0), "w": F.col("target_w"), "h": F.col("target_h")}
-    drawn = _with_kind(placements).where("kind IS NOT NULL").withColumn("step", F.row_number().over(order) - 1)
-    return drawn.select("design_id", "seq", "target_name", "step", "kind", "k", "element_id", *[F.when(whole, v).otherwise(F.col(f"new_{c}")).alias(c) for c, v in box.items()], "opacity")
+    drawn = with_kind(placements).where("kind IS NOT NULL").withColumn("step", F.row_number().over(order) - 1)
+    drawn = E.extend(drawn, E.BACKGROUND)
+    boxes = {c: F.when(whole, v).otherwise(F.col(f"new_{c}")) for c, v in box.items()}
+    own = {"x": -F.col("crop_x"), "y": -F.col("crop_y"), "w": F.col("scaled_w"), "h": F.col("scaled_h")}
+    images = [F.when(F.col("kind") == "background", v).otherwise(boxes[c]).cast("int").alias(f"image_{c}") for c, v in own.items()]
+    return drawn.select("design_id", "seq", "target_name", "step", "kind", "k", "element_id", *[v.alias(c) for c, v in boxes.items()], "opacity", "target_w", "target_h", *images)
 
 
-def _with_kind(placements: DataFrame) -> DataFrame:
-    """Placements with what is drawn of each: kind (null: nothing) and drawing order z."""
+def with_kind(placements: DataFrame) -> DataFrame:
+    """Placements with what is drawn of each: kind (null: nothing), drawing order z, and the first background (bg_k, bg_w, bg_h, bg_image)."""
     background = F.expr(E.IS_BACKGROUND)
-    first = F.min(F.when(background, F.struct("k", "has_image"))).over(Window.partitionBy("design_id", "seq"))
+    first = F.min(F.when(background, F.struct("k", F.col("width").alias("w"), F.col("height").alias("h"), F.col("has_image").alias("image")))).over(Window.partitionBy("design_id", "seq"))
     kind = (
         F.when(~background & F.col("visible") & F.col("has_image") & (F.col("new_w") > 0) & (F.col("new_h") > 0), "content")
-        .when(background & F.col("first.has_image") & (F.col("k") == F.col("first.k")), "background")
-        .when(background & F.col("first.has_image") & F.col("has_image") & (F.col("role") == "overlay"), "overlay")
+        .when(background & F.col("bg_image") & (F.col("k") == F.col("bg_k")), "background")
+        .when(background & F.col("bg_image") & F.col("has_image") & (F.col("role") == "overlay"), "overlay")
     )
     z = F.when(F.col("kind") == "background", -2).when(F.col("kind") == "overlay", -1).otherwise(F.col("z_index"))
-    return placements.withColumn("first", first).withColumn("kind", kind).withColumn("z", z).drop("first")
+    out = placements.withColumn("_first", first).withColumns({f"bg_{c}": F.col(f"_first.{c}") for c in ("k", "w", "h", "image")})
+    return out.withColumn("kind", kind).withColumn("z", z).drop("_first")
 
 
 def first_background(layers: DataFrame) -> DataFrame:
@@ -100,13 +140,3 @@ def placed_layers(layers: DataFrame, placements: DataFrame) -> DataFrame:
 def with_is_flat(layers: DataFrame) -> DataFrame:
     """is_flat: the design has one layer (n), and that is of source_type flat_image."""
     return layers.withColumn("is_flat", F.coalesce(F.expr("n = 1 AND source_type = 'flat_image'"), F.lit(False)))
-
-
-def render_plan(placements: DataFrame) -> DataFrame:
-    """Draw steps with the canvas size, and backgrounds at the size and place at which they are drawn."""
-    key = ["design_id", "seq"]
-    back = background_plan(placements).select(*key, "target_w", "target_h", *[F.col(c).cast("int").alias(c) for c in ("scaled_w", "scaled_h", "crop_x", "crop_y")])
-    own = F.col("kind") == "background"
-    values = {"x": -F.col("crop_x"), "y": -F.col("crop_y"), "w": F.col("scaled_w"), "h": F.col("scaled_h")}
-    steps = draw_plan(placements).join(back, key)
-    return steps.select(*key, "target_w", "target_h", "step", "kind", "element_id", *[F.when(own, v).otherwise(F.col(c)).alias(c) for c, v in values.items()], "opacity")

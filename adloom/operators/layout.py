@@ -18,6 +18,16 @@ def few(df: DataFrame, rows: int = MAX_BROADCAST) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int, how: str = "inner") -> DataFrame:
+    """An equi-join on few or skewed keys: rows of the left are dealt to ``salts`` copies of the right.
+
+    The salt comes from the row's place in its task, so rows alike are spread as well.
+    """
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id(), *keys), F.lit(salts)).cast("int")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", own).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def validate_targets(targets: DataFrame) -> DataFrame:
     """reason: the first rule that a target breaks, or null."""
     return targets.withColumn("reason", F.expr(E.TARGET_REASON))
@@ -31,57 +41,100 @@ def resolve_targets(presets: DataFrame, selected: DataFrame, custom: DataFrame)
     return chosen.unionByName(own)
 
 
-def with_template(targets: DataFrame) -> DataFrame:
-    """The template whose aspect range holds width / height; else the default."""
-    spark = targets.sparkSession
-    aspect = F.col("width") / F.col("height").cast("double")
-    t = F.broadcast(catalogs.templates(spark))  # five rows
-    out = targets.withColumn("aspect", aspect).join(t, (F.col("aspect") >= F.col("min_aspect")) & (F.col("aspect") < F.col("max_aspect")), "left")
-    return out.withColumn("template", F.coalesce("template", F.lit(catalogs.DEFAULT_TEMPLATE))).drop("min_aspect", "max_aspect")
-
+def with_template(targets: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """The template (template, min_aspect, max_aspect) whose range holds width / height; else the default.
 
-def zone_rects(targets: DataFrame) -> DataFrame:
+    Ranges of the catalogue don't overlap; of a user's that do, the first by name counts.
+    """
+    aspect = F.col("width") / F.col("height").cast("double")
+    t = catalogs.templates(targets.sparkSession) if templates is None else templates.select("template", "min_aspect", "max_aspect")
+    if templates is None:
+        t = F.broadcast(t)  # five rows
+        out = targets.withColumn("aspect", aspect).join(t, (F.col("aspect") >= F.col("min_aspect")) & (F.col("aspect") < F.col("max_aspect")), "left").drop("min_aspect", "max_aspect")
+    else:
+        if not few(t):
+            raise ValueError(f"over {MAX_BROADCAST} templates")
+        ranges = F.broadcast(t.agg(F.sort_array(F.collect_list(F.struct("template", "min_aspect", "max_aspect"))).alias("_ranges")).withColumn("_one", F.lit(1)))  # MAX_BROADCAST entries
+        fits = F.filter("_ranges", lambda r: (F.col("aspect") >= r["min_aspect"]) & (F.col("aspect") < r["max_aspect"]))
+        out = targets.withColumns({"aspect": aspect, "_one": F.lit(1)}).join(ranges, "_one", "left").withColumn("template", F.get(fits, F.lit(0))["template"]).drop("_one", "_ranges")
+    return out.withColumn("template", F.coalesce("template", F.lit(catalogs.DEFAULT_TEMPLATE)))
+
+
+def zone_rects(targets: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Pixel rectangles of the zones on each target with a template."""
-    z = F.broadcast(catalogs.zones(targets.sparkSession).drop("roles"))  # seventeen rows
+    z = F.broadcast(catalogs.zones(targets.sparkSession).drop("roles")) if zones is None else zones.select("template", "zone", "zone_no", "fx", "fy", "fw", "fh")
     t = targets.select("seq", "template", F.col("width").alias("target_w"), F.col("height").alias("target_h"))
     return E.extend(t.join(z, "template"), E.ZONE_RECT).select("seq", "template", "zone", "zone_no", *[F.col(c).cast("int").alias(c) for c in ("zx", "zy", "zw", "zh")])
 
 
-def ranked_by_template(layers: DataFrame, names: list[str]) -> DataFrame:
+def shared_roles(zones: DataFrame) -> DataFrame:
+    """(template, role, zones) of the roles that several zones of a template take."""
+    return zones.select("template", "zone", F.explode("roles").alias("role")).distinct().groupBy("template", "role").agg(F.sort_array(F.collect_list("zone")).alias("zones")).where("size(zones) > 1")
+
+
+def ranked_by_template(layers: DataFrame, names: list[str], zones: DataFrame | None = None) -> DataFrame:
     """For each layer and template: its zone, rank in it, section and place in the result.
 
-    A role is in one zone of a template at most, so the greedy walk (best priority, then
-    largest, then first) that fills a zone with two layers is a rank of two or less.
+    The greedy walk (best priority, then largest, then first) puts a layer into the first
+    zone that takes its role and has room for it, two layers a zone.  Where a role is in
+    one zone of a template at most, as in the catalogue, that is a rank of two or less.
+    Of a user's zones (template, zone, zone_no, roles) that share roles, a zone gets the
+    first two of the layers that no zone before it took; so zones are filled in turn, by a
+    window each over the same partitions.
     """
     spark = layers.sparkSession
-    roles = catalogs.zones(spark).select("template", "zone", F.explode("roles").alias("role"))
-    rows = layers.withColumn("template", F.explode(F.array(*[F.lit(t) for t in names]))).join(F.broadcast(roles), ["template", "role"], "left")
-    rows = rows.withColumn("area", F.expr("CAST(width AS BIGINT) * height"))
+    rows = layers.withColumn("template", F.explode(F.array(*[F.lit(t) for t in names]))).withColumn("area", F.expr("CAST(width AS BIGINT) * height"))
     walk = ["priority", F.desc("area"), "k"]
-    rows = rows.withColumn("rank", F.when(F.col("zone").isNotNull(), F.row_number().over(Window.partitionBy("design_id", "template", "zone").orderBy(*walk))))
     background = F.expr(E.IS_BACKGROUND)
+    if zones is None or shared_roles(zones).isEmpty():
+        roles = (catalogs.zones(spark) if zones is None else zones).select("template", "zone", F.explode("roles").alias("role")).distinct()
+        rows = rows.join(F.broadcast(roles) if zones is None or few(roles) else roles, ["template", "role"], "left")
+        rows = rows.withColumn("rank", F.when(F.col("zone").isNotNull(), F.row_number().over(Window.partitionBy("design_id", "template", "zone").orderBy(*walk))))
+    else:
+        most, (low, high) = F.array_sort(F.collect_list(F.struct("zone_no", "zone"))), zones.agg(F.min("zone_no"), F.max("zone_no")).first()
+        spots = zones.select("template", "zone_no", "zone", F.explode("roles").alias("role")).distinct().groupBy("template", "role").agg(most.alias("_spots"))
+        rows = rows.join(F.broadcast(spots) if few(spots) else spots, ["template", "role"], "left").withColumns({"zone": F.lit(None).cast("string"), "rank": F.lit(None).cast("int")})
+        for z in range(low, high + 1):
+            spot = F.filter("_spots", lambda s: s["zone_no"] == z)  # noqa: B023
+            here = ~background & F.col("zone").isNull() & (F.size(spot) > 0)
+            rows = rows.withColumn("_here", F.coalesce(here, F.lit(False)))
+            rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("design_id", "template", "_here").orderBy(*walk)))
+            taken = F.col("_here") & (F.col("_place") <= catalogs.PER_ZONE)
+            rows = rows.withColumns({"rank": F.when(taken, F.col("_place")).otherwise(F.col("rank")), "zone": F.when(taken, F.get(spot, F.lit(0))["zone"]).otherwise(F.col("zone"))})
+        rows = rows.drop("_spots", "_here", "_place")
     rows = rows.withColumn("section", F.when(background, 0).when(F.col("rank") <= catalogs.PER_ZONE, 1).otherwise(2))
     order = [F.col("section"), F.when(F.col("section") == 0, 0).otherwise(F.col("priority")), F.when(F.col("section") == 0, 0).otherwise(-F.col("area")), F.col("k")]
     return rows.withColumn("result_pos", F.row_number().over(Window.partitionBy("design_id", "template").orderBy(*order)) - 1)
 
 
-def calculate_layout(layers: DataFrame, targets: DataFrame) -> DataFrame:
+#: Copies of each target where there are too many to broadcast.
+SALTS = 64
+
+
+def calculate_layout(layers: DataFrame, targets: DataFrame, templates: DataFrame | None = None, zones: DataFrame | None = None, most_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Placement of every layer on every target (seq, name, width, height).
 
-    Ranks are made once a template, not once a target; one shuffle by design serves
-    the windows.  Targets and their zone rectangles (four a target at most) are broadcast
-    if there are few; else the planner picks the joins.
+    Ranks are made once a template, not once a target; one shuffle by design serves the
+    windows.  A target comes with the rectangles of its zones, so one join places all.
+    Few targets are broadcast; of many, each template's are dealt to ``SALTS`` tasks, for
+    the templates alone are a handful of keys.  ``templates`` (template, min_aspect,
+    max_aspect) and ``zones`` (template, zone, zone_no, fx, fy, fw, fh, roles) replace the
+    catalogue's; targets that no range holds need a zone set of the default's name.
     """
     have = layers.columns
     defaults = {"min_scale": F.lit(0.3), "max_scale": F.lit(2.0), "maintain_aspect": F.lit(True)}
     layers = layers.withColumns({k: v for k, v in defaults.items() if k not in have})
-    targets = with_template(targets)
-    ranked = ranked_by_template(layers.repartition("design_id"), list(catalogs.TEMPLATES))
-    t = targets.select("seq", F.col("name").alias("target_name"), F.col("width").alias("target_w"), F.col("height").alias("target_h"), "template")
-    side = F.broadcast if few(t) else lambda df: df
-    placed = ranked.join(side(t), "template").withColumn("zone", F.when(F.col("section") == 1, F.col("zone")))
-    rects = zone_rects(targets).drop("template", "zone_no")
-    placed = E.extend(placed.join(side(rects), ["seq", "zone"], "left"), E.PLACE)
+    targets = with_template(targets, templates)
+    names = list(catalogs.TEMPLATES)
+    if templates is not None:
+        names = sorted({catalogs.DEFAULT_TEMPLATE, *(r["template"] for r in templates.select("template").distinct().collect())})  # MAX_BROADCAST at most
+    ranked = ranked_by_template(layers.repartition("design_id"), names, zones)
+    rect = F.struct("zone", F.struct("zx", "zy", "zw", "zh").alias("rect"))
+    rects = zone_rects(targets, zones).groupBy("seq").agg(F.map_from_entries(F.collect_list(rect)).alias("_rects"))
+    t = targets.select("seq", F.col("name").alias("target_name"), F.col("width").alias("target_w"), F.col("height").alias("target_h"), "template").join(rects, "seq", "left")
+    placed = ranked.join(F.broadcast(t), "template") if few(targets.select("seq"), most_broadcast) else salted_join(ranked, t, ["template"], SALTS)
+    placed = placed.withColumn("zone", F.when(F.col("section") == 1, F.col("zone"))).withColumn("_rect", F.when(F.col("zone").isNotNull(), F.try_element_at("_rects", F.col("zone"))))
+    placed = E.extend(placed.select("*", "_rect.*").drop("_rects", "_rect"), E.PLACE)
     return placed.withColumns({c: F.col(c).cast("int") for c in ("new_x", "new_y", "new_w", "new_h")}).drop("visible").withColumnRenamed("visible_out", "visible")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalogs
@@ -48,7 +48,10 @@ def lanczos_weights(pairs: DataFrame, taps: int = 3) -> DataFrame:
 
 
 def resample(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Size change in linear light with alpha-weighted colours, by (image_id, src_w, src_h, width, height); no side or less: unchanged."""
+    """Size change in linear light with alpha-weighted colours, by (image_id, src_w, src_h, width, height); no side or less: unchanged.
+
+    Sums are rounded at six digits and then to whole numbers, so their order doesn't matter.
+    """
     sizes = sizes.select("image_id", "src_w", "src_h", "width", "height")
     same = pixels.join(sizes.where("width <= 0 OR height <= 0").select("image_id"), "image_id", "left_semi")
     linear = gamma_decode(pixels.join(sizes.where("width > 0 AND height > 0"), "image_id")).withColumns({c: F.col(c) * F.col("a") / 255.0 for c in CHANNELS})
@@ -56,7 +59,7 @@ def resample(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
         w = lanczos_weights(sizes.select(F.col(src).alias("src_n"), F.col(dst).alias("dst_n"))).withColumnsRenamed({"src_n": src, "dst_n": dst, "src": axis})
         sums = [F.sum(F.col(c) * F.col("weight")).alias(c) for c in (*CHANNELS, "a")]
         linear = linear.join(w, [src, dst, axis]).groupBy("image_id", other, F.col("dst").alias(axis), *rest).agg(*sums)
-    held = lambda c: F.least(F.lit(255), F.greatest(F.lit(0), F.round(c).cast("int")))
+    held = lambda c: F.least(F.lit(255), F.greatest(F.lit(0), F.round(F.round(c, 6)).cast("int")))
     alpha = held(F.col("a"))
     out = linear.withColumns({c: F.when(F.col("a") > 0, held(F.col(c) * 255.0 / F.col("a"))).otherwise(F.lit(0)) for c in CHANNELS}).withColumn("a", alpha)
     return gamma_encode(out).select("image_id", "y", "x", "r", "g", "b", "a").unionByName(same.select("image_id", "y", "x", "r", "g", "b", "a"))
@@ -106,14 +109,17 @@ def _taps(radius: float) -> str:
 
 
 def blur(pixels: DataFrame, sizes: DataFrame, radius: float) -> DataFrame:
-    """Gaussian blur of images (image_id, width, height), one axis after the other, with the border repeated."""
+    """Gaussian blur of images (image_id, width, height), one axis after the other, with the border repeated.
+
+    Sums are rounded at six digits and then to whole numbers, so their order doesn't matter.
+    """
     sizes = sizes.select("image_id", "width", "height")
     out = pixels.join(sizes, "image_id")
     for axis, size, other, rest in (("x", "width", "y", ["height"]), ("y", "height", "x", [])):
         taps = sizes.select(size).distinct().withColumn("dst", F.explode(F.expr(f"sequence(0, {size} - 1)"))).withColumn("t", F.explode(F.expr(_taps(radius))))
         taps = taps.groupBy(size, "dst", F.expr(f"least(greatest(dst + t.d, 0), {size} - 1)").alias(axis)).agg(F.sum("t.w").alias("weight"))
         out = out.join(taps, [size, axis]).groupBy("image_id", other, F.col("dst").alias(axis), *rest).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba"])
-    return out.select("image_id", "y", "x", *[F.round(c).cast("int").alias(c) for c in "rgba"])
+    return out.select("image_id", "y", "x", *[F.round(F.round(c, 6)).cast("int").alias(c) for c in "rgba"])
 
 
 def blur_outside(pixels: DataFrame, boxes: DataFrame, radius: float = 3) -> DataFrame:
@@ -149,12 +155,12 @@ def feather_blend(fill: DataFrame, original: DataFrame, boxes: DataFrame, feathe
 
 
 def feather_mask(sizes: DataFrame, feather: int = 30) -> DataFrame:
-    """value of each place of a w x h mask: least over the edges of int(255 * d / feather), else 255."""
+    """value of each place of a w x h mask (with what else the row has): least over the edges of int(255 * d / feather), else 255."""
     f = F.least(F.lit(feather), F.floor(F.col("w") / 2), F.floor(F.col("h") / 2))
     rows = sizes.withColumn("f", f).withColumn("y", F.explode(F.expr("sequence(0, h - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, w - 1)")))
     d = F.least(F.col("x"), F.col("w") - 1 - F.col("x"), F.col("y"), F.col("h") - 1 - F.col("y"))
     value = F.when((F.col("f") <= 0) | (d >= F.col("f")), 255).otherwise((F.lit(255.0) * (d / F.col("f").cast("double"))).cast("int"))
-    return rows.select("w", "h", "y", "x", value.alias("value"))
+    return rows.select(*sizes.columns, "y", "x", value.alias("value"))
 
 
 def apply_opacity(pixels: DataFrame, opacity: str = "opacity") -> DataFrame:
@@ -176,13 +182,18 @@ def paste_steps(canvas: DataFrame, layers: DataFrame) -> DataFrame:
     """Draw layers (image_id, step, kind, y, x, r, g, b, a) on a canvas in the order of their steps.
 
     A background replaces, an overlay goes over (source-over), content is mixed in by its
-    alpha, channel by channel.  One grouping by place serves any number of steps; a place
-    holds one entry a step that covers it.  What lies outside the canvas is not drawn.
+    alpha, channel by channel.  One grouping by place serves any number of steps: what an
+    opaque step hides is dropped before the fold (a window over the same partitions), so a
+    place holds an entry for each translucent step above the last opaque one only.  What
+    lies outside the canvas is not drawn.
     """
     base = canvas.select("image_id", "y", "x", F.lit(-1).alias("step"), F.lit("background").alias("kind"), *"rgba")
-    entry = F.struct("step", "kind", *"rgba")
-    rows = base.unionByName(layers.select(*base.columns)).groupBy("image_id", "y", "x").agg(F.array_sort(F.collect_list(entry)).alias("s"))
-    rows = rows.where("s[0].step = -1")
+    place = ["image_id", "y", "x"]
+    rows = base.unionByName(layers.select(*base.columns))
+    opaque = F.when((F.col("kind") == "background") | (F.col("a") == 255), F.col("step"))
+    there = Window.partitionBy(*place)
+    rows = rows.withColumns({"_hides": F.max(opaque).over(there), "_first": F.min("step").over(there)}).where("_first = -1 AND step >= _hides")
+    rows = rows.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("step", "kind", *"rgba"))).alias("s"))
     start = "named_struct(" + ", ".join(f"'{c}', s[0].{c}" for c in "rgba") + ")"
     rows = rows.withColumn("out", F.expr(f"aggregate(slice(s, 2, size(s)), {start}, (acc, s) -> {_FOLD})"))
     return rows.select("image_id", "y", "x", *[F.col(f"out.{c}").alias(c) for c in "rgba"])
@@ -194,26 +205,51 @@ def paste(canvas: DataFrame, source: DataFrame, moves: DataFrame) -> DataFrame:
     return paste_steps(canvas, moved.withColumns({"step": F.lit(0), "kind": F.lit("content")}))
 
 
-def render(plan: DataFrame, pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """Draw plans on white canvases, without alpha: (design_id, seq, y, x, r, g, b).
+def fit_images(scaled: DataFrame, steps: DataFrame, fill: str = "repeat") -> DataFrame:
+    """Fitted images of flat sources on their targets: (image_id, y, x, r, g, b, a).
+
+    scaled: their pixels at the size of the plan; steps (image_id, kind, w, h, x, y,
+    target_w, target_h).  Images are dealt by kind: ``cover`` and ``contain`` are cut to
+    the target (what the image does not reach is zero), ``extend`` has its edges repeated
+    and what was added blurred (fill ``repeat``) or blended with the image over a soft seam
+    (``feather``), ``blank`` has no pixels.
+    """
+    frame = steps.select("image_id", "kind", F.col("w").alias("src_w"), F.col("h").alias("src_h"), F.col("target_w").alias("width"), F.col("target_h").alias("height"), F.col("x").alias("dx"), F.col("y").alias("dy"))
+    cuts = frame.where("kind IN ('cover', 'contain')").withColumns({"x0": -F.col("dx"), "y0": -F.col("dy")})
+    frames = frame.where("kind = 'extend'").withColumns({"x1": F.greatest(F.lit(0), "dx"), "y1": F.greatest(F.lit(0), "dy"), "x2": F.least(F.col("width"), F.col("dx") + F.col("src_w")), "y2": F.least(F.col("height"), F.col("dy") + F.col("src_h"))})
+    wide = extend_edges(scaled, frames)
+    if fill == "repeat":
+        wide = blur_outside(cut(wide), frames)
+    else:
+        moved = scaled.join(frames.select("image_id", "dx", "dy"), "image_id").select("image_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), *"rgba")
+        wide = feather_blend(wide, moved, frames)
+    return crop(scaled, cuts).unionByName(wide)
+
+
+FLAT = ("cover", "contain", "extend", "blank")
+
+
+def render(plan: DataFrame, pixels: DataFrame, images: DataFrame, fill: str = "repeat") -> DataFrame:
+    """Plans on white canvases, without alpha: (design_id, seq, y, x, r, g, b).
 
-    plan: steps (design_id, seq, target_w, target_h, step, kind, element_id, x, y, w, h,
-    opacity) of ``compose.render_plan``.  pixels: (design_id, element_id, y, x, r, g, b, a);
-    images: their sizes (design_id, element_id, src_w, src_h).  Each step's image is
-    resampled to its size; a background is cropped to the canvas, its edges extended where it
-    falls short; content takes its opacity.  Steps without an image are not drawn.
+    plan: steps of ``compose.compose_plan`` or ``compose.draw_plan``.  pixels: (design_id,
+    element_id, y, x, r, g, b, a); images: their sizes (design_id, element_id, src_w,
+    src_h).  Each step's image is resampled to its size; a background is cropped to the
+    canvas, its edges extended where it falls short; a flat source is fitted by its kind;
+    content takes its opacity.  Steps without an image are not drawn.
     """
-    plan = cut(plan)  # one row a step, read for sizes, places and canvases
+    box = [F.col(f"image_{c}").alias(c) for c in "xywh"]
+    plan = cut(plan.select("design_id", "seq", "target_w", "target_h", "step", "kind", "element_id", *box, "opacity"))  # read for sizes, places and canvases
     canvas_id = F.struct("design_id", "seq")
-    steps = cut(plan.join(images, ["design_id", "element_id"]).withColumn("image_id", F.struct("design_id", "seq", "step")))
+    steps = cut(plan.where("kind <> 'blank'").join(images, ["design_id", "element_id"]).withColumn("image_id", F.struct("design_id", "seq", "step")))
     sizes = steps.select("image_id", "src_w", "src_h", F.col("w").alias("width"), F.col("h").alias("height"))
     own = pixels.join(steps.select("design_id", "element_id", "image_id"), ["design_id", "element_id"]).select("image_id", F.col("y"), F.col("x"), *"rgba")
-    scaled = resample(own, sizes)
+    scaled = cut(resample(own, sizes))  # read once a kind
     backs = steps.where("kind = 'background'").select("image_id", F.col("w").alias("src_w"), F.col("h").alias("src_h"), F.col("target_w").alias("width"), F.col("target_h").alias("height"), F.col("x").alias("dx"), F.col("y").alias("dy"))
-    others = steps.where("kind <> 'background'").select("image_id", "kind", "opacity", F.col("x").alias("dx"), F.col("y").alias("dy"))
+    others = steps.where("kind IN ('content', 'overlay')").select("image_id", "kind", "opacity", F.col("x").alias("dx"), F.col("y").alias("dy"))
     moved = scaled.join(others, "image_id").withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
     moved = apply_opacity(moved.withColumn("opacity", F.when(F.col("kind") == "content", F.col("opacity")).otherwise(1.0)))
-    whole = extend_edges(scaled, backs).withColumn("kind", F.lit("background"))
+    whole = extend_edges(scaled, backs).unionByName(fit_images(scaled, steps.where(F.col("kind").isin(*FLAT)), fill)).withColumn("kind", F.lit("background"))
     layers = whole.unionByName(moved.select(*whole.columns)).withColumns({"step": F.col("image_id.step"), "image_id": F.struct("image_id.design_id", "image_id.seq")})
     canvas = blank_canvas(plan.select(canvas_id.alias("image_id"), F.col("target_w").alias("width"), F.col("target_h").alias("height")).distinct())
     return to_rgb(paste_steps(canvas, layers)).select("image_id.design_id", "image_id.seq", "y", "x", *CHANNELS)

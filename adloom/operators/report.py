@@ -29,8 +29,11 @@ def preview_base(layers: DataFrame) -> DataFrame:
 
 
 def last_result_per_name(results: DataFrame) -> DataFrame:
-    """The latest target of each name, by seq."""
-    return results.groupBy("design_id", "target_name").agg(F.max("seq").alias("seq"))
+    """The latest row of each design and target name, by seq, with all its columns."""
+    key = ["design_id", "target_name"]
+    rest = [c for c in results.columns if c not in key]
+    latest = F.max_by(F.struct(*rest), F.struct("seq", *[c for c in rest if c != "seq"])).alias("_latest")
+    return results.groupBy(*key).agg(latest).select(*key, "_latest.*")
 
 
 def rejected_targets(targets: DataFrame) -> DataFrame:

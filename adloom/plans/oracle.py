@@ -84,7 +84,7 @@ def _resampled(src: str, sizes: str) -> str:
  lin AS (SELECT image_id, y, x, src_w, src_h, width, height, {", ".join(f"({_lut(2.2)})[{c} + 1] * a / 255.0::DOUBLE AS {c}" for c in "rgb")}, a FROM {src} JOIN z USING (image_id) WHERE width > 0 AND height > 0),
  hx AS (SELECT image_id, y, d AS x, src_h, height, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM lin JOIN wx ON wx.src_n = src_w AND wx.dst_n = width AND x = s GROUP BY ALL),
  hy AS (SELECT image_id, d AS y, x, {", ".join(f"sum({c} * w) AS {c}" for c in "rgba")} FROM hx JOIN wy ON wy.src_n = src_h AND wy.dst_n = height AND y = s GROUP BY ALL),
- scaled AS (SELECT image_id, y, x, {", ".join(f"({_lut(1 / 2.2)})[CASE WHEN a > 0 THEN least(255, greatest(0, round({c} * 255.0::DOUBLE / a)::INT)) ELSE 0 END + 1]::INT AS {c}" for c in "rgb")}, least(255, greatest(0, round(a)::INT)) AS a FROM hy
+ scaled AS (SELECT image_id, y, x, {", ".join(f"({_lut(1 / 2.2)})[CASE WHEN a > 0 THEN least(255, greatest(0, round(round({c} * 255.0::DOUBLE / a, 6))::INT)) ELSE 0 END + 1]::INT AS {c}" for c in "rgb")}, least(255, greatest(0, round(round(a, 6))::INT)) AS a FROM hy
   UNION ALL SELECT image_id, y, x, r, g, b, a FROM {src} SEMI JOIN (SELECT image_id FROM z WHERE width <= 0 OR height <= 0) USING (image_id))"""
 
 
@@ -103,9 +103,9 @@ def _weights(radius: float) -> str:
     return "g(d, w) AS (VALUES " + ", ".join(f"({d}, {w!r}::DOUBLE)" for d, w in gaussian_weights(radius)) + ")"
 
 
-def _blurred(size: str, axis: str, other: str, src: str) -> str:
+def _blurred(size: str, axis: str, other: str, src: str, frames: str = "frames") -> str:
     sums = ", ".join(f"sum(p.{c} * t.w) AS {c}" for c in "rgba")
-    taps = f"SELECT {size}, i, least(greatest(i + d, 0), {size} - 1) AS {axis}, sum(w) AS w FROM (SELECT {size}, unnest(range({size}))::INT AS i FROM (SELECT DISTINCT {size} FROM frames)) CROSS JOIN g GROUP BY ALL"
+    taps = f"SELECT {size}, i, least(greatest(i + d, 0), {size} - 1) AS {axis}, sum(w) AS w FROM (SELECT {size}, unnest(range({size}))::INT AS i FROM (SELECT DISTINCT {size} FROM {frames})) CROSS JOIN g GROUP BY ALL"
     return f"SELECT p.image_id, p.width, p.height, p.{other}, t.i AS {axis}, {sums} FROM {src} p JOIN ({taps}) t ON t.{size} = p.{size} AND t.{axis} = p.{axis} GROUP BY ALL"
 
 
@@ -144,6 +144,77 @@ def _rendered() -> str:
  SELECT image_id.d AS design_id, image_id.s AS seq, y, x, r, g, b FROM ({_folded('canvas', 'SELECT * FROM layers')})"""
 
 
+def _user_templates() -> str:
+    """Placements by templates whose zones share roles: the walk itself, a step a layer."""
+    old = _PLACED[_PLACED.index("listed AS (") : _PLACED.index("r2 AS (")]
+    new = f"""spots AS (SELECT template, list(zone ORDER BY no) AS zs, list(list_concat(roles, ['photo', 'cta']) ORDER BY no) AS rs FROM (SELECT *, CASE WHEN template LIKE 'landscape%' THEN 10 - zone_no ELSE zone_no END AS no FROM zones) GROUP BY template),
+ordered AS (SELECT design_id, template, k, role, row_number() OVER (PARTITION BY design_id, template ORDER BY priority, width::BIGINT * height DESC, k) AS i FROM classified CROSS JOIN aspects WHERE NOT {E.IS_BACKGROUND}),
+walk AS (SELECT DISTINCT design_id, template, 0::BIGINT AS i, [0, 0, 0, 0] AS held, NULL::INT AS k, NULL::BIGINT AS z FROM ordered UNION ALL
+ SELECT design_id, template, i, CASE WHEN z IS NULL THEN held ELSE list_transform([1, 2, 3, 4], lambda j: held[j] + (j = z)::INT) END, k, z FROM (
+  SELECT o.design_id, o.template, o.i, o.k, w.held, list_filter(range(1, len(rs) + 1), lambda j: list_contains(rs[j], o.role) AND w.held[j] < 2)[1] AS z FROM walk w JOIN ordered o ON o.design_id = w.design_id AND o.template = w.template AND o.i = w.i + 1 JOIN spots s ON s.template = w.template)),
+r1 AS (SELECT c.*, a.template, s.zs[w.z] AS zone, width::BIGINT * height AS area, CASE WHEN w.z IS NOT NULL THEN 1 END AS rank FROM classified c CROSS JOIN aspects a JOIN spots s ON s.template = a.template LEFT JOIN (SELECT * FROM walk WHERE z IS NOT NULL) w ON w.design_id = c.design_id AND w.template = a.template AND w.k = c.k),
+"""
+    return _PLACED.replace(old, new)
+
+
+def _flat_rendered() -> str:
+    """Flat images on small canvases: the fit's numbers, then a pixel for each place."""
+    own = "{d: design_id, s: seq}"
+    plan = steps("SELECT image_id AS design_id, flat_w AS src_w, flat_h AS src_h, seq, t.width AS target_w, t.height AS target_h, 'smart' AS mode FROM frames CROSS JOIN thumbnails t", E.FIT)
+    rgb = ", ".join(f"CASE WHEN plan <> 'extend' OR inside THEN coalesce(q.{c}, 0) ELSE round(round(s.{c}, 6))::INT END AS {c}" for c in "rgb")
+    return f"""WITH {_PIXELS}, thumbnails AS ({fixtures.THUMBNAILS}), fit AS MATERIALIZED (SELECT *, CASE plan WHEN 'cover' THEN cover_w ELSE contain_w END::INT AS w, CASE plan WHEN 'cover' THEN cover_h ELSE contain_h END::INT AS h,
+  CASE plan WHEN 'cover' THEN -crop_x ELSE off_x END::INT AS px, CASE plan WHEN 'cover' THEN -crop_y ELSE off_y END::INT AS py FROM ({plan})),
+ own AS (SELECT {own} AS image_id, p.y, p.x, r, g, b, a FROM fit f JOIN pixels p ON p.image_id = f.design_id AND p.x < f.src_w AND p.y < f.src_h),
+ {_resampled('own', f'SELECT {own} AS image_id, src_w, src_h, w AS width, h AS height FROM fit')},
+ places AS (SELECT {own} AS image_id, plan, px, py, w, h, target_w AS width, target_h AS height, y::INT AS y, x::INT AS x, x >= dst_x1 AND x < dst_x2 AND y >= dst_y1 AND y < dst_y2 AS inside FROM fit, range(target_h) a(y), range(target_w) b(x)),
+ wide AS MATERIALIZED (SELECT p.*, r, g, b, a FROM places p LEFT JOIN scaled z ON z.image_id = p.image_id AND z.y = CASE plan WHEN 'extend' THEN least(greatest(p.y - py, 0), h - 1) ELSE p.y - py END AND z.x = CASE plan WHEN 'extend' THEN least(greatest(p.x - px, 0), w - 1) ELSE p.x - px END),
+ soft AS MATERIALIZED (SELECT * FROM wide WHERE plan = 'extend'), {_weights(3)}, bx AS MATERIALIZED ({_blurred('width', 'x', 'y', 'soft', 'soft')}), bxy AS MATERIALIZED ({_blurred('height', 'y', 'x', 'bx', 'soft')})
+ SELECT q.image_id.d AS design_id, q.image_id.s AS seq, q.y, q.x, {rgb} FROM wide q LEFT JOIN bxy s ON s.image_id = q.image_id AND s.y = q.y AND s.x = q.x"""
+
+
+def _softmax(prompts: str, scale: float) -> str:
+    """CTEs up to s: the probability of each prompt of a query (prompt, role, e) for each vector."""
+    return f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS ({prompts}), l AS (SELECT v.vec_id, prompt, role, {scale}::DOUBLE * list_inner_product(v.e, p.e) AS l FROM v CROSS JOIN p),
+ m AS (SELECT *, max(l) OVER (PARTITION BY vec_id) AS most FROM l), s AS (SELECT *, exp(l - most) / sum(exp(l - most)) OVER (PARTITION BY vec_id) AS prob FROM m)"""
+
+
+_MANY = _softmax(f"SELECT vec_id AS prompt, {catalogs.PROMPT_ROLES}[vec_id % 15 + 1] AS role, list_reverse(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id < 1000", 10.0)
+
+
+def _new_oracles() -> dict[str, str]:
+    placed = f"WITH RECURSIVE {_PLACED}"
+    valid = placed.replace("chosen AS (SELECT * FROM valid WHERE seq <= 10)", "chosen AS (SELECT * FROM valid)")
+    nations = placed.replace("chosen AS (SELECT * FROM valid WHERE seq <= 10)", "chosen AS (SELECT n_nationkey::INT AS seq, n_name AS name, (100 + n_nationkey * 137 % 1900)::INT AS width, (100 + n_nationkey * 211 % 900)::INT AS height FROM nation)")
+    columns = "design_id, element_id, k, seq, target_name, section, zone, result_pos, new_x, new_y, new_w, new_h, scale_factor, visible"
+    free = placed.replace("0.3::DOUBLE AS min_scale, 2::DOUBLE AS max_scale, true AS maintain_aspect", "(ordinal % 4) * 0.2::DOUBLE AS min_scale, 0.4::DOUBLE + (design_id % 3) * 0.5::DOUBLE AS max_scale, ordinal % 3 <> 0 AS maintain_aspect")
+    drawn = f"SELECT design_id, seq, count(*)::INT AS n FROM ({_drawn()}) GROUP BY ALL"
+    part_roles = f"{list(catalogs.ROLE_PRIORITY)}[p_partkey % 17 + 1]"
+    return {
+        "s4_nested_trees": f"""WITH RECURSIVE layers_raw AS MATERIALIZED ({fixtures.LAYERS_RAW}), walk AS (SELECT design_id, ordinal, [ordinal] AS path FROM layers_raw WHERE parent_ordinal IS NULL UNION ALL
+ SELECT c.design_id, c.ordinal, list_append(w.path, c.ordinal) FROM walk w JOIN layers_raw c ON c.design_id = w.design_id AND c.parent_ordinal = w.ordinal),
+ walked AS (SELECT *, (row_number() OVER (PARTITION BY design_id ORDER BY path) - 1)::INT AS o FROM walk)
+SELECT r.design_id, w.o AS ordinal, canvas_w, canvas_h, name, layer_type, x, y, width, height, visible, opacity_u8, text_content, has_image, u.o AS parent_ordinal
+FROM layers_raw r JOIN walked w ON w.design_id = r.design_id AND w.ordinal = r.ordinal LEFT JOIN walked u ON u.design_id = r.design_id AND u.ordinal = r.parent_ordinal""",
+        "s5_flatten_large": f"WITH RECURSIVE {_TREE} SELECT design_id, ordinal, k, n, element_id, z_index FROM flat",
+        "p5_user_patterns": f"""WITH p AS (SELECT (p_partkey * 7919) % 100003 AS rank, {part_roles} AS role, lower(substring(p_name, 1 + p_partkey % 7, 2 + p_partkey % 11)) AS pattern FROM part),
+ n AS (SELECT p_partkey, lower(p_name || ' ' || (p_partkey % 100)) AS name FROM part)
+SELECT p_partkey, min({{rank: rank, role: role}}).role AS pattern_role FROM n LEFT JOIN p ON (length(pattern) > 5 OR rank % 50 = 0) AND contains(name, pattern) GROUP BY p_partkey""",
+        "p9_many_prompts": f"WITH {_MANY} SELECT vec_id, CASE WHEN max(prob) >= 0.02 THEN arg_min(role, prompt) FILTER (l = most) END AS role, round(max(prob), 4) AS prob FROM s GROUP BY vec_id",
+        "w4_many_prompts": f"WITH {_MANY} SELECT prompt, count(*) AS n, round(max(prob), 4) AS most, round(sum(prob), 3) AS total FROM s GROUP BY prompt",
+        "w2_layout_user_templates": f"WITH RECURSIVE {_user_templates()} SELECT {columns} FROM placed",
+        "w2_shared_roles": f"""WITH RECURSIVE {_CLASSIFIED}, {_ZONES}, r AS (SELECT template, role, string_agg(zone, ',' ORDER BY zone) AS zones, count(*) AS c FROM (SELECT DISTINCT template, zone, unnest(list_concat(roles, ['photo', 'cta'])) AS role FROM zones) GROUP BY ALL)
+SELECT template, role, zones, n_layers FROM r JOIN (SELECT role, count(*) AS n_layers FROM classified GROUP BY role) USING (role) WHERE c > 1""",
+        "l3_place_options": f"{free} SELECT {columns} FROM placed WHERE section = 1",
+        "l5_many_targets": f"{nations} SELECT seq, template, section, zone, count(*) AS n, sum(new_x)::BIGINT AS new_x, sum(new_y)::BIGINT AS new_y, sum(new_w)::BIGINT AS new_w, sum(new_h)::BIGINT AS new_h FROM placed GROUP BY ALL",
+        "a4_last_result_rows": f"""{valid} SELECT design_id, p.target_name, p.seq, target_w, target_h, coalesce(n, 0)::INT AS n_drawn FROM (SELECT DISTINCT design_id, target_name, seq, target_w, target_h FROM placed) p
+ SEMI JOIN (SELECT name AS target_name, max(seq) AS seq FROM valid GROUP BY name) l ON l.target_name = p.target_name AND l.seq = p.seq LEFT JOIN ({drawn}) d USING (design_id, seq)""",
+        "b1_batch_with_rejects": f"""{valid.replace("FROM valid)", "FROM valid WHERE seq <> 10)")} SELECT 'result' AS status, p.design_id, p.seq, p.target_name, n_placed, n_visible, coalesce(n, 0)::INT AS n_drawn, NULL AS reason FROM (SELECT design_id, seq, target_name, count(*)::INT AS n_placed, count(*) FILTER (visible)::INT AS n_visible FROM placed GROUP BY ALL) p LEFT JOIN ({drawn}) d USING (design_id, seq)
+ UNION ALL SELECT DISTINCT 'design', design_id, NULL, NULL, NULL, NULL, NULL, 'no layers' FROM layers_raw WHERE design_id NOT IN (SELECT design_id FROM flat) UNION ALL SELECT 'target', NULL, seq, name, NULL, NULL, NULL, reason FROM judged WHERE reason IS NOT NULL""",
+        "r7_feather_masks": "WITH e AS (SELECT p_partkey, (p_partkey % 23 + 1)::INT AS w, (p_partkey % 19 + 1)::INT AS h FROM part), f AS (SELECT *, least(6, w // 2, h // 2) AS f FROM e), d AS (SELECT p_partkey, y::INT AS y, f, least(x, w - 1 - x, y, h - 1 - y) AS d FROM f, range(h) a(y), range(w) b(x)), v AS (SELECT p_partkey, y, CASE WHEN f <= 0 OR d >= f THEN 255 ELSE trunc(255::DOUBLE * (d / f::DOUBLE)) END::INT AS value FROM d) SELECT p_partkey, y, sum(value)::BIGINT AS total, count(*) FILTER (value = 255) AS n_whole FROM v GROUP BY ALL",
+        "r14_render_flat": _flat_rendered(),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     tree = lambda q: f"WITH RECURSIVE {_TREE} {q}"
     role = lambda q: f"WITH RECURSIVE {_CLASSIFIED} {q}"
@@ -157,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
     first_latest = f"corr AS ({fixtures.CORRECTIONS}), latest AS (SELECT design_id, ordinal, arg_max(new_role, seq) FILTER (new_role IN ({roles})) AS nr, arg_max(new_priority, seq) FILTER (new_priority IS NOT NULL) AS np FROM corr GROUP BY ALL)"
     mix = lambda c: f"least(255, greatest(0, trunc((CASE WHEN {_INSIDE} THEN coalesce(p.{c}, 0) ELSE 0 END) * (mx.m * my.m) + w.{c} * (1.0::DOUBLE - (mx.m * my.m)))))::INT AS {c}"
     overlaid = lambda c: f"CASE WHEN al > 0 THEN floor((s{c} * sa * 255 + {c} * a * (255 - sa)) / al + 0.5::DOUBLE) ELSE 0 END::INT AS {c}"
-    return {
+    return _new_oracles() | {
         "s1_scan_files": f"SELECT page_id, url, extension, {_KIND} FROM (SELECT page_id, url, {_EXT.replace('@', 'url')} AS extension FROM pages)",
         "s2_route_format": f"SELECT p_partkey, extension, {_KIND} FROM (SELECT p_partkey, {_EXT.replace('@', 'file')} AS extension FROM (SELECT p_partkey, p_name || '.' || {[*EXTENSIONS, 'PSD', 'gif', 'Png']}[p_partkey % 8 + 1] AS file FROM part))",
         "s5_flatten_tree": tree("SELECT design_id, ordinal, k, n, name, layer_type, x, y, width, height FROM flat"),
@@ -237,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
         "r14_render": _rendered(),
         "r3_crop": px(", cut AS (SELECT f.*, y::INT AS y, x::INT AS x FROM frames f, range(cut_h) a(y), range(cut_w) b(x)) SELECT f.image_id, f.y, f.x, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in "rgba") + " FROM cut f LEFT JOIN pixels p ON p.image_id = f.image_id AND p.y = f.y + y0 AND p.x = f.x + x0"),
         "r4_extend_edges": px(f", {_WIDE} SELECT image_id, y, x, r, g, b, a FROM wide"),
-        "r5_blur": px(f", {_WIDE}, {_weights(3)}, bx AS MATERIALIZED ({_blurred('width', 'x', 'y', 'wide')}), bxy AS MATERIALIZED ({_blurred('height', 'y', 'x', 'bx')}) SELECT w.image_id, w.y, w.x, " + ", ".join(f"CASE WHEN {_INSIDE} THEN w.{c} ELSE round(s.{c})::INT END AS {c}" for c in "rgba") + " FROM wide w JOIN bxy s USING (image_id, y, x)"),
+        "r5_blur": px(f", {_WIDE}, {_weights(3)}, bx AS MATERIALIZED ({_blurred('width', 'x', 'y', 'wide')}), bxy AS MATERIALIZED ({_blurred('height', 'y', 'x', 'bx')}) SELECT w.image_id, w.y, w.x, " + ", ".join(f"CASE WHEN {_INSIDE} THEN w.{c} ELSE round(round(s.{c}, 6))::INT END AS {c}" for c in "rgba") + " FROM wide w JOIN bxy s USING (image_id, y, x)"),
         "r6_feather_blend": px(f", {_WIDE}, {_weights(8)}, mx AS MATERIALIZED ({_side('x', 'width')}), my AS MATERIALIZED ({_side('y', 'height')}) SELECT image_id, y, x, r, g, b, a FROM (SELECT w.image_id, w.y, w.x, {mix('r')}, {mix('g')}, {mix('b')}, w.a FROM wide w JOIN mx USING (width, x1, x2, x) JOIN my USING (height, y1, y2, y) JOIN frames f ON f.image_id = w.image_id LEFT JOIN pixels p ON p.image_id = w.image_id AND p.y = w.y - f.dy AND p.x = w.x - f.dx)"),
         "r7_feather_mask": "WITH s AS (SELECT DISTINCT (p_partkey % 23 + 1)::INT AS w, (p_partkey % 19 + 1)::INT AS h FROM part), e AS (SELECT w, h, y::INT AS y, x::INT AS x, least(6, w // 2, h // 2) AS f FROM s, range(h) a(y), range(w) b(x)), d AS (SELECT *, least(x, w - 1 - x, y, h - 1 - y) AS d FROM e) SELECT w, h, y, x, CASE WHEN f <= 0 OR d >= f THEN 255 ELSE trunc(255::DOUBLE * (d / f::DOUBLE)) END::INT AS value FROM d",
         "r8_opacity": px("SELECT image_id, y, x, r, g, b, CASE WHEN (image_id % 5 + 1) / 4.0::DOUBLE < 1 THEN trunc(a * ((image_id % 5 + 1) / 4.0::DOUBLE))::INT ELSE a END AS a FROM pixels"),

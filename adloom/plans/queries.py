@@ -34,6 +34,10 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.calculate_layout(flat_layers(spark, sf_dir), preset_targets(spark))
 
 
+def placements_on(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
+    return layout.calculate_layout(flat_layers(spark, sf_dir), targets)
+
+
 PLACED = ["design_id", "element_id", "k", "seq", "target_name", "section", "zone", "result_pos", "new_x", "new_y", "new_w", "new_h", "scale_factor", "visible"]
 
 
@@ -66,6 +70,15 @@ def s4_read_layers(spark, sf_dir):
     return design.layers_of_documents(documents).select("design_id", "ordinal", "canvas_w", "canvas_h", *inner)
 
 
+def s4_nested_trees(spark, sf_dir):
+    """Layers of designs that come as nested JSON: each group's text holds its children's."""
+    return design.layers_of_trees(fixtures.nested(spark, sf_dir))
+
+
+def s5_flatten_large(spark, sf_dir):
+    return design.flatten_large_trees(fixtures.layers_raw(spark, sf_dir)).select("design_id", "ordinal", "k", "n", "element_id", "z_index")
+
+
 def s5_flatten_tree(spark, sf_dir):
     return design.flatten_layer_tree(fixtures.layers_raw(spark, sf_dir)).select("design_id", "ordinal", "k", "n", "name", "layer_type", "x", "y", "width", "height")
 
@@ -130,6 +143,16 @@ def p5_name_role(spark, sf_dir):
     return fixtures.layers_raw(spark, sf_dir).select("design_id", "ordinal", F.expr(E.NAME_ROLE).alias("name_role"))
 
 
+def p5_user_patterns(spark, sf_dir):
+    """Parts named by patterns that a user supplies, cut out of names of parts."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    roles = F.array(*[F.lit(r) for r in catalogs.ROLE_PRIORITY])
+    cut_out = F.expr("lower(substring(p_name, CAST(1 + p_partkey % 7 AS INT), CAST(2 + p_partkey % 11 AS INT)))")
+    patterns = part.select(F.expr("(p_partkey * 7919) % 100003").alias("rank"), F.element_at(roles, (F.col("p_partkey") % 17 + 1).cast("int")).alias("role"), cut_out.alias("pattern"))
+    named = part.select("p_partkey", F.concat(F.col("p_name"), F.lit(" "), (F.col("p_partkey") % 100).cast("string")).alias("name"))
+    return C.classify_by_patterns(named, patterns.where("length(pattern) > 5 OR rank % 50 = 0")).select("p_partkey", "pattern_role")
+
+
 def p6_priority_suffix(spark, sf_dir):
     return fixtures.layers_raw(spark, sf_dir).select("design_id", "ordinal", F.expr(E.SUFFIX).alias("suffix"))
 
@@ -150,6 +173,25 @@ def p9_embedding_role(spark, sf_dir):
     return C.classify_by_embedding(e, prompts).select("vec_id", "role", F.round("prob", 4).alias("prob"))
 
 
+def _many_prompts(spark, sf_dir):
+    """Up to 1,000 prompts, a catalogue: vectors read backwards, with roles in turn."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 1000")
+    roles = F.array(*[F.lit(r) for r in catalogs.PROMPT_ROLES])
+    return e.select(F.col("vec_id").alias("prompt"), F.element_at(roles, (F.col("vec_id") % 15 + 1).cast("int")).alias("role"), F.reverse("embedding").alias("embedding"))
+
+
+def p9_many_prompts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return C.classify_by_embedding(e, _many_prompts(spark, sf_dir), scale=10.0, threshold=0.02, block=150).select("vec_id", "role", F.round("prob", 4).alias("prob"))
+
+
+def w4_many_prompts(spark, sf_dir):
+    """The greatest, least and total probability of each prompt among its layers."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    probs = C.prompt_probabilities(e, _many_prompts(spark, sf_dir), scale=10.0, block=150)
+    return probs.groupBy("prompt").agg(F.count("*").alias("n"), F.round(F.max("prob"), 4).alias("most"), F.round(F.sum("prob"), 3).alias("total"))
+
+
 def p10_classify(spark, sf_dir):
     return flat_layers(spark, sf_dir).select("design_id", "ordinal", "role", "priority")
 
@@ -229,6 +271,40 @@ def w2_assign_general(spark, sf_dir):
     return layout.assign_zones_general(flat_layers(spark, sf_dir).where(f"NOT {E.IS_BACKGROUND}"), both)
 
 
+def user_templates(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Templates whose zones share roles: those of the catalogue, each zone taking photo and cta too, in reverse order for wide ones."""
+    roles = F.array_union(F.col("roles"), F.array(F.lit("photo"), F.lit("cta")))
+    order = F.when(F.col("template").startswith("landscape"), 10 - F.col("zone_no")).otherwise(F.col("zone_no"))
+    return catalogs.templates(spark), catalogs.zones(spark).withColumns({"roles": roles, "zone_no": order.cast("int")})
+
+
+def w2_layout_user_templates(spark, sf_dir):
+    """Placements by templates of a user, whose zones share roles."""
+    placed = layout.calculate_layout(flat_layers(spark, sf_dir), preset_targets(spark), *user_templates(spark))
+    return placed.select(*PLACED)
+
+
+def w2_shared_roles(spark, sf_dir):
+    """Roles that several zones take, with the layers that have them."""
+    shared = layout.shared_roles(user_templates(spark)[1])
+    n = flat_layers(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n_layers"))
+    return shared.join(n, "role").select("template", "role", F.array_join("zones", ",").alias("zones"), "n_layers")
+
+
+def l3_place_options(spark, sf_dir):
+    """Layers with bounds of their own, every third free to change its aspect."""
+    layers = flat_layers(spark, sf_dir).withColumns({"min_scale": (F.col("ordinal") % 4) * 0.2, "max_scale": F.lit(0.4) + (F.col("design_id") % 3) * 0.5, "maintain_aspect": F.col("ordinal") % 3 != 0})
+    return layout.calculate_layout(layers, preset_targets(spark)).where("section = 1").select(*PLACED)
+
+
+def l5_many_targets(spark, sf_dir):
+    """Placements on a size for each nation, joined as if they were too many to broadcast, summed up by target."""
+    sizes = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("seq"), F.col("n_name").alias("name"), F.expr("CAST(100 + n_nationkey * 137 % 1900 AS INT)").alias("width"), F.expr("CAST(100 + n_nationkey * 211 % 900 AS INT)").alias("height"))
+    placed = layout.calculate_layout(flat_layers(spark, sf_dir), sizes, most_broadcast=10)
+    sums = [F.sum(F.col(c).cast("long")).alias(c) for c in ("new_x", "new_y", "new_w", "new_h")]
+    return placed.groupBy("seq", "template", "section", "zone").agg(F.count("*").alias("n"), *sums)
+
+
 def j7_placement_lookup(spark, sf_dir):
     return compose.placed_layers(flat_layers(spark, sf_dir), placements(spark, sf_dir))
 
@@ -292,7 +368,14 @@ def a3_alpha_share(spark, sf_dir):
 
 
 def a4_last_result(spark, sf_dir):
-    return report.last_result_per_name(layout.pairs(designs(spark, sf_dir), valid_targets(spark)).select("design_id", "seq", F.col("name").alias("target_name")))
+    return report.last_result_per_name(layout.pairs(designs(spark, sf_dir), valid_targets(spark)).select("design_id", "seq", F.col("name").alias("target_name"))).select("design_id", "target_name", "seq")
+
+
+def a4_last_result_rows(spark, sf_dir):
+    """Whole results by name: of targets that share a name, the size and counts of the latest."""
+    drawn = compose.with_kind(placements_on(spark, sf_dir, valid_targets(spark)))
+    results = drawn.groupBy("design_id", "seq", "target_name", "target_w", "target_h").agg(F.count("kind").cast("int").alias("n_drawn"))
+    return report.last_result_per_name(results)
 
 
 def a5_batch_counts(spark, sf_dir):
@@ -379,6 +462,11 @@ def b1_batch_relayout(spark, sf_dir):
     return compose.batch_relayout(flat_layers(spark, sf_dir), valid_targets(spark))
 
 
+def b1_batch_with_rejects(spark, sf_dir):
+    """Every design and every size, good or bad: results, empty designs and bad sizes in one table."""
+    return compose.batch_with_rejects(designs(spark, sf_dir), flat_layers(spark, sf_dir), fixtures.targets(spark))
+
+
 def r1_gamma(spark, sf_dir):
     return raster.gamma_encode(raster.gamma_decode(fixtures.pixels(spark, sf_dir)))
 
@@ -417,6 +505,12 @@ def r7_feather_mask(spark, sf_dir):
     return raster.feather_mask(sizes, 6)
 
 
+def r7_feather_masks(spark, sf_dir):
+    """The mask of every part's own size, summed up by row."""
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") % 23 + 1).cast("int").alias("w"), (F.col("p_partkey") % 19 + 1).cast("int").alias("h"))
+    return raster.feather_mask(sizes, 6).groupBy("p_partkey", "y").agg(F.sum("value").alias("total"), F.count_if(F.col("value") == 255).alias("n_whole"))
+
+
 def r8_opacity(spark, sf_dir):
     p = fixtures.pixels(spark, sf_dir).withColumn("opacity", (F.col("image_id") % 5 + 1) / F.lit(4.0))
     return raster.apply_opacity(p).drop("opacity")
@@ -458,12 +552,23 @@ def r14_render(spark, sf_dir):
     layers = flat_layers(spark, sf_dir)
     stored = images.select("design_id", "ordinal").distinct()
     layers = cut(layers.drop("has_image").join(stored.withColumn("has_image", F.lit(True)), ["design_id", "ordinal"]))
-    plan = compose.render_plan(layout.calculate_layout(layers, fixtures.thumbnails(spark)))
+    plan = compose.draw_plan(layout.calculate_layout(layers, fixtures.thumbnails(spark)))
     own = layers.select("design_id", "ordinal", "element_id")
     sizes = own.select("design_id", "element_id", F.lit(8).alias("src_w"), F.lit(8).alias("src_h"))
     return raster.render(plan, images.join(own, ["design_id", "ordinal"]).drop("ordinal"), sizes)
 
 
+def r14_render_flat(spark, sf_dir):
+    """Flat images of sizes of their own, composed for small canvases and drawn."""
+    p, g = _images(spark, sf_dir)
+    images = cut(raster.crop(p, g.select("image_id", "src_w", "src_h", F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("flat_w").alias("width"), F.col("flat_h").alias("height"))))
+    one = {"k": F.lit(0), "ordinal": F.lit(0), "n": F.lit(1), "name": F.lit("Source Image"), "layer_type": F.lit("pixel"), "role": F.lit("photo"), "priority": F.lit(5), "x": F.lit(0), "y": F.lit(0), "visible": F.lit(True), "has_image": F.lit(True), "z_index": F.lit(0), "opacity": F.lit(1.0), "source_type": F.lit("flat_image"), "element_id": F.lit("source_image_0")}
+    layers = g.select(F.col("image_id").alias("design_id"), F.col("flat_w").alias("canvas_w"), F.col("flat_h").alias("canvas_h"), F.col("flat_w").alias("width"), F.col("flat_h").alias("height")).withColumns(one)
+    plan = compose.compose_plan(layers, fixtures.thumbnails(spark))
+    sizes = layers.select("design_id", "element_id", F.col("canvas_w").alias("src_w"), F.col("canvas_h").alias("src_h"))
+    return raster.render(plan, images.select(F.col("image_id").alias("design_id"), F.lit("source_image_0").alias("element_id"), "y", "x", *"rgba"), sizes)
+
+
 def queries() -> dict:
     names = [n for n in globals() if n[:1] in "spjlauwtfcbr" and n[1:2].isdigit()]
     return {n: globals()[n] for n in names}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Columns of a layered design's rows.
 LAYERS = (
     "design_id long, ordinal int, canvas_w int, canvas_h int, name string, layer_type string, x int, y int, width int, height int, "
@@ -64,6 +66,42 @@ def layers_of_documents(documents: DataFrame) -> DataFrame:
     return documents.select("design_id", "canvas_w", "canvas_h", F.posexplode("layers").alias("ordinal", "layer")).select("design_id", "ordinal", "canvas_w", "canvas_h", "layer.*")
 
 
+#: Fields of a layer in a nested document, beside its children.
+NODE = "name string, layer_type string, x int, y int, width int, height int, visible boolean, opacity_u8 int, text_content string, has_image boolean"
+
+
+def layers_of_trees(documents: DataFrame, tree: str = "layers") -> DataFrame:
+    """Layer rows of documents whose groups hold their children: (design_id, canvas_w, canvas_h, ``tree``).
+
+    ``tree`` is a list of layers as JSON text or VARIANT; a layer has the fields of NODE and
+    may have ``children``, a list again, to any depth.  The tree is opened level by level,
+    each layer keeping the path of places that leads to it.  Ordinals are places in the
+    walk that visits a group before its children and those before the next layer, which is
+    the order of the paths; parent_ordinal is the group's.  Fields that are absent, or are
+    of another type, are null; a document that is no list has no rows.
+    """
+    node = F.col(tree) if documents.schema[tree].dataType.simpleString() == "variant" else F.try_parse_json(tree)
+    level = documents.select("design_id", "canvas_w", "canvas_h", F.array().cast("array<int>").alias("_up"), F.try_variant_get(node, "$", "array<variant>").alias("_nodes"))
+    levels = []
+    while True:
+        opened = level.select("design_id", "canvas_w", "canvas_h", "_up", F.posexplode("_nodes").alias("_at", "_node"))
+        opened = opened.select("design_id", "canvas_w", "canvas_h", F.array_append("_up", F.col("_at")).alias("_path"), "_node")
+        opened = cut(opened)  # each level is opened once, however deep the tree
+        if opened.isEmpty():
+            break
+        levels.append(opened)
+        level = opened.select("design_id", "canvas_w", "canvas_h", F.col("_path").alias("_up"), F.try_variant_get("_node", "$.children", "array<variant>").alias("_nodes")).where("size(_nodes) > 0")
+    rows = opened
+    for part in levels:
+        rows = rows.unionByName(part)
+    names = [f.strip().split(" ") for f in NODE.split(",")]
+    flat = rows.select("design_id", "canvas_w", "canvas_h", "_path", *[F.try_variant_get("_node", f"$.{n}", kind).alias(n) for n, kind in names])
+    flat = flat.withColumn("ordinal", F.row_number().over(Window.partitionBy("design_id").orderBy("_path")) - 1)
+    parents = flat.select("design_id", F.col("_path").alias("_above"), F.col("ordinal").alias("parent_ordinal"))
+    own = flat.withColumn("_above", F.slice("_path", 1, F.size("_path") - 1))
+    return own.join(parents, ["design_id", "_above"], "left").select("design_id", "ordinal", "canvas_w", "canvas_h", *[n for n, _ in names], "parent_ordinal")
+
+
 def unusable_layers(layers: DataFrame) -> DataFrame:
     """Layers under MIN_SIDE pixels wide or high."""
     return layers.where(f"width < {MIN_SIDE} OR height < {MIN_SIDE}")
@@ -94,6 +132,37 @@ def flatten_layer_tree(layers: DataFrame, z_order: str = "list") -> DataFrame:
     return flat.withColumns({"element_id": element_id(), "z_index": {"list": F.col("n") - F.col("k"), "document": F.col("k")}[z_order]})
 
 
+def flatten_large_trees(layers: DataFrame, z_order: str = "list", max_rounds: int = 64) -> DataFrame:
+    """As ``flatten_layer_tree``, for designs of any size and depth: no array holds a design.
+
+    Each nested layer points at its parent, and pointers are doubled: a round joins a layer
+    with what it points at, so a chain of d groups takes log2(d) rounds, whose joins are
+    spread by design and layer.  A layer stays if all on its way up are groups that stay;
+    one that points at no layer, or that is its own ancestor, goes.
+    """
+    usable = F.coalesce("visible", F.lit(True)) & (F.col("width") >= MIN_SIDE) & (F.col("height") >= MIN_SIDE)
+    ok = cut(layers.where(usable).select("design_id", "ordinal", F.col("parent_ordinal").alias("up"), (F.col("layer_type") == "group").alias("_group")))
+    kept = [ok.where("up IS NULL").select("design_id", "ordinal")]
+    groups = ok.where("_group").select("design_id", F.col("ordinal").alias("up"), F.col("up").alias("_next"))
+    open_rows = cut(ok.where("up IS NOT NULL").select("design_id", "ordinal", "up"))
+    for _ in range(max_rounds):
+        if open_rows.isEmpty():
+            break
+        moved = cut(open_rows.join(groups, ["design_id", "up"]).select("design_id", "ordinal", F.col("_next").alias("up")))  # no such group: gone
+        kept.append(moved.where("up IS NULL").select("design_id", "ordinal"))
+        open_rows = moved.where("up IS NOT NULL")
+        ahead = groups.withColumnsRenamed({"_next": "_mid"}).join(groups.select("design_id", F.col("up").alias("_mid"), "_next", F.lit(True).alias("_is")), ["design_id", "_mid"], "left")
+        # A group whose parent is no group that stays leads nowhere; one without a parent is a root.
+        groups = cut(ahead.where("_mid IS NULL OR _is").select("design_id", "up", "_next"))
+    stay = kept[0]
+    for part in kept[1:]:
+        stay = stay.unionByName(part)
+    rows = layers.join(stay, ["design_id", "ordinal"], "left_semi")
+    in_design = Window.partitionBy("design_id")
+    flat = rows.withColumns({"k": F.row_number().over(in_design.orderBy("ordinal")) - 1, "n": F.count("*").over(in_design).cast("int")})
+    return flat.withColumns({"element_id": element_id(), "z_index": {"list": F.col("n") - F.col("k"), "document": F.col("k")}[z_order]})
+
+
 def element_id():
     """Name, underscore, and eight digits of a digest of name and kept ordinal."""
     return F.concat("name", F.lit("_"), F.substring(F.md5(F.concat("name", F.lit("_"), F.col("k").cast("string")).cast("binary")), 1, 8))
@@ -117,9 +186,13 @@ def normalise_attributes(layers: DataFrame) -> DataFrame:
     return layers.withColumns(out)
 
 
-def manifest(plan: DataFrame, path: str | None = None) -> DataFrame:
-    """One PNG name a target and design; written by target when a path is given."""
+def manifest(plan: DataFrame, path: str | None = None, batch_id: str = "0") -> DataFrame:
+    """One PNG name a target and design; written by batch and target when a path is given.
+
+    Writing a target of a batch again replaces that part alone; others stay as they are.
+    """
     out = plan.select("design_id", "target_name").distinct().withColumn("file", F.concat(F.replace("target_name", F.lit(" "), F.lit("_")), F.lit(".png")))
     if path:
-        out.write.mode("overwrite").partitionBy("target_name").parquet(path)
+        stored = out.withColumn("batch_id", F.lit(batch_id))
+        stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "target_name").parquet(path)
     return out

@@ -6,6 +6,7 @@ Each text runs on the tables of the same names; FIXTURES.md describes it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LAYERS_RAW = """
 WITH canv(ck, canvas_w, canvas_h) AS (VALUES (0,1080,1080),(1,1200,628),(2,886,500),(3,1920,1080),(4,1080,1920),(5,600,600)),
@@ -64,7 +65,8 @@ FROM v
 FRAMES = """
 SELECT vec_id AS image_id, CAST(8 AS INT) AS src_w, CAST(8 AS INT) AS src_h, CAST(10 + vec_id % 5 AS INT) AS width, CAST(9 + vec_id % 4 AS INT) AS height,
  CAST(vec_id % 3 AS INT) AS dx, CAST(vec_id % 2 AS INT) AS dy, CAST(vec_id % 3 AS INT) AS x1, CAST(vec_id % 2 AS INT) AS y1, CAST(vec_id % 3 + 8 AS INT) AS x2, CAST(vec_id % 2 + 8 AS INT) AS y2,
- CAST(vec_id % 7 AS INT) AS to_w, CAST(11 - vec_id % 4 AS INT) AS to_h, CAST(vec_id % 5 - 2 AS INT) AS x0, CAST(vec_id % 4 - 1 AS INT) AS y0, CAST(5 + vec_id % 4 AS INT) AS cut_w, CAST(4 + vec_id % 5 AS INT) AS cut_h
+ CAST(vec_id % 7 AS INT) AS to_w, CAST(11 - vec_id % 4 AS INT) AS to_h, CAST(vec_id % 5 - 2 AS INT) AS x0, CAST(vec_id % 4 - 1 AS INT) AS y0, CAST(5 + vec_id % 4 AS INT) AS cut_w, CAST(4 + vec_id % 5 AS INT) AS cut_h,
+ CAST(1 + vec_id % 8 AS INT) AS flat_w, CAST(1 + vec_id * 5 % 7 AS INT) AS flat_h
 FROM embeddings
 """
 
@@ -106,3 +108,19 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thumbnails(spark: SparkSession) -> DataFrame:
     return derive(spark, "", "thumbnails")
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(design_id, canvas_w, canvas_h, layers) with each design as nested JSON, from the last layer to the first, so that children are ready before their groups."""
+    raw = layers_raw(spark, sf_dir)
+    fields = ["name", "layer_type", "x", "y", "width", "height", "visible", "opacity_u8", "text_content", "has_image"]
+    entry = F.struct("ordinal", "parent_ordinal", F.to_json(F.struct(*fields)).alias("text"))
+    tree = raw.groupBy("design_id", "canvas_w", "canvas_h").agg(F.reverse(F.array_sort(F.collect_list(entry))).alias("t"))
+
+    def step(held, t):
+        own = F.concat(F.substring(t["text"], F.lit(1), F.length(t["text"]) - 1), F.lit(',"children":['), F.get(held, t["ordinal"] + 1), F.lit("]}"))
+        at = F.coalesce(t["parent_ordinal"] + 1, F.lit(0))
+        return F.transform(held, lambda s, i: F.when(i == at, F.concat(own, F.when(s == "", "").otherwise(","), s)).otherwise(s))
+
+    held = F.aggregate("t", F.array_repeat(F.lit(""), F.size("t") + 1), step)
+    return tree.select("design_id", "canvas_w", "canvas_h", F.concat(F.lit("["), F.get(held, F.lit(0)), F.lit("]")).alias("layers"))

@@ -12,7 +12,7 @@ ORACLE = oracle.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("lineitem", "part", "orders", "events", "pages", "embeddings"):
+    for t in ("lineitem", "part", "orders", "events", "pages", "embeddings", "nation", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
 

@@ -191,7 +191,7 @@ def test_images_of_mixed_sizes_in_one_job(spark):
 def test_render_draws_in_order(spark):
     plan = spark.createDataFrame(
         [(1, 1, 3, 2, 0, "background", "b", 0, 0, 3, 2, 1.0), (1, 1, 3, 2, 1, "overlay", "o", 0, 0, 3, 2, 0.1), (1, 1, 3, 2, 2, "content", "c", 2, -1, 2, 2, 0.5), (2, 1, 2, 1, 0, "content", "none", 0, 0, 1, 1, 1.0)],
-        "design_id long, seq int, target_w int, target_h int, step int, kind string, element_id string, x int, y int, w int, h int, opacity double",
+        "design_id long, seq int, target_w int, target_h int, step int, kind string, element_id string, image_x int, image_y int, image_w int, image_h int, opacity double",
     )
     flat = lambda name, w, h, *rgba: [(1, name, y, x, *rgba) for y in range(h) for x in range(w)]
     px = spark.createDataFrame(flat("b", 3, 2, 100, 100, 100, 255) + flat("o", 3, 2, 200, 0, 0, 0) + flat("c", 2, 2, 0, 0, 255, 255), "design_id long, element_id string, y int, x int, r int, g int, b int, a int")
