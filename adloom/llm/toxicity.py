@@ -233,7 +233,25 @@ def evidence_of(texts: list[str | None], weights: np.ndarray, combos=_COMBOS) ->
     return out.reshape(len(texts), RUN * EVIDENCE)
 
 
+def packed(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table of weights by its codes that are not zero, as it is broadcast: few of BASE ** ORDER."""
+    codes = np.flatnonzero(weights).astype(np.int32)
+    return codes, weights[codes]
+
+
+def unpacked(table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.zeros(_CODES, np.float32)
+    out[table[0]] = table[1]
+    return out
+
+
 class Model:
+    def __getstate__(self):
+        return {**self.__dict__, "weights": packed(self.weights)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, weights=unpacked(state["weights"]))
+
     def __init__(self, share: float):
         self.weights = np.zeros(_CODES, np.float32)
         self.curve: np.ndarray | None = None
@@ -302,9 +320,10 @@ def _instances(rows: DataFrame, tables: list[np.ndarray], combos) -> list[tuple[
 
     Table 0 and 1 are of the halves, and get their own half's documents; table 2 gets all.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(tables)
+    shared = rows.sparkSession.sparkContext.broadcast([packed(t) for t in tables])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = [unpacked(t) for t in shared.value]
         for batch in batches:
             out: list[tuple[int, bytes, int]] = []
             for half in (0, 1):
@@ -323,7 +342,7 @@ def _instances(rows: DataFrame, tables: list[np.ndarray], combos) -> list[tuple[
                         continue
                     text = letters.text + base
                     for which in (half, 2):
-                        values = letters.values(shared.value[which], combos)
+                        values = letters.values(weights[which], combos)
                         for r in range(RUN):
                             for s in _chosen(text, np.maximum.reduceat(values[r], letters.start), toxic).tolist():
                                 out.append((which, _worst_stretch(letters, values[r], r, s), int(toxic[text[s]])))
@@ -467,13 +486,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _evidence(rows: DataFrame, tables: list[np.ndarray]) -> DataFrame:
     """(y, evidence) of each text, by the table at the place of its half."""
-    shared = rows.sparkSession.sparkContext.broadcast(tables)
+    shared = rows.sparkSession.sparkContext.broadcast([packed(t) for t in tables])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = [unpacked(t) for t in shared.value]
         for batch in batches:
             for half in (0, 1):
                 own = batch.filter(pa.array(batch.column("half").to_numpy() == half))
-                found = evidence_of(own.column("text").to_pylist(), shared.value[half])
+                found = evidence_of(own.column("text").to_pylist(), weights[half])
                 yield pa.RecordBatch.from_arrays([own.column("y"), pa.array(list(found), pa.list_(pa.float64()))], names=["y", "evidence"])
 
     return rows.select("text", "y", "half").mapInArrow(run, "y double, evidence array<double>")
