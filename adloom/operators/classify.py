@@ -18,6 +18,8 @@ def classify(layers: DataFrame) -> DataFrame:
 
 #: Prompts of a block: so many vectors are broadcast at once, whatever their number.
 BLOCK = 4096
+#: Blocks between two cuts of the plan, so that it doesn't grow with them.
+PASSES = 8
 
 
 def _prompt_blocks(prompts: DataFrame, block: int) -> tuple[DataFrame, int]:
@@ -61,6 +63,8 @@ def _softmax_state(layers: DataFrame, blocks: DataFrame, n: int, scale: float) -
         out = out.withColumn("_new", top).withColumn("_sum", more)
         out = out.withColumns({"_total": share(F.col("_total"), F.col("_top")) + F.col("_sum"), "_best": F.when(better, first).otherwise(F.col("_best")), "_top": F.col("_new")})
         out = out.drop("_prompts", "_logits", "_high", "_new", "_sum")
+        if i % PASSES == PASSES - 1 and i < n - 1:
+            out = cut(out)
     return out
 
 

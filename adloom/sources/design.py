@@ -132,7 +132,7 @@ def flatten_layer_tree(layers: DataFrame, z_order: str = "list") -> DataFrame:
     return flat.withColumns({"element_id": element_id(), "z_index": {"list": F.col("n") - F.col("k"), "document": F.col("k")}[z_order]})
 
 
-def flatten_large_trees(layers: DataFrame, z_order: str = "list", max_rounds: int = 64) -> DataFrame:
+def flatten_large_trees(layers: DataFrame, z_order: str = "list") -> DataFrame:
     """As ``flatten_layer_tree``, for designs of any size and depth: no array holds a design.
 
     Each nested layer points at its parent, and pointers are doubled: a round joins a layer
@@ -145,7 +145,7 @@ def flatten_large_trees(layers: DataFrame, z_order: str = "list", max_rounds: in
     kept = [ok.where("up IS NULL").select("design_id", "ordinal")]
     groups = ok.where("_group").select("design_id", F.col("ordinal").alias("up"), F.col("up").alias("_next"))
     open_rows = cut(ok.where("up IS NOT NULL").select("design_id", "ordinal", "up"))
-    for _ in range(max_rounds):
+    for _ in range(open_rows.count().bit_length() + 1):  # longer than any chain: what is open then is its own ancestor
         if open_rows.isEmpty():
             break
         moved = cut(open_rows.join(groups, ["design_id", "up"]).select("design_id", "ordinal", F.col("_next").alias("up")))  # no such group: gone
