@@ -9,7 +9,7 @@ feature space, so short words count as long ones).  A sentence scores by its wor
 of each number of words, so insults of several words are seen whole.  A letter put into
 an insult, left out or changed leaves most subsequences in place; characters that are no
 letters are passed over, and three or more single letters in a row are read as one word.
-Letters of other scripts have 16 codes of their own, by their place in Unicode: two of one
+Letters of other scripts have eight codes of their own, by their place in Unicode: two of one
 script may share one, but none is that of a Latin letter.
 
 Training, on sentences of labelled documents, which have their document's label: (1)
@@ -63,10 +63,10 @@ NO_EVIDENCE, EVIDENCE, RUN = -2.0, 4, 3
 PIECE = 1 << 18
 _STOP = re.compile("[.!?\u3002\uff01\uff1f][\t\n\x0b\x0c\r \x85\xa0\u2028\u2029\u3000]")
 _COMBOS = [c for c in combinations(range(1, SPAN), ORDER - 1)]
-#: Letters: 0 the gap between sentences, 1..26 a to z, 27..30 other Latin ones, 31 the mark before a word, 32..47 other scripts.
-BASE = 48
+#: Letters: 0 the gap between sentences, 1..26 a to z, 27..30 other Latin ones, 31 the mark before a word, 32..39 other scripts.
+BASE = 40
 _CODES = BASE**ORDER
-_WORD, _SPACE, _LINE, _END, _TEXT, _FILL = 31, 48, 49, 50, 51, 52
+_WORD, _SPACE, _LINE, _END, _TEXT, _FILL = 31, 40, 41, 42, 43, 44
 _OTHER = BASE - 1 - _WORD
 _LETTER = np.full(0x32000, _WORD + 1, np.uint8)  # any other sign, and what lies beyond
 _LETTER[:0x300] = _FILL
@@ -233,38 +233,35 @@ def evidence_of(texts: list[str | None], weights: np.ndarray, combos=_COMBOS) ->
     return out.reshape(len(texts), RUN * EVIDENCE)
 
 
-def packed(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A table of weights by its codes that are not zero, as it is broadcast: few of BASE ** ORDER."""
-    codes = np.flatnonzero(weights).astype(np.int32)
-    return codes, weights[codes]
+#: A table of weights by its codes that are not zero, as drivers hold and send it: few of BASE ** ORDER.
+Packed = tuple[np.ndarray, np.ndarray]
+NOTHING: Packed = (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
-def unpacked(table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def unpacked(table: Packed) -> np.ndarray:
     out = np.zeros(_CODES, np.float32)
     out[table[0]] = table[1]
     return out
 
 
 class Model:
-    def __getstate__(self):
-        return {**self.__dict__, "weights": packed(self.weights)}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, weights=unpacked(state["weights"]))
-
     def __init__(self, share: float):
-        self.weights = np.zeros(_CODES, np.float32)
+        self.table = NOTHING
         self.curve: np.ndarray | None = None
         self.prior = share
 
+    @property
+    def weights(self) -> np.ndarray:
+        return unpacked(self.table)
+
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         if self.curve is None:
             return np.full(len(evidence), self.prior)
         return 1 / (1 + np.exp(-np.clip(np.c_[evidence, np.ones(len(evidence))] @ self.curve, -30, 30)))
 
 
-def _group_counts(rows: DataFrame) -> np.ndarray:
-    """[half, label, code]: documents of each half and label that have each run of four letters."""
+def _group_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of runs of four letters, and [half, label, code] the documents of each half and label that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((4, _CODES), np.int32)
@@ -286,10 +283,7 @@ def _group_counts(rows: DataFrame) -> np.ndarray:
 
     sums = rows.select("text", "y", "half").mapInArrow(run, "code int, n0 long, n1 long, n2 long, n3 long").groupBy("code").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
     got = sums.where("n0 + n1 + n2 + n3 > 1").toArrow()  # at most BASE ** ORDER rows of five numbers
-    out = np.zeros((4, _CODES))
-    for i in range(4):
-        out[i, got["code"].to_numpy()] = got[f"n{i}"].to_numpy()
-    return out.reshape(2, 2, _CODES)
+    return got["code"].to_numpy(), np.array([got[f"n{i}"].to_numpy() for i in range(4)], float).reshape(2, 2, -1)
 
 
 def _worst_stretch(letters: Letters, value: np.ndarray, r: int, sentence: int) -> bytes:
@@ -315,12 +309,12 @@ def _chosen(text: np.ndarray, scores: np.ndarray, toxic: np.ndarray) -> np.ndarr
     return np.concatenate([worst, there[first + size // 3], there[first + 2 * size // 3]])
 
 
-def _instances(rows: DataFrame, tables: list[np.ndarray], combos) -> list[tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]]:
+def _instances(rows: DataFrame, tables: list[Packed], combos) -> list[tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]]:
     """For each table of weights the witness stretches of toxic documents, and misleading and other ones of clean ones, with counts.
 
     Table 0 and 1 are of the halves, and get their own half's documents; table 2 gets all.
     """
-    shared = rows.sparkSession.sparkContext.broadcast([packed(t) for t in tables])
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = [unpacked(t) for t in shared.value]
@@ -421,12 +415,11 @@ def kernel(runs: list[bytes], codes: np.ndarray, phi: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fit_runs(toxic: list[tuple[bytes, int]], clean: list[tuple[bytes, int]]) -> np.ndarray:
+def _fit_runs(toxic: list[tuple[bytes, int]], clean: list[tuple[bytes, int]]) -> Packed:
     """The table of subsequence weights of an SVM over Nyström landmarks."""
-    out = np.zeros(_CODES, np.float32)
     marks = [w for w, _ in toxic[:TOXIC_LANDMARKS]] + [w for w, _ in clean[:CLEAN_LANDMARKS]]
     if not toxic or not clean:
-        return out
+        return NOTHING
     codes, phi = landmark_features(marks)
     y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
     weight = np.minimum(np.array([n for _, n in toxic] + [n for _, n in clean], float), 20)
@@ -436,8 +429,7 @@ def _fit_runs(toxic: list[tuple[bytes, int]], clean: list[tuple[bytes, int]]) ->
     values, vectors = np.linalg.eigh(phi.T @ phi + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))  # Nyström map
     w = _svm(kernel([w for w, _ in toxic] + [w for w, _ in clean], codes, phi) @ root, y, weight)
-    out[codes] = phi @ (root @ w[:-1])
-    return out
+    return codes, (phi @ (root @ w[:-1])).astype(np.float32)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -452,17 +444,16 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     if (sizes == 0).any():
         return model
 
-    counts = _group_counts(rows)
-    tables = []
+    codes, counts = _group_counts(rows)
+    tables: list[Packed] = []
     for own, n in ((counts[0], sizes[0]), (counts[1], sizes[1]), (counts.sum(axis=0), sizes.sum(axis=0))):
         expected = own.sum(axis=0) * n[1] / n.sum()
-        tables.append(np.clip((own[1] - expected) / np.sqrt(expected + 1), -5, 25).astype(np.float32))
-        tables[-1][~_VALID] = 0
+        tables.append((codes, np.clip((own[1] - expected) / np.sqrt(expected + 1), -5, 25).astype(np.float32)))
     combos = _COMBOS[:1]
     for _ in range(2):
         tables = [_fit_runs(*own) for own in _instances(rows, tables, combos)]
         combos = _COMBOS
-    model.weights = tables[2]
+    model.table = tables[2]
     other = _evidence(rows, [tables[1], tables[0]]).collect()  # MAX_LABELLED rows of a few numbers
     model.curve = _logistic(np.array([r[1] for r in other], float), np.array([r[0] for r in other]))
     return model
@@ -484,9 +475,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.r_[slopes, w[-1] - centre @ slopes]
 
 
-def _evidence(rows: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+def _evidence(rows: DataFrame, tables: list[Packed]) -> DataFrame:
     """(y, evidence) of each text, by the table at the place of its half."""
-    shared = rows.sparkSession.sparkContext.broadcast([packed(t) for t in tables])
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = [unpacked(t) for t in shared.value]
@@ -504,10 +495,11 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value.weights
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
-                found = evidence_of(few.column("text").to_pylist(), shared.value.weights)
+                found = evidence_of(few.column("text").to_pylist(), weights)
                 yield pa.RecordBatch.from_arrays([*(few.column(c) for c in keep), pa.array(shared.value.probability(found))], names=[*keep, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}

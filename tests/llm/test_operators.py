@@ -461,7 +461,7 @@ def runs(*words):
 
 def test_gaps_and_insertions_stay_close():
     counted = lambda words, n: list(zip(runs(*words), n))
-    weights = toxicity._fit_runs(counted(("idiot", "worthless"), (30, 20)), counted(("the", "ideal", "worth", "order", "iota", "less", "riot", "those", "these"), [10] * 9))
+    weights = toxicity.unpacked(toxicity._fit_runs(counted(("idiot", "worthless"), (30, 20)), counted(("the", "ideal", "worth", "order", "iota", "less", "riot", "those", "these"), [10] * 9)))
     words = ["idiot", "id.iot", "idxiot", "i-d-i-o-t", "i d i o t", "worthlless", "order", "the", "riot"]
     s = dict(zip(words, toxicity.Letters.of_texts(words).scores(weights)[:, 0]))
     assert min(s["id.iot"], s["i-d-i-o-t"], s["i d i o t"]) == pytest.approx(s["idiot"])
@@ -504,7 +504,7 @@ def plain_sentences(text):
 def test_sentence_scores_against_plain_enumeration():
     rng = random.Random(11)
     weights = np.zeros(toxicity._CODES, np.float32)
-    some = rng.sample(range(toxicity._CODES), 2_000_000)
+    some = rng.sample(range(toxicity._CODES), 1_500_000)
     weights[some] = np.random.default_rng(2).normal(size=len(some))
     weights[~toxicity._VALID] = 0
     texts = ["One tw, three. Four5 fi-ve!\nsix\n\nseven eightninetenelevens x? Z", "", "...", "ab cd ef gh. ij", "\n\n a"] + [" ".join("".join(rng.choices("abcdefgh.", k=rng.randrange(2, 12))) for _ in range(25)) for _ in range(6)]
@@ -522,7 +522,7 @@ def test_sentence_scores_against_plain_enumeration():
                     for p in range(len(words[w]) + 1):
                         if p == 0 or p + toxicity.STRETCH <= len(own):
                             found = plain_features(own[p:])
-                            best = max(best, sum(v * float(weights[((a * 48 + b) * 48 + c) * 48 + d]) for (a, b, c, d), v in found.items()) / norm)
+                            best = max(best, sum(v * float(weights[((a * 40 + b) * 40 + c) * 40 + d]) for (a, b, c, d), v in found.items()) / norm)
                 assert got[s, r] == pytest.approx(best, abs=1e-4)
 
 
@@ -549,10 +549,10 @@ def test_no_script_has_the_codes_of_latin_letters():
     for c in range(0x370, 0x32000):
         if unicodedata.category(chr(c))[0] in "LM" and len(low := chr(c).lower()) == 1 and ord(low) >= 0x370:
             own = set(runs(chr(c))[0]) if runs(chr(c)) else set()
-            assert own <= {mark, *range(32, 48)}, hex(c)
+            assert own <= {mark, *range(32, 40)}, hex(c)
     words = ["idiot", "рлрцы", "ؾعؾلث", "且丏且业丁", "stupid"]
     assert len({r for r in runs(*words)}) == len(words)
-    weights = toxicity._fit_runs([(r, 9) for r in runs("idiot")], [(r, 9) for r in runs("table", "order")])
+    weights = toxicity.unpacked(toxicity._fit_runs([(r, 9) for r in runs("idiot")], [(r, 9) for r in runs("table", "order")]))
     s = toxicity.Letters.of_texts(words).scores(weights)[:, 0]
     assert s[0] > 0.5 and max(s[1:4]) < s[0] / 4
 
