@@ -35,7 +35,8 @@ def validate_targets(targets: DataFrame) -> DataFrame:
 
 def resolve_targets(presets: DataFrame, selected: DataFrame, custom: DataFrame) -> DataFrame:
     """Selected preset labels with their sizes and short names, and custom sizes over zero."""
-    chosen = selected.join(F.broadcast(presets.select("label", "width", "height")), "label")  # ten presets
+    sizes = presets.select("label", "width", "height")
+    chosen = selected.join(F.broadcast(sizes) if few(sizes) else sizes, "label")
     chosen = chosen.select(F.trim(F.substring_index("label", "(", 1)).alias("name"), "width", "height")
     own = custom.where("width > 0 AND height > 0").select(F.coalesce("name", F.lit("Custom")).alias("name"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
     return chosen.unionByName(own)
