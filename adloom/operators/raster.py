@@ -2,12 +2,14 @@
 
 Sizes, rectangles and offsets come from a geometry table with one row an image, so images
 of any sizes go through one job; it is joined by image (Spark broadcasts it if it is
-small).  Weights are tables of the distinct sizes, one row a tap.  Pixels are never
-gathered by image, so a large one spreads over tasks.
+small).  Filters work within lines (resampling) or tiles with a border (blur), by array
+functions, so there is no row a tap and no table of weights.  Pixels are never gathered by
+image, so a large one spreads over tasks.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,9 @@ from ..sources.shared import cut
 
 CHANNELS = ("r", "g", "b")
 
+#: Side of the tiles that a blur is computed on.
+TILE = 64
+
 
 def _curve(c: Column, power: float) -> Column:
     """trunc(255 * (v / 255) ** power), by a table of 256 values."""
@@ -33,32 +38,45 @@ def gamma_encode(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({c: _curve(F.col(c), 1 / catalogs.GAMMA) for c in CHANNELS})
 
 
-def lanczos_weights(pairs: DataFrame, taps: int = 3) -> DataFrame:
-    """(src_n, dst_n, dst, src, weight) of an axis for each (src_n, dst_n), the weights of a dst adding up to one."""
+def _gathered(rows: DataFrame, keys: list[str], place: Column, n: str) -> DataFrame:
+    """One row a group with s, its pixels by their place 0..n-1; places without a pixel are zero."""
+    out = rows.select(*keys, F.struct(place.cast("int").alias("p"), *[F.col(c).cast("double").alias(c) for c in "rgba"]).alias("e"))
+    out = out.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("s"))
+    zero = "named_struct('p', p, " + ", ".join(f"'{c}', CAST(0 AS DOUBLE)" for c in "rgba") + ")"
+    absent = f"transform(array_except(sequence(0, {n} - 1), transform(s, e -> e.p)), p -> {zero})"
+    return out.withColumn("s", F.expr(f"CASE WHEN size(s) = {n} THEN s ELSE array_sort(concat(s, {absent})) END"))
+
+
+def lanczos_spans(src: str, dst: str, taps: int = 3) -> str:
+    """An array of (low, w, total) for each place of a line of dst pixels made from src: what it takes from place low on."""
+    scale = f"({src} / CAST({dst} AS DOUBLE))"
+    wide = f"greatest({scale}, CAST(1 AS DOUBLE))"
     value = (
         f"CASE WHEN u = 0 THEN CAST(1 AS DOUBLE) WHEN abs(u) >= {taps} THEN CAST(0 AS DOUBLE) "
         f"ELSE {taps} * sin(pi() * u) * sin(pi() * u / {taps}) / (pi() * u * pi() * u) END"
     )
-    rows = pairs.where("src_n > 0 AND dst_n > 0").distinct().withColumns({"scale": F.col("src_n") / F.col("dst_n").cast("double"), "dst": F.explode(F.expr("sequence(0, dst_n - 1)"))})
-    rows = rows.withColumns({"centre": (F.col("dst") + 0.5) * F.col("scale"), "wide": F.greatest("scale", F.lit(1.0))})
-    rows = rows.withColumn("low", F.expr(f"greatest(0, CAST(centre - {taps} * wide AS INT))")).withColumn("high", F.expr(f"least(src_n, CAST(ceil(centre + {taps} * wide) AS INT)) - 1"))
-    rows = rows.withColumn("w", F.expr(f"transform(transform(sequence(low, high), j -> (j + CAST(0.5 AS DOUBLE) - centre) / wide), u -> {value})"))
-    rows = rows.withColumn("total", F.aggregate("w", F.lit(0.0), lambda acc, w: acc + w))
-    return rows.select("src_n", "dst_n", "dst", "low", "total", F.posexplode("w").alias("j", "w")).where("w <> 0").select("src_n", "dst_n", "dst", (F.col("low") + F.col("j")).alias("src"), (F.col("w") / F.col("total")).alias("weight"))
+    low, high = f"greatest(0, CAST(c - {taps} * {wide} AS INT))", f"least({src}, CAST(ceil(c + {taps} * {wide}) AS INT)) - 1"
+    centres = f"transform(sequence(0, {dst} - 1), i -> (i + CAST(0.5 AS DOUBLE)) * {scale})"
+    parts = f"transform({centres}, c -> named_struct('low', {low}, 'w', transform(transform(sequence({low}, {high}), j -> (j + CAST(0.5 AS DOUBLE) - c) / {wide}), u -> {value})))"
+    return f"transform({parts}, t -> named_struct('low', t.low, 'w', t.w, 'total', aggregate(t.w, CAST(0 AS DOUBLE), (acc, v) -> acc + v)))"
 
 
 def resample(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     """Size change in linear light with alpha-weighted colours, by (image_id, src_w, src_h, width, height); no side or less: unchanged.
 
-    Sums are rounded at six digits and then to whole numbers, so their order doesn't matter.
+    One axis after the other, each by gathering the lines along it: a row a pixel is
+    shuffled, whatever the number of taps, and a task holds a line at a time.  Sums are
+    rounded at six digits and then to whole numbers, so their order doesn't matter.
     """
     sizes = sizes.select("image_id", "src_w", "src_h", "width", "height")
     same = pixels.join(sizes.where("width <= 0 OR height <= 0").select("image_id"), "image_id", "left_semi")
-    linear = gamma_decode(pixels.join(sizes.where("width > 0 AND height > 0"), "image_id")).withColumns({c: F.col(c) * F.col("a") / 255.0 for c in CHANNELS})
+    linear = gamma_decode(pixels.join(sizes.where("width > 0 AND height > 0 AND src_w > 0 AND src_h > 0"), "image_id")).withColumns({c: F.col(c) * F.col("a") / 255.0 for c in CHANNELS})
     for axis, src, dst, other, rest in (("x", "src_w", "width", "y", ["src_h", "height"]), ("y", "src_h", "height", "x", [])):
-        w = lanczos_weights(sizes.select(F.col(src).alias("src_n"), F.col(dst).alias("dst_n"))).withColumnsRenamed({"src_n": src, "dst_n": dst, "src": axis})
-        sums = [F.sum(F.col(c) * F.col("weight")).alias(c) for c in (*CHANNELS, "a")]
-        linear = linear.join(w, [src, dst, axis]).groupBy("image_id", other, F.col("dst").alias(axis), *rest).agg(*sums)
+        lines = _gathered(linear, ["image_id", other, src, dst, *rest], F.col(axis), src)
+        lines = lines.withColumns({f"_{c}": F.expr(f"transform(s, e -> e.{c})") for c in "rgba"})
+        sums = ", ".join(f"'{c}', aggregate(zip_with(slice(_{c}, t.low + 1, size(t.w)), t.w, (v, w) -> v * w), CAST(0 AS DOUBLE), (acc, v) -> acc + v) / t.total" for c in "rgba")
+        out = F.expr(f"transform({lanczos_spans(src, dst)}, t -> named_struct({sums}))")
+        linear = lines.select("image_id", other, *rest, F.posexplode(out).alias(axis, "e")).select("image_id", other, axis, *rest, "e.*")
     held = lambda c: F.least(F.lit(255), F.greatest(F.lit(0), F.round(F.round(c, 6)).cast("int")))
     alpha = held(F.col("a"))
     out = linear.withColumns({c: F.when(F.col("a") > 0, held(F.col(c) * 255.0 / F.col("a"))).otherwise(F.lit(0)) for c in CHANNELS}).withColumn("a", alpha)
@@ -104,22 +122,32 @@ def gaussian_weights(radius: float) -> list[tuple[int, float]]:
     return [(d, w / total) for d, w in raw]
 
 
-def _taps(radius: float) -> str:
-    return "array(" + ", ".join(f"named_struct('d', {d}, 'w', CAST({w!r} AS DOUBLE))" for d, w in gaussian_weights(radius)) + ")"
-
-
 def blur(pixels: DataFrame, sizes: DataFrame, radius: float) -> DataFrame:
     """Gaussian blur of images (image_id, width, height), one axis after the other, with the border repeated.
 
-    Sums are rounded at six digits and then to whole numbers, so their order doesn't matter.
+    A pixel goes to each tile whose places it reaches, so one shuffle brings tiles with
+    their borders together and both axes are summed within a tile; places without a pixel
+    count as zero.  Sums are rounded at six digits and then to whole numbers, so their
+    order doesn't matter.
     """
-    sizes = sizes.select("image_id", "width", "height")
-    out = pixels.join(sizes, "image_id")
-    for axis, size, other, rest in (("x", "width", "y", ["height"]), ("y", "height", "x", [])):
-        taps = sizes.select(size).distinct().withColumn("dst", F.explode(F.expr(f"sequence(0, {size} - 1)"))).withColumn("t", F.explode(F.expr(_taps(radius))))
-        taps = taps.groupBy(size, "dst", F.expr(f"least(greatest(dst + t.d, 0), {size} - 1)").alias(axis)).agg(F.sum("t.w").alias("weight"))
-        out = out.join(taps, [size, axis]).groupBy("image_id", other, F.col("dst").alias(axis), *rest).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba"])
-    return out.select("image_id", "y", "x", *[F.round(F.round(c, 6)).cast("int").alias(c) for c in "rgba"])
+    weights = [w for _, w in gaussian_weights(radius)]
+    reach = len(weights) // 2
+    rows = pixels.join(sizes.select("image_id", "width", "height"), "image_id")
+    for axis, size in (("y", "height"), ("x", "width")):
+        first = F.when(F.col(axis) == 0, -reach).otherwise(F.col(axis))
+        last = F.when(F.col(axis) == F.col(size) - 1, F.col(size) - 1 + reach).otherwise(F.col(axis))
+        rows = rows.withColumn(f"_{axis}", F.explode(F.sequence(first, last)))  # the border repeated
+        tiles = f"sequence(greatest(0, CAST(floor((_{axis} - {reach}) / {TILE}) AS INT)), least(CAST(floor(({size} - 1) / {TILE}) AS INT), CAST(floor((_{axis} + {reach}) / {TILE}) AS INT)))"
+        rows = rows.withColumn(f"t{axis}", F.explode(F.expr(tiles)))
+    across, down = f"least({TILE}, width - tx * {TILE})", f"least({TILE}, height - ty * {TILE})"
+    wide, high = f"({across} + {2 * reach})", f"({down} + {2 * reach})"
+    rows = _gathered(rows, ["image_id", "ty", "tx", "width", "height"], F.expr(f"(_y - ty * {TILE} + {reach}) * {wide} + _x - tx * {TILE} + {reach}"), f"({wide} * {high})")
+    total = lambda at: " + ".join(f"CAST({w!r} AS DOUBLE) * {at.format(k=k)}" for k, w in enumerate(weights))
+    along_x, along_y = total("get(line, x + {k})"), total("get(get(_{{c}}, y + {k}), x)")
+    rows = rows.withColumns({f"_{c}": F.expr(f"transform(transform(sequence(0, {high} - 1), j -> transform(slice(s, j * {wide} + 1, {wide}), e -> e.{c})), line -> transform(sequence(0, {across} - 1), x -> {along_x}))") for c in "rgba"})
+    sums = {c: F.expr(f"flatten(transform(sequence(0, {down} - 1), y -> transform(sequence(0, {across} - 1), x -> CAST(round(round({along_y.replace('{c}', c)}, 6)) AS INT))))") for c in "rgba"}
+    out = rows.select("image_id", "ty", "tx", F.expr(across).alias("n"), F.posexplode(F.arrays_zip(*[v.alias(c) for c, v in sums.items()])).alias("p", "e"))
+    return out.select("image_id", F.expr(f"ty * {TILE} + p div n").cast("int").alias("y"), F.expr(f"tx * {TILE} + p % n").cast("int").alias("x"), *[F.col(f"e.{c}").alias(c) for c in "rgba"])
 
 
 def blur_outside(pixels: DataFrame, boxes: DataFrame, radius: float = 3) -> DataFrame:
@@ -132,23 +160,27 @@ def blur_outside(pixels: DataFrame, boxes: DataFrame, radius: float = 3) -> Data
 _INSIDE = "x >= x1 AND x < x2 AND y >= y1 AND y < y2"
 
 
-def box_mask(boxes: DataFrame, feather: float) -> tuple[DataFrame, DataFrame]:
-    """The blurred box of each image as two sides, (width, x1, x2, x, mx) and (height, y1, y2, y, my)."""
-    out = []
-    for axis, size in (("x", "width"), ("y", "height")):
-        low, high = f"{axis}1", f"{axis}2"
-        rows = boxes.select(size, low, high).distinct().withColumn(axis, F.explode(F.expr(f"sequence(0, {size} - 1)")))
-        share = f"aggregate({_taps(feather)}, CAST(0 AS DOUBLE), (acc, t) -> acc + CASE WHEN least(greatest({axis} + t.d, 0), {size} - 1) >= {low} AND least(greatest({axis} + t.d, 0), {size} - 1) < {high} THEN t.w ELSE CAST(0 AS DOUBLE) END)"
-        out.append(rows.withColumn(f"m{axis}", F.expr(share)))
-    return out[0], out[1]
+def box_mask(axis: str, size: str, feather: float) -> Column:
+    """Share of the blurred box along an axis at a place: the taps that fall on the box, the border repeated.
+
+    The taps on the box are neighbours, so their sum is looked up by the first and the last of them.
+    """
+    weights = [w for _, w in gaussian_weights(feather)]
+    n, reach = len(weights), len(weights) // 2
+    sums = [list(itertools.accumulate(weights[i:], initial=0.0)) for i in range(n + 1)]  # sums[i][k]: k taps from the i-th on
+    table = F.array(*[F.array(*[F.lit(v) for v in row]) for row in sums])
+    held = lambda c: F.greatest(F.lit(0), F.least(F.lit(n), c))
+    low, high, at = F.col(f"{axis}1"), F.col(f"{axis}2"), F.col(axis)
+    first = F.when(low <= 0, 0).when(low >= F.col(size), n).otherwise(held(low - at + reach))
+    last = F.when(high >= F.col(size), n).when(high <= 0, 0).otherwise(held(high - at + reach))
+    return F.get(F.get(table, first), F.greatest(F.lit(0), last - first))
 
 
 def feather_blend(fill: DataFrame, original: DataFrame, boxes: DataFrame, feather: float = 8) -> DataFrame:
     """original * mask + fill * (1 - mask); the mask is the blurred box of (image_id, width, height, x1, y1, x2, y2), original is 0 outside it."""
-    boxes = boxes.select("image_id", "width", "height", "x1", "y1", "x2", "y2")
-    mask_x, mask_y = box_mask(boxes, feather)
-    both = fill.join(boxes, "image_id").join(mask_x, ["width", "x1", "x2", "x"]).join(mask_y, ["height", "y1", "y2", "y"])
-    both = both.join(original.withColumnsRenamed({c: f"_{c}" for c in "rgba"}), ["image_id", "y", "x"], "left")
+    both = fill.join(boxes.select("image_id", "width", "height", "x1", "y1", "x2", "y2"), "image_id")
+    both = both.join(original.select("image_id", "y", "x", *[F.col(c).alias(f"_{c}") for c in CHANNELS]), ["image_id", "y", "x"], "left")
+    both = both.withColumns({"mx": box_mask("x", "width", feather), "my": box_mask("y", "height", feather)})
     mask = F.col("mx") * F.col("my")
     mixed = lambda c: (F.when(F.expr(_INSIDE), F.coalesce(F.col(f"_{c}"), F.lit(0))).otherwise(0) * mask + F.col(c) * (F.lit(1.0) - mask)).cast("int")
     return both.select("image_id", "y", "x", *[F.least(F.lit(255), F.greatest(F.lit(0), mixed(c))).alias(c) for c in CHANNELS], "a")
