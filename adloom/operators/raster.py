@@ -27,7 +27,7 @@ TILE = 64
 def _curve(c: Column, power: float) -> Column:
     """trunc(255 * (v / 255) ** power), by a table of 256 values."""
     values = [int(255 * math.pow(v / 255, power)) for v in range(256)]
-    return F.get(F.array(*[F.lit(v) for v in values]), c)
+    return F.get(F.expr(f"array({', '.join(map(str, values))})"), c)
 
 
 def gamma_decode(pixels: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def box_mask(axis: str, size: str, feather: float) -> Column:
     weights = [w for _, w in gaussian_weights(feather)]
     n, reach = len(weights), len(weights) // 2
     sums = [list(itertools.accumulate(weights[i:], initial=0.0)) for i in range(n + 1)]  # sums[i][k]: k taps from the i-th on
-    table = F.array(*[F.array(*[F.lit(v) for v in row]) for row in sums])
+    table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in row) + ")" for row in sums) + ")")
     held = lambda c: F.greatest(F.lit(0), F.least(F.lit(n), c))
     low, high, at = F.col(f"{axis}1"), F.col(f"{axis}2"), F.col(axis)
     first = F.when(low <= 0, 0).when(low >= F.col(size), n).otherwise(held(low - at + reach))
