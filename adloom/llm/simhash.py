@@ -30,10 +30,12 @@ are null); rows are kept one for one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ LEAF = 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 #: Bytes of trees that are sent to the tasks at once.
 SENT = 64 << 20
+#: Rows of a table of shards up to which it is broadcast, and the salts beyond.
+FEW, SALTS = 100_000, 64
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -130,9 +134,8 @@ def route(tree: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[int,
         todo += [(x, y) for x, y in ((within, at[d <= cut_at + radius]), (beyond, at[d > cut_at])) if len(y)]
 
 
-def _parted(sharded: DataFrame, trees: dict[int, np.ndarray], radius: int) -> DataFrame:
+def _parted(sharded: DataFrame, trees: Broadcast, radius: int) -> DataFrame:
     """(shard, fp) with the shards that have a tree dealt to its leaves."""
-    shared = sharded.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +146,7 @@ def _parted(sharded: DataFrame, trees: dict[int, np.ndarray], radius: int) -> Da
                 if not len(own):
                     continue
                 name = int(shard[own[0]])
-                tree = shared.value.get(name)
+                tree = trees.value.get(name)
                 found = [(0, np.arange(len(own)))] if tree is None else list(route(tree, fp[own].view(np.uint64), radius))
                 at = own[np.concatenate([y for _, y in found])]
                 leaf = np.repeat(np.array([x for x, _ in found], np.uint64), [len(y) for _, y in found])
@@ -153,50 +156,54 @@ def _parted(sharded: DataFrame, trees: dict[int, np.ndarray], radius: int) -> Da
     return sharded.select("shard", "fp").mapInArrow(run, "shard long, fp long")
 
 
-def _trees(sharded: DataFrame, radius: int) -> tuple[list[dict[int, np.ndarray]], list[int]]:
-    """Trees of the crowded shards, in blocks that may be sent to the tasks, and the shards without one."""
-    crowded = sharded.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
-    sizes = {r["shard"]: r["n"] for r in crowded.collect()}  # at most one a SHARD rows
-    if not sizes:
-        return [], []
-    some = sharded.where(F.col("shard").isin(*sizes)) if len(sizes) <= 1000 else sharded
-    share = F.broadcast(sharded.sparkSession.createDataFrame(list(sizes.items()), "shard long, n long"))  # the same rows
-    picked = some.join(share, "shard").where(F.pmod(F.xxhash64("fp", F.lit("sample")), "n") < SAMPLE)
+def _by_shard(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
+    """rows joined with one row a shard: broadcast if these are ``FEW`` at most, else dealt by shard and salt."""
+    if of.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(of), "shard", how)
+    salted = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int")).join(salted, ["shard", "salt"], how).drop("salt")
+
+
+def _trees(sharded: DataFrame, radius: int) -> DataFrame:
+    """(shard, tree) of the crowded shards; the tree is null where no point parts one."""
+    crowded = cut(sharded.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD))
+    picked = _by_shard(sharded, crowded, "inner").where(F.pmod(F.xxhash64("fp", F.lit("sample")), "n") < SAMPLE)
 
     def run(key, own):
         tree = grow(own["fp"].to_numpy().view(np.uint64), int(own["n"].iloc[0]), radius)
         import pandas as pd
 
-        return pd.DataFrame({"shard": [key[0]], "tree": [b"" if tree is None else tree.tobytes()]})
+        return pd.DataFrame({"shard": [key[0]], "tree": [None if tree is None else tree.tobytes()]})
 
-    blocks, size, dense = [{}], 0, []
-    for r in picked.groupBy("shard").applyInPandas(run, "shard long, tree binary").toLocalIterator():
-        if not r["tree"]:
-            dense.append(r["shard"])
-            continue
-        size += len(r["tree"])
-        if size > SENT and blocks[-1]:
-            blocks.append({})
-            size = len(r["tree"])
-        blocks[-1][r["shard"]] = np.frombuffer(r["tree"], np.int64).reshape(-1, 4)
-    return [b for b in blocks if b], dense
+    return cut(picked.groupBy("shard").applyInPandas(run, "shard long, tree binary"))
 
 
 def shards(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame | None]:
-    """(shard, fp) of shards that hold about SHARD distinct fingerprints, and those that no point parts."""
+    """(shard, fp) of shards that hold about SHARD distinct fingerprints, and those that no point parts.
+
+    Trees are sent to the tasks in passes of about ``SENT`` bytes, so neither the driver nor a
+    task holds more of them at once, however many shards are crowded.
+    """
     sharded = cut(fps.select(F.lit(0).cast("long").alias("shard"), "fp"))
     dense = None
     while True:
-        blocks, whole = _trees(sharded, radius)
-        if whole:
-            own = sharded.where(F.col("shard").isin(*whole))
+        trees = _trees(sharded, radius)
+        grown, whole = trees.where("tree IS NOT NULL"), trees.where("tree IS NULL").select("shard")
+        size, n_whole = trees.agg(F.coalesce(F.sum(F.octet_length("tree")), F.lit(0)), F.count("*") - F.count("tree")).first()
+        if n_whole:
+            own = _by_shard(sharded, whole, "left_semi")
             dense = own if dense is None else dense.unionByName(own)
-            sharded = sharded.where(~F.col("shard").isin(*whole))
-        if not blocks:
+            sharded = _by_shard(sharded, whole, "left_anti")
+        if not size:
             return sharded, dense
-        for trees in blocks:
-            sharded = _parted(sharded, trees, radius)
-        sharded = cut(sharded)
+        passes, done = -(-size // SENT), []
+        for i in range(passes):
+            mine = F.pmod(F.xxhash64("shard"), F.lit(passes)) == i
+            held = {r["shard"]: np.frombuffer(r["tree"], np.int64).reshape(-1, 4) for r in grown.where(mine).toLocalIterator()}
+            sent = sharded.sparkSession.sparkContext.broadcast(held)
+            done.append(cut(_parted(sharded.where(mine), sent, radius)))
+            sent.destroy()
+        sharded = reduce(DataFrame.unionByName, done)
 
 
 def close_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -294,11 +301,13 @@ def one_of_each(documents: DataFrame, radius: int = 2, size: int = 3) -> DataFra
     """One row of documents, all columns, of every component.
 
     Rows are judged, not ids: of a component the row with the least doc_id stays (rows
-    without an id last), the least hash of the row among rows of one id, and any one of rows
-    that are alike in id and text.  Rows of one id with unlike texts are apart, so no text
-    is lost for its id.
+    without an id last), the least hash of all its columns among rows of one id, so the same
+    row stays in every run.  Rows of one id with unlike texts are apart, so no text is lost
+    for its id.
     """
-    row = [F.isnull("doc_id"), F.col("doc_id"), F.isnull("text"), F.col("text")]
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    held = [F.to_json(F.struct(f"`{c}`")) if "<" in kinds[c] or kinds[c] == "variant" else F.col(f"`{c}`") for c in documents.columns]
+    row = [x for c in held for x in (F.isnull(c), c)]
     keyed = documents.withColumns({"_k1": F.xxhash64(*row), "_k2": F.xxhash64(F.lit(1), *row)})
     fps = cut(fingerprints(keyed, size, ("doc_id", "_k1", "_k2")))
     owners = _roots(fps, radius, F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_k1", "_k2"))

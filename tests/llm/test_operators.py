@@ -330,9 +330,11 @@ def test_fingerprints(spark):
     assert simhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("shard", "copies"), [(8_192, 32), (40, 32), (40, 1)])
-def test_near_links_are_exact(spark, monkeypatch, shard, copies):
+@pytest.mark.parametrize(("shard", "copies", "few", "sent"), [(8_192, 32, 100_000, 64 << 20), (40, 32, 100_000, 64 << 20), (40, 1, 100_000, 64 << 20), (40, 32, 0, 500), (40, 1, 0, 500)])
+def test_near_links_are_exact(spark, monkeypatch, shard, copies, few, sent):
     monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "FEW", few)  # 0: shards are joined by salt
+    monkeypatch.setattr(simhash, "SENT", sent)  # small: trees are sent in passes
     monkeypatch.setattr(simhash, "COPIES", copies)  # 1: no tree will do, so neighbourhoods link all
     monkeypatch.setattr(simhash, "JUDGED", 8)
     monkeypatch.setattr(simhash, "SAMPLE", 200)
@@ -607,6 +609,10 @@ def test_one_of_each_judges_rows(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect()), key=str)
     assert got == sorted([(1, prose[0]), (5, prose[1]), (7, prose[2]), (7, prose[3]), (None, prose[4]), (9, ""), (2, prose[5])], key=str)
     assert simhash.one_of_each(df).columns == df.columns and simhash.one_of_each(df.limit(0)).count() == 0
+    # Rows alike in id and text, but not in other columns: the same one stays however they are dealt.
+    alike = spark.createDataFrame([(3, prose[0], f"l{i}", {"a": i}) for i in range(40)], "doc_id long, text string, lang string, tags map<string,int>")
+    stays = {tuple(map(str, r)) for n in (1, 7) for r in simhash.one_of_each(alike.repartition(n, F.xxhash64("lang", F.lit(n)))).collect()}
+    assert len(stays) == 1
 
 
 def odd_documents(spark):
