@@ -127,3 +127,18 @@ def test_blend_over_a_soft_seam(spark):
             inside = x1 <= x < x2 and y1 <= y < y2
             want = [min(255, max(0, int((own[i][y, x][c] if inside else 0) * (mx * my) + fill[i][y, x][c] * (1.0 - mx * my)))) for c in range(3)]
             assert value == [*want, fill[i][y, x][3]], (i, y, x)
+
+
+def test_only_the_wanted_part_is_made(spark):
+    """A part of a resampled image equals the same part of the whole, and steps keep only what the canvas shows."""
+    px = frame(spark, {1: image(9, 5, 3), 2: image(4, 4, 8)})
+    table = spark.createDataFrame([(1, 9, 5, 40, 30, 7, 12, 29, 30), (2, 4, 4, 3, 9, 0, 3, 2, 4)], "image_id long, src_w int, src_h int, width int, height int, x_from int, x_to int, y_from int, y_to int")
+    whole = raster.resample(px, table.select("image_id", "src_w", "src_h", "width", "height")).join(table, "image_id").where("x >= x_from AND x < x_to AND y >= y_from AND y < y_to").select("image_id", "y", "x", *"rgba")
+    got = raster.resample(px, table).collect()
+    assert len(got) == 5 + 6 and sorted(map(tuple, got)) == sorted(map(tuple, whole.collect()))
+    steps = spark.createDataFrame(
+        [("content", -5, 2, 3000, 4000), ("content", 16, 0, 4, 4), ("content", -9, 0, 9, 4), ("background", -30, 0, 20, 9), ("extend", 2, 3, 4, 2), ("cover", -700, 0, 1416, 9)],
+        "kind string, x int, y int, w int, h int",
+    ).withColumns({"target_w": F.lit(16), "target_h": F.lit(9)})
+    kept = [tuple(r) for r in raster.on_canvas(steps).select("kind", "x_from", "x_to", "y_from", "y_to").collect()]
+    assert kept == [("content", 5, 21, 0, 7), ("background", 19, 20, 0, 9), ("extend", 0, 4, 0, 2), ("cover", 700, 716, 0, 9)]
